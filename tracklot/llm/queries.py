@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracklot.llm.mixing import op10_mixing
 from tracklot.llm.packing import op5_packing
+from tracklot.llm.quality import op8_quality
 from tracklot.llm.token_ids import op1_token_ids
 
 
@@ -14,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
         "op5_packing": op5_packing,
+        "op8_quality": op8_quality,
+        "op10_mixing": op10_mixing,
     }
 
 
