@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracklot.llm.mixing import op10_mixing
 from tracklot.llm.packing import op5_packing
+from tracklot.llm.pii import op7_pii
 from tracklot.llm.quality import op8_quality
 from tracklot.llm.token_ids import op1_token_ids
 
@@ -16,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
         "op5_packing": op5_packing,
+        "op7_pii": op7_pii,
         "op8_quality": op8_quality,
         "op10_mixing": op10_mixing,
     }
