@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracklot.llm.mixing import op10_mixing
+from tracklot.llm.near_dups import op4_near_duplicates
 from tracklot.llm.packing import op5_packing
 from tracklot.llm.pii import op7_pii
 from tracklot.llm.quality import op8_quality
@@ -16,6 +17,7 @@ from tracklot.llm.token_ids import op1_token_ids
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_packing": op5_packing,
         "op7_pii": op7_pii,
         "op8_quality": op8_quality,
