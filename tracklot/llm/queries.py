@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracklot.llm.fingerprints import op6_fingerprints
+from tracklot.llm.line_dedup import op3_line_dedup
 from tracklot.llm.mixing import op10_mixing
 from tracklot.llm.near_dups import op4_near_duplicates
 from tracklot.llm.packing import op5_packing
@@ -17,8 +19,10 @@ from tracklot.llm.token_ids import op1_token_ids
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op3_line_dedup": op3_line_dedup,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_packing": op5_packing,
+        "op6_fingerprints": op6_fingerprints,
         "op7_pii": op7_pii,
         "op8_quality": op8_quality,
         "op10_mixing": op10_mixing,
