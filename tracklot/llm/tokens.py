@@ -53,7 +53,7 @@ class PieceEncoder:
         odd = [w for w in words if not w or "<|" in w or _ODD.search(w)]
         plain = list(words.difference(odd))
         if plain and self.separator is not None:
-            ids = np.array(self.splitter.encode(_SEPARATOR.join(lead + w for w in plain), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.splitter.encode_batch_fast([_SEPARATOR.join(lead + w for w in plain)], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(ids == self.separator)
             lo, hi = np.append(0, cut + 1), np.append(cut, len(ids))
             base, first = len(self.flat), len(self.starts)
