@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracklot.llm.fingerprints import op6_fingerprints
+from tracklot.llm.html_text import op2_html_text
 from tracklot.llm.line_dedup import op3_line_dedup
 from tracklot.llm.mixing import op10_mixing
 from tracklot.llm.near_dups import op4_near_duplicates
@@ -19,6 +20,7 @@ from tracklot.llm.token_ids import op1_token_ids
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_ids": op1_token_ids,
+        "op2_html_text": op2_html_text,
         "op3_line_dedup": op3_line_dedup,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_packing": op5_packing,
