@@ -190,9 +190,9 @@ def node_importance(pages: DataFrame) -> DataFrame:
     )
     scale = F.log(F.greatest("pages", F.lit(2.0)))
     one = F.col("pages") <= 1
-    content = F.when(one, 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("text_h") / scale))
+    content = F.when(F.col("text_h").isNull(), None).when(one, 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("text_h") / scale))
     shown = F.when(one, 1.0).otherwise(F.least(F.lit(1.0), (F.log("styled") - F.col("styled_log") / F.col("styled")) / scale))
-    both = CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.coalesce("presentation", F.lit(0.0))
+    both = CONTENT_WEIGHT * F.col("content") + (1 - CONTENT_WEIGHT) * F.coalesce("presentation", F.lit(0.0))  # null without text of its own
     return node.select("node", "pages", shown.alias("presentation"), content.alias("content")).withColumn("importance", both)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracklot.llm.fingerprints import op6_fingerprints
 from tracklot.llm.html_text import op2_html_text
+from tracklot.llm.licenses import op9_licenses
 from tracklot.llm.line_dedup import op3_line_dedup
 from tracklot.llm.mixing import op10_mixing
 from tracklot.llm.near_dups import op4_near_duplicates
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fingerprints": op6_fingerprints,
         "op7_pii": op7_pii,
         "op8_quality": op8_quality,
+        "op9_licenses": op9_licenses,
         "op10_mixing": op10_mixing,
     }
 
