@@ -33,12 +33,9 @@ DOCS = "doc_id long, shard int, start long, n_tokens long, ids_crc32 long"
 
 def _widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value: 0 for 0."""
-    width = np.zeros(len(values), np.int8)
-    rest = values.copy()
-    while rest.any():
-        width += rest > 0
-        rest >>= np.uint64(1)
-    return width
+    high = (values >> np.uint64(30)).astype(np.float64)  # both halves are exact as floats
+    low = np.frexp((values & np.uint64((1 << 30) - 1)).astype(np.float64))[1]
+    return np.where(high > 0, np.frexp(high)[1] + 30, low).astype(np.int8)
 
 
 def pack(values: np.ndarray) -> np.ndarray:
