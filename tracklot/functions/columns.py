@@ -89,7 +89,7 @@ def canonical_url(url: Column | str) -> Column:
 
 def parse_money(text: Column | str) -> Column:
     """Cents of texts like ``1.234,56 €`` or ``12.50``: the last separator before two digits is the decimal point."""
-    t = F.regexp_replace(col(text), "[\\s  ]", "")
+    t = F.regexp_replace(col(text), r"[\s\x{a0}\x{202f}]", "")
     number = F.regexp_extract(t, r"([0-9][0-9.,]*)", 1)
     european = F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     english = F.replace(number, F.lit(","), F.lit(""))
@@ -112,7 +112,7 @@ def resolve_condition(status: Column | str, status_id: Column | str) -> Column:
 
 def split_subtitle(text: Column | str) -> Column:
     """(size, condition) of ``size · condition``."""
-    parts = F.filter(F.transform(F.split(col(text), r"[·•|]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.split(F.regexp_replace(col(text), r"^[\s\x{a0}]+|[\s\x{a0}]+$", ""), r"[\s\x{a0}]*[·•|][\s\x{a0}]*"), lambda p: p != "")
     return F.struct(F.get(parts, 0).alias("size_label"), F.get(parts, 1).alias("condition_label"))
 
 
