@@ -91,3 +91,14 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert out == [(-1, 1, -1, True), (-1, 1, 7, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True), (7, 1, 7, True), (7, 1, 7, True), (9, 1, 7, False)]
     assert near_duplicates(docs.limit(0)).count() == 0
     assert drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_sql_gives_the_same_rows(spark, sf):
+    import duckdb
+
+    from tracklot.llm.queries import oracle_sql
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    rows = con.sql(oracle_sql()["op4_near_duplicates"]).fetchall()
+    assert {r[0]: tuple(r[1:]) for r in rows} == got(op4_near_duplicates(spark, sf))
