@@ -16,6 +16,12 @@ def latest_by(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
 
 
+def as_of(df: DataFrame, key: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """The latest non-null ``value`` of the key up to each row, over rows of both sides put together."""
+    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+
+
 def dedupe_sightings(s: DataFrame) -> DataFrame:
     """Replace on the same (run, listing, catalog, page): the newest stays."""
     return latest_by(s, ["run_id", "listing_id", "catalog_id", "page_number"], [F.desc("observed_at"), F.desc("event_id")])

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from tracklot.functions import columns as X
 from tracklot.functions import identity as I
+from tracklot.operators import changes as CH
+from tracklot.operators import marts as M
 from tracklot.operators import observe as O
 from tracklot.operators import ops as OP
 from tracklot.operators import quality as Q
 from tracklot.operators import rollups as R
 from tracklot.plans import prelude as P
-from tracklot.plans.listings import log, query
+from tracklot.plans.listings import STATE, log, query, scores
 from tracklot.sources import lake as L
 from tracklot.sources import parse as PR
 from tracklot.sources import standin as D
@@ -297,3 +299,50 @@ def _(spark, d):
     return sk.groupBy("catalog_id").agg(F.hll_sketch_estimate(F.hll_union_agg("listings_sketch")).alias("listings_about"))
 
 
+@query("map_seen_facts", sql="""SELECT event_id, day AS occurred_on, '{"manifest_id":"' || manifest_id || '","run_id":"' || run_id || '","source_event_id":"' || event_id || '"}' AS metadata_json, manifest_id AS traced FROM sightings""")
+def _(spark, d):
+    return M.with_trace(M.to_seen_facts(D.sightings(spark, d))).select("event_id", "occurred_on", "metadata_json", F.col("trace.manifest_id").alias("traced"))
+
+
+@query("map_probe_facts", sql="SELECT probe_id, listing_id, CAST(probed_at AS DATE) AS occurred_on FROM probes")
+def _(spark, d):
+    return M.to_probe_facts(D.probes(spark, d)).select("probe_id", "listing_id", "occurred_on")
+
+
+@query("prj_display", *STATE, P.SCORES, sql="SELECT listing_id, CASE WHEN premium_score >= 75 THEN 'high' WHEN premium_score >= 50 THEN 'solid' WHEN premium_score >= 25 THEN 'modest' ELSE 'low' END AS score_band, price_percentile IS NULL AS no_peers FROM scores")
+def _(spark, d):
+    return M.with_display(scores(spark, d)).select("listing_id", "score_band", (F.col("percentile_text") == "no peers").alias("no_peers"))
+
+
+@query("mart_export", P.LOG, sql="SELECT 'listing_day' AS mart, (SELECT count(*) FROM (SELECT DISTINCT listing_id, day, brand, condition_label, CASE WHEN price_amount_cents IS NULL THEN 'unknown' WHEN price_amount_cents < 2000 THEN 'under' WHEN price_amount_cents < 4000 THEN 'middle' ELSE 'over' END FROM sightings)) AS row_count UNION ALL SELECT 'price_change', count(*) FROM changes WHERE change_kind = 'price_change'")
+def _(spark, d):
+    return M.export_marts({"listing_day": R.mart_listing_day(D.sightings(spark, d)), "price_change": CH.mart_price_change(CH.derive_changes(log(spark, d)))}, ST.folder(spark, "marts"))
+
+
+@query("prj_scan_and_probe_flags", sql=f"SELECT 'scan' AS source, count(*) FILTER (WHERE response_status = 403) AS flagged FROM scans UNION ALL SELECT 'probe', count(*) FILTER (WHERE {DEGRADED}) FROM probes")
+def _(spark, d):
+    scan = D.scans(spark, d).agg(F.lit("scan").alias("source"), F.count_if(X.scan_is_challenge("response_status", "error_message")).alias("flagged"))
+    return scan.unionByName(D.probes(spark, d).agg(F.lit("probe").alias("source"), F.count_if(X.probe_is_degraded("reason", "error_message", "response_status")).alias("flagged")))
+
+
+@query("jn_as_of_probe", sql="SELECT event_id, last_probe FROM (SELECT event_id, k, last_value(probe_outcome IGNORE NULLS) OVER (PARTITION BY listing_id ORDER BY t, k, id ROWS UNBOUNDED PRECEDING) AS last_probe FROM (SELECT listing_id, observed_at AS t, 0 AS k, event_id AS id, event_id, NULL AS probe_outcome FROM sightings UNION ALL SELECT listing_id, probed_at, 1, CAST(probe_id AS VARCHAR), NULL, probe_outcome FROM probes)) WHERE k = 0")
+def _(spark, d):
+    # latest probe strictly before each sighting: union and a running last value, no range join
+    s = D.sightings(spark, d).select("listing_id", F.col("observed_at").alias("t"), F.lit(0).alias("k"), F.col("event_id").alias("id"), "event_id", F.lit(None).cast("string").alias("probe_outcome"))
+    p = D.probes(spark, d).select("listing_id", F.col("probed_at").alias("t"), F.lit(1).alias("k"), F.col("probe_id").cast("string").alias("id"), F.lit(None).cast("string").alias("event_id"), "probe_outcome")
+    return O.as_of(s.unionByName(p), ["listing_id"], ["t", "k", "id"], "probe_outcome", "last_probe").where("k = 0").select("event_id", "last_probe")
+
+
+@query("jn_semi_join", sql="SELECT probe_id FROM probes WHERE listing_id IN (SELECT listing_id FROM sightings)")
+def _(spark, d):
+    return D.probes(spark, d).join(D.sightings(spark, d).select("listing_id"), "listing_id", "left_semi").select("probe_id")
+
+
+@query("str_facts", sql="SELECT count(*) AS n FROM sightings")
+def _(spark, d):
+    path = ST.folder(spark, "replayed")
+    s = D.sightings(spark, d).select("event_id", "observed_at")
+    s.unionAll(s).write.parquet(path)
+    out = ST.folder(spark, "facts")
+    ST.run_available(ST.stream_facts(ST.stream_lake(spark, path), delay="4000 days"), lambda batch, k: batch.write.mode("append").parquet(out), "append", "facts")
+    return spark.read.parquet(out).agg(F.count("*").alias("n"))
