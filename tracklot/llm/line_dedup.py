@@ -45,6 +45,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"), F.col("text"))
     # explode_outer: for explode, the optimiser would add a filter on the array's size and with it compute the array twice
     spots = _chunks(keyed).select("k_id", "k_text", F.explode_outer("chunks").alias("c")).where("c IS NOT NULL").select("k_id", "k_text", "c.*")
+    spots = materialize(spots, "spots")
     heads = spots.groupBy("hash").agg(F.count("*").alias("times"), F.min(F.struct("k_id", "k_text", "at")).alias("first")).where("times > 1").drop("times")
     again = spots.join(heads, "hash")
     # a first occurrence is listed too: its bytes are what the others are compared with
@@ -66,11 +67,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         kept = split.select("k_id", "k_text", F.explode_outer("found").alias("c")).join(bad, F.col("c.hash") == bad["hash"]).groupBy("k_id", "k_text").agg(F.collect_set("c.hash").alias("bad")).toDF("b_id", "b_text", "bad")
         split = split.join(kept, F.col("k_id").eqNullSafe(F.col("b_id")) & (F.col("k_text") == F.col("b_text")), "left")
         removable = F.filter("found", lambda c: c["later"] & ~F.array_contains(F.coalesce("bad", F.array().cast("array<bigint>")), c["hash"]))
-    gone = F.flatten(F.transform(removable, lambda c: F.sequence(c["at"], c["at"] + c["n"] - 1)))
-    out = split.withColumn("gone", F.coalesce(gone, F.array().cast("array<int>")))
-    left = F.when(F.size("gone") == 0, F.col("d_text")).otherwise(F.array_join(F.filter("lines", lambda u, i: ~F.array_contains("gone", i)), ""))
+    out = split.withColumn("gone", F.sort_array(F.coalesce(removable, F.array().cast("array<struct<at:int,n:int,hash:bigint,later:boolean>>"))))
+    # the runs of lines between removed chunks, which are in order and apart
+    kept = F.expr("flatten(transform(sequence(0, size(gone)), j -> slice(lines, IF(j = 0, 0, gone[j - 1].at + gone[j - 1].n) + 1, IF(j = size(gone), size(lines), gone[j].at) - IF(j = 0, 0, gone[j - 1].at + gone[j - 1].n))))")
+    left = F.when(F.size("gone") == 0, F.col("d_text")).otherwise(F.array_join(kept, ""))
     columns = [left.alias("text") if c == "text" else F.length(left).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"d_{c}").alias(c) for c in names]
-    return out.select(*columns, F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"))
+    return out.select(*columns, F.size("lines").cast("long").alias("n_lines"), F.expr("aggregate(gone, 0L, (a, c) -> a + c.n)").alias("n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
