@@ -25,7 +25,7 @@ from tracklot.llm.tokens import BYTE_BPE, encoder, text_batches
 #: (values in a word, bits of each) for selectors 0 to 15, as published.
 PACKINGS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 COUNTS = np.array([c for c, _ in PACKINGS], np.int64)
-BLOCK_IDS = 4096
+BLOCK_IDS = 16_384
 ROW_IDS = 65_536
 ROWS = "shard int, start long, doc_ids array<long>, sizes array<int>, words binary, block_words array<int>, escape_at array<int>, escape_values array<long>"
 DOCS = "doc_id long, shard int, start long, n_tokens long, ids_crc32 long"
@@ -52,12 +52,12 @@ def pack(values: np.ndarray) -> np.ndarray:
         if len(fits) >= count:
             first = fits[: len(fits) - count + 1]
             choice[first[fits[count - 1 :] - first == count - 1]] = k
-    step = COUNTS[choice].tolist()
-    at, starts = 0, []
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts, np.int64)
+    # words begin at 0 and wherever the word before them ends: the path from 0, doubled in each round
+    jump = np.append(np.minimum(np.arange(n) + COUNTS[choice], n), n)
+    starts = np.zeros(1, np.int64)
+    while starts[-1] < n:
+        starts, jump = np.concatenate([starts, jump[starts]]), jump[jump]
+    starts = starts[: np.searchsorted(starts, n)]
     chosen = choice[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for k in np.unique(chosen):

@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Words that one process remembers; beyond it the memory is emptied and fills anew.
-CACHE_WORDS = 1_000_000
-_ODD = re.compile("[\\s\x1c-\x1f\x85᠎​﻿]")
+CACHE_WORDS = 700_000
+_ODD = re.compile("[\\s\x1c-\x1f\x85\u180e\u200b\ufeff]")
 _SPACES = re.compile("[\x20\x09-\x0d]+")
 _SEPARATOR = "<|endoftext|>"
 
@@ -71,39 +71,40 @@ class PieceEncoder:
         """All ids of the batch in one array, and each text's number of ids."""
         if len(self.starts) > CACHE_WORDS:
             self._clear()
-        words_of: list[list[list[str]]] = []
-        heads, rests = set(), set()
-        for t in texts:
-            if self.keeps_space:
-                lines = [line.split(" ") for line in t.split("\n")] if t else []
-                for words in lines:
-                    heads.add(words[0])
-                    rests.update(words[1:])
-            else:
-                lines = [[w for w in _SPACES.split(t) if w]]
-                rests.update(lines[0])
-            words_of.append(lines)
-        self._learn(heads.difference(self.head), self.head, "")
-        self._learn(rests.difference(self.rest), self.rest, " " if self.keeps_space else "")
-        head, rest = self.head, self.rest
-        pieces: list[int] = []
+        known = self.rest.get
+        pieces: list[int | None] = []
+        words: list[str] = []  # beside pieces, to name those that are not known yet
         counts, whole = np.zeros(len(texts), np.int64), {}
-        for k, lines in enumerate(words_of):
-            began = len(pieces)
-            for i, words in enumerate(lines):
-                if self.keeps_space:
-                    if i:
-                        pieces.append(self.newline)
-                    pieces.append(head[words[0]])
-                    pieces.extend(map(rest.__getitem__, words[1:]))
-                else:
-                    pieces.extend(map(rest.__getitem__, words))
-            if self.keeps_space and -1 in pieces[began:]:
-                del pieces[began:]
-                whole[k] = np.array(self._plain([texts[k]])[0], np.uint32)
-            counts[k] = len(pieces) - began
+        if self.keeps_space:
+            lines_of = [[line.split(" ") for line in t.split("\n")] if t else [] for t in texts]
+            self._learn({line[0] for lines in lines_of for line in lines}.difference(self.head), self.head, "")
+            for k, lines in enumerate(lines_of):
+                began = len(pieces)
+                for i, line in enumerate(lines):
+                    first = self.head[line[0]]
+                    pieces += [self.newline, first] if i else [first]
+                    words += ["", ""] if i else [""]
+                    del line[0]
+                    pieces.extend(map(known, line))
+                    words += line
+                counts[k] = len(pieces) - began
+        else:
+            for k, t in enumerate(texts):
+                own = [w for w in _SPACES.split(t) if w]
+                pieces.extend(map(known, own))
+                words += own
+                counts[k] = len(own)
+        unknown = [i for i, p in enumerate(pieces) if p is None]
+        if unknown:
+            self._learn({words[i] for i in unknown}, self.rest, " " if self.keeps_space else "")
+            for i in unknown:
+                pieces[i] = self.rest[words[i]]
         starts, sizes, flat = (np.frombuffer(x, kind) if len(x) else np.zeros(0, kind) for x, kind in ((self.starts, np.int64), (self.sizes, np.int64), (self.flat, np.uint32)))
         at = np.array(pieces, np.int64)
+        if len(odd := np.flatnonzero(at < 0)):
+            for k in np.unique(np.searchsorted(np.cumsum(counts), odd, "right")).tolist():
+                whole[k] = np.array(self._plain([texts[k]])[0], np.uint32)
+            at[odd] = 0
         length = sizes[at] if len(at) else at
         ends = np.cumsum(length)
         ids = flat[np.repeat(starts[at] - (ends - length), length) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.uint32)
