@@ -92,7 +92,7 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     return int((np.cumsum(delta)[:-1] > 0).sum())
 
 
-def _slices(texts: list[str], chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     low, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
