@@ -1,11 +1,12 @@
 """Line dedup with content-defined chunks, in DataFrame functions only.
 
-Lines are the text's lines, and sentences inside a longer line; put together they are the text again. A rolling hash
-over each pair of neighbouring line hashes sets the boundaries: one falls inside each pair whose hash is less than both
-its neighbours', so chunks have two lines or more, three on average, and an inserted or removed line moves boundaries
-only next to it. Chunks of two lines or more that occur again anywhere in the corpus are removed but for
-their first occurrence (smallest doc_id, then place). Occurrences meet by hash in an aggregate; before anything is
-removed, all texts under one hash are compared byte by byte.
+Lines are the text's lines, and sentences inside a longer line; put together they are the text again. Every pair of
+neighbouring lines, and every single line of ``MIN_WORDS`` words, is looked up in the whole corpus; its first occurrence
+is that of the smallest doc_id, then place. Pairs with an earlier occurrence that follow each other make up a run. A run
+of ``MIN_WORDS`` words is removed whole, so a repeated passage of that length goes from its first line to its last, and
+so is a shorter run that holds a content-defined chunk: a boundary falls inside each pair whose hash is less than both
+its neighbours', so chunks have two lines or more, three on average. The first occurrence of a line always stays.
+Occurrences meet by hash in an aggregate; before anything is removed, all texts under one hash are compared byte by byte.
 """
 
 from __future__ import annotations
@@ -18,6 +19,25 @@ from tracklot.llm.common import materialize, table
 #: Chunks of fewer lines stay.
 MIN_LINES = 2
 LINES = r"(?<=\n)|(?<=[.!?] )"
+#: A repeated run of so many words always goes; so many characters count as much, for scripts without spaces.
+MIN_WORDS, MIN_CHARS = 50, 400
+
+
+def _long(u: str) -> str:
+    """SQL: whether a text has MIN_WORDS words or MIN_CHARS characters."""
+    return f"(length({u}) >= {2 * MIN_WORDS - 1} AND (length({u}) >= {MIN_CHARS} OR size(split(trim(' \\n\\t\\r' FROM {u}), '[ \\n\\t\\r]+')) >= {MIN_WORDS}))"
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``spans``: structs of first line, number of lines and hash of all pairs and long single lines."""
+    return (
+        docs.withColumn("lines", F.filter(F.split(F.coalesce("text", F.lit("")), LINES), lambda u: u != ""))
+        .withColumn("h", F.expr("transform(lines, u -> xxhash64(rtrim('\\n ', u)))"))
+        .withColumn("pairs", F.expr("transform(filter(sequence(0, size(h)), i -> i < size(h) - 1), i -> struct(i AS at, 2 AS n, xxhash64(h[i], h[i + 1]) AS hash))"))
+        .withColumn("singles", F.expr(f"transform(filter(sequence(0, size(h)), i -> i < size(h) AND {_long('lines[i]')}), i -> struct(i AS at, 1 AS n, xxhash64(h[i]) AS hash))"))
+        .withColumn("spans", F.concat("pairs", "singles"))
+        .drop("lines", "h", "pairs", "singles")
+    )
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -34,20 +54,22 @@ def _chunks(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents without repeated chunks, plus ``n_lines`` and ``n_removed``.
+    """The documents without repeated passages, plus ``n_lines`` and ``n_removed``.
 
     ``docs`` needs doc_id and text; all its columns return, ``n_chars`` (if there) following the new text. A null text
     stays null and has no lines. Rows equal in doc_id and text are one document and keep the same lines; a document may
-    become empty. Columns whose names this function uses (``lines``, ``chunks``, ``n_lines``, ...) come back as they were,
+    become empty. Columns whose names this function uses (``lines``, ``chunks``, ``spans``, ``n_lines``, ...) come back as they were,
     except that its own two counts replace columns of those names.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_text"), F.col("text"))
     # explode_outer: for explode, the optimiser would add a filter on the array's size and with it compute the array twice
-    spots = _chunks(keyed).select("k_id", "k_text", F.explode_outer("chunks").alias("c")).where("c IS NOT NULL").select("k_id", "k_text", "c.*")
+    spots = _spans(keyed).select("k_id", "k_text", F.explode_outer("spans").alias("c")).where("c IS NOT NULL").select("k_id", "k_text", "c.*")
     spots = materialize(spots, "spots")
-    heads = spots.groupBy("hash").agg(F.count("*").alias("times"), F.min(F.struct("k_id", "k_text", "at")).alias("first")).where("times > 1").drop("times")
-    again = spots.join(heads, "hash")
+    times = spots.groupBy("hash").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+    again = materialize(spots.join(times, "hash"), "again")
+    heads = again.groupBy("hash").agg(F.min(F.struct("k_id", "k_text", "at")).alias("first"))
+    again = again.join(heads, "hash")
     # a first occurrence is listed too: its bytes are what the others are compared with
     later = ~F.struct("k_id", "k_text", "at").eqNullSafe(F.col("first"))
     lists = again.groupBy("k_id", "k_text").agg(F.collect_set(F.struct("at", "n", "hash", later.alias("later"))).alias("found"))
@@ -56,23 +78,31 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     joined = whole.join(lists, F.col("k_id").eqNullSafe(F.col("l_id")) & (F.col("k_text") == F.col("l_text")), "left").drop("l_id", "l_text")
     joined = materialize(joined, "found-chunks")
 
-    split = joined.withColumn("lines", F.filter(F.split(F.coalesce("d_text", F.lit("")), LINES), lambda u: u != ""))
-    texts = split.where("found IS NOT NULL").select("lines", F.explode_outer("found").alias("c"))
-    bytes_of = F.expr("array_join(transform(slice(lines, c.at + 1, c.n), u -> rtrim('\\n ', u)), '\\n')")
-    compared = texts.select(F.col("c.hash").alias("hash"), bytes_of.alias("bytes")).groupBy("hash").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
+    # the bytes are cut out before they are dealt out, so that no row carries a whole document
+    seen = joined.where("found IS NOT NULL").withColumn("lines", F.filter(F.split("d_text", LINES), lambda u: u != ""))
+    bytes_of = F.expr("transform(found, c -> struct(c.hash AS hash, array_join(transform(slice(lines, c.at + 1, c.n), u -> rtrim('\\n ', u)), '\\n') AS bytes))")
+    texts = seen.select(F.explode_outer(bytes_of).alias("c")).select("c.*")
+    compared = texts.groupBy("hash").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"))
     unequal = materialize(compared.where("low <> high").select("hash"), "unequal")
     removable = F.filter("found", lambda c: c["later"])
     if not unequal.isEmpty():  # different texts under one hash stay
-        bad = texts.select("c.hash").distinct().join(unequal, "hash")
-        kept = split.select("k_id", "k_text", F.explode_outer("found").alias("c")).join(bad, F.col("c.hash") == bad["hash"]).groupBy("k_id", "k_text").agg(F.collect_set("c.hash").alias("bad")).toDF("b_id", "b_text", "bad")
-        split = split.join(kept, F.col("k_id").eqNullSafe(F.col("b_id")) & (F.col("k_text") == F.col("b_text")), "left")
+        spread = joined.select("k_id", "k_text", F.explode_outer("found").alias("c")).select("k_id", "k_text", "c.hash")
+        kept = spread.join(unequal, "hash").groupBy("k_id", "k_text").agg(F.collect_set("hash").alias("bad")).toDF("b_id", "b_text", "bad")
+        joined = joined.join(kept, F.col("k_id").eqNullSafe(F.col("b_id")) & (F.col("k_text") == F.col("b_text")), "left")
         removable = F.filter("found", lambda c: c["later"] & ~F.array_contains(F.coalesce("bad", F.array().cast("array<bigint>")), c["hash"]))
-    out = split.withColumn("gone", F.sort_array(F.coalesce(removable, F.array().cast("array<struct<at:int,n:int,hash:bigint,later:boolean>>"))))
-    # the runs of lines between removed chunks, which are in order and apart
+    # only documents with repeated lines are cut up in full
+    split = _chunks(joined.withColumn("text", F.when(F.col("found").isNotNull(), F.col("d_text"))))
+    split = split.withColumn("removable", F.coalesce(removable, F.array().cast("array<struct<at:int,n:int,hash:bigint,later:boolean>>")))
+    split = split.withColumn("p", F.expr("sort_array(transform(filter(removable, c -> c.n = 2), c -> c.at))"))
+    split = split.withColumn("runs", F.expr("zip_with(filter(p, (x, i) -> i = 0 OR p[i - 1] < x - 1), filter(p, (x, i) -> i = size(p) - 1 OR p[i + 1] > x + 1), (a, b) -> struct(a AS at, b - a + 2 AS n))"))
+    split = split.withColumn("whole", F.expr(f"filter(runs, r -> {_long("array_join(slice(lines, r.at + 1, r.n), ' ')")} OR exists(chunks, c -> c.at >= r.at AND c.at + c.n <= r.at + r.n))"))
+    split = split.withColumn("alone", F.expr("transform(filter(removable, c -> c.n = 1 AND NOT exists(runs, r -> c.at >= r.at AND c.at < r.at + r.n)), c -> struct(c.at AS at, c.n AS n))"))
+    out = split.withColumn("gone", F.sort_array(F.concat("whole", "alone")))
+    # the lines between removed runs, which are in order and apart
     kept = F.expr("flatten(transform(sequence(0, size(gone)), j -> slice(lines, IF(j = 0, 0, gone[j - 1].at + gone[j - 1].n) + 1, IF(j = size(gone), size(lines), gone[j].at) - IF(j = 0, 0, gone[j - 1].at + gone[j - 1].n))))")
     left = F.when(F.size("gone") == 0, F.col("d_text")).otherwise(F.array_join(kept, ""))
     columns = [left.alias("text") if c == "text" else F.length(left).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"d_{c}").alias(c) for c in names]
-    return out.select(*columns, F.size("lines").cast("long").alias("n_lines"), F.expr("aggregate(gone, 0L, (a, c) -> a + c.n)").alias("n_removed"))
+    return out.select(*columns, F.when(F.col("found").isNull(), F.size(F.filter(F.split(F.coalesce("d_text", F.lit("")), LINES), lambda u: u != ""))).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.expr("aggregate(gone, 0L, (a, c) -> a + c.n)").alias("n_removed"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
