@@ -1,13 +1,17 @@
 """License scans by conditional compression.
 
-Blocks of text that speak of licensing are compressed with zstandard, alone and with each template as a raw dictionary;
-the template that saves the largest share of the block's size is the closest one. The winner is then confirmed by a
-word-by-word comparison, which also gives the exact differences.
+The words around a licensing cue, as far as a template can reach, are searched for each template in windows of its size:
+a window with enough of the template's words is compared with it word by word, which gives the notice's own span and the
+exact differences. Each span is then compressed with zstandard, alone and with the template as a raw dictionary; of
+templates that meet in a span the one with the largest share of its words counts, then the larger one, then the larger
+saving. Notices next to each other are rows of their own, however their lines are laid out.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import cache
@@ -19,6 +23,14 @@ from pyspark.sql import functions as F
 
 from tracklot.llm.common import strings, table
 
+_CC = (
+    ("CC", "CC BY", "Attribution"),
+    ("CC-BY-NC", "CC BY-NC", "Attribution-NonCommercial"),
+    ("CC-BY-SA", "CC BY-SA", "Attribution-ShareAlike"),
+    ("CC-BY-ND", "CC BY-ND", "Attribution-NoDerivatives"),
+    ("CC-BY-NC-SA", "CC BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("CC-BY-NC-ND", "CC BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+)
 #: (license, wording). One license may have several wordings; all are parts of the licenses' published texts or usual notices.
 TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
@@ -35,34 +47,40 @@ TEMPLATES = (
     ("CC", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, for any purpose, commercial or non-commercial, and by any means."),
     ("proprietary", "All rights reserved."),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("MIT", "Licensed under the MIT License."),
+    ("BSD", "Licensed under the BSD License."),
+    ("GPL", "Licensed under the GNU General Public License."),
+    ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
+    ("CC0", "Licensed under CC0 1.0 Universal."),
+    *((name, f"Licensed under {short} 4.0.") for name, short, _ in _CC),
+    *((name, f"This work is licensed under a Creative Commons {long} 4.0 International License.") for name, _, long in _CC[1:]),
 )
-CUES = re.compile(r"licen[cs]e|copyright|all rights reserved|permission (?:is|to)|redistribut|public domain|creative commons|free software", re.I)
-#: Lines between two cues that still belong to one block; longer lines are cut at sentence ends.
-GAP, LONG_LINE = 3, 600
+#: Words of a cue may stand on two lines.
+CUES = re.compile(r"licen[cs]e|copyright|all[\W_]+rights[\W_]+reserved|permission[\W_]+(?:is|to)|redistribut|public[\W_]+domain|creative[\W_]+commons|free[\W_]+software", re.I)
+#: Characters to either side of a cue that are searched: three times the longest template, for its layout.
+REACH = 3 * max(len(t) for _, t in TEMPLATES)
+#: A template of fewer words is confirmed only with all its words but these and numbers: without its name it is no license.
+SHORT, GENERIC = 16, frozenset("released licensed license under the this work is a of version public general all rights reserved international universal".split())
 #: Share of the template's words that the block must have in order, and the least saving.
 MIN_WORDING, MIN_SAVING = 0.75, 0.08
 FOUND = "doc_id long, start long, length long, license string, template int, saving double, wording double, missing_words string"
-_PIECE = re.compile(r"[^\n]*\n|[^\n]+")
-_SENTENCE = re.compile(r".*?[.!?](?:\s+|\Z)|.+\Z", re.S)
-
-
-def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(start, block): runs of lines or sentences from one licensing cue to the last near it."""
-    pieces: list[tuple[int, str]] = []
-    for m in _PIECE.finditer(text):
-        if len(m[0]) > LONG_LINE:
-            pieces += [(m.start() + s.start(), s[0]) for s in _SENTENCE.finditer(m[0])]
-        else:
-            pieces.append((m.start(), m[0]))
-    first = last = None
-    for i, (_, piece) in enumerate(pieces):
-        if CUES.search(piece):
-            if first is not None and i - last > GAP:
-                yield pieces[first][0], "".join(p for _, p in pieces[first : last + 1])
-                first = i
-            first, last = i if first is None else first, i
-    if first is not None:
-        yield pieces[first][0], "".join(p for _, p in pieces[first : last + 1])
+_WORD = re.compile(r"[^\W_]+")
+
+
+def regions(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end): what lies within reach of a cue."""
+    start = end = None
+    for m in CUES.finditer(text):
+        low, high = max(0, m.start() - REACH), m.end() + REACH
+        if end is not None and low <= end:
+            end = high
+            continue
+        if end is not None:
+            yield start, end
+        start, end = low, high
+    if end is not None:
+        yield start, end
 
 
 @cache
@@ -73,29 +91,103 @@ def _compressors() -> tuple[zstandard.ZstdCompressor, list[zstandard.ZstdCompres
 
 
 def _words(s: str) -> list[str]:
-    return re.findall(r"[^\W_]+", s.lower())
+    return _WORD.findall(s.lower())
+
+
+@cache
+def _wanted() -> list[tuple[list[str], Counter, frozenset]]:
+    """Each template's words, their counts and those that may not be missing."""
+    out = []
+    for _, t in TEMPLATES:
+        want = _words(t)
+        out.append((want, Counter(want), frozenset(w for w in want if w not in GENERIC and not w.isdigit()) if len(want) < SHORT else frozenset()))
+    return out
+
+
+def _align(k: int, have: list[str]) -> tuple[float, int, int, set[int]]:
+    """(wording, first, last, places in the template) of a template's words in order; a stray word before or after is left out."""
+    want = _wanted()[k][0]
+    parts = [p for p in SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() if p.size]
+    stray = lambda p, q: q.b - p.b - p.size > q.a - p.a - p.size + 3
+    while len(parts) > 1 and parts[0].size <= 2 and stray(parts[0], parts[1]):
+        del parts[0]
+    while len(parts) > 1 and parts[-1].size <= 2 and stray(parts[-2], parts[-1]):
+        del parts[-1]
+    hit = {i for p in parts for i in range(p.a, p.a + p.size)}
+    return len(hit) / len(want), parts[0].b if parts else 0, parts[-1].b + parts[-1].size if parts else 0, hit
+
+
+def _first(k: int, have: list[str]) -> tuple[int, int, float, set[int]] | None:
+    """(first word, end, wording, places in the template) of a template's first confirmed spot."""
+    want, counts, named = _wanted()[k]
+    need, wide = math.ceil(MIN_WORDING * len(want)), math.ceil(1.5 * len(want))
+    seen: Counter = Counter()
+    low = both = 0
+    for i, w in enumerate(have):
+        if w in counts:
+            both += seen[w] < counts[w]
+            seen[w] += 1
+        if i - low >= wide:
+            gone = have[low]
+            if gone in counts:
+                seen[gone] -= 1
+                both -= seen[gone] < counts[gone]
+            low += 1
+        if both < need or w not in counts:
+            continue
+        best, starts = None, [low, low + _align(k, have[low : i + 1])[1]]
+        for start in starts:
+            for size in (len(want), math.ceil(1.25 * len(want)), wide):
+                wording, x, y, hit = _align(k, have[start : start + size])
+                if wording >= MIN_WORDING and named <= {want[j] for j in hit} and (best is None or (wording, x - y) > (best[2], best[0] - best[1])):
+                    best = start + x, start + y, wording, hit
+            if best and best[0] not in starts:  # the window may have ended inside the notice
+                starts.append(best[0])
+        if best:
+            return best
+    return None
+
+
+def _spots(k: int, have: list[str]) -> Iterator[tuple[int, int, float, set[int]]]:
+    """All confirmed spots of a template, left to right."""
+    low = 0
+    while found := _first(k, have[low:]):
+        x, y, wording, hit = found
+        yield low + x, low + y, wording, hit
+        low += y
+
+
+def find_notices(text: str) -> list[tuple[int, int, int, float, float, str]]:
+    """(start, length, template, saving, wording, words of the template that are missing) of all notices, in order."""
+    plain, withs = _compressors()
+    out = []
+    for low, high in regions(text):
+        at = [(low + m.start(), low + m.end(), m[0].lower()) for m in _WORD.finditer(text[low:high])]
+        have = [w for _, _, w in at]
+        there, found = set(have), []
+        for k, (want, counts, named) in enumerate(_wanted()):
+            if named <= there and sum(c for w, c in counts.items() if w in there) >= MIN_WORDING * len(want):
+                for x, y, wording, hit in _spots(k, have):
+                    data = " ".join(text[at[x][0] : at[y - 1][1]].lower().split()).encode()
+                    saving = 1 - len(withs[k].compress(data)) / len(plain.compress(data))
+                    if saving >= MIN_SAVING:
+                        found.append((wording, len(hit), saving, -k, x, y, " ".join(w for i, w in enumerate(want) if i not in hit)))
+        found.sort(reverse=True)
+        taken: list[tuple] = []
+        for f in found:
+            if any(f[4] < t[5] and t[4] < f[5] for t in taken):
+                continue
+            # a longer wording of the same license around it says more
+            same = [g for g in found if TEMPLATES[-g[3]][0] == TEMPLATES[-f[3]][0] and g[4] <= f[4] and f[5] <= g[5] and not any(g[4] < t[5] and t[4] < g[5] for t in taken)]
+            taken.append(max(same, key=lambda g: (g[1], g)))
+        out += [(at[x][0], at[y - 1][1] - at[x][0], -k, saving, wording, missing) for wording, _, saving, k, x, y, missing in sorted(taken, key=lambda t: t[4])]
+    return out
 
 
 def scan_block(block: str) -> tuple[int, float, float, str] | None:
     """(template, saving, wording, words of the template that are missing) of the best confirmed template."""
-    plain, withs = _compressors()
-    data = " ".join(block.lower().split()).encode()
-    alone = len(plain.compress(data))
-    ranked = sorted(((1 - len(c.compress(data)) / alone, -k) for k, c in enumerate(withs)), reverse=True)
-    have = _words(block)
-    best = None
-    for saving, k in ranked:
-        if saving < MIN_SAVING:
-            break
-        want = _words(TEMPLATES[-k][1])
-        parts = SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks()
-        hit = {i for p in parts for i in range(p.a, p.a + p.size)}
-        wording = len(hit) / len(want)
-        if wording >= MIN_WORDING and (best is None or (wording, saving) > (best[2], best[1])):
-            best = (-k, saving, wording, " ".join(w for i, w in enumerate(want) if i not in hit))
-            if wording == 1:
-                break
-    return best
+    found = [f[2:] for f in find_notices(block)]
+    return max(found, key=lambda f: (f[2], len(_wanted()[f[0]][0]), f[1])) if found else None
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,16 +195,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for d, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True):
             if CUES.search(text):
-                for start, block in blocks(text):
-                    if found := scan_block(block):
-                        k, saving, wording, missing = found
-                        rows.append((d, start, len(block), TEMPLATES[k][0], k, saving, wording, missing))
+                for start, length, k, saving, wording, missing in find_notices(text):
+                    rows.append((d, start, length, TEMPLATES[k][0], k, saving, wording, missing))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string())
         yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """A row per block in which a license is confirmed (doc_id, text; other columns are ignored).
+    """A row per confirmed license notice (doc_id, text; other columns are ignored).
 
     Null, empty and license-free texts give no rows; repeated rows are scanned each. Nothing is shuffled.
     """
