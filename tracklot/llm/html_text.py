@@ -30,6 +30,8 @@ MIN_PAGES = 4
 MIN_IMPORTANCE = 0.2
 #: Weight of content against presentation.
 CONTENT_WEIGHT = 0.9
+#: On a page without a free article, an element with this share of the text is no boilerplate, whatever its name.
+MOST_TEXT = 2 / 3
 #: So many low nodes (8 bytes each) are broadcast; more are joined by page.
 BROADCAST_NODES = 1_000_000
 
@@ -45,16 +47,17 @@ _WORD = re.compile("[a-z]+")
 
 
 @lru_cache(4096)
-def _attributes(raw: str) -> tuple[str, bool, bool]:
-    """An element's label in paths, whether it is boilerplate, whether it is marked as main content."""
+def _attributes(raw: str) -> tuple[str, int, int]:
+    """An element's label in paths, whether it is boilerplate (1 by name, 2 by role), and main content (1 article, 2 main)."""
     found: dict[str, str] = {}
     for m in _ATTR.finditer(raw):
         found.setdefault((m[1] or m[5]).lower(), m[2] or m[3] or m[4] or "")
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     role = found.get("role", "").lower()
     words = set(_WORD.findall(names))
-    drop = bool(words & _DROP_WORDS) or role in _DROP_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    main = role in ("main", "article") or "articlebody" in found.get("itemprop", "").lower()
+    hard = role in _DROP_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+    drop = 2 if hard else int(bool(words & _DROP_WORDS))
+    main = 2 if role == "main" or "articlebody" in found.get("itemprop", "").lower() else int(role == "article")
     label = ".".join(sorted(found.get("class", "").lower().split()))
     if found.get("id") and not any(c.isdigit() for c in found["id"]):  # numbered ids differ from page to page
         label += "#" + found["id"].lower()
@@ -64,13 +67,16 @@ def _attributes(raw: str) -> tuple[str, bool, bool]:
 class Block:
     __slots__ = ("path", "text", "drop", "main", "plain", "children")
 
-    def __init__(self, path: str, text: str, drop: bool, main: bool, plain: bool):
+    def __init__(self, path: str, text: str, drop: bool, main: int, plain: bool):
         self.path, self.text, self.drop, self.main, self.plain = path, text, drop, main, plain
 
 
 def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
     """Text blocks in page order, and each path's child labels (a block element's presentation)."""
-    stack: list[tuple[str, str, bool, bool, bool]] = []  # tag, path, drop, main, plain since main
+    stack: list[tuple[str, str, bool, int, bool, int, int]] = []  # tag, path, drop, main, plain since main, innermost of named, outermost of articles
+    named: list[list] = []  # elements with a boilerplate name: the next one around, characters, whether main content is in it
+    articles: list[list] = []  # articles outside main: the innermost of named, characters
+    spots: list[tuple[int, int]] = []  # each block's innermost of named and its article
     blocks: list[Block] = []
     styles: dict[str, list[str]] = {}
     parts: list[str] = []
@@ -81,8 +87,9 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                _, path, drop, main, plain = stack[-1] if stack else ("", "", False, False, True)
+                _, path, drop, main, plain, name, article = stack[-1] if stack else ("", "", False, 0, True, -1, -1)
                 blocks.append(Block(path, text, drop, main, plain))
+                spots.append((name, article))
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -112,24 +119,67 @@ def parse(page: str) -> tuple[list[Block], dict[str, list[str]]]:
             continue
         if stack and stack[-1][0] == "p" and tag in _CLOSES_P or stack and stack[-1][0] == tag and tag in ("li", "option", "tr", "dt", "dd", "td", "th"):
             stack.pop()
-        label, drop, main = _attributes(raw) if raw.strip() else ("", False, False)
-        _, path, in_drop, in_main, plain = stack[-1] if stack else ("", "", False, False, True)
+        label, drop, main = _attributes(raw) if raw.strip() else ("", 0, 0)
+        _, path, in_drop, in_main, plain, name, article = stack[-1] if stack else ("", "", False, 0, True, -1, -1)
         if tag in ("html", "body"):
-            drop = main = False
+            drop = main = 0
             label = ""
-        main = main or tag in ("article", "main")
-        drop = drop or tag in _DROP_TAGS or (tag == "header" and not in_main)
+        main = 2 if tag == "main" else max(main, int(tag == "article"))
+        by_name = drop == 1
+        drop = drop == 2 or tag in _DROP_TAGS or (tag == "header" and not in_main)
         styles.setdefault(path, []).append(tag + label)
         own = f"{path}/{tag}.{label}" if label else f"{path}/{tag}"
         if not raw.rstrip().endswith("/"):
-            stack.append((tag, own, in_drop or drop, (in_main or main) and not (in_drop or drop), (plain and not label) if in_main else True))
+            drop = in_drop or drop
+            if by_name:
+                named.append([name, 0, False])
+                name = len(named) - 1
+            if main and not in_main and not drop:
+                if main == 1:
+                    articles.append([name, 0])
+                    article = len(articles) - 1
+                for k in _around(named, name) if main == 2 else ():
+                    named[k][2] = True
+            stack.append((tag, own, drop, 0 if drop else max(in_main, main), (plain and not label) if in_main else True, name, article))
     if at < len(page) and not hidden:
         tail = page[at:]
         parts.append(tail[: tail.rfind("<")] if re.search(r"<[a-zA-Z/!][^>]*\Z", tail) else tail)
     flush()
+    if named:
+        _drop_named(blocks, spots, named, articles)
     return blocks, styles
 
 
+def _around(named: list[list], k: int) -> Iterator[int]:
+    """A named element and those around it."""
+    while k >= 0:
+        yield k
+        k = named[k][0]
+
+
+def _drop_named(blocks: list[Block], spots: list[tuple[int, int]], named: list[list], articles: list[list]) -> None:
+    """Names drop what holds neither a main element, nor an article larger than all unnamed text, nor most of the page's text.
+
+    The last counts only where no article or main element stands outside all names: next to a short article, a large
+    element with such a name is still an advertisement.
+    """
+    total = plain = 0
+    free = any(b.main and not b.drop and name < 0 for b, (name, _) in zip(blocks, spots, strict=True))
+    for b, (name, article) in zip(blocks, spots, strict=True):
+        if not b.drop:
+            total += len(b.text)
+            plain += len(b.text) * (name < 0)
+            if article >= 0:
+                articles[article][1] += len(b.text)
+            for k in _around(named, name):
+                named[k][1] += len(b.text)
+    largest = max(articles, key=lambda a: a[1], default=[-1, 0])
+    for k in _around(named, largest[0]) if largest[1] > plain else ():
+        named[k][2] = True
+    for b, (name, _) in zip(blocks, spots, strict=True):
+        b.drop = b.drop or any(not named[k][2] and (free or named[k][1] <= MOST_TEXT * total) for k in _around(named, name))
+
+
 def host_of(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -145,11 +195,16 @@ def node_id(host: str, path: str) -> int:
 def main_text(page: str, is_low) -> str:
     """The page's text without boilerplate; ``is_low`` tells the paths that the site style tree cuts.
 
-    Blocks inside an article or main element are taken if there are any, else all. Plain paragraphs of an article are
+    Blocks inside an article or main element are taken if there are any, else all; articles with less text than what
+    the site style tree leaves outside them are teasers, and then all blocks are taken. Plain paragraphs of an article are
     never cut: copies of one page on a host make its own text look like a template.
     """
     blocks = [b for b in parse(page)[0] if not b.drop]
     inside = [b for b in blocks if b.main]
+    if inside and len(inside) < len(blocks) and not any(b.main == 2 for b in inside):
+        outside = sum(len(b.text) for b in blocks if not b.main and not is_low(b.path))
+        if outside > sum(len(b.text) for b in inside):
+            return " ".join(b.text for b in blocks if not is_low(b.path))
     return " ".join(b.text for b in (inside or blocks) if (b.main and b.plain) or not is_low(b.path))
 
 
