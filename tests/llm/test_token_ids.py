@@ -5,22 +5,39 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from tracklot.llm.common import scratch_path
 from tracklot.llm.token_ids import BLOCK_IDS, decode_ids, describe_token_ids, encode_ids, op1_token_ids, pack, read_token_ids, unpack, write_token_ids
-from tracklot.llm.tokens import BYTE_BPE, WORD_BPE, encoder
+from tracklot.llm.tokens import BYTE_BPE, WORD_BPE, PieceEncoder, encoder
 
 ODD = ["", " ", "a  b", "x\n\ny", " lead", "tail ", "it's 1,234  \t\n don't x ñ<|endoftext|> y", "<|endoftext|>", "a\x1cb c", "é ́ İ ΑΣ ς's", "a b c", "👩‍👩‍👧 日本語 text"]
+PARTS = ["a", "It's", "WORD", "x'LL", "\n", "\n\n", " ", "  ", "1", "42,", "é", "Ñandú", "Ж", "ß", "µ", "İ", "ſ", "<|endoftext|>", "<|startoftext|>", "<|", "?'s", "'", "''re", "...", "\t", "\u00a0", "\u0301", "ʼn", "½", "日本", "\x00"]
+MADE: dict = {}
 
 
+@pytest.mark.parametrize("special", [True, False])
 @pytest.mark.parametrize("file", [BYTE_BPE, WORD_BPE])
-@given(st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=40)), max_size=6))
-@settings(max_examples=60, deadline=None)
-def test_equal_to_the_library(file, texts):
-    ids, counts = encoder(file).encode(texts)
-    want = [encoder(file).tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-    assert counts.tolist() == [len(w) for w in want] and ids.tolist() == [x for w in want for x in w]
+@given(st.lists(st.one_of(st.sampled_from(ODD), st.text(max_size=40), st.lists(st.sampled_from(PARTS), max_size=12).map("".join)), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_equal_to_the_library(file, special, texts):
+    path = public_tokenizers.path(file)
+    if (key := (path, special)) not in MADE:
+        MADE[key] = PieceEncoder(path, special), Tokenizer.from_file(path)
+        MADE[key][1].encode_special_tokens = not special
+    own, library = MADE[key]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_special_tokens_as_the_library_has_them_by_default():
+    assert np.frombuffer(encoder(BYTE_BPE).encode(["a<|endoftext|>b"])[0], "<u4").tolist() == [64, 50256, 65]
+    assert 49407 in np.frombuffer(encoder(WORD_BPE).encode(["a <|endoftext|> b"])[0], "<u4").tolist()
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?")).save(path := str(tmp_path / "own.json"))
+    own = PieceEncoder(path)
+    assert own.kind == "other" and [list(x) for x in own.encode(["b", "c"])] == [[1, 0, 0, 0], [2, 0, 0, 0]]
 
 
 @given(st.lists(st.integers(0, 2**60 - 1).flatmap(lambda x: st.sampled_from([0, 1, x % 8, x % 50_000, x])), max_size=700))

@@ -101,19 +101,18 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 def _pieces(batches: Iterator[pa.RecordBatch], file: str, folder: str | None, end_id: int, capacity: int) -> Iterator[pa.RecordBatch]:
     part, enc = TaskContext.get().partitionId(), encoder(file, folder)
-    seen = np.zeros(capacity + 1, np.int64)
+    seen, end = np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         doc_ids, texts = batch.column("doc_id").to_pylist(), strings(batch.column("text"))
         for low, high in text_batches(texts):
-            ids, counts = enc.encode(texts[low:high])
-            ends = np.cumsum(counts)
             rows: list[tuple] = []
-            for k, d in enumerate(doc_ids[low:high]):
-                own = np.append(ids[ends[k] - counts[k] : ends[k]], np.uint32(end_id)).astype("<u4")
-                for piece, at in enumerate(range(0, len(own), capacity)):
-                    cut = own[at : at + capacity]
-                    rows.append((d, piece, at, len(cut), zlib.crc32(cut.tobytes()), part, int(seen[len(cut)])))
-                    seen[len(cut)] += 1
+            for d, ids in zip(doc_ids[low:high], enc.encode(texts[low:high]), strict=True):
+                own = ids + end
+                for piece, at in enumerate(range(0, len(own), 4 * capacity)):
+                    cut = own[at : at + 4 * capacity]
+                    n = len(cut) // 4
+                    rows.append((d, piece, at // 4, n, zlib.crc32(cut), part, int(seen[n])))
+                    seen[n] += 1
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "place")
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))

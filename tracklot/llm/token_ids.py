@@ -112,24 +112,23 @@ def _encode(batches: Iterator[pa.RecordBatch], file: str, folder: str | None, en
     shard, start = TaskContext.get().partitionId(), 0
     enc = encoder(file, folder)
     schema = pa.schema([("shard", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("block_words", pa.list_(pa.int32())), ("escape_at", pa.list_(pa.int32())), ("escape_values", pa.list_(pa.int64()))])
-    held: list[tuple[int | None, np.ndarray]] = []
+    end = np.array([end_id], "<u4").tobytes()
+    held: list[tuple[int | None, bytes]] = []
     size = 0
 
     def row() -> pa.RecordBatch:
         nonlocal held, size, start
-        words, first, at, values = encode_ids(np.concatenate([x for _, x in held]))
-        out = pa.RecordBatch.from_pylist([{"shard": shard, "start": start, "doc_ids": [d for d, _ in held], "sizes": [len(x) for _, x in held], "words": words.astype("<u8").tobytes(), "block_words": first, "escape_at": at, "escape_values": values}], schema=schema)
+        words, first, at, values = encode_ids(np.frombuffer(b"".join([x for _, x in held]), "<u4"))
+        out = pa.RecordBatch.from_pylist([{"shard": shard, "start": start, "doc_ids": [d for d, _ in held], "sizes": [len(x) // 4 for _, x in held], "words": words.astype("<u8").tobytes(), "block_words": first, "escape_at": at, "escape_values": values}], schema=schema)
         start, held, size = start + size, [], 0
         return out
 
     for batch in batches:
         doc_ids, texts = batch.column("doc_id").to_pylist(), strings(batch.column("text"))
         for low, high in text_batches(texts):
-            ids, counts = enc.encode(texts[low:high])
-            ends = np.cumsum(counts)
-            for k, d in enumerate(doc_ids[low:high]):
-                held.append((d, np.append(ids[ends[k] - counts[k] : ends[k]], np.uint32(end_id))))
-                size += int(counts[k]) + 1
+            for d, ids in zip(doc_ids[low:high], enc.encode(texts[low:high]), strict=True):
+                held.append((d, ids + end))
+                size += len(held[-1][1]) // 4
                 if size >= ROW_IDS:
                     yield row()
     if held:

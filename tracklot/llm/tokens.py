@@ -1,134 +1,176 @@
-"""Token ids through public tokenizers, memoised by white-space piece.
+"""Token ids through public tokenizers, remembered word by word.
 
-Most of a corpus is repeats of the same words. Both vocabularies split text at white space before their merges
-run, so a word's ids do not depend on its neighbours; each process encodes a word once with the tokenizers
-library and looks it up afterwards. Texts whose white space is irregular go through the library whole.
+Most of a corpus is repeats of the same words. Both vocabularies split text at white space before their merges run, so a
+word's ids do not depend on its neighbours: a process gets a word's ids from the tokenizers library once and looks them
+up afterwards. Words of common letters, digits and ASCII marks are split as the vocabulary's own pattern does and go
+straight to the library's model; any other word, and a text whose white space or special tokens reach over words, goes
+through the whole library. Ids are kept as bytes (little-endian, 32 bits), so a text's ids are a join of its words'.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
+from collections.abc import Iterator
+from functools import cache
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Words that one process remembers; beyond it the memory is emptied and fills anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
+#: Letters whose class and lower case are the same in every version of Unicode, and that no normal form changes.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-įĴ-ľŁ-ňŊ-žЀ-ҁ"
+_PLAIN = re.compile(f" ?[!-~{_LETTERS}]+")
+#: What some engine takes for white space.
 _ODD = re.compile("[\\s\x1c-\x1f\x85\u180e\u200b\ufeff]")
-_SPACES = re.compile("[\x20\x09-\x0d]+")
-_SEPARATOR = "<|endoftext|>"
+_TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: The pieces of a word as the vocabularies' own patterns make them.
+_BYTE_PIECES = re.compile(f"{_TAILS}| ?[{_LETTERS}]+| ?[0-9]+| ?[^ 0-9{_LETTERS}]+")
+_WORD_PIECES = re.compile(f"{_TAILS}|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
+#: How vocabulary files describe those patterns (fixed values).
+_BYTE_CUT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_WORD_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_NORMS = ["NFC", "Replace", "Lowercase"]
+
+
+class _Reaches(Exception):  # noqa: N818
+    """A word's ids may depend on its neighbours."""
+
+
+@cache
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is visible, else from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+_SPACE = _byte_letters()[32]
+
+
+class _Words(dict):
+    """Ids by word, learned when first asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word):
+        ids = self[word] = self.learn(word)
+        return ids
 
 
 class PieceEncoder:
-    """Encodes batches of texts; equal to the library's ids for every text."""
+    """Encodes texts; equal to the library's ids for every text.
 
-    def __init__(self, path: str):
+    With ``special`` (the library's default) a special token's string in a text is that token; without, ordinary text.
+    A file with another pre-tokenizer than the two known ones works too: all its texts go through the library.
+    """
+
+    def __init__(self, path: str, special: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.splitter = Tokenizer.from_file(path)
-        self.keeps_space = bool(self._plain(["a b"])[0] != self._plain(["a", "b"])[0] + self._plain(["b"])[0])
-        self.separator = self.splitter.token_to_id(_SEPARATOR)
+        self.tokenizer.encode_special_tokens = not special
+        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
+        self.marks = [t["content"] for t in parts["added_tokens"]]
+        before, norm = parts.get("pre_tokenizer") or {}, parts.get("normalizer") or {}
+        cuts = [p.get("pattern", {}).get("Regex") for p in before.get("pretokenizers", [])]
+        plain = not parts["model"].get("dropout") and not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or not t["content"].startswith("<|") for t in parts["added_tokens"])
+        self.kind = "byte" if plain and before == _BYTE_CUT and not norm else "word" if plain and cuts == [_WORD_CUT, None] and [n["type"] for n in norm.get("normalizers", [])] == _WORD_NORMS else "other"
         self._clear()
 
-    def _plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
     def _clear(self) -> None:
-        self.head: dict[str, int] = {}
-        self.rest: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = array("q"), array("q"), array("I")
-        self.newline = self._add(np.array(self._plain(["\n"])[0], np.uint32)) if self.keeps_space else -1
-
-    def _add(self, ids: np.ndarray) -> int:
-        self.starts.append(len(self.flat))
-        self.sizes.append(len(ids))
-        self.flat.frombytes(np.ascontiguousarray(ids, np.uint32).tobytes())
-        return len(self.starts) - 1
-
-    def _learn(self, words: set[str], known: dict[str, int], lead: str) -> None:
-        odd = [w for w in words if not w or "<|" in w or _ODD.search(w)]
-        plain = list(words.difference(odd))
-        if plain and self.separator is not None:
-            ids = np.array(self.splitter.encode_batch_fast([_SEPARATOR.join(lead + w for w in plain)], add_special_tokens=False)[0].ids, np.uint32)
-            cut = np.flatnonzero(ids == self.separator)
-            lo, hi = np.append(0, cut + 1), np.append(cut, len(ids))
-            base, first = len(self.flat), len(self.starts)
-            size = hi - lo
-            kept = np.ones(len(ids), bool)
-            kept[cut] = False
-            self.flat.frombytes(ids[kept].tobytes())
-            self.starts.frombytes((base + np.cumsum(size) - size).astype(np.int64).tobytes())
-            self.sizes.frombytes(size.astype(np.int64).tobytes())
-            known.update(zip(plain, range(first, first + len(plain)), strict=True))
-        for w in odd:  # with spaces kept, a text that holds one of these is encoded whole
-            known[w] = -1 if self.keeps_space and (not w or _ODD.search(w)) else self._add(np.array(self._plain([lead + w])[0], np.uint32))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the batch in one array, and each text's number of ids."""
-        if len(self.starts) > CACHE_WORDS:
+        self.rest, self.head, self.breaks = _Words(self._rest), _Words(self._head), _Words(lambda n: self._whole("\n" * n))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, piece: str) -> bytes:
+        """Ids of one piece of the pattern, from the library's model."""
+        letters = piece.replace(" ", _SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(_byte_letters())
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _learn(self, lead: str, word: str) -> bytes:
+        """Ids of a word of a byte vocabulary and the space before it, if any."""
+        if word.isascii() and word.isalpha():  # most words
+            return self._merged(lead + word)
+        if not word or "<|" in word or _ODD.search(word):
+            raise _Reaches(word)
+        if not _PLAIN.fullmatch(word):
+            return self._whole(lead + word)
+        pieces = _BYTE_PIECES.findall(lead + word)
+        return self._merged(lead + word) if len(pieces) == 1 else b"".join([self.rest[p[1:]] if p[0] == " " else self.head[p] for p in pieces])
+
+    def _rest(self, word: str) -> bytes:
+        return self._learn(" ", word)
+
+    def _head(self, word: str | bytes) -> bytes:
+        if self.kind == "byte":
+            return self._learn("", word)
+        if word.isalpha():  # bytes: ASCII letters only
+            return self._merged(word.decode().lower())
+        word = word.decode()
+        if "<|" in word or not _PLAIN.fullmatch(word):
+            return self._whole(word)
+        pieces = _WORD_PIECES.findall(word.lower())
+        return self._merged(pieces[0]) if len(pieces) == 1 else b"".join([self.head[p.encode()] for p in pieces])
+
+    def _lines(self, text: str) -> bytes:
+        """Ids of a text for a byte vocabulary: of a run of line ends all but the last are one piece, as at the text's end."""
+        out: list[bytes] = []
+        rest, run = self.rest.__getitem__, 0
+        for i, line in enumerate(text.split("\n")):
+            run += i > 0
+            if line:
+                if run:
+                    out += (self.breaks[run - 1], self.breaks[1])
+                    run = 0
+                words = line.split(" ")
+                out.append(self.head[words[0]])
+                del words[0]
+                out.extend(map(rest, words))
+        out.append(self.breaks[run])
+        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as bytes, four each."""
+        if len(self.rest) + len(self.head) > CACHE_WORDS:
             self._clear()
-        known = self.rest.get
-        pieces: list[int | None] = []
-        words: list[str] = []  # beside pieces, to name those that are not known yet
-        counts, whole = np.zeros(len(texts), np.int64), {}
-        if self.keeps_space:
-            lines_of = [[line.split(" ") for line in t.split("\n")] if t else [] for t in texts]
-            self._learn({line[0] for lines in lines_of for line in lines}.difference(self.head), self.head, "")
-            for k, lines in enumerate(lines_of):
-                began = len(pieces)
-                for i, line in enumerate(lines):
-                    first = self.head[line[0]]
-                    pieces += [self.newline, first] if i else [first]
-                    words += ["", ""] if i else [""]
-                    del line[0]
-                    pieces.extend(map(known, line))
-                    words += line
-                counts[k] = len(pieces) - began
-        else:
-            for k, t in enumerate(texts):
-                own = [w for w in _SPACES.split(t) if w]
-                pieces.extend(map(known, own))
-                words += own
-                counts[k] = len(own)
-        unknown = [i for i, p in enumerate(pieces) if p is None]
-        if unknown:
-            self._learn({words[i] for i in unknown}, self.rest, " " if self.keeps_space else "")
-            for i in unknown:
-                pieces[i] = self.rest[words[i]]
-        starts, sizes, flat = (np.frombuffer(x, kind) if len(x) else np.zeros(0, kind) for x, kind in ((self.starts, np.int64), (self.sizes, np.int64), (self.flat, np.uint32)))
-        at = np.array(pieces, np.int64)
-        if len(odd := np.flatnonzero(at < 0)):
-            for k in np.unique(np.searchsorted(np.cumsum(counts), odd, "right")).tolist():
-                whole[k] = np.array(self._plain([texts[k]])[0], np.uint32)
-            at[odd] = 0
-        length = sizes[at] if len(at) else at
-        ends = np.cumsum(length)
-        ids = flat[np.repeat(starts[at] - (ends - length), length) + np.arange(ends[-1])] if len(at) else np.zeros(0, np.uint32)
-        bounds = np.append(0, ends)[np.append(0, np.cumsum(counts))]
-        sizes_of = np.diff(bounds)
-        if whole:
-            parts = [whole.get(k, ids[bounds[k] : bounds[k + 1]]) for k in range(len(texts))]
-            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-        return ids, sizes_of
+        if self.kind == "other":
+            return [self._whole(t) for t in texts]
+        if self.kind == "word":
+            return [b"".join(map(self.head.__getitem__, t.encode().split())) for t in texts]
+        out = []
+        for t in texts:
+            try:
+                out.append(self._lines(t))
+            except _Reaches:
+                out.append(self._whole(t))
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def encoder(file: str, folder: str | None = None) -> PieceEncoder:
-    """This process's encoder for a vocabulary file; ``folder`` replaces the installed files' place."""
+    """This process's encoder for a vocabulary file; ``folder`` replaces the installed files' place.
+
+    A process keeps the memory of one vocabulary only: tasks of another job find it with theirs.
+    """
     path = f"{folder}/{file}" if folder else public_tokenizers.path(file)
+    for other in [p for p in _ENCODERS if p != path]:
+        del _ENCODERS[other]
     if path not in _ENCODERS:
         _ENCODERS[path] = PieceEncoder(path)
     return _ENCODERS[path]
 
 
-def text_batches(texts: list[str], chars: int = 4_000_000):
-    """Index ranges of about ``chars`` characters, so one batch's arrays stay small whatever the texts' lengths."""
+def text_batches(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Index ranges of about ``chars`` characters, so one batch's ids stay small whatever the texts' lengths."""
     began, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
