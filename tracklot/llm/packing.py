@@ -1,10 +1,11 @@
 """Packing tokenised documents into sequences of at most ``capacity`` tokens by exact-complement hashing.
 
 Only lengths matter to the plan, and there are at most ``capacity`` of them, so Spark counts pieces by length and the
-plan is made on those counts: full pieces first, then pairs and triples of lengths that sum to the capacity, found in
-an index of length sums and consumed as often as the counts allow, then best fit for what is left. Every step of the
-plan moves a run of equal pieces at once, so the plan's size depends on the number of different lengths and not on
-the number of pieces. Pieces then take their places by their rank among the pieces of their length.
+plan is made on those counts. An index holds the sums of one, two and three available lengths. From the longest piece
+down, combinations that fill a piece's gap exactly are consumed as often as the counts allow; what is left goes by best
+fit, and each gap that this opens is looked up in the index first. Every step of the plan moves a run of equal pieces at
+once, so the plan's size depends on the number of different lengths and not on the number of pieces. Pieces then take
+their places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
@@ -25,10 +26,66 @@ from tracklot.llm.tokens import WORD_BPE, encoder, text_batches
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, place long"
 
 
+class SumIndex:
+    """Which totals one, two or three of the available lengths add up to, and the lengths that do.
+
+    Pair and triple sums are bit sets, bit ``s`` for sum ``s``. Counts only fall, so a set may hold sums that are used up
+    by now, never lack one; a search that such a sum sends off in vain builds the sets again.
+    """
+
+    def __init__(self, counts: dict[int, int]):
+        self.left = {n: c for n, c in sorted(counts.items(), reverse=True) if c > 0}
+        self._build()
+
+    def _build(self) -> None:
+        self.alive = [n for n, c in self.left.items() if c]
+        self.most = max(self.alive, default=0)
+        ones = sum(1 << n for n in self.alive)
+        self.pairs = self.triples = 0
+        for n in self.alive:
+            self.pairs |= ones << n
+        for n in self.alive:
+            self.triples |= self.pairs << n
+
+    def allows(self, lengths: tuple[int, ...]) -> int:
+        """How often the lengths can be taken together."""
+        return min(self.left.get(n, 0) // lengths.count(n) for n in set(lengths))
+
+    def _pair(self, total: int, limit: int, beside: tuple[int, ...]) -> tuple[int, ...] | None:
+        for a in self.alive:
+            if 2 * a < total:
+                return None
+            if a <= limit and a < total and self.left[a] and self.left.get(total - a) and self.allows((*beside, a, total - a)):
+                return a, total - a
+        return None
+
+    def exact(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """One, two or three lengths, longest first, that fill a gap of ``total`` and can be taken together with ``beside``."""
+        if self.left.get(total) and self.allows((*beside, total)):
+            return (total,)
+        for _ in range(2):
+            stale = False
+            if self.pairs >> total & 1:
+                if found := self._pair(total, total, beside):
+                    return found
+                stale = True
+            if self.triples >> total & 1:
+                for a in self.alive:
+                    if 3 * a < total:
+                        break
+                    if a < total and self.left[a] and self.pairs >> (total - a) & 1 and (rest := self._pair(total - a, a, (*beside, a))):
+                        return a, *rest
+                stale = True
+            if not stale or all(self.left[n] for n in self.alive):
+                return None
+            self._build()
+        return None
+
+
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Rows (length, first rank, number, first sequence, offset): piece ``first rank + i`` goes to sequence ``first sequence + i``."""
-    left = {n: c for n, c in sorted(counts.items(), reverse=True) if c > 0}
-    used = dict.fromkeys(left, 0)
+    index = SumIndex(counts)
+    left, used = index.left, dict.fromkeys(index.left, 0)
     plan: list[tuple[int, int, int, int, int]] = []
     opened = 0
 
@@ -37,35 +94,31 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
         used[n] += k
         left[n] -= k
 
-    def fill(lengths: tuple[int, ...], k: int) -> None:
-        nonlocal opened
-        offset = 0
+    def fill(lengths: tuple[int, ...], k: int, sequence: int, offset: int) -> None:
         for n in lengths:
-            take(n, k, opened, offset)
+            take(n, k, sequence, offset)
             offset += n
-        opened += k
-
-    def allows(lengths: tuple[int, ...]) -> int:
-        return min(left.get(n, 0) // lengths.count(n) for n in set(lengths))
 
     if left.get(capacity):
-        fill((capacity,), left[capacity])
-    for n in list(left):  # pairs
-        if left[n] and (k := allows((n, capacity - n))):
-            fill((n, capacity - n), k)
-    for n in list(left):  # triples: a long one with two shorter ones that fill its gap
-        for m in left:
-            rest = capacity - n - m
-            if not left[n] or rest > m:
-                break
-            if 0 < rest and m <= n and left[m] and left.get(rest) and (k := allows((n, m, rest))):
-                fill((n, m, rest), k)
+        k = left[capacity]
+        fill((capacity,), k, opened, 0)
+        opened += k
+    for n in list(left):  # whole sequences: a piece and what fills its gap exactly
+        while left[n] and (others := index.exact(capacity - n, (n,))):
+            k = index.allows((n, *others))
+            fill((n, *others), k, opened, 0)
+            opened += k
 
     gaps: dict[int, list[tuple[int, int]]] = {}  # room left -> runs of sequences (first, number)
     rooms: list[int] = []
 
     def keep(room: int, first: int, k: int) -> None:
-        if room:
+        """Fill the gaps of a run of sequences exactly as far as lengths allow; the rest waits for a best fit."""
+        while room and k and (lengths := index.exact(room)):
+            number = min(k, index.allows(lengths))
+            fill(lengths, number, first, capacity - room)
+            first, k = first + number, k - number
+        if room and k:
             if room not in gaps:
                 insort(rooms, room)
             gaps.setdefault(room, []).append((first, k))
@@ -80,22 +133,27 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
                     del gaps[room], rooms[i]
                 k = min(number, left[n])
                 take(n, k, first, capacity - room)
-                keep(room - n, first, k)
                 if number > k:
-                    keep(room, first + k, number - k)
+                    gaps.setdefault(room, []).append((first + k, number - k))
+                    if len(gaps[room]) == 1:
+                        insort(rooms, room)
+                keep(room - n, first, k)
             else:
                 each = capacity // n
                 k = -(-left[n] // each)
                 first, opened = opened, opened + k
+                waiting, layers = [], 0
                 for j in range(each):
                     full = min(k, left[n])
                     if not full:
                         break
                     take(n, full, first, j * n)
+                    layers = j + 1
                     if full < k:  # the last layer ends inside the run
-                        keep(capacity - j * n, first + full, k - full)
+                        waiting.append((capacity - j * n, first + full, k - full))
                         k = full
-                keep(capacity - (j + (full > 0)) * n, first, k)
+                for gap in [*waiting, (capacity - layers * n, first, k)]:
+                    keep(*gap)
     return plan
 
 
