@@ -6,7 +6,7 @@ import numpy as np
 
 from tracklot.llm import near_dups
 from tracklot.llm.components import connected_components
-from tracklot.llm.near_dups import MAX_DISTANCE, SLOTS, drop_near_duplicates, index_keys, near_duplicates, op4_near_duplicates
+from tracklot.llm.near_dups import MAX_DISTANCE, SLOTS, drop_near_duplicates, index_keys, linked, near_duplicates, op4_near_duplicates, signature
 
 
 def shingles(text):
@@ -102,3 +102,33 @@ def test_sql_gives_the_same_rows(spark, sf):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     rows = con.sql(oracle_sql()["op4_near_duplicates"]).fetchall()
     assert {r[0]: tuple(r[1:]) for r in rows} == got(op4_near_duplicates(spark, sf))
+
+
+def test_repeated_ids_with_other_texts_lose_no_link(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (5, b + " more"), (6, a + " more")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        assert sorted(tuple(r)[:1] + tuple(r)[2:] for r in near_duplicates(docs).collect()) == [(1, 1, True), (1, 1, True), (5, 1, False), (6, 1, False)]
+        assert sorted(r.text for r in drop_near_duplicates(docs).collect()) == [a, b]
+
+
+def test_null_ids_are_linked_and_one_text_stays(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, a, 1), (None, a, 1), (9, a, 1), (None, a + " more", 1), (None, b, 1), (None, b + " more", 1), (None, "", 1), (None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id int")
+    assert sorted((str(r.component_id), r.kept) for r in near_duplicates(docs).collect()) == [("7", False)] * 3 + [("7", True)] + [("None", False)] + [("None", True)] * 3
+    left = drop_near_duplicates(docs).collect()
+    assert [r.doc_id for r in left if (r.text or "").startswith("a")] == [7] and sum((r.text or "").startswith("b") for r in left) == 1 and len(left) == 4
+
+
+def test_links_just_at_the_limit_are_found():
+    # 240 shingles each, 206 shared: 100 * 206 >= 75 * 274 holds, 205 would not
+    rng, missed = np.random.default_rng(11), 0
+    for _ in range(3000):
+        x = rng.integers(0, 2**63, 275).astype(np.uint64)
+        one, two = np.sort(x[:240]), np.sort(np.append(x[:206], x[240:274]))
+        assert linked(one, two) and not linked(one, np.sort(np.append(x[:205], x[240:])))
+        missed += not np.intersect1d(*index_keys(np.stack([signature(one), signature(two)]))).size
+    assert missed <= 2

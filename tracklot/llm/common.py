@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, notebooks).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+#: Shuffle files of a job go when it ends (Spark's own setting); its result is a table by then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver share."""
+    """The folder that every executor and the driver share. Only a local session, as in tests, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"file://{LOCAL_CHECKPOINTS}").rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -28,8 +35,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +76,29 @@ def with_order_bucket(df: DataFrame, key: str, rows_per_bucket: int) -> DataFram
     return df.withColumn("bucket", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.floor((F.col(key) - low) / width)).cast("long"))
 
 
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, end, texts) of a batch, about ``most`` bytes at a time, null as empty: a batch is never all Python strings at once."""
+    texts = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, most + (ends[low - 1] if low else 0), "right")))
+        yield low, high, strings(texts.slice(low, high - low))
+        low = high
+
+
+_KEPT: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable[[], object]):
+    """What this process keeps between tasks for an owner. Other owners' memory goes first: a worker holds one at a time."""
+    for other in [k for k in _KEPT if k != owner]:
+        del _KEPT[other]
+    if owner not in _KEPT:
+        _KEPT[owner] = make()
+    return _KEPT[owner]
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return [x or "" for x in column.to_pylist()]

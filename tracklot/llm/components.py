@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklot.llm.common import materialize
+from tracklot.llm.common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         met = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("met"))
         jump = labels.select(F.col("node").alias("met"), F.col("component").alias("further"))
         new = materialize(met.join(jump, "met", "left").select("node", "old", F.least("met", "further").alias("component")), "labels")
+        discard(labels)
         labels = new.select("node", "component")
+        labels.scratch = new.scratch
         if new.where("old <> component").isEmpty():
+            discard(both)
             return labels

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklot.llm.common import materialize, strings, table
+from tracklot.llm.common import discard, materialize, table, text_slices
 from tracklot.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 75
@@ -82,16 +82,22 @@ def index_keys(signatures: np.ndarray) -> np.ndarray:
     return keys.reshape(len(signatures), -1)
 
 
+def _set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a set, as two signed numbers."""
+    return tuple(int(_mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in (s ^ np.uint64(0x5851F42D4C957F2D), s + np.uint64(0x14057B7EF767814F)))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, lo, hi, sigs = [], [], [], []
-        for t in strings(batch.column("text")):
-            s = shingle_set(t)
-            n.append(len(s))
-            lo.append(int(_mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
-            hi.append(int(_mix(s + np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64).astype(np.int64)))
-            sigs.append(signature(s).tobytes() if len(s) else None)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "lo", "hi", "sig"])
+        for low, high, texts in text_slices(batch):
+            n, keys, sigs = [], [], []
+            for t in texts:
+                s = shingle_set(t)
+                n.append(len(s))
+                keys.append(_set_key(s))
+                sigs.append(signature(s).tobytes() if len(s) else None)
+            own = [batch.column(c).slice(low, high - low) for c in ("doc_id", "text_hash")]
+            yield pa.record_batch([*own, pa.array(n, pa.int64()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (0, 1)), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "lo", "hi", "sig"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +111,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(t) for t in strings(batch.column("text"))]
-        yield pa.record_batch([batch.column("doc_id"), pa.array([signature(s).tobytes() if len(s) else b"" for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "sig", "shingles"])
+        for low, high, texts in text_slices(batch):
+            rep, lo, hi = (batch.column(c).slice(low, high - low).to_pylist() for c in ("rep", "lo", "hi"))
+            sets = [shingle_set(t) for t in texts]
+            own = [i for i, s in enumerate(sets) if _set_key(s) == (lo[i], hi[i])]
+            yield pa.record_batch([pa.array([rep[i] for i in own], pa.int64()), pa.array([sets[i].tobytes() for i in own], pa.binary())], names=["rep", "shingles"])
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -116,12 +125,10 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("a", "b", "sig_a", "sig_b", "set_a", "set_b")]
-        kept = []
-        for a, b, sig_a, sig_b, set_a, set_b in zip(*columns, strict=True):
-            if (np.frombuffer(sig_a, np.uint16) != np.frombuffer(sig_b, np.uint16)).sum() <= MAX_DISTANCE and linked(np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)):
-                kept.append((a, b))
-        yield pa.record_batch([pa.array([k[i] for k in kept], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        for low in range(0, batch.num_rows, 256):
+            a, b, one, two = (batch.column(c).slice(low, 256).to_pylist() for c in ("a", "b", "set_a", "set_b"))
+            hit = [i for i in range(len(a)) if linked(np.frombuffer(one[i], np.uint64), np.frombuffer(two[i], np.uint64))]
+            yield pa.record_batch([pa.array([x[i] for i in hit], pa.int64()) for x in (a, b)], names=["a", "b"])
 
 
 def _search_block(group: pd.DataFrame) -> pd.DataFrame:
@@ -148,37 +155,34 @@ def _search_block(group: pd.DataFrame) -> pd.DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked, confirmed on full sets."""
-    one = sets.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("shingles").alias("set_a"))
-    two = sets.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("shingles").alias("set_b"))
+    one = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
+    two = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
     return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(_verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text; other columns are ignored).
-
-    A null or empty text, or one without words, has no shingles and is linked with nothing. Rows of equal text are
-    linked; rows that repeat a doc_id share its component where it is the smallest. A null doc_id takes part through
-    other rows of its text only and is never a component's id.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialize(rows.mapInArrow(_sign, "doc_id long, n_shingles long, lo long, hi long, sig binary"), "signed")
+def _groups(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with each row's ``text_hash``."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
+    signed = materialize(rows.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, lo long, hi long, sig binary"), "signed")
     key = ["lo", "hi", "n_shingles"]
-    classes = materialize(signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    # a class is one set; its number means nothing but stays as it is, being written
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = signed.where("n_shingles > 0").groupBy(*key).agg(head.alias("head"), F.first("sig").alias("sig"))
+    classes = materialize(classes.select(*key, F.col("head.doc_id").alias("head_id"), F.col("head.text_hash").alias("head_hash"), "sig", F.monotonically_increasing_id().alias("rep")), "classes")
     keys = classes.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
     heads = keys.groupBy("key").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1")
     buckets = materialize(keys.join(heads, "key"), "buckets")
 
     nearest = buckets.where("rep <> head").groupBy("rep", "head").agg(F.count("*").alias("shared")).groupBy("rep").agg(F.max(F.struct("shared", (-F.col("head")).alias("head"))).alias("best"))
     tried = materialize(nearest.select(F.col("rep").alias("a"), (-F.col("best.head")).alias("b")), "tried")
-    found = buckets.select("rep").distinct()
-    # the class's smallest doc_id stands for its text; a repeated doc_id may bring a second text, which is another class
-    texts = rows.join(found.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_sets, "rep long, sig binary, shingles binary")
-    sets = materialize(texts.dropDuplicates(["rep"]), "sets")
+    found = classes.join(buckets.select("rep").distinct(), "rep").select("rep", "lo", "hi", "head_id", "head_hash")
+    texts = rows.join(found, F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("text_hash") == F.col("head_hash"))).select("rep", "lo", "hi", "text").mapInArrow(_sets, "rep long, shingles binary")
+    sets = materialize(texts.dropDuplicates(["rep"]), "sets")  # equal rows give their set more than once
     links = materialize(_links(tried, sets), "links")
     labels = connected_components(links)
 
     # buckets that hold more than one component so far
-    sizes = classes.groupBy("rep").agg(F.max("n_shingles").alias("size"))
+    sizes = classes.select("rep", F.col("n_shingles").alias("size"))
     placed = buckets.join(labels.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("members"))
     largest = per.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("members", (-F.col("comp")).alias("comp"))).alias("most"))
@@ -189,7 +193,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     fits = (F.col("size") * 100 >= F.col("size_b") * PERCENT) & (F.col("size_b") * 100 >= F.col("size") * PERCENT)
     pairs = small.join(other, "key").where((F.col("rep") > F.col("rep_b")) & (F.col("comp") != F.col("comp_b")) & fits)
     pairs = pairs.select(F.col("rep").alias("a"), F.col("rep_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    late = _links(pairs, sets)
+    late = materialize(_links(pairs, sets), "late")
 
     queries = mixed.where((F.col("n") > SMALL_BUCKET) & (F.col("comp") != F.col("base"))).select("base", "rep", "comp").distinct()
     queries = materialize(queries, "queries")
@@ -200,19 +204,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spot = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n))
     ask = queries.join(counts, "base").select("base", "rep", "comp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), spot("turns", 1).alias("turn"), F.lit(True).alias("asks"))
     give = stock.join(counts, "base").select("base", "rep", "comp", spot("blocks", 2).alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(False).alias("asks"))
-    searched = ask.union(give).join(sets.select("rep", "shingles"), "rep").groupBy("base", "block", "turn").applyInPandas(_search_block, "a long, b long")
+    searched = ask.union(give).join(sets, "rep").groupBy("base", "block", "turn").applyInPandas(_search_block, "a long, b long")
 
-    final = connected_components(links.union(late).union(searched)).select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
-    named = classes.join(final, "rep", "left").select(*key, F.coalesce("component_id", "rep").alias("component_id"))
+    final = connected_components(links.union(late).union(searched)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    discard(buckets, tried, sets, links, labels, mixed, late, queries, stock)
+    named = classes.join(final, "rep", "left").select(*key, F.col("head_id"), F.coalesce("comp", "rep").alias("comp"))
+    firsts = named.groupBy("comp").agg(F.min("head_id").alias("component_id"), F.min(F.struct(*key)).alias("first"))
+    named = named.join(firsts, "comp").select(*key, "component_id", F.struct(*key).eqNullSafe(F.col("first")).alias("is_first"))
     out = signed.drop("sig").join(named, key, "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.col("component_id").isNull()).alias("kept"))
+    kept = F.when(F.col("component_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("component_id"))).otherwise(F.coalesce("is_first", F.lit(True)))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text; other columns are ignored).
+
+    A null or empty text, or one without words, has no shingles, is linked with nothing and kept. Texts of equal sets are
+    one class; a doc_id that repeats with two texts stands in two classes, which are linked only if their texts are. A null
+    doc_id is linked like any other but is never a component's id; in a component without any other, the id is null and
+    the rows of one text are kept. An empty table gives no rows.
+    """
+    return _groups(docs).drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id, with every row that has this id."""
-    gone = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group, with its columns as they were: that of the smallest doc_id, with every row equal to it in id and text.
+
+    What ``near_duplicates`` says of odd rows holds here.
+    """
+    gone = _groups(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    left = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("its_id"), F.xxhash64("text").alias("its_hash"))
+    return left.join(gone, F.col("its_id").eqNullSafe(F.col("gone_id")) & (F.col("its_hash") == F.col("gone_hash")), "left_anti").select("row.*")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklot.llm.common import materialize, strings, table
-from tracklot.llm.tokens import WORD_BPE, encoder, text_batches
+from tracklot.llm.common import materialize, table, text_slices
+from tracklot.llm.tokens import WORD_BPE, encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, place long"
 
@@ -161,10 +161,10 @@ def _pieces(batches: Iterator[pa.RecordBatch], file: str, folder: str | None, en
     part, enc = TaskContext.get().partitionId(), encoder(file, folder)
     seen, end = np.zeros(capacity + 1, np.int64), np.array([end_id], "<u4").tobytes()
     for batch in batches:
-        doc_ids, texts = batch.column("doc_id").to_pylist(), strings(batch.column("text"))
-        for low, high in text_batches(texts):
+        doc_ids = batch.column("doc_id").to_pylist()
+        for low, high, texts in text_slices(batch):
             rows: list[tuple] = []
-            for d, ids in zip(doc_ids[low:high], enc.encode(texts[low:high]), strict=True):
+            for d, ids in zip(doc_ids[low:high], enc.encode(texts), strict=True):
                 own = ids + end
                 for piece, at in enumerate(range(0, len(own), 4 * capacity)):
                     cut = own[at : at + 4 * capacity]

@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklot.llm.common import list_array, scratch_path, shuffle_width, strings, table
-from tracklot.llm.tokens import BYTE_BPE, encoder, text_batches
+from tracklot.llm.common import list_array, scratch_path, shuffle_width, table, text_slices
+from tracklot.llm.tokens import BYTE_BPE, encoder
 
 #: (values in a word, bits of each) for selectors 0 to 15, as published.
 PACKINGS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -124,9 +124,9 @@ def _encode(batches: Iterator[pa.RecordBatch], file: str, folder: str | None, en
         return out
 
     for batch in batches:
-        doc_ids, texts = batch.column("doc_id").to_pylist(), strings(batch.column("text"))
-        for low, high in text_batches(texts):
-            for d, ids in zip(doc_ids[low:high], enc.encode(texts[low:high]), strict=True):
+        doc_ids = batch.column("doc_id").to_pylist()
+        for low, high, texts in text_slices(batch):
+            for d, ids in zip(doc_ids[low:high], enc.encode(texts), strict=True):
                 held.append((d, ids + end))
                 size += len(held[-1][1]) // 4
                 if size >= ROW_IDS:

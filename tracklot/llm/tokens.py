@@ -12,12 +12,13 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator
 from functools import cache
 
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from tracklot.llm.common import kept
+
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Words that one process remembers; beyond it the memory is emptied and fills anew.
@@ -153,29 +154,7 @@ class PieceEncoder:
         return out
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
 def encoder(file: str, folder: str | None = None) -> PieceEncoder:
-    """This process's encoder for a vocabulary file; ``folder`` replaces the installed files' place.
-
-    A process keeps the memory of one vocabulary only: tasks of another job find it with theirs.
-    """
+    """This process's encoder for a vocabulary file; ``folder`` replaces the installed files' place."""
     path = f"{folder}/{file}" if folder else public_tokenizers.path(file)
-    for other in [p for p in _ENCODERS if p != path]:
-        del _ENCODERS[other]
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
-
-
-def text_batches(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Index ranges of about ``chars`` characters, so one batch's ids stay small whatever the texts' lengths."""
-    began, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield began, i + 1
-            began, size = i + 1, 0
-    if began < len(texts):
-        yield began, len(texts)
+    return kept(path, lambda: PieceEncoder(path))
