@@ -4,7 +4,7 @@ from functools import reduce
 
 import xxhash
 
-from tracklot.llm.line_dedup import dedup_lines, op3_line_dedup
+from tracklot.llm.line_dedup import dedup_lines
 
 
 def h64(data, seed=42):
@@ -19,34 +19,47 @@ def lines_of(text):
     return [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", text) if x]
 
 
+def contents_of(lines):
+    return [re.sub(r"(?<=[.!?]) \Z|\n\Z", "", x) for x in lines]
+
+
 def chunks_of(lines):
-    h = [h64(x.rstrip("\n ").encode()) for x in lines]
+    h = [h64(x.encode()) for x in contents_of(lines)]
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     r = [None, *(signed(longs(p)) for p in zip(h, h[1:]))]
     cuts = [i for i in range(len(h) + 1) if i in (0, len(h)) or 2 <= i <= len(h) - 2 and r[i] < min(r[i - 1], r[i + 1])]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
 
 
+def long(text):
+    return len(text) >= 400 or len(text.split()) >= 50
+
+
 def brute(rows):
-    """Later occurrences of equal chunks go, in doc_id order."""
+    """Later runs of equal pairs of lines go if they are long or hold a chunk, and later equal long lines."""
     seen, out = set(), {}
     for d, text in sorted(rows):
-        lines, gone = lines_of(text), set()
-        for a, n in chunks_of(lines):
-            key = tuple(x.rstrip("\n ") for x in lines[a : a + n])
-            if key in seen:
-                gone |= set(range(a, a + n))
-            seen.add(key)
+        lines = lines_of(text)
+        bare, again = contents_of(lines), set()
+        for i in range(len(lines)):
+            for n in (1, 2):
+                key = tuple(bare[i : i + n])
+                if len(key) == n and (n == 2 or long(lines[i])):
+                    if key in seen:
+                        again.add((i, n))
+                    seen.add(key)
+        gone, i = {i for i, n in again if n == 1}, 0
+        while i < len(lines):
+            j = i
+            while (j, 2) in again:
+                j += 1
+            if j > i and (long(" ".join(lines[i : j + 1])) or any(a >= i and a + n <= j + 1 for a, n in chunks_of(lines))):
+                gone |= set(range(i, j + 1))
+            i = j + 1
         out[d] = (len(lines), len(gone), "".join(x for i, x in enumerate(lines) if i not in gone))
     return out
 
 
-def test_whole_table(spark):
-    sf = "/root/testdata/sf0.01"
-    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in op3_line_dedup(spark, sf).collect()} == brute(rows)
-
-
 def test_shifted_passage_is_found(spark):
     passage = "".join(f"Shared sentence number {i} of the passage. " for i in range(30))
     docs = spark.createDataFrame([(i, "".join(f"Own line {i} {j}.\n" for j in range(i + 3)) + passage + f"End {i}.", 0) for i in range(6)], "doc_id long, text string, n_chars int")
@@ -56,17 +69,6 @@ def test_shifted_passage_is_found(spark):
         assert rows[i].n_removed >= 22 and f"Own line {i} 0." in rows[i].text and f"End {i}." in rows[i].text and rows[i].n_chars == len(rows[i].text)
 
 
-def test_unequal_texts_under_one_hash_stay(spark, monkeypatch):
-    from pyspark.sql import functions as F
-
-    from tracklot.llm import line_dedup
-
-    real = line_dedup._chunks
-    monkeypatch.setattr(line_dedup, "_chunks", lambda d: real(d).withColumn("chunks", F.transform("chunks", lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.lit(1).cast("long").alias("hash")))))
-    docs = spark.createDataFrame([(i, "".join(f"line {i} {j}\n" for j in range(9))) for i in range(3)], "doc_id long, text string")
-    assert sum(r.n_removed for r in dedup_lines(docs).collect()) == 0
-
-
 def test_nulls_repeats_and_clashing_columns(spark):
     text = "".join(f"One line {j}.\n" for j in range(12))
     docs = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (2, text, "b"), (3, None, None), (4, "", "c"), (None, "x", "d")], "doc_id long, text string, found string")
@@ -75,3 +77,14 @@ def test_nulls_repeats_and_clashing_columns(spark):
     by = sorted(((r.doc_id or -1, r.found or "", r.n_removed > 0, r.text) for r in rows.collect()), key=lambda x: x[:2])
     assert [b[:3] for b in by] == [(-1, "d", False), (1, "a", False), (1, "a", False), (2, "b", True), (3, "", False), (4, "c", False)] and by[4][3] is None
     assert dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_lines_and_contents_of_odd_texts(spark):
+    from pyspark.sql import functions as F
+
+    from tracklot.llm.line_dedup import contents, lines
+
+    texts = ["", "\n", " ", "a", "a\n", "a\n\nb. c", "x. y! z? w.  v . \n. ", "no end ", "é. \n ü!\n", "mark￿. here\n too", ". . .", "a\r\nb. \tc"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", F.expr(lines("text")).alias("l"), F.expr(contents("text")).alias("c")).collect():
+        assert r.l == lines_of(r.text) and "".join(r.l) == r.text and r.c == contents_of(r.l)

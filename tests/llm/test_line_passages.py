@@ -1,44 +1,18 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tests.llm.test_line_dedup import chunks_of, lines_of
+from tests.llm.test_line_dedup import brute
 from tracklot.llm import line_dedup
 from tracklot.llm.line_dedup import dedup_lines, op3_line_dedup
 
 
-def long(text):
-    return len(text) >= 400 or len(text.split()) >= 50
-
-
-def brute(rows):
-    """Later runs of equal pairs of lines go if they are long or hold a chunk, and later equal long lines."""
-    seen, out = set(), {}
-    for d, text in sorted(rows):
-        lines = lines_of(text)
-        bare, again = [x.rstrip("\n ") for x in lines], set()
-        for i in range(len(lines)):
-            for n in (1, 2):
-                key = tuple(bare[i : i + n])
-                if len(key) == n and (n == 2 or long(lines[i])):
-                    if key in seen:
-                        again.add((i, n))
-                    seen.add(key)
-        gone, i = {i for i, n in again if n == 1}, 0
-        while i < len(lines):
-            j = i
-            while (j, 2) in again:
-                j += 1
-            if j > i and (long(" ".join(lines[i : j + 1])) or any(a >= i and a + n <= j + 1 for a, n in chunks_of(lines))):
-                gone |= set(range(i, j + 1))
-            i = j + 1
-        out[d] = (len(lines), len(gone), "".join(x for i, x in enumerate(lines) if i not in gone))
-    return out
-
-
 def test_whole_table_by_passages(spark):
     sf = "/root/testdata/sf0.01"
-    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in op3_line_dedup(spark, sf).collect()} == brute(rows)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    want = brute(rows)
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(docs).collect()} == want
+    assert {r.doc_id: (r.n_removed, r.text) for r in op3_line_dedup(spark, sf).collect()} == {d: w[1:] for d, w in want.items()}
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 6])
@@ -63,7 +37,7 @@ def test_short_pairs_stay(spark):
 
 
 def test_unequal_spans_under_one_hash_stay(spark, monkeypatch):
-    real = line_dedup._spans
-    monkeypatch.setattr(line_dedup, "_spans", lambda d: real(d).withColumn("spans", F.transform("spans", lambda c: F.struct(c["at"].alias("at"), c["n"].alias("n"), F.lit(1).cast("long").alias("hash")))))
+    real = line_dedup._spots
+    monkeypatch.setattr(line_dedup, "_spots", lambda d: real(d).withColumn("hash", F.lit(1).cast("long")))
     docs = spark.createDataFrame([(i, "".join(f"line {i} {j} with some more words in it so that a run is long\n" for j in range(9))) for i in range(3)], "doc_id long, text string")
     assert sum(r.n_removed for r in dedup_lines(docs).collect()) == 0
