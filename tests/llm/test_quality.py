@@ -1,5 +1,6 @@
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -65,3 +66,59 @@ def test_nulls_repeats_and_clashing_columns(spark):
     good = keep_good(docs)
     assert good.columns == docs.columns and good.count() == 2
     assert score_quality(docs.limit(0)).count() == 0
+
+
+def plain_distance(p, q):
+    total = sum(p)
+    if not total:
+        return 0.0
+    p = [x / total for x in p]
+    kl = lambda a, m: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
+    m = [(x + y) / 2 for x, y in zip(p, q)]
+    return math.sqrt(max(0.0, (kl(p, m) + kl(q, m)) / 2))
+
+
+def brute_verdicts(rows):
+    """Distances from references of whole languages, all in plain Python: (doc_id, text, lang) to kept."""
+    table = quality._class_table()
+    classes = lambda t: [Counter(table[min(ord(c), 65_536)] for c in t)[k] for k in range(len(quality.CLASSES))]
+    words, chars = defaultdict(Counter), defaultdict(lambda: [0] * len(quality.CLASSES))
+    for _, text, lang in rows:
+        words[lang or ""].update(common_form(w) for w in (text or "").encode().split())
+        chars[lang or ""] = [a + b for a, b in zip(chars[lang or ""], classes(text or ""))]
+    out = []
+    for d, text, lang in rows:
+        n, failed = len((text or "").encode().split()), brute(text)[5]
+        total = sum(words[lang or ""].values())
+        odd = False
+        if total >= quality.MIN_REFERENCE_WORDS and n >= quality.MIN_WORDS:
+            common = [w for w, c in words[lang or ""].items() if w and c >= COMMON_SHARE * total]
+            ref = [words[lang or ""][w] / total for w in common]
+            own = Counter(common_form(w) for w in text.encode().split())
+            mine = [own[w] for w in common]
+            by_char = plain_distance(classes(text), [c / sum(chars[lang or ""]) for c in chars[lang or ""]])
+            by_word = plain_distance([*mine, n - sum(mine)], [*ref, 1 - sum(ref)])
+            odd = by_char > quality.MAX_CHAR_DISTANCE or by_word > quality.MAX_WORD_DISTANCE
+        out.append((d, not failed and not odd))
+    return sorted(out, key=str)
+
+
+def test_verdicts_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = sorted(((r.doc_id, r.kept) for r in score_quality(docs).collect()), key=str)
+    want = brute_verdicts([(r.doc_id, r.text, r.lang) for r in docs.collect()])
+    assert got == want and 0.02 < np.mean([not k for _, k in want]) < 0.5
+
+
+def test_words_that_look_like_class_numbers_are_words(spark):
+    docs = spark.createDataFrame([(i, "#1 apple #1 pear " * 400 + f"word{i} " * 3, "en") for i in range(8)], "doc_id long, text string, lang string")
+    ref = references(docs)["en"]
+    assert set(ref["index"]) == {b"#1", b"apple", b"pear"} and abs(ref["words"][ref["index"][b"#1"]] - 800 / 1603) < 1e-9
+    assert abs(ref["classes"].sum() - 1) < 1e-9 and abs(ref["classes"][quality.CLASSES.index("symbol")] - 800 / len(docs.first().text)) < 1e-9
+
+
+def test_rare_languages_meet_the_base_rules_only(spark):
+    rows = [(i, " ".join(f"en{(i * 7 + j) % 40}" for j in range(300)), "en") for i in range(40)] + [(100, " ".join(f"xx{j}" for j in range(80)), "xx"), (101, " ".join(f"xx{j}" for j in range(80)), None)]
+    got = {r.doc_id: r for r in score_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100].kept and got[101].kept and got[100].word_distance is None and got[0].word_distance is not None
+    assert set(references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))) == {"en"}

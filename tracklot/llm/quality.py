@@ -3,8 +3,8 @@
 A document's histogram of character classes and of its language's common words is compared with the same histograms
 of the whole language by Jensen-Shannon distance. References cover every document: character classes add up; common
 words (a share of ``COMMON_SHARE`` of the language's words or more) are found in two passes. The first keeps, of
-every batch, words that reach half that share there; a word with the full share overall must have half of its mass in
-such batches, so at most ``2 / COMMON_SHARE`` candidates a language are left, and the second pass counts those exactly.
+every slice, words that reach half that share there; a word with the full share overall must have half of its mass in
+such slices, so at most ``2 / COMMON_SHARE`` candidates a language are left, and the second pass counts those exactly.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklot.llm.common import strings, table
+from tracklot.llm.common import kept, strings, table, text_slices
 
 COMMON_SHARE = 0.004
 #: Histograms of fewer words say little; such documents meet the base rules only.
 MIN_WORDS = 50
-#: A language with fewer words has no reference of its own; its documents take the nearest one.
+#: A language with fewer words has no reference, and no foreign one is taken; its documents meet the base rules only.
 MIN_REFERENCE_WORDS = 10_000
 MAX_CHAR_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.42
@@ -92,67 +92,63 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     return int((np.cumsum(delta)[:-1] > 0).sum())
 
 
-def _slices(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    low, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars or i == len(texts) - 1:
-            yield low, i + 1
-            low, size = i + 1, 0
+#: Kinds of counts: all words of a language, its characters of a class, a word.
+TOTAL, CLASS, WORD = 0, 1, 2
+COUNTS = "lang string, kind int, class int, word binary, n long"
+
+
+def _counted(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+    return pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in COUNTS.split(", ")])
+
+
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
+    """The texts of each language in a slice of a batch; a null language is the empty one."""
+    langs = strings(batch.column("lang"))
+    for low, high, texts in text_slices(batch):
+        own: dict[str, list[str]] = {}
+        for lang, text in zip(langs[low:high], texts, strict=True):
+            own.setdefault(lang, []).append(text)
+        yield from own.items()
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per slice and language: word total (word null), class counts (as words '#class'), frequent words."""
+    """Per slice and language: the number of words, counts of character classes, frequent words."""
+    kept("quality", _class_table)
     for batch in batches:
-        all_texts, all_langs = strings(batch.column("text")), batch.column("lang").to_pylist()
-        for low, high in _slices(all_texts):
-            texts, langs = np.array(all_texts[low:high], object), np.array([x if x is not None else "" for x in all_langs[low:high]], object)
-            rows: list[tuple[str, bytes | None, int]] = []
-            for lang in set(langs.tolist()):
-                own = texts[langs == lang].tolist()
-                count = Counter(map(common_form, "\n".join(own).encode().split()))
-                total = sum(count.values())
-                rows.append((lang, None, total))
-                rows += [(lang, w, c) for w, c in count.items() if w and c >= total * COMMON_SHARE / 2]
-                rows += [(lang, b"#%d" % k, int(c)) for k, c in enumerate(char_histograms(own).sum(axis=0))]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
+        for lang, texts in _by_language(batch):
+            count = Counter(map(common_form, "\n".join(texts).encode().split()))
+            total = sum(count.values())
+            rows = [(lang, TOTAL, None, None, total)]
+            rows += [(lang, CLASS, k, None, int(c)) for k, c in enumerate(char_histograms(texts).sum(axis=0))]
+            yield _counted(rows + [(lang, WORD, None, w, c) for w, c in count.items() if w and c >= total * COMMON_SHARE / 2])
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch], wanted: dict[str, set[bytes]]) -> Iterator[pa.RecordBatch]:
+    """Exact counts of the candidates."""
     for batch in batches:
-        texts, langs = strings(batch.column("text")), batch.column("lang").to_pylist()
-        counts: dict[str, Counter] = {}
-        for t, lang in zip(texts, langs, strict=True):
-            lang = lang if lang is not None else ""
-            count = counts.setdefault(lang, Counter())
-            count.update(filter(wanted.get(lang, set()).__contains__, map(common_form, t.encode().split())))
-        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "n"])
-
-
-COUNTS = "lang string, word binary, n long"
+        for lang, texts in _by_language(batch):
+            if candidates := wanted.get(lang):
+                count = Counter(filter(candidates.__contains__, map(common_form, "\n".join(texts).encode().split())))
+                yield _counted([(lang, WORD, None, w, n) for w, n in count.items()])
 
 
 def references(docs: DataFrame) -> dict[str, dict]:
-    """Each language's class distribution and common-word distribution (the last entry: all other words).
+    """Class distribution and common-word distribution (the last entry: all other words) of each language with words enough.
 
-    The driver gets, per language, a few class counts and at most ``2 / COMMON_SHARE`` words.
+    The driver gets, per such language, a few class counts and at most ``2 / COMMON_SHARE`` words.
     """
     rows = docs.select("text", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"))
-    first = rows.mapInArrow(_first_pass, COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    totals_row = F.max(F.when(F.col("word").isNull(), F.col("n")))
-    first = first.withColumn("total", totals_row.over(Window.partitionBy("lang")))
-    first = first.where(F.col("word").isNull() | F.col("word").cast("string").startswith("#") | (F.col("n") >= F.col("total") * COMMON_SHARE / 2))
+    first = rows.mapInArrow(_first_pass, COUNTS).groupBy("lang", "kind", "class", "word").agg(F.sum("n").alias("n"))
+    first = first.withColumn("total", F.max(F.when(F.col("kind") == TOTAL, F.col("n"))).over(Window.partitionBy("lang")))
+    first = first.where((F.col("total") >= MIN_REFERENCE_WORDS) & ((F.col("kind") != WORD) | (F.col("n") >= F.col("total") * COMMON_SHARE / 2)))
     found: dict[str, dict] = {}
     for r in first.collect():
-        own = found.setdefault(r["lang"], {"total": 0, "classes": np.zeros(len(CLASSES)), "candidates": set()})
-        word = bytes(r["word"]) if r["word"] is not None else None
-        if word is None:
-            own["total"] = r["n"]
-        elif word[:1] == b"#" and word[1:].isdigit() and int(word[1:]) < len(CLASSES):
-            own["classes"][int(word[1:])] += r["n"]
-        else:
-            own["candidates"].add(word)
+        own = found.setdefault(r["lang"], {"total": r["total"], "classes": np.zeros(len(CLASSES)), "candidates": set()})
+        if r["kind"] == CLASS:
+            own["classes"][r["class"]] = r["n"]
+        elif r["kind"] == WORD:
+            own["candidates"].add(bytes(r["word"]))
     wanted = docs.sparkSession.sparkContext.broadcast({k: v["candidates"] for k, v in found.items()})
     second = rows.mapInArrow(lambda b: _second_pass(b, wanted.value), COUNTS).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     exact: dict[str, dict[bytes, int]] = {}
@@ -160,10 +156,9 @@ def references(docs: DataFrame) -> dict[str, dict]:
         exact.setdefault(r["lang"], {})[bytes(r["word"])] = r["n"]
     out = {}
     for lang, own in found.items():
-        if own["total"] >= MIN_REFERENCE_WORDS:
-            common = {w: n for w, n in sorted(exact.get(lang, {}).items()) if n >= own["total"] * COMMON_SHARE}
-            counts = np.array([*common.values(), own["total"] - sum(common.values())], float)
-            out[lang] = {"classes": own["classes"] / max(1, own["classes"].sum()), "index": {w: i for i, w in enumerate(common)}, "words": counts / counts.sum()}
+        common = {w: n for w, n in sorted(exact.get(lang, {}).items()) if n >= own["total"] * COMMON_SHARE}
+        counts = np.array([*common.values(), own["total"] - sum(common.values())], float)
+        out[lang] = {"classes": own["classes"] / max(1, own["classes"].sum()), "index": {w: i for i, w in enumerate(common)}, "words": counts / counts.sum()}
     return out
 
 
@@ -175,10 +170,10 @@ def word_histogram(words: list[bytes], reference: dict) -> np.ndarray:
 
 
 def _score(batches: Iterator[pa.RecordBatch], refs: dict[str, dict]) -> Iterator[pa.RecordBatch]:
+    kept("quality", _class_table)
     for batch in batches:
-        all_ids, all_texts, all_langs = batch.column("doc_id").to_pylist(), strings(batch.column("text")), batch.column("lang").to_pylist()
-        for low, high in _slices(all_texts):
-            texts = all_texts[low:high]
+        ids, langs = batch.column("doc_id").to_pylist(), strings(batch.column("lang"))
+        for low, high, texts in text_slices(batch):
             chars = char_histograms(texts)
             out: list[tuple] = []
             for k, t in enumerate(texts):
@@ -189,13 +184,12 @@ def _score(batches: Iterator[pa.RecordBatch], refs: dict[str, dict]) -> Iterator
                 lines = [x for x in t.split("\n") if x.strip(SPACES)]
                 repeats = repeated_words(words)
                 failed = n < BASE_MIN_WORDS or 100 * repeats > BASE_REPEAT_PERCENT * n
-                forms = list(map(common_form, words))
-                own = refs.get(all_langs[low + k] if all_langs[low + k] is not None else "")
-                near = [own] if own else list(refs.values())
-                pairs = [(float(js_distance(chars[k : k + 1], r["classes"])[0]), float(js_distance(word_histogram(forms, r)[None, :], r["words"])[0])) for r in near] or [(0.0, 0.0)]
-                by_char, by_word = min(pairs, key=lambda p: p[0] / MAX_CHAR_DISTANCE + p[1] / MAX_WORD_DISTANCE)
-                odd = n >= MIN_WORDS and (by_char > MAX_CHAR_DISTANCE or by_word > MAX_WORD_DISTANCE)
-                out.append((all_ids[low + k], n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, not failed and not odd, by_char, by_word))
+                by_char = by_word = None
+                if own := refs.get(langs[low + k]):
+                    by_char = float(js_distance(chars[k : k + 1], own["classes"])[0])
+                    by_word = float(js_distance(word_histogram(list(map(common_form, words)), own)[None, :], own["words"])[0])
+                odd = n >= MIN_WORDS and by_char is not None and (by_char > MAX_CHAR_DISTANCE or by_word > MAX_WORD_DISTANCE)
+                out.append((ids[low + k], n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, not failed and not odd, by_char, by_word))
             names = [f.split()[0] for f in SCORES.split(", ")]
             kinds = [pa.int64()] * 6 + [pa.bool_()] * 2 + [pa.float64()] * 2
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
@@ -204,8 +198,9 @@ def _score(batches: Iterator[pa.RecordBatch], refs: dict[str, dict]) -> Iterator
 def score_quality(docs: DataFrame) -> DataFrame:
     """Measures, base rules and verdict per document (doc_id, text, lang; other columns are ignored).
 
-    A null text is empty and fails the base rules; a null or rare language takes the nearest reference; without any
-    reference (a very small corpus, an empty table) only the base rules decide. Repeated rows are scored each.
+    A null text is empty and fails the base rules; null is a language like any other. In a language of fewer than
+    ``MIN_REFERENCE_WORDS`` words, and in texts of fewer than ``MIN_WORDS``, only the base rules decide, and the distances
+    of the first are null. Repeated rows are scored each; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(references(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
@@ -213,7 +208,7 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns as they were."""
+    """The documents that pass, with their columns as they were, whatever their names; see ``score_quality`` for odd rows."""
     shared = docs.sparkSession.sparkContext.broadcast(references(docs))
     schema = docs.schema
 
