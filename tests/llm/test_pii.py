@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -77,3 +78,39 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert rows == [(-1, 0, 1), (1, 0, 0), (2, 0, 0), (3, 1, 0), (3, 1, 0)]
     assert sorted(r.text or "" for r in mask_pii(docs).collect()) == ["", "", "<phone>", "mail <email> now", "mail <email> now"]
     assert find_pii(docs.limit(0)).count() == 0
+
+
+def test_very_long_numbers_do_not_stop_the_job(spark):
+    texts = ["9" * 5000 + ".1.1.1", "0" * 5000 + "7.1.1.1 end", "1" * 6000, "+" + "2" * 5000]
+    assert [len(base_spans(t)) for t in texts] == [0, 1, 0, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_ip for r in find_pii(docs).orderBy("doc_id").collect()] == [0, 1, 0, 0]
+
+
+def test_decoding_equals_the_best_of_all_tag_paths():
+    m = BiLstmCrf(5, 3, 4, 3)
+    x = np.random.default_rng(2).integers(1, 5, (6, 5))
+    for row, best in zip(x, m.decode(x), strict=True):
+        paths = np.array(list(itertools.product(range(3), repeat=5)))
+        score = lambda y: -m.gradients(np.tile(row, (1, 1)), y[None])[0]  # noqa: B023, E731
+        scores = [score(y) for y in paths]
+        assert np.isclose(score(best), max(scores), atol=1e-4)
+
+
+def test_windows_of_a_long_text_agree_with_one_wide_window(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = train(docs)
+    long = "the onha ndthe " * 3 + "averyveryverylongnameofaperson.with.many.parts.jane.doe [at] mail3.dept.example.com" + " onha thed" * 3
+    short = "jane.doe [at] mail3.example.com"
+    assert tag_texts(model, [short]) == [[(a, k, b) for a, k, b in tag_texts(model, [short], margin=1000)[0]]]
+    # a span never ends where decoding did, unless the text does
+    for text, spans in zip([long, short], tag_texts(model, [long, short], margin=4), strict=True):
+        again = tag_texts(model, [text], margin=len(text))[0]
+        assert all(any(abs(a - c) <= 40 for c, _, _ in again) for a, _, _ in spans)
+
+
+def test_masking_keeps_rows_and_counts(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd now", 15), (2, None, None), (None, "ip 1.2.3.4", 10)], "doc_id long, text string, n_chars int")
+    rows = {r.doc_id: r for r in mask_pii(docs).collect()}
+    assert rows[1].text == "mail <email> now" and rows[1].n_chars == 16 and rows[2].text is None and rows[2].n_chars is None and rows[None].text == "ip <ip>"
+    assert mask_pii(docs.limit(0)).count() == 0 and mask_pii(docs).schema == docs.schema

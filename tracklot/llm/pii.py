@@ -3,8 +3,9 @@
 The tagger (a BiLSTM with CRF transitions) is trained on the driver from labelled spans: the base spans of a bounded
 sample of rows, in their contexts, as they are and rewritten in other common spellings of the same datum. Tasks decode
 overlapping windows around every place where such data can be, give each character the tag of the window in which it
-stands most centrally, and read spans off the whole text. A window needs a digit, an ``@`` or a bracketed ``at``;
-none of the four kinds can be written without one. Base spans always stay; an added span may not touch one.
+stands most centrally, and read spans off the whole text. A window needs a digit, an ``@`` or a bracketed ``at`` or
+``dot``; none of the four kinds can be written without one. Where a span reaches the end of what was decoded, more of the
+text is. Base spans always stay; an added span may not touch one.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklot.llm.bilstm_crf import BiLstmCrf
-from tracklot.llm.common import strings, table
+from tracklot.llm.common import table, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Rows whose base spans label the training set, at most.
 TRAIN_ROWS = 250
 WINDOW, STRIDE, MARGIN = 64, 32, 24
+#: Other spellings of each labelled span in the training set.
+RESPELLED = 5
 #: Updates of the tagger at least, in batches of 32 windows.
 UPDATES = 240
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
@@ -35,7 +38,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile("[0-9]+")
-_TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]", re.IGNORECASE)
+_TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|dot)[\])]", re.IGNORECASE)
 Span = tuple[int, int, int]
 
 
@@ -44,6 +47,12 @@ def luhn(digits: str) -> bool:
     return (odd + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])) % 10 == 0
 
 
+def _in_byte(digits: str) -> bool:
+    """Whether a number is at most 255, however many digits it has."""
+    digits = digits.lstrip("0")
+    return len(digits) < 4 and int(digits or "0") <= 255
+
+
 def _digits(s: str) -> str:
     return "".join(_DIGITS.findall(s))
 
@@ -61,7 +70,7 @@ def base_spans(text: str) -> list[Span]:
             done = m.end()
         at = text.find("@", max(at + 1, done))
     if _DIGITS.search(text):
-        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(int(x) <= 255 if len(x) < 6 else not x.strip("0") or int(x) <= 255 for x in m[0].split("."))]
+        out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(map(_in_byte, m[0].split(".")))]
         out += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 12 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
         out += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return sorted(out)
@@ -127,7 +136,7 @@ def training_windows(texts: list[str], seed: int = 7) -> tuple[np.ndarray, np.nd
         for start, kind, end in spans[:6]:
             left, right = text[max(0, start - 40) : start], text[end : end + 60]
             add(left, text[start:end], right, kind)
-            for _ in range(2):
+            for _ in range(RESPELLED):
                 add(left, _respelled(kind, text[start:end], rng), right, kind)
             add(left, str(rng.choice(_PLAIN_NUMBERS)), right, None)
         words = text[int(rng.integers(0, max(1, len(text) - 80))) :][:80]
@@ -138,22 +147,42 @@ def training_windows(texts: list[str], seed: int = 7) -> tuple[np.ndarray, np.nd
     return np.stack(xs), np.stack(ys)
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low, high, texts in text_slices(batch):
+            h, xs, ys = batch.column("h").slice(low, high - low).to_pylist(), [], []
+            for seed, text in zip(h, texts, strict=True):
+                x, y = training_windows([text], seed % 2**32)
+                xs.append(x.tobytes())
+                ys.append(y.tobytes())
+            yield pa.record_batch([pa.array(h, pa.int64()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["h", "x", "y"])
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, updates: int = UPDATES) -> BiLstmCrf:
-    """A tagger trained on the driver from at most ``rows`` rows with a digit or ``@``, chosen by hash."""
+    """A tagger trained on the driver from at most ``rows`` rows with a digit or ``@``, chosen by hash.
+
+    The driver gets the least hashes, and then the windows cut from those rows (a few kilobytes each), never a text.
+    """
     holds = docs.where(F.col("text").rlike("[0-9]{4}|@|[0-9]\\.[0-9]")).select("text", F.xxhash64("doc_id", "text").alias("h"))
-    texts = [r["text"] for r in holds.orderBy("h", "text").limit(rows).collect()]
+    least = [r["h"] for r in holds.select("h").orderBy("h").limit(rows).collect()]
     model = BiLstmCrf(N_SYMBOLS, N_TAGS)
-    x, y = training_windows(texts)
+    if not least:
+        return model
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where(F.col("h").isin(least))
+    # rows that are equal share a hash and are labelled once
+    cut = {r["h"]: r for r in hashed.mapInArrow(_windows, "h long, x binary, y binary").dropDuplicates(["h"]).collect()}
+    x = np.concatenate([np.frombuffer(cut[h]["x"], np.uint8) for h in sorted(cut)]).reshape(-1, WINDOW)
+    y = np.concatenate([np.frombuffer(cut[h]["y"], np.int8) for h in sorted(cut)]).reshape(-1, WINDOW)
     if len(x):
         model.fit(x, y, max(4, -(-updates * 32 // len(x))), batch=32, rate=0.02)
     return model
 
 
-def _stretches(text: str) -> list[tuple[int, int]]:
+def _stretches(text: str, margin: int) -> list[tuple[int, int]]:
     """Parts of the text within the margin of a trigger."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        low, high = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        low, high = max(0, m.start() - margin), min(len(text), m.end() + margin)
         if out and low <= out[-1][1]:
             out[-1][1] = high
         else:
@@ -161,12 +190,12 @@ def _stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def tag_texts(model: BiLstmCrf, texts: list[str], chunk: int = 2048) -> list[list[Span]]:
-    """Spans that the tagger sees in each text."""
+def tag_texts(model: BiLstmCrf, texts: list[str], chunk: int = 2048, margin: int = MARGIN) -> list[list[Span]]:
+    """Spans that the tagger sees in each text; a text is decoded with wider margins until no span reaches the end of a stretch."""
     windows: list[tuple[int, int, int]] = []  # text, first character, of stretch
     places: list[tuple[int, int, int]] = []
     for k, text in enumerate(texts):
-        for low, high in _stretches(text):
+        for low, high in _stretches(text, margin):
             places.append((k, low, high))
             at = low
             while True:
@@ -208,37 +237,48 @@ def tag_texts(model: BiLstmCrf, texts: list[str], chunk: int = 2048) -> list[lis
                 end += 1
             out[k].append((low + at, int(kind), low + end))
             at = end
+    cut = set()
+    for (k, low, high), own in zip(places, tags, strict=True):
+        if (low and own[0]) or (high < len(texts[k]) and own[-1]):
+            cut.add(k)
+    if cut:
+        cut = sorted(cut)
+        for k, spans in zip(cut, tag_texts(model, [texts[k] for k in cut], chunk, 4 * margin), strict=True):
+            out[k] = spans
     return out
 
 
-def plausible(text: str, span: Span) -> bool:
-    """What a span of the tagger must hold to be taken for its kind."""
+#: What a tagged span may be a part of, by kind.
+_WIDE = (
+    re.compile(r"[A-Za-z0-9._%+-]++ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)+", re.IGNORECASE),
+    re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)|\[dot\]|\(dot\)) ?[0-9]{1,3}){3}(?![0-9])", re.IGNORECASE),
+    re.compile(r"(?<![0-9])[0-9](?:[ .-]?[0-9]){11,18}(?![0-9])"),
+    re.compile(r"\+?(?:\([0-9]+\)|[0-9])(?:[ .-]{0,2}(?:\([0-9]+\)|[0-9]))+"),
+)
+
+
+def settled(text: str, span: Span) -> Span | None:
+    """The datum that a tagged span is part of, or none if it is not one of its kind: a tagger may miss a character at either end."""
     start, kind, end = span
-    s = text[start:end]
-    n = len(_digits(s))
-    if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]+)+", s, re.IGNORECASE))
-    if kind == 1:
-        parts = re.findall("[0-9]+", s)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
-    if kind == 2:
-        return 12 <= n <= 19 and luhn(_digits(s))
-    return 9 <= n <= 15 and sum(c.isalpha() for c in s) == 0
+    around = _WIDE[kind].finditer(text, max(0, start - MARGIN), min(len(text), end + MARGIN))
+    found = max(((min(end, m.end()) - max(start, m.start()), -m.start(), m) for m in around), key=lambda x: x[:2], default=None)
+    if found is None or found[0] <= 0:
+        return None
+    m = found[2]
+    digits = _digits(m[0])
+    right = (True, all(map(_in_byte, re.findall("[0-9]+", m[0]))), luhn(digits) if kind == 2 else False, 9 <= len(digits) <= 15)[kind]
+    return (m.start(), kind, m.end()) if right else None
 
 
 def all_spans(model: BiLstmCrf, texts: list[str]) -> list[tuple[list[Span], list[Span]]]:
-    """Base spans and added spans of each text."""
-    base = [base_spans(t) for t in texts]
+    """Base spans and added spans of each text. An added span may not touch a base one; of two that touch the first one counts."""
     out = []
-    for t, own, seen in zip(texts, base, tag_texts(model, texts), strict=True):
-        added = []
-        for start, kind, end in seen:
-            while start < end and t[start] in " .,;:":
-                start += 1
-            while end > start and t[end - 1] in " .,;:":
-                end -= 1
-            if plausible(t, (start, kind, end)) and not any(a < end and start < b for a, _, b in own):
-                added.append((start, kind, end))
+    for t, seen in zip(texts, tag_texts(model, texts), strict=True):
+        own, added, done = base_spans(t), [], -1
+        for span in sorted({s for s in (settled(t, x) for x in seen) if s}):
+            if span[0] >= done and not any(a < span[2] and span[0] < b for a, _, b in own):
+                added.append(span)
+                done = span[2]
         out.append((own, added))
     return out
 
@@ -249,16 +289,15 @@ def _join(spans: list[Span]) -> str:
 
 def _find(batches: Iterator[pa.RecordBatch], model: BiLstmCrf) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = strings(batch.column("text"))
-        counts, digests, spans, more = [[] for _ in KINDS], [], [], []
-        for low in range(0, len(texts), 2000):
-            for base, added in all_spans(model, texts[low : low + 2000]):
+        for low, high, texts in text_slices(batch):
+            counts, digests, spans, more = [[] for _ in KINDS], [], [], []
+            for base, added in all_spans(model, texts):
                 for k, c in enumerate(counts):
                     c.append(sum(s[1] == k for s in base))
                 digests.append(hashlib.sha256(_join(base).encode()).hexdigest())
                 spans.append(_join(base + added))
                 more.append(len(added))
-        yield pa.record_batch([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())], names=[f.split()[0] for f in FOUND.split(", ")])
+            yield pa.record_batch([batch.column("doc_id").slice(low, high - low), *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(more, pa.int64())], names=[f.split()[0] for f in FOUND.split(", ")])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -273,26 +312,30 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in angle brackets."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs))
-    at = docs.columns.index("text")
+    """The documents with every span replaced by its kind in angle brackets; all columns return, ``n_chars`` (if there) following the text.
+
+    Spans that overlap are masked as one, named after the first. A null text stays null; see ``find_pii`` for other odd rows.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    at, at_size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            out = []
-            for t, (base, added) in zip(texts, all_spans(model.value, [t or "" for t in texts]), strict=True):
-                if t is not None:
+            for low, high, texts in text_slices(batch):
+                rows, out = batch.slice(low, high - low), []
+                for t, (base, added) in zip(texts, all_spans(model.value, texts), strict=True):
                     parts, done = [], 0
                     for a, k, b in sorted(base + added):
                         if a >= done:
                             parts += [t[done:a], f"<{KINDS[k]}>"]
                         done = max(done, b)
-                    t = "".join([*parts, t[done:]])
-                out.append(t)
-            columns = batch.columns
-            columns[at] = pa.array(out, batch.schema.field("text").type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+                    out.append("".join([*parts, t[done:]]))
+                null = rows.column("text").is_null().to_pylist()
+                columns = rows.columns
+                columns[at] = pa.array([None if n else t for t, n in zip(out, null, strict=True)], rows.schema.field("text").type)
+                if at_size is not None:
+                    columns[at_size] = pa.array([None if n else len(t) for t, n in zip(out, null, strict=True)]).cast(rows.schema.field("n_chars").type)
+                yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
     return docs.mapInArrow(mask, docs.schema)
 
