@@ -1,9 +1,13 @@
 import html
 import re
+import time
+
+import pytest
+from pyspark.sql import functions as F
 
 from tracklot.llm.html_text import extract_text, main_text, node_importance, op2_html_text
 
-NONE = lambda path: False
+NONE = lambda path: 1.0
 
 
 def brute(page):
@@ -47,3 +51,37 @@ def test_nulls_repeats_and_empty(spark):
     pages = spark.createDataFrame([(1, None, None), (2, "http://[bad", "<p>x</p>"), (2, "http://[bad", "<p>x</p>"), (None, "u", "")], "page_id long, url string, html string")
     assert sorted((r.page_id or -1, r.text, r.n_chars) for r in extract_text(pages).collect()) == [(-1, "", 0), (1, "", 0), (2, "x", 1), (2, "x", 1)]
     assert extract_text(pages.limit(0)).count() == 0
+
+
+def test_style_tree_alone_on_real_pages(spark):
+    """Without names, tags and roles: hosts with pages enough lose menus, adverts and footers to the tree, and nothing else."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    hosts = pages.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1)).groupBy("host").count().where("count >= 75").drop("count")
+    pages = pages.withColumn("host", F.regexp_extract("url", "//([^/]*)", 1)).join(hosts, "host")
+    want = {r.page_id: brute(r.html) for r in pages.collect()}
+    got = {r.page_id: r.text for r in extract_text(pages, declared=False).collect()}
+    whole = {r.page_id: main_text(r.html, NONE, declared=False) for r in pages.collect()}
+    assert len(want) > 500 and not any(whole[k] == want[k] for k in want)
+    assert sum(got[k] == want[k] for k in want) >= 0.97 * len(want)
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    def page(i, body):
+        return f"<body><div class='top'>Site of many pages</div><div class='text'><p>{body}</p><p>Second part of {body}</p></div><div class='end'>End {i % 3}</div></body>"
+
+    rows = [(i, f"http://h.example/{i}", page(i, "a long text that was copied to very many addresses of this host")) for i in range(60)]
+    rows += [(100 + i, f"http://h.example/x{i}", page(i, f"an own text number {i}, which stands on no other page of this host")) for i in range(40)]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "a long text that was copied to very many addresses of this host Second part of a long text that was copied to very many addresses of this host"
+    assert got[107].startswith("an own text number 7") and "Site" not in got[107] and "End" not in got[107]
+
+
+@pytest.mark.parametrize("piece", ["<a \"", "<a '", "<script ", "<!-", "<!--", "</", "<a x=\"", "<p", "<a \"<b >\" ", "<b a=\">\" <", "<![", "<a \">\" "])
+def test_hostile_pages_take_linear_time(piece):
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        main_text("<p>text" + piece * n, NONE)
+        main_text("<p>text" + piece * n + ">\"'>", NONE)
+        took.append(time.process_time() - began)
+    assert took[1] < 1 + 12 * took[0]
