@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
-The words around a licensing cue, as far as a template can reach, are searched for each template in windows of its size:
-a window with enough of the template's words is compared with it word by word, which gives the notice's own span and the
-exact differences. Each span is then compressed with zstandard, alone and with the template as a raw dictionary; of
-templates that meet in a span the one with the largest share of its words counts, then the larger one, then the larger
-saving. Notices next to each other are rows of their own, however their lines are laid out.
+The words around a licensing cue, as far as a template can reach, are searched for each template in windows of its size;
+a window with enough of the template's words is a candidate block, cut to the words from the first to the last that the
+two share. Each block is compressed with zstandard, alone and with the template as a raw dictionary, and blocks are ranked
+by the bytes that the dictionary saves. From the top, a block that no winner overlaps wins once the exact differences in
+wording confirm it. Notices next to each other are rows of their own, however their lines are laid out.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklot.llm.common import strings, table
+from tracklot.llm.common import table, text_slices
 
 _CC = (
     ("CC", "CC BY", "Attribution"),
@@ -39,6 +39,9 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD", "Released under the BSD License."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL", "This work is licensed under the GNU General Public License."),
@@ -164,23 +167,21 @@ def find_notices(text: str) -> list[tuple[int, int, int, float, float, str]]:
     for low, high in regions(text):
         at = [(low + m.start(), low + m.end(), m[0].lower()) for m in _WORD.finditer(text[low:high])]
         have = [w for _, _, w in at]
-        there, found = set(have), []
+        there, ranked = set(have), []
         for k, (want, counts, named) in enumerate(_wanted()):
             if named <= there and sum(c for w, c in counts.items() if w in there) >= MIN_WORDING * len(want):
                 for x, y, wording, hit in _spots(k, have):
-                    data = " ".join(text[at[x][0] : at[y - 1][1]].lower().split()).encode()
-                    saving = 1 - len(withs[k].compress(data)) / len(plain.compress(data))
-                    if saving >= MIN_SAVING:
-                        found.append((wording, len(hit), saving, -k, x, y, " ".join(w for i, w in enumerate(want) if i not in hit)))
-        found.sort(reverse=True)
+                    block = " ".join(text[at[x][0] : at[y - 1][1]].lower().split()).encode()
+                    alone = len(plain.compress(block))
+                    saved = alone - len(withs[k].compress(block))
+                    ranked.append((saved, wording, -k, x, y, saved / alone, hit))
         taken: list[tuple] = []
-        for f in found:
-            if any(f[4] < t[5] and t[4] < f[5] for t in taken):
-                continue
-            # a longer wording of the same license around it says more
-            same = [g for g in found if TEMPLATES[-g[3]][0] == TEMPLATES[-f[3]][0] and g[4] <= f[4] and f[5] <= g[5] and not any(g[4] < t[5] and t[4] < g[5] for t in taken)]
-            taken.append(max(same, key=lambda g: (g[1], g)))
-        out += [(at[x][0], at[y - 1][1] - at[x][0], -k, saving, wording, missing) for wording, _, saving, k, x, y, missing in sorted(taken, key=lambda t: t[4])]
+        for r in sorted(ranked, key=lambda r: r[:5], reverse=True):
+            if not any(r[3] < t[4] and t[3] < r[4] for t in taken) and r[5] >= MIN_SAVING and r[1] >= MIN_WORDING:
+                taken.append(r)
+        for _, wording, k, x, y, saving, hit in sorted(taken, key=lambda t: t[3]):
+            missing = " ".join(w for i, w in enumerate(_wanted()[-k][0]) if i not in hit)
+            out.append((at[x][0], at[y - 1][1] - at[x][0], -k, saving, wording, missing))
     return out
 
 
@@ -192,19 +193,23 @@ def scan_block(block: str) -> tuple[int, float, float, str] | None:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple] = []
-        for d, text in zip(batch.column("doc_id").to_pylist(), strings(batch.column("text")), strict=True):
-            if CUES.search(text):
-                for start, length, k, saving, wording, missing in find_notices(text):
-                    rows.append((d, start, length, TEMPLATES[k][0], k, saving, wording, missing))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string())
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
+        ids = batch.column("doc_id").to_pylist()
+        for low, high, texts in text_slices(batch):
+            rows: list[tuple] = []
+            for d, text in zip(ids[low:high], texts, strict=True):
+                if CUES.search(text):
+                    for start, length, k, saving, wording, missing in find_notices(text):
+                        rows.append((d, start, length, TEMPLATES[k][0], k, saving, wording, missing))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.string())
+            yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[f.split()[0] for f in FOUND.split(", ")])
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """A row per confirmed license notice (doc_id, text; other columns are ignored).
 
-    Null, empty and license-free texts give no rows; repeated rows are scanned each. Nothing is shuffled.
+    Null, empty and license-free texts give no rows, and so does an empty table; a null doc_id comes back with its notices;
+    repeated rows are scanned each. Templates that save as many bytes of a block are ranked by wording, then by their
+    order in ``TEMPLATES``. Nothing is shuffled.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_scan, FOUND)
