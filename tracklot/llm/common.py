@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Shuffle files of a job go when it ends (Spark's own setting); its result is a table by then.
@@ -63,17 +63,40 @@ def shuffle_width(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
-def with_order_bucket(df: DataFrame, key: str, rows_per_bucket: int) -> DataFrame:
-    """Add ``bucket``: consecutive ranges of an integer key, null first, each of about ``rows_per_bucket`` keys.
+#: Buckets at most; a bucket grows beyond its wanted rows only where this many do not hold them all.
+MAX_BUCKETS = 65_536
 
-    One aggregate finds the key's range and count; buckets are equal key ranges, so a dense key gives even buckets
-    and buckets follow the key's order. Equal keys share a bucket.
+
+def order_bounds(df: DataFrame, keys: list[str], rows: int) -> list[tuple]:
+    """The first keys (two long columns, null first) of consecutive buckets of about ``rows`` rows, however the keys are spread.
+
+    A sort of the keys alone; the driver gets one key per bucket.
+    """
+    every = max(rows, -(-df.count() // MAX_BUCKETS))
+    ordered = df.select(*keys).orderBy(*keys).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    found = ordered.where(F.col("place") % every == 0).drop("place").collect()
+    return sorted({tuple(r) for r in found}, key=lambda r: tuple((x is not None, x or 0) for x in r))
+
+
+def with_order_bucket(df: DataFrame, keys: list[str], bounds: list[tuple]) -> DataFrame:
+    """Add ``bucket``, the number of the last bound that is not after the row's keys, and ``opens``: the row has that bound's keys.
+
+    Bounds are looked up in two steps, so a row costs twice the root of their number. Equal keys share a bucket.
     """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count(key)).first()
-    if not n or high == low:
-        return df.withColumn("bucket", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
-    width = max(1, (high - low + 1) * rows_per_bucket // n)
-    return df.withColumn("bucket", F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.floor((F.col(key) - low) / width)).cast("long"))
+    if not bounds:
+        return df.withColumns({"bucket": F.lit(0).cast("long"), "opens": F.lit(False)})
+    step = max(1, int(len(bounds) ** 0.5))
+
+    def listed(rows: list[tuple]) -> Column:  # made from text, which the optimiser folds into one literal; nulls are empty
+        one, two = (f"try_cast(split('{','.join('' if r[i] is None else str(r[i]) for r in rows)}', ',') AS array<bigint>)" for i in (0, 1))
+        return F.expr(f"cast(arrays_zip({one}, {two}) AS array<struct<a: bigint, b: bigint>>)")
+
+    whole, tops = listed(bounds), listed(bounds[::step])
+    key = F.struct(F.col(keys[0]).cast("long").alias("a"), F.col(keys[1]).cast("long").alias("b"))
+    out = df.withColumn("_key", key).withColumn("_top", F.size(F.filter(tops, lambda x: x <= F.col("_key"))))
+    part = F.slice(whole, (F.col("_top") - 1) * step + 1, step)
+    out = out.withColumn("bucket", ((F.col("_top") - 1) * step + F.size(F.filter(part, lambda x: x <= F.col("_key"))) - 1).cast("long"))
+    return out.withColumn("opens", F.get(whole, F.col("bucket").cast("int")).eqNullSafe(F.col("_key"))).drop("_key", "_top")
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = 2_000_000) -> Iterator[tuple[int, int, list[str]]]:

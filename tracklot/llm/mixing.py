@@ -1,10 +1,12 @@
 """Mixing sources to target weights.
 
 Every source's words, documents in doc_id order, form one stream that is cut into blocks of ``block`` words. A source
-gets as many block slots as its target asks for. Those slots fall on output shards by a multinomial draw, so a shard's
-source counts are multinomial around the mixture; a source's j-th slot takes the block at place ``j mod blocks`` of a
-keyed permutation (one key per pass over the source), so no block is taken again before every other one of its source.
-Slots meet documents by (source, block index), a key as even as the blocks themselves, whatever the sources' sizes.
+gets as many block slots as its target asks for. Every output shard of ``SHARD_SLOTS`` slots draws its source counts: they
+are multinomial given what the sources have in all, so targets are met whatever is drawn. A shard finds its draw, and how
+much of each source the shards before it took, by halving the run of shards with a keyed draw until it is alone; no shard
+waits for another. A source's j-th slot takes the block at place ``j mod blocks`` of a keyed permutation (one key per pass
+over the source), so no block is taken again before every other one of its source. Slots meet documents by (source, block
+index), a key as even as the blocks themselves, whatever the sources' sizes.
 """
 
 from __future__ import annotations
@@ -18,15 +20,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklot.llm.common import materialize, shuffle_width, strings, table, with_order_bucket
+from tracklot.llm.common import discard, materialize, order_bounds, shuffle_width, table, text_slices, with_order_bucket
 
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 4096
 SEED = 20_240_601
+#: Documents of a source whose sizes one task sums up.
+BUCKET_ROWS = 2_000
+#: A draw over more slots would be as good as certain: such a run of shards is halved in proportion.
+DRAWN_SLOTS = 100_000_000
+WORDS = 128
+SHARD_SLOTS = 4096
+SEED = 20_240_601
 #: More sources than this are joined by a shuffle, not broadcast.
 BROADCAST_SOURCES = 50_000
+#: More sources than this are joined by a shuffle, not broadcast. The driver holds a few numbers per source.
+BROADCAST_SOURCES = 50_000
 WORDS = "[^\\x20\\x09-\\x0D]+"
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -68,27 +79,48 @@ def permuted(places: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _draws(batches: Iterator[pa.RecordBatch], shards: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """Slots of each source in each shard: (source_id, blocks, shard, first draw, draws)."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            rng = np.random.default_rng([seed, r["source_id"]])
-            counts = rng.multinomial(r["slots"], np.full(shards, 1 / shards))
-            used = np.flatnonzero(counts)
-            first = (np.cumsum(counts) - counts)[used]
-            yield pa.record_batch({"source_id": np.full(len(used), r["source_id"], np.int32), "blocks": np.full(len(used), r["blocks"], np.int64), "shard": used.astype(np.int64), "first": first, "draws": counts[used]})
+def _halved(slots: np.ndarray, take: int, key: tuple[int, ...]) -> np.ndarray:
+    """How many of ``take`` slots are of each source, drawn without replacement from ``slots`` of them."""
+    total = int(slots.sum())
+    if total <= DRAWN_SLOTS:
+        return np.random.default_rng(key).multivariate_hypergeometric(slots, take, method="marginals")
+    exact = [int(n) * take for n in slots]  # Python integers: a product may pass 64 bits
+    out = np.array([x // total for x in exact], np.int64)
+    most = sorted(range(len(exact)), key=lambda i: (-(exact[i] % total), i))[: take - int(out.sum())]
+    out[most] += 1
+    return out
 
 
-def _taken_blocks(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+def shard_counts(slots: np.ndarray, shard: int, size: int = SHARD_SLOTS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(first, counts): a shard's slots of each source, and those of all shards before it."""
+    left, first = np.array(slots, np.int64), np.zeros(len(slots), np.int64)
+    low, high = 0, -(-int(left.sum()) // size)
+    while high - low > 1:
+        middle = (low + high) // 2
+        own = _halved(left, (middle - low) * size, (seed, low, high))
+        if shard < middle:
+            left, high = own, middle
+        else:
+            first, left, low = first + own, left - own, middle
+    return first, left
+
+
+def _taken_blocks(batches: Iterator[pa.RecordBatch], slots: np.ndarray, blocks: np.ndarray, size: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """The slots of each shard in the order in which they stand there."""
     for batch in batches:
-        for r in batch.to_pylist():
-            draw = r["first"] + np.arange(r["draws"])
-            turn, place = np.divmod(draw, r["blocks"])
-            block = np.empty(len(draw), np.int64)
-            for p in np.unique(turn):
-                own = turn == p
-                block[own] = permuted(place[own], r["blocks"], seed * 1_000_003 + r["source_id"] * 64 + int(p))
-            yield pa.record_batch({"shard": np.full(len(draw), r["shard"], np.int64), "slot": draw, "source_id": np.full(len(draw), r["source_id"], np.int32), "block": block, "turn": turn.astype(np.int32)})
+        for shard in batch.column("id").to_pylist():
+            first, counts = shard_counts(slots, shard, size, seed)
+            source, block, turns = [], [], []
+            for s in np.flatnonzero(counts).tolist():
+                turn, place = np.divmod(first[s] + np.arange(counts[s]), blocks[s])
+                own = np.empty(len(place), np.int64)
+                for p in np.unique(turn):
+                    own[turn == p] = permuted(place[turn == p], int(blocks[s]), seed * 1_000_003 + s * 64 + int(p))
+                source.append(np.full(len(place), s, np.int32))
+                block.append(own)
+                turns.append(turn.astype(np.int32))
+            order = np.argsort(permuted(np.arange(counts.sum()), int(counts.sum()), seed + shard))
+            yield pa.record_batch({"shard": np.full(len(order), shard, np.int64), "slot": np.arange(len(order)), "source_id": np.concatenate(source)[order], "block": np.concatenate(block)[order], "turn": np.concatenate(turns)[order]})
 
 
 def n_words(text: Column) -> Column:
@@ -110,22 +142,20 @@ class Mixture:
         slots = [int(g // n) * b + min(b, round(g % n / block)) if n else 0 for g, b, n in zip(goal, blocks, sizes, strict=True)]
         schema = T.StructType.fromDDL("source string, source_id int, source_size long, target double, blocks long, slots long")
         sources = spark.createDataFrame([(r["source"], i, sizes[i], goal[i], blocks[i], slots[i]) for i, r in enumerate(found)], schema)
-        if len(found) <= BROADCAST_SOURCES:
-            sources = F.broadcast(sources)
-        self.sources = sources
-        placed = with_order_bucket(sized, "doc_id", 20_000).join(sources.select(F.col("source").alias("its"), "source_id", "source_size", "target"), F.col("source").eqNullSafe(F.col("its"))).drop("its")
+        self.sources = sources = F.broadcast(sources) if len(found) <= BROADCAST_SOURCES else sources
+        bounds = order_bounds(sized, ["doc_id", "text_hash"], BUCKET_ROWS)
+        placed = with_order_bucket(sized, ["doc_id", "text_hash"], bounds).drop("opens").join(sources.select(F.col("source").alias("its"), "source_id", "source_size", "target"), F.col("source").eqNullSafe(F.col("its"))).drop("its")
         sums = placed.groupBy("source_id", "bucket").agg(F.sum("size").alias("n"))
         before = sums.select("source_id", "bucket", (F.sum("n").over(Window.partitionBy("source_id").orderBy("bucket")) - F.col("n")).alias("before"))
         here = Window.partitionBy("source_id", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, 0)
         within = placed.withColumn("within", F.sum("size").over(here) - F.col("size"))
         started = within.join(before, ["source_id", "bucket"]).select("doc_id", "text_hash", "source_id", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("start"))
         self.docs = materialize(started.withColumn("row", F.monotonically_increasing_id()), "mix-docs")
-        width = shuffle_width(sized)
-        shards = max(1, -(-sum(slots) // SHARD_SLOTS))
-        asked = spark.createDataFrame([(i, blocks[i], slots[i]) for i in range(len(found)) if slots[i]], "source_id int, blocks long, slots long")
-        drawn = asked.repartition(width, "source_id").mapInArrow(lambda b: _draws(b, shards, seed), "source_id int, blocks long, shard long, first long, draws long")
-        #: One row per place of the output: shard, slot, source, block and pass.
-        self.slots = drawn.repartition(width, "shard", "source_id").mapInArrow(lambda b: _taken_blocks(b, seed), "shard long, slot long, source_id int, block long, turn int")
+        discard(sized)
+        shards = -(-sum(slots) // SHARD_SLOTS)
+        shared = spark.sparkContext.broadcast((np.array(slots, np.int64), np.array(blocks, np.int64)))
+        #: One row per place of the output: shard, place in it, source, block and pass.
+        self.slots = spark.range(0, shards, 1, max(1, min(shards, shuffle_width(docs)))).mapInArrow(lambda b: _taken_blocks(b, *shared.value, SHARD_SLOTS, seed), "shard long, slot long, source_id int, block long, turn int")
 
     def overlaps(self) -> DataFrame:
         """Document rows by block: ``low`` and ``words`` of the document that the block holds, ``times`` it is taken."""
@@ -144,55 +174,64 @@ class Mixture:
         return self.docs.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def _passes(words: int, spans: list[dict]) -> Iterator[list[list[int]]]:
+    """The runs of words that each pass over a document's rows takes, in order."""
+    by_row: dict[int, list[dict]] = {}
+    for s in spans:
+        by_row.setdefault(s["row"], []).append(s)
+    for own in by_row.values():
+        own.sort(key=lambda s: s["low"])
+        for turn in range(1, max(s["times"] for s in own) + 1):
+            runs: list[list[int]] = []
+            for s in own:
+                if s["times"] >= turn:
+                    if runs and runs[-1][1] == s["low"]:
+                        runs[-1][1] = s["low"] + s["words"]
+                    else:
+                        runs.append([s["low"], s["low"] + s["words"]])
+            yield runs
+
+
 def _cut(batches: Iterator[pa.RecordBatch], schema: list[str]) -> Iterator[pa.RecordBatch]:
     """Each copy of a document as the words that its pass over the source takes, in order."""
     at_text, at_size = schema.index("text"), schema.index("n_chars") if "n_chars" in schema else None
     for batch in batches:
-        ranges = batch.column("mix_ranges").to_pylist()
-        texts = strings(batch.column("text"))
-        take: list[int] = []
-        cut: list[str] = []
-        for k, (text, spans) in enumerate(zip(texts, ranges, strict=True)):
-            words = [m.span() for m in _WORD.finditer(text)]
-            by_row: dict[int, list[dict]] = {}
-            for s in spans:
-                by_row.setdefault(s["row"], []).append(s)
-            for own in by_row.values():
-                own.sort(key=lambda s: s["low"])
-                for turn in range(1, max(s["times"] for s in own) + 1):
-                    runs: list[list[int]] = []
-                    for s in own:
-                        if s["times"] >= turn:
-                            if runs and runs[-1][1] == s["low"]:
-                                runs[-1][1] = s["low"] + s["words"]
-                            else:
-                                runs.append([s["low"], s["low"] + s["words"]])
-                    whole = runs == [[0, len(words)]]
+        given = batch.select(range(len(schema)))
+        batch = pa.RecordBatch.from_arrays([*given.columns, batch.column(len(schema))], names=[*(f"c{i}" for i in range(len(schema))), "mix_ranges"])
+        for low, high, texts in text_slices(batch, f"c{at_text}"):
+            ranges = batch.column("mix_ranges").slice(low, high - low).to_pylist()
+            take: list[int] = []
+            cut: list[str] = []
+            for k, (text, spans) in enumerate(zip(texts, ranges, strict=True)):
+                words = [m.span() for m in _WORD.finditer(text)]
+                for runs in _passes(len(words), spans):
                     take.append(k)
-                    cut.append(text if whole else "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs))
-        if take:
-            rows = batch.select(schema).take(pa.array(take))
+                    cut.append(text if runs == [[0, len(words)]] else "\n".join(text[words[a][0] : words[b - 1][1]] for a, b in runs))
+            rows = given.slice(low, high - low).take(pa.array(take, pa.int64()))
             columns = rows.columns
-            columns[at_text] = pa.array(cut, rows.schema.field("text").type)
+            columns[at_text] = pa.array(cut, rows.schema.field(at_text).type)
             if at_size is not None:
-                columns[at_size] = pa.array([len(c) for c in cut]).cast(rows.schema.field("n_chars").type)
+                columns[at_size] = pa.array([len(c) for c in cut]).cast(rows.schema.field(at_size).type)
             yield pa.RecordBatch.from_arrays(columns, schema=rows.schema)
 
 
 def mix_documents(docs: DataFrame, block: int = BLOCK_WORDS, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mix as documents with the columns of ``docs``: a row per document and pass, its text the words taken in that pass.
 
-    A document that is taken whole keeps its text as it is; ``n_chars``, where present, follows the text.
+    A document that is taken whole keeps its text as it is; ``n_chars``, where present, follows the text. Null and empty
+    texts, of which nothing can be taken, are not in the mix. Of rows equal in id and text, each is taken for itself, with
+    the other columns of one of them. A null source is one like any other, weighed last; an empty table gives no rows.
     """
     mix = Mixture(docs, block, seed, weights)
     key = ["doc_id", "text_hash"]
-    spans = mix.overlaps().groupBy(*key).agg(F.collect_list(F.struct("row", "low", "words", "times")).alias("mix_ranges"))
+    spans = mix.overlaps().groupBy(*key).agg(F.collect_list(F.struct("row", "low", "words", "times")).alias("mix_ranges")).toDF("mix_doc", "mix_hash", "mix_ranges")
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("its_doc"), F.xxhash64("text").alias("its_hash"))
+    joined = whole.join(spans, F.col("its_doc").eqNullSafe(F.col("mix_doc")) & (F.col("its_hash") == F.col("mix_hash")))
+    # rows that are equal in id and text come back from the ranges of all of them, so one of them is kept
+    if not docs.groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.count("*").alias("n")).where("n > 1 OR k IS NULL").isEmpty():
+        joined = joined.dropDuplicates(["its_doc", "its_hash"])
     names = docs.columns
-    keyed = docs.withColumns({"mix_doc": F.col("doc_id").cast("long"), "mix_hash": F.xxhash64("text")})
-    # rows that are equal in id and text come back from the ranges of all of them, so one of them is joined
-    first = keyed.dropDuplicates(["mix_doc", "mix_hash"]) if "doc_id" in names else keyed
-    joined = first.join(spans, F.col("mix_doc").eqNullSafe(spans["doc_id"]) & (F.col("mix_hash") == spans["text_hash"])).select(*[first[c] for c in names], "mix_ranges")
-    return joined.mapInArrow(lambda b: _cut(b, names), docs.schema)
+    return joined.select("row.*", "mix_ranges").mapInArrow(lambda b: _cut(b, names), docs.schema)
 
 
 def mix_taken(docs: DataFrame, **options) -> DataFrame:
