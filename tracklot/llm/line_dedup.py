@@ -74,9 +74,16 @@ def _spots(keyed: DataFrame) -> DataFrame:
     return rows.select("k", "hash", F.expr("IF(at < pairs, 2 * at, 2 * (at - pairs) + 1)").alias("spot"))
 
 
-def _repeated(spots: DataFrame) -> DataFrame:
-    """(k, found): each document's spots whose hash occurs more than once, as structs of hash, spot and whether it is a later one."""
-    heads = spots.groupBy("hash").agg(F.count("*").alias("times"), F.min("k").alias("first")).where("times > 1").drop("times")
+def _heads(spots: DataFrame) -> DataFrame:
+    """(hash, first): the hashes that occur more than once and their first document, counted before they are dealt out."""
+    return spots.groupBy("hash").agg(F.count("*").alias("times"), F.min("k").alias("first")).where("times > 1").drop("times")
+
+
+def _repeated(spots: DataFrame, heads: DataFrame) -> DataFrame:
+    """(k, found): each document's spots with a head, as structs of hash, spot and whether it is a later one.
+
+    Both sides are tables, so Spark can split the partition of a very common line (its skew join) as far as it takes.
+    """
     lists = spots.join(heads, "hash").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("hash", "spot", (F.col("k") > F.col("first")).alias("later")))).alias("found"))
     # within the first document all but the first spot are later ones
     return lists.select("k", F.expr("transform(found, (x, i) -> struct(x.hash AS hash, x.spot AS spot, x.later OR (i > 0 AND found[greatest(i - 1, 0)].hash = x.hash) AS later))").alias("found"))
@@ -114,8 +121,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     whole, once = _numbered(docs.select(*names))
     spots = materialize(_spots(once), "spots")
-    lists = materialize(_repeated(spots), "repeated")
-    discard(spots)
+    heads = materialize(_heads(spots), "heads")
+    lists = materialize(_repeated(spots, heads), "repeated")
+    discard(spots, heads)
     joined = materialize(whole.join(lists, "k", "left"), "found")
     discard(lists)
 
