@@ -31,3 +31,26 @@ def test_stages_against_brute_force(spark, sf):
         ends[r.sequence_id] += r.length
     assert max(ends.values()) <= 4096
     assert sorted(map(str, corpus_pipeline.run(spark, sf).select("doc_id", "piece", "ids_crc32").collect())) == sorted(str(r) for r in corpus_pipeline.materialize(docs, "x").select("doc_id", "piece", "ids_crc32").collect())
+
+
+def test_stages_take_odd_rows(spark):
+    names = ["lang", "source", "k", "found", "row", "bucket", "low", "words", "kept", "text_hash"]
+    schema = "doc_id long, text string, n_chars int, " + ", ".join(f"{n} string" for n in names)
+    long = " ".join(f"w{i}" for i in range(30_000))
+    plain = " ".join(f"x{i}" for i in range(40))
+    texts = [(1, None), (2, ""), (3, plain), (3, plain), (3, plain + " and more words"), (None, plain), (4, long), (5, "few words")]
+    docs = spark.createDataFrame([(d, t, len(t) if t is not None else None, *[None if i % 2 else "s"] * len(names)) for i, (d, t) in enumerate(texts)], schema)
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, "unused")
+            rows = out.collect()
+            if name != "packing":
+                assert out.schema.names == docs.schema.names and all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+            if name == "quality":
+                assert sorted(str(r.doc_id) for r in rows) == (["3", "3", "3", "4", "None"] if table is docs else [])
+            if name in ("line_dedup", "packing") and table is docs:
+                assert len({(r.doc_id, r.text) if name == "line_dedup" else r.doc_id for r in rows}) >= 6
+            if name == "near_dedup" and table is docs:
+                assert sorted(str(r.doc_id) for r in rows) == ["1", "2", "3", "3", "4", "5"]
+            if name == "mixing":
+                assert all(r.text for r in rows)

@@ -161,7 +161,7 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _groups(docs: DataFrame) -> DataFrame:
-    """``near_duplicates`` with each row's ``text_hash``."""
+    """``near_duplicates`` with each row's ``text_hash``, and whether its id and text are the least of its component (``chosen``)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     signed = materialize(rows.mapInArrow(_sign, "doc_id long, text_hash long, n_shingles long, lo long, hi long, sig binary"), "signed")
     key = ["lo", "hi", "n_shingles"]
@@ -208,13 +208,14 @@ def _groups(docs: DataFrame) -> DataFrame:
 
     final = connected_components(links.union(late).union(searched)).select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     discard(buckets, tried, sets, links, labels, mixed, late, queries, stock)
-    named = classes.join(final, "rep", "left").select(*key, F.col("head_id"), F.coalesce("comp", "rep").alias("comp"))
-    firsts = named.groupBy("comp").agg(F.min("head_id").alias("component_id"), F.min(F.struct(*key)).alias("first"))
-    named = named.join(firsts, "comp").select(*key, "component_id", F.struct(*key).eqNullSafe(F.col("first")).alias("is_first"))
+    named = classes.join(final, "rep", "left").select(*key, "head_id", "head_hash", F.coalesce("comp", "rep").alias("comp"))
+    firsts = named.groupBy("comp").agg(F.min(F.struct(F.col("head_id").isNull().alias("none"), "head_id", "head_hash")).alias("first"))
+    named = named.join(firsts, "comp").select(*key, "first")
     out = signed.drop("sig").join(named, key, "left")
-    component = F.coalesce("component_id", "doc_id")
-    kept = F.when(F.col("component_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("component_id"))).otherwise(F.coalesce("is_first", F.lit(True)))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    chosen = F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.head_id")) & (F.col("text_hash") == F.col("first.head_hash")))
+    component = F.coalesce("first.head_id", "doc_id")
+    kept = F.when(F.col("first.head_id").isNotNull(), F.col("doc_id").eqNullSafe(F.col("first.head_id"))).otherwise(chosen)
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"), chosen.alias("chosen"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -225,15 +226,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id is linked like any other but is never a component's id; in a component without any other, the id is null and
     the rows of one text are kept. An empty table gives no rows.
     """
-    return _groups(docs).drop("text_hash")
+    return _groups(docs).drop("text_hash", "chosen")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each group, with its columns as they were: that of the smallest doc_id, with every row equal to it in id and text.
 
-    What ``near_duplicates`` says of odd rows holds here.
+    Of two linked texts under that id, the one of the lesser hash stays. What ``near_duplicates`` says of odd rows holds here.
     """
-    gone = _groups(docs).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    gone = _groups(docs).where("NOT chosen").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
     left = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("its_id"), F.xxhash64("text").alias("its_hash"))
     return left.join(gone, F.col("its_id").eqNullSafe(F.col("gone_id")) & (F.col("its_hash") == F.col("gone_hash")), "left_anti").select("row.*")
 
