@@ -96,7 +96,7 @@ def test_uuid5_equals_the_library(spark):
 def test_api_page_edges(spark):
     body = '{"items":[{"id":"5","title":"a","brand_dto":{"title":"B"},"status_id":2,"price":{"amount":"1,5","currency_code":"EUR"}},{"id":"x"},{"title":"none"},{"id":6,"brand_title":"C","status":"Neuf","price":null}]}'
     rows = PR.parse_api_pages(spark.createDataFrame([("p", body), ("q", "broken"), ("r", None)], "page string, body string")).collect()
-    assert [(r.listing_id, r.brand, r.condition_label, r.price_amount_cents, r.price_currency) for r in rows] == [(5, "B", "Très bon état", 150, "€"), (6, "C", "Neuf", None, None)]
+    assert [(r.listing_id, r.brand, r.condition_label, r.price_amount_cents, r.price_currency) for r in rows] == [(5, "B", "Neuf sans étiquette", 150, "€"), (6, "C", "Neuf", None, None)]
 
 
 def test_sql_functions_and_table_function(spark):
@@ -150,3 +150,47 @@ def test_presence_stream_ignores_late_rows(spark):
         spark.createDataFrame(rows, cols).coalesce(1).write.mode("append").parquet(path)
     r = streams.presence_available(streams.stream_lake(spark, path, 1)).first()
     assert r.observation_count + r.late_rows == 3 and r.observation_count >= 2
+
+
+def test_condition_names_and_amounts_with_blanks(spark):
+    rows = spark.createDataFrame([(i, a) for i, a in zip(range(1, 8), ["1 250,00", "12.50", " 3 ", "x", None, "7,5", "1,250.00"], strict=True)], "i int, a string")
+    got = rows.select(X.resolve_condition(F.lit(""), "i").alias("c"), X.price_to_cents("a").alias("p")).collect()
+    assert [r.c for r in got] == ["Neuf avec étiquette", "Neuf sans étiquette", "Très bon état", "Bon état", "Satisfaisant", "Mauvais état", None]
+    assert [r.p for r in got] == [125_000, 1250, 300, None, None, 750, None]
+
+
+def test_probe_pages(spark):
+    page = lambda i=7, b="true", c="false", h="false", r="false": f'<p>x</p>\\"item_id\\":{i},"y":0,"can_buy":{b},"is_closed":{c},"is_hidden":{h},"is_reserved":{r}'
+    cases = [
+        (page(), 200, "active", "buy_signal_open"), (page(b="false", c="true"), 200, "sold", "buy_signal_closed"), (page(b="true", c="true"), 200, "unknown", "buy_signal_ambiguous"),
+        (page(b="false", r="true"), 200, "unavailable", "buy_signal_unavailable"), (page(h="true"), 200, "unavailable", "buy_signal_unavailable"), (page(i=8), 200, "unknown", "item_id_mismatch"),
+        ("cloudflare " + page(), 200, "active", "buy_signal_open"), ("Turnstile", 200, "unknown", "anti_bot_challenge"), ("plain", 200, "unknown", "buy_signal_not_found"), (None, 200, "unknown", "buy_signal_not_found"),
+        (page(), 404, "deleted", "http_404"), (page(), 410, "deleted", "http_410"), ("", 403, "unknown", "anti_bot_challenge"), ("captcha", 400, "unknown", "anti_bot_challenge"), ("", 418, "unknown", "unexpected_http_418"),
+        ("", 502, "unknown", "http_502"), (page(), None, "unknown", "no_response_status"),
+    ]
+    rows = PR.classify_probe_pages(spark.createDataFrame([(k, 7, h, s) for k, (h, s, _, _) in enumerate(cases)], "k int, listing_id long, html string, status int")).orderBy("k").collect()
+    assert [(r.probe_outcome, r.reason) for r in rows] == [c[2:] for c in cases]
+    assert rows[7].challenge_markers == ["turnstile"] and rows[6].challenge_markers is None
+
+
+def test_degraded_and_challenge_flags(spark):
+    p = spark.createDataFrame([("http_500", None, 200), ("unexpected_http_418", "", 418), ("probe_exception", "", None), ("anti_bot_challenge", None, 200), ("buy_signal_open", "", 200), (None, None, None), ("x", "timeout", 200), ("x", None, 429), ("x", None, 503)], "r string, e string, s int")
+    assert [r[0] for r in p.select(X.probe_is_degraded("r", "e", "s")).collect()] == [True, True, True, True, False, False, True, True, True]
+    m = spark.createDataFrame([("Just a Moment...", 200), ("page __cf_chl_x", 200), ("Attention Required!", None), ("forbidden", 200), (None, 403), (None, None), ("", 429)], "m string, s int")
+    assert [r[0] for r in m.select(X.scan_is_challenge("s", "m")).collect()] == [True, True, True, False, True, False, True]
+
+
+def test_html_cards_equal_the_table_function(spark):
+    html = """<div><a href="https://shop.example/items/5-x?q=1" title="Robe, brand: B, état: bon"><p data-testid="i-subtitle">M · bon</p><b>1 250,50 €</b></a><a href='/items/6' title='No price, x'>y</a><a href="/other">z</a><a\nhref="/items/7" title="In title 3,00 €">\n</a></div>"""
+    rows = [tuple(r) for r in PR.parse_html_pages(spark.createDataFrame([(html,), (None,), ("",)], "html string")).collect()]
+    plain = list(PR.card_rows(html))
+    assert [r[0] for r in rows] == [p[0] for p in plain] == [5, 6, 7] and [r[1] for r in rows] == [p[1] for p in plain]
+    assert [r[6] for r in rows] == [125_050, None, 300] and rows[0][2:6] == ("Robe", "B", "M", "bon")
+
+
+def test_catalog_trees_of_any_depth(spark):
+    body = '{"id":9,"title":"t9"}'
+    for i in range(8, 0, -1):
+        body = f'{{"id":{i},"title":"t{i}","catalogs":[{body}]}}'
+    rows = PR.flatten_catalog_tree(spark.createDataFrame([(f"[{body}]",)], "body string")).orderBy("id").collect()
+    assert [(r.id, r.depth, r.is_leaf) for r in rows] == [(i, i - 1, i == 9) for i in range(1, 10)] and rows[8].path.count(" > ") == 8

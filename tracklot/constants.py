@@ -19,9 +19,11 @@ PEER_CONTEXTS = (
     ("root_condition", 10, ("root_title", "condition_label")),
     ("root", 20, ("root_title",)),
 )
-CONDITIONS = {6: "Neuf avec étiquette", 1: "Neuf sans étiquette", 2: "Très bon état", 3: "Bon état", 4: "Satisfaisant"}
+CONDITIONS = {1: "Neuf avec étiquette", 2: "Neuf sans étiquette", 3: "Très bon état", 4: "Bon état", 5: "Satisfaisant", 6: "Mauvais état"}
 CURRENCY_SYMBOLS = {"EUR": "€", "GBP": "£", "USD": "$"}
-CHALLENGE_MARKERS = ("just a moment", "cf-challenge", "captcha", "attention required", "cloudflare")
+# Signs of a challenge in a page, and in a scan's error message.
+CHALLENGE_MARKERS = ("just a moment", "attention required", "turnstile", "cf-chl", "challenge-platform", "verify you are human", "captcha", "cloudflare")
+SCAN_MARKERS = ("captcha", "challenge", "turnstile", "cloudflare", "attention required", "just a moment", "__cf_chl")
 FACT_DAYS, ROLLUP_DAYS = 730, 3650
 #: Fields whose presence makes up a listing's signal.
 SIGNAL_FIELDS = ("title", "brand", "size_label", "condition_label", "price_amount_cents", "total_price_amount_cents", "image_url")

@@ -102,8 +102,8 @@ def currency_symbol(code: Column | str) -> Column:
 
 
 def price_to_cents(amount: Column | str) -> Column:
-    """Cents of a decimal amount in text, comma or point."""
-    return F.round(F.replace(col(amount), F.lit(","), F.lit(".")).try_cast("double") * 100).cast("long")
+    """Cents of a decimal amount in text, comma or point, blanks between thousands left out; null if it is no number."""
+    return F.round(F.translate(col(amount), ", ", ".").try_cast("double") * 100).cast("long")
 
 
 def resolve_condition(status: Column | str, status_id: Column | str) -> Column:
@@ -132,13 +132,19 @@ def challenge_markers(html: Column | str) -> Column:
 
 
 def scan_is_challenge(status: Column | str, message: Column | str) -> Column:
-    marker = F.lower(F.coalesce(col(message), F.lit(""))).rlike("challenge|captcha|cloudflare|blocked|forbidden")
+    """A blocking status, or a message with a sign of a challenge."""
+    text = F.lower(F.coalesce(col(message), F.lit("")))
+    marker = F.lit(False)
+    for m in C.SCAN_MARKERS:
+        marker = marker | F.contains(text, F.lit(m))
     return F.coalesce(col(status).isin(403, 429), F.lit(False)) | marker
 
 
 def probe_is_degraded(reason: Column | str, error: Column | str, status: Column | str) -> Column:
-    s = col(status)
-    return col(error).isNotNull() | F.coalesce(s.isin(403, 429) | (s >= 500), F.lit(False)) | F.coalesce(col(reason).rlike("challenge|anti_bot"), F.lit(False))
+    """A challenge, an exception, any unexpected HTTP answer, an error message that is not empty, or a blocking or failing status."""
+    why, s = F.coalesce(col(reason), F.lit("")), col(status)
+    named = why.isin("anti_bot_challenge", "probe_exception") | why.startswith("unexpected_http_") | why.startswith("http_")
+    return named | (F.coalesce(col(error), F.lit("")) != "") | F.coalesce(s.isin(403, 429) | (s >= 500), F.lit(False))
 
 
 def in_window(ts: Column | str, start, end) -> Column:

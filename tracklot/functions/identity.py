@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed value: the name space of derived ids.
-NAMESPACE = uuid.NAMESPACE_URL
+NAMESPACE = uuid.UUID("7b5ca7b1-1ed1-4a2b-bd35-6e5e31b2b8b9")
 SECRET_KEYS = "(?i)(password|passwd|secret|token|api_?key|cookie|authorization|credential)"
 
 

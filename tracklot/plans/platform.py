@@ -19,15 +19,15 @@ from tracklot.sources import parse as PR
 from tracklot.sources import standin as D
 from tracklot.streaming import streams as ST
 
-DEGRADED = "(error_message IS NOT NULL OR response_status IN (403, 429) OR response_status >= 500 OR regexp_matches(reason, 'challenge|anti_bot'))"
+DEGRADED = "(coalesce(error_message, '') <> '' OR coalesce(response_status IN (403, 429) OR response_status >= 500, false) OR coalesce(reason IN ('anti_bot_challenge', 'probe_exception') OR starts_with(reason, 'unexpected_http_') OR starts_with(reason, 'http_'), false))"
 
 
-@query("src_lake_round_trip", sql="SELECT event_id, listing_id, day AS occurred_on FROM sightings WHERE day BETWEEN DATE '1999-01-01' AND DATE '1999-03-31'")
+@query("src_lake_round_trip", sql="SELECT event_id, listing_id, day AS occurred_on FROM sightings")
 def _(spark, d):
     root = ST.folder(spark, "lake")
-    s = D.sightings(spark, d).where("observed_at >= '1999-01-01' AND observed_at < '1999-07-01'").select("event_id", "listing_id", "observed_at", F.struct("title", "brand").alias("card"))
+    s = D.sightings(spark, d).select("event_id", "listing_id", "observed_at", F.struct("title", "brand").alias("card"))
     L.write_lake(s.repartition(F.month("observed_at")), root, "sightings", "observed_at")
-    return L.read_lake(spark, root, "sightings", "1999-01-01", "1999-03-31").select("event_id", "listing_id", "occurred_on")
+    return L.read_lake(spark, root, "sightings").select("event_id", "listing_id", "occurred_on")
 
 
 @query("src_export_sightings", P.CARDS, sql="SELECT s.event_id, coalesce(s.title, c.title) AS title, coalesce(s.brand, c.brand) AS brand, coalesce(s.price_amount_cents, c.price_amount_cents) AS price_amount_cents, sc.fetched_at, sc.success FROM sightings s LEFT JOIN cards c USING (listing_id) LEFT JOIN scans sc ON sc.catalog_id = s.catalog_id AND sc.run_id = s.run_id")
@@ -145,12 +145,26 @@ def _(spark, d):
     return PR.parse_html_pages(D.read(spark, d, "part").select(html.alias("html"))).select("listing_id", "title", "brand", "canonical_url", "price_amount_cents")
 
 
-@query("prs_classify_probe_pages", sql="SELECT event_id, CASE event_type WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'unknown' ELSE 'deleted' END WHEN 'purchase' THEN 'sold' WHEN 'signup' THEN 'unavailable' ELSE 'active' END AS probe_outcome FROM events")
+#: One page per event: its flags, own id, markers and status follow from the event's number.
+_PAGE = (
+    "event_id", "event_id % 2 = 0 AS can_buy", "event_id % 3 = 0 AS is_closed", "event_id % 5 = 0 AS is_hidden", "event_id % 7 = 0 AS is_reserved", "event_id % 11 = 0 AS other", "event_id % 13 = 0 AS bare", "event_id % 4 = 1 AS marked",
+    "CASE event_id % 17 WHEN 0 THEN 404 WHEN 1 THEN 503 WHEN 2 THEN 403 WHEN 3 THEN 418 WHEN 4 THEN NULL ELSE 200 END AS status",
+)
+_OPEN, _SOLD, _GONE = "can_buy AND NOT is_closed AND NOT is_hidden", "is_closed AND NOT can_buy", "is_hidden OR is_reserved OR NOT can_buy"
+
+
+@query("prs_classify_probe_pages", sql=f"""SELECT event_id, probe_outcome, reason, reason = 'anti_bot_challenge' OR (status IS NULL AND marked) AS has_markers FROM (SELECT *,
+  CASE WHEN status = 404 THEN 'deleted' WHEN status IS NULL OR status >= 400 OR bare OR other THEN 'unknown' WHEN {_OPEN} THEN 'active' WHEN {_SOLD} THEN 'sold' WHEN {_GONE} THEN 'unavailable' ELSE 'unknown' END AS probe_outcome,
+  CASE WHEN status IN (404, 503) THEN 'http_' || status WHEN status IS NULL THEN 'no_response_status' WHEN status = 403 OR marked AND (status = 418 OR bare) THEN 'anti_bot_challenge' WHEN status = 418 THEN 'unexpected_http_418'
+  WHEN bare THEN 'buy_signal_not_found' WHEN other THEN 'item_id_mismatch' WHEN {_OPEN} THEN 'buy_signal_open' WHEN {_SOLD} THEN 'buy_signal_closed' WHEN {_GONE} THEN 'buy_signal_unavailable' ELSE 'buy_signal_ambiguous' END AS reason
+  FROM (SELECT {", ".join(_PAGE)} FROM events))""")
 def _(spark, d):
-    e = D.read(spark, d, "events")
-    html = F.concat(F.lit('{"is_closed": '), (F.col("event_type") == "purchase").cast("string"), F.lit(', "is_hidden": '), (F.col("event_type") == "signup").cast("string"), F.lit(', "can_buy": true}'))
-    status = F.when(F.col("event_type") == "error", F.when(F.col("event_id") % 2 == 0, 403).otherwise(404)).otherwise(200)
-    return PR.classify_probe_pages(e.select("event_id", html.alias("html"), status.alias("status"))).select("event_id", "probe_outcome")
+    quoted = lambda name, value: F.concat(F.lit(f'\\"{name}\\":'), value.cast("string"))
+    own = F.when(F.col("other"), F.col("event_id") + 1).otherwise(F.col("event_id"))
+    signal = F.concat(quoted("item_id", own), F.lit(',"x":1,'), F.concat_ws(",", *[quoted(n, F.col(n)) for n in ("can_buy", "is_closed", "is_hidden", "is_reserved")]))
+    html = F.concat(F.when(F.col("marked"), "<p>Just a Moment</p>").otherwise("<p>hello</p>"), F.when(F.col("bare"), "").otherwise(signal))
+    pages = D.read(spark, d, "events").selectExpr(*_PAGE).select("event_id", F.col("event_id").alias("listing_id"), "status", html.alias("html"))
+    return PR.classify_probe_pages(pages).select("event_id", "probe_outcome", "reason", F.col("challenge_markers").isNotNull().alias("has_markers"))
 
 
 @query("prs_catalog_tree", sql="SELECT r_regionkey AS id, NULL AS parent_id, r_regionkey AS root_id, r_name AS path, 0 AS depth, false AS is_leaf FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 100 + n_nationkey, n_regionkey, n_regionkey, r_name || ' > ' || n_name, 1, true FROM nation JOIN region ON n_regionkey = r_regionkey")
