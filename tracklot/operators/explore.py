@@ -6,37 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklot import constants as C
-from tracklot.functions.columns import filter_listings, is_sold_like, price_band_label, search_listings, state_label
+from tracklot.functions.columns import filter_listings, is_sold_like, price_band, price_band_label, safe_ratio, search_listings, state_label
 from tracklot.operators.state import state_counts
 
 LENSES = ("category", "brand", "price_band", "condition", "sold_state")
 
 
-def _lens_rows(df: DataFrame) -> DataFrame:
-    """Every listing once per lens, as (lens, value, label): one scan and one aggregate serve all lenses."""
+def _lens_rows(df: DataFrame, bands: tuple[int, int]) -> DataFrame:
+    """Every listing once per lens, as (lens, value, label): one scan and one aggregate serve all lenses.
+
+    Codes and labels of price bands come from the same limits, whatever code the rows carry.
+    """
     text = lambda c: F.col(c).cast("string")
     entry = lambda lens, value, label: F.struct(F.lit(lens).alias("lens"), value.alias("value"), label.alias("label"))
     return df.withColumn("_l", F.explode(F.array(
         entry("category", text("catalog_id"), F.col("catalog_path")),
         entry("brand", F.coalesce("brand", F.lit("unknown-brand")), F.coalesce("brand", F.lit("Unknown brand"))),
-        entry("price_band", F.col("price_band_code"), price_band_label("price_amount_cents")),
+        entry("price_band", price_band("price_amount_cents", bands), price_band_label("price_amount_cents", bands)),
         entry("condition", F.coalesce("condition_label", F.lit("unknown-condition")), F.coalesce("condition_label", F.lit("Unknown condition"))),
         entry("sold_state", F.col("state_code"), state_label("state_code")),
     ))).select("*", "_l.lens", "_l.value", "_l.label").drop("_l")
 
 
-def compare_all(df: DataFrame, limit: int = C.COMPARISON_LIMIT, threshold: int = C.SUPPORT_THRESHOLD) -> DataFrame:
-    """Support, share, price, sold-like and honesty counts of each lens's largest values."""
-    rows = _lens_rows(df).groupBy("lens", "value", "label").agg(
+def compare_all(df: DataFrame, limit: int = C.COMPARISON_LIMIT, threshold: int = C.SUPPORT_THRESHOLD, bands: tuple[int, int] = C.PRICE_BAND_CENTS) -> DataFrame:
+    """Support, share, mean price, states, sold-like and honesty counts of each lens's largest values."""
+    rows = _lens_rows(df, bands).groupBy("lens", "value", "label").agg(
         F.count("*").alias("support"), F.sum("price_amount_cents").alias("price_sum"), F.count("price_amount_cents").alias("priced"),
         F.count_if(is_sold_like("state_code")).alias("sold_like"), F.count_if(F.col("basis_kind") == "inferred").alias("inferred"),
         F.count_if("thin_signal").alias("thin_signal"), F.count_if("has_estimated_publication").alias("estimated_publication"),
+        *[F.count_if(F.col("state_code") == s).alias(s) for s in C.STATES],
     )
     share = F.col("support") / F.sum("support").over(Window.partitionBy("lens"))
     rank = F.row_number().over(Window.partitionBy("lens").orderBy(F.desc("support"), "label", "value"))
     out = rows.withColumns({"share": share, "rank": rank}).where(F.col("rank") <= limit)
     best = F.max("support").over(Window.partitionBy("lens"))
     return out.withColumns({
+        "mean_price": safe_ratio("price_sum", "priced"),
         "sold_like_rate": F.col("sold_like") / F.col("support"),
         "low_support": F.col("support") < threshold,
         "lens_status": F.when(best >= threshold, "ok").otherwise("thin"),
@@ -44,16 +49,16 @@ def compare_all(df: DataFrame, limit: int = C.COMPARISON_LIMIT, threshold: int =
     })
 
 
-def compare_by(df: DataFrame, lens: str, limit: int = C.COMPARISON_LIMIT, threshold: int = C.SUPPORT_THRESHOLD) -> DataFrame:
+def compare_by(df: DataFrame, lens: str, limit: int = C.COMPARISON_LIMIT, threshold: int = C.SUPPORT_THRESHOLD, bands: tuple[int, int] = C.PRICE_BAND_CENTS) -> DataFrame:
     if lens not in LENSES:
         raise ValueError(f"lens must be one of {', '.join(LENSES)}")
-    return compare_all(df, limit, threshold).where(F.col("lens") == lens)
+    return compare_all(df, limit, threshold, bands).where(F.col("lens") == lens)
 
 
-def facet_options(df: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+def facet_options(df: DataFrame, limits: dict[str, int] | None = None, bands: tuple[int, int] = C.PRICE_BAND_CENTS) -> DataFrame:
     """Values of each facet with counts; catalogs are cut at 80 and brands at 40."""
     limits = limits or {"category": 80, "brand": 40}
-    counts = _lens_rows(df).groupBy("lens", "value", "label").agg(F.count("*").alias("listings"))
+    counts = _lens_rows(df, bands).groupBy("lens", "value", "label").agg(F.count("*").alias("listings"))
     rank = F.row_number().over(Window.partitionBy("lens").orderBy(F.desc("listings"), "label", "value"))
     most = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("lens")), F.lit(2**31 - 1))
     return counts.withColumn("rank", rank).where(F.col("rank") <= most)

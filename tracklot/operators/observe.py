@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,28 +98,40 @@ def history_summaries(obs: DataFrame, cards: DataFrame, now) -> DataFrame:
 def follow_up_misses(summary: DataFrame, obs: DataFrame, scans: DataFrame) -> DataFrame:
     """Successful later scan runs of a listing's own catalog that did not contain it, and the last of them.
 
-    No range join: a catalog's scan times are one sorted array (one entry per run), so a listing counts those after its
-    last sighting by itself; runs that did contain it are taken off by an equi join.
+    No range join: per catalog and day there is one row with the runs of that day and how many come after it, so a listing
+    meets its last day by an equi join and never a catalog's whole history. Runs that did contain it are taken off. Only
+    where one of those is the catalog's latest run is the latest missed one looked for run by run.
     """
     runs = scans.where("success").groupBy("catalog_id", "run_id").agg(F.max("fetched_at").alias("fetched_at"))
-    times = runs.groupBy("catalog_id").agg(F.sort_array(F.collect_list(F.struct("fetched_at", "run_id"))).alias("runs"))
-    keyed = summary.select("listing_id", "catalog_id", "last_seen_at")
+    keyed = summary.select("listing_id", "catalog_id", "last_seen_at", F.to_date("last_seen_at").alias("day"))
+    by_day = runs.groupBy("catalog_id", F.to_date("fetched_at").alias("day")).agg(F.collect_list("fetched_at").alias("times"), F.count("*").alias("n"))
+    days = keyed.select("catalog_id", "day").distinct().join(by_day, ["catalog_id", "day"], "full")
+    later = Window.partitionBy("catalog_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)  # one row per catalog and day
+    days = days.withColumn("after", F.coalesce(F.sum("n").over(later), F.lit(0)))
+    latest = runs.groupBy("catalog_id").agg(F.max_by("run_id", F.struct("fetched_at", "run_id")).alias("latest_run"), F.max("fetched_at").alias("latest_at"))
     own = obs.select("listing_id", "run_id").join(keyed, "listing_id").join(runs, ["catalog_id", "run_id"]).where(F.col("fetched_at") > F.col("last_seen_at"))
     own = own.groupBy("listing_id").agg(F.collect_set("run_id").alias("own"))
-    held = keyed.join(times, "catalog_id", "left").join(own, "listing_id", "left")
-    missed = F.expr("filter(coalesce(runs, array()), r -> r.fetched_at > last_seen_at AND NOT coalesce(array_contains(own, r.run_id), false))")
-    held = held.withColumn("missed", missed)
-    return held.select("listing_id", F.size("missed").cast("long").alias("follow_up_miss_count"), F.array_max(F.transform("missed", lambda r: r["fetched_at"])).alias("latest_miss_at"))
+    held = keyed.join(days, ["catalog_id", "day"], "left").join(latest, "catalog_id", "left").join(own, "listing_id", "left")
+    same_day = F.size(F.filter(F.coalesce("times", F.array().cast("array<timestamp>")), lambda t: t > F.col("last_seen_at")))
+    held = held.withColumn("n_missed", (F.coalesce("after", F.lit(0)) + same_day - F.coalesce(F.size("own"), F.lit(0))).cast("long"))
+    held = held.withColumn("has_latest", F.coalesce(F.array_contains("own", F.col("latest_run")), F.lit(False)))
+    odd = held.where("n_missed > 0 AND has_latest").select("listing_id", "catalog_id", "last_seen_at", "own").join(runs, "catalog_id").where("fetched_at > last_seen_at AND NOT array_contains(own, run_id)")
+    odd = odd.groupBy("listing_id").agg(F.max("fetched_at").alias("odd_at"))
+    at = F.when(F.col("n_missed") > 0, F.when(F.col("has_latest"), F.col("odd_at")).otherwise(F.col("latest_at")))
+    return held.join(odd, "listing_id", "left").select("listing_id", F.col("n_missed").alias("follow_up_miss_count"), at.alias("latest_miss_at"))
 
 
 def derive_scan_runs(s: DataFrame) -> DataFrame:
     return s.groupBy("catalog_id", "run_id").agg(F.max("observed_at").alias("fetched_at"), F.count_distinct("listing_id").alias("listing_count"))
 
 
-def state_inputs(s: DataFrame, scans: DataFrame, probes: DataFrame, now) -> DataFrame:
-    """Everything a listing's classification looks at, one row per listing."""
-    obs = fold_observations(s)
-    summary = history_summaries(obs, latest_cards(s), now)
+def state_inputs(s: DataFrame, scans: DataFrame, probes: DataFrame, now, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """Everything a listing's classification looks at, one row per listing.
+
+    ``keep`` may write the tables that are read more than once: observations, scans, histories.
+    """
+    obs, scans = keep(fold_observations(s), "observations"), keep(scans, "scans")
+    summary = keep(history_summaries(obs, latest_cards(s), now), "histories")
     misses = follow_up_misses(summary, obs, scans)
     last_scan = scans.where("success").groupBy("catalog_id").agg(F.max_by("run_id", F.struct("fetched_at", "run_id")).alias("latest_primary_scan_run_id"))
     probe = latest_by(probes, ["listing_id"], [F.desc("probed_at"), F.desc("probe_id")]).select("listing_id", "probe_outcome", "probed_at", F.col("response_status").alias("probe_status"))

@@ -15,6 +15,7 @@ from tracklot.operators import score as SC
 from tracklot.operators import state as ST
 from tracklot.plans import prelude as P
 from tracklot.sources import standin as D
+from tracklot.sources.scratch import materialize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,8 +31,15 @@ def query(name: str, *parts: str, sql: str | None = None):
     return keep
 
 
+def inputs(spark: SparkSession, d: str) -> DataFrame:
+    """State inputs; sightings and their fold are tables, read by each of its parts."""
+    s = materialize(D.sightings(spark, d), "sightings")
+    return O.state_inputs(s, D.scans(spark, d, s), D.probes(spark, d), D.NOW, keep=materialize)
+
+
 def snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return ST.classified_snapshot(O.state_inputs(D.sightings(spark, d), D.scans(spark, d), D.probes(spark, d), D.NOW), D.NOW, D.BANDS)
+    """The classified snapshot as a table, for as many questions as a query asks of it."""
+    return materialize(ST.classified_snapshot(inputs(spark, d), D.NOW, D.BANDS), "snapshot")
 
 
 def scores(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +47,8 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
-    return CH.event_log(D.sightings(spark, d), D.scans(spark, d), D.probes(spark, d))
+    s = materialize(D.sightings(spark, d), "sightings")
+    return CH.event_log(s, D.scans(spark, d, s), D.probes(spark, d))
 
 
 @query("prj_price_band", sql="SELECT event_id, CASE WHEN price_amount_cents IS NULL THEN 'unknown' WHEN price_amount_cents < 139500 THEN 'under' WHEN price_amount_cents < 312400 THEN 'middle' ELSE 'over' END AS band, CASE WHEN price_amount_cents IS NULL THEN 3 WHEN price_amount_cents < 139500 THEN 0 WHEN price_amount_cents < 312400 THEN 1 ELSE 2 END AS band_order FROM sightings")
@@ -100,14 +109,14 @@ def _(spark, d):
 
 @query("obs_follow_up_misses", P.OBS, P.CARDS, P.INPUTS, sql="SELECT listing_id, follow_up_miss_count, latest_miss_at FROM inputs")
 def _(spark, d):
-    s = D.sightings(spark, d)
-    obs = O.fold_observations(s)
-    return O.follow_up_misses(O.history_summaries(obs, O.latest_cards(s), D.NOW), obs, D.scans(spark, d))
+    s = materialize(D.sightings(spark, d), "sightings")
+    obs = materialize(O.fold_observations(s), "observations")
+    return O.follow_up_misses(O.history_summaries(obs, O.latest_cards(s), D.NOW), obs, D.scans(spark, d, s))
 
 
 @query("obs_state_inputs", P.OBS, P.CARDS, P.INPUTS, sql="SELECT listing_id, follow_up_miss_count, latest_primary_scan_run_id, seen_in_latest_primary_scan, probe_outcome, probed_at, probe_status FROM inputs")
 def _(spark, d):
-    return O.state_inputs(D.sightings(spark, d), D.scans(spark, d), D.probes(spark, d), D.NOW).select("listing_id", "follow_up_miss_count", "latest_primary_scan_run_id", "seen_in_latest_primary_scan", "probe_outcome", "probed_at", "probe_status")
+    return inputs(spark, d).select("listing_id", "follow_up_miss_count", "latest_primary_scan_run_id", "seen_in_latest_primary_scan", "probe_outcome", "probed_at", "probe_status")
 
 
 STATE = (P.OBS, P.CARDS, P.INPUTS, P.SNAPSHOT)
@@ -144,7 +153,7 @@ def _(spark, d):
 
 @query("srt_probe_targets", *STATE, sql="SELECT listing_id, follow_up_miss_count, observation_count FROM inputs WHERE (probed_at IS NULL OR probed_at < last_seen_at) AND (follow_up_miss_count > 0 OR observation_count = 1) ORDER BY follow_up_miss_count DESC, observation_count = 1 DESC, last_seen_age_hours, signal_completeness DESC, listing_id LIMIT 40")
 def _(spark, d):
-    return O.probe_targets(O.state_inputs(D.sightings(spark, d), D.scans(spark, d), D.probes(spark, d), D.NOW), 40).select("listing_id", "follow_up_miss_count", "observation_count")
+    return O.probe_targets(inputs(spark, d), 40).select("listing_id", "follow_up_miss_count", "observation_count")
 
 
 @query("score_demand", *STATE, P.DEMAND, sql="SELECT listing_id, demand_score FROM demand")
@@ -177,25 +186,29 @@ def _(spark, d):
 
 _LENSES = """SELECT 'category' AS lens, CAST(catalog_id AS VARCHAR) AS value, catalog_path AS label, * FROM snapshot
   UNION ALL SELECT 'brand', coalesce(brand, 'unknown-brand'), coalesce(brand, 'Unknown brand'), * FROM snapshot
-  UNION ALL SELECT 'price_band', price_band_code, CASE price_band_code WHEN 'under' THEN '< 20' WHEN 'middle' THEN '20-39' WHEN 'over' THEN '>= 40' ELSE 'no price' END, * FROM snapshot
+  UNION ALL SELECT 'price_band', price_band_code, CASE price_band_code WHEN 'under' THEN '< 1395' WHEN 'middle' THEN '1395-3123' WHEN 'over' THEN '>= 3124' ELSE 'no price' END, * FROM snapshot
   UNION ALL SELECT 'condition', coalesce(condition_label, 'unknown-condition'), coalesce(condition_label, 'Unknown condition'), * FROM snapshot
-  UNION ALL SELECT 'sold_state', state_code, state_code, * FROM snapshot"""
+  UNION ALL SELECT 'sold_state', state_code, CASE state_code WHEN 'active' THEN 'Active' WHEN 'sold_observed' THEN 'Sold Observed' WHEN 'sold_probable' THEN 'Sold Probable' WHEN 'unavailable_non_conclusive' THEN 'Unavailable Non Conclusive' WHEN 'deleted' THEN 'Deleted' ELSE 'Unknown' END, * FROM snapshot"""
+_COMPARED = "lens, value, label, support, share, mean_price, price_sum, priced, sold_like, sold_like_rate, inferred, thin_signal, estimated_publication, low_support, lens_status, drilldown, rank, " + ", ".join(C.STATES)
+
+
+@query("exp_comparisons", *STATE, sql=f"""SELECT {_COMPARED} FROM (
+  SELECT *, CAST(support AS DOUBLE) / sum(support) OVER (PARTITION BY lens) AS share, CAST(price_sum AS DOUBLE) / nullif(priced, 0) AS mean_price, CAST(sold_like AS DOUBLE) / support AS sold_like_rate, support < 3 AS low_support, lens || '=' || value AS drilldown,
+    CASE WHEN max(support) OVER (PARTITION BY lens) >= 3 THEN 'ok' ELSE 'thin' END AS lens_status, row_number() OVER (PARTITION BY lens ORDER BY support DESC, label, value) AS rank FROM (
+  SELECT lens, value, label, count(*) AS support, count(*) FILTER (WHERE sold_like) AS sold_like, sum(price_amount_cents)::BIGINT AS price_sum, count(price_amount_cents) AS priced, count(*) FILTER (WHERE basis_kind = 'inferred') AS inferred, count(*) FILTER (WHERE thin_signal) AS thin_signal, count(*) FILTER (WHERE has_estimated_publication) AS estimated_publication,
+    {", ".join(f"count(*) FILTER (WHERE state_code = '{x}') AS {x}" for x in C.STATES)} FROM ({_LENSES}) GROUP BY lens, value, label)) WHERE rank <= 6""")
+def _(spark, d):
+    return E.compare_all(snapshot(spark, d), bands=D.BANDS).select(*_COMPARED.split(", "))
 
 
-@query("exp_comparisons", *STATE, sql=f"""SELECT lens, value, support, share, sold_like, sold_like_rate, price_sum, priced, inferred, thin_signal, estimated_publication, low_support FROM (
-  SELECT *, CAST(support AS DOUBLE) / sum(support) OVER (PARTITION BY lens) AS share, CAST(sold_like AS DOUBLE) / support AS sold_like_rate, support < 3 AS low_support, row_number() OVER (PARTITION BY lens ORDER BY support DESC, label, value) AS rank FROM (
-  SELECT lens, value, max(label) AS label, count(*) AS support, count(*) FILTER (WHERE sold_like) AS sold_like, sum(price_amount_cents)::BIGINT AS price_sum, count(price_amount_cents) AS priced, count(*) FILTER (WHERE basis_kind = 'inferred') AS inferred, count(*) FILTER (WHERE thin_signal) AS thin_signal, count(*) FILTER (WHERE has_estimated_publication) AS estimated_publication
-  FROM ({_LENSES}) GROUP BY lens, value)) WHERE rank <= 60""")
+@query("exp_compare_by", *STATE, sql=f"SELECT value, label, support, row_number() OVER (ORDER BY support DESC, label, value) AS rank FROM (SELECT value, label, count(*) AS support FROM ({_LENSES}) WHERE lens = 'brand' GROUP BY value, label) ORDER BY rank LIMIT 60")
 def _(spark, d):
-    # labels of the price lens follow the default bands here, so values are compared
-    out = snapshot(spark, d).withColumn("_", F.lit(0))
-    rows = E.compare_all(out, limit=60).groupBy("lens", "value").agg(F.sum("support").alias("support"), F.sum("sold_like").alias("sold_like"), F.sum("price_sum").alias("price_sum"), F.sum("priced").alias("priced"), F.sum("inferred").alias("inferred"), F.sum("thin_signal").alias("thin_signal"), F.sum("estimated_publication").alias("estimated_publication"), F.sum("share").alias("share"))
-    return rows.select("*", (F.col("sold_like") / F.col("support")).alias("sold_like_rate"), (F.col("support") < 3).alias("low_support"))
+    return E.compare_by(snapshot(spark, d), "brand", 60, bands=D.BANDS).select("value", "label", "support", "rank")
 
 
-@query("exp_facet_options", *STATE, sql=f"SELECT lens, value, listings FROM (SELECT lens, value, count(*) AS listings, row_number() OVER (PARTITION BY lens ORDER BY count(*) DESC, max(label), value) AS rank FROM ({_LENSES}) WHERE lens <> 'price_band' GROUP BY lens, value) WHERE rank <= CASE lens WHEN 'brand' THEN 40 WHEN 'category' THEN 80 ELSE 1000 END")
+@query("exp_facet_options", *STATE, sql=f"SELECT lens, value, listings FROM (SELECT lens, value, count(*) AS listings, row_number() OVER (PARTITION BY lens ORDER BY count(*) DESC, max(label), value) AS rank FROM ({_LENSES}) GROUP BY lens, value) WHERE rank <= CASE lens WHEN 'brand' THEN 40 WHEN 'category' THEN 80 ELSE 1000 END")
 def _(spark, d):
-    return E.facet_options(snapshot(spark, d)).where("lens <> 'price_band'").select("lens", "value", "listings")
+    return E.facet_options(snapshot(spark, d), bands=D.BANDS).select("lens", "value", "listings")
 
 
 @query("exp_page", *STATE, sql="SELECT listing_id, price_amount_cents, (SELECT count(*) FROM snapshot WHERE root_title = 'second') AS total_listings FROM snapshot WHERE root_title = 'second' ORDER BY price_amount_cents ASC NULLS LAST, last_seen_at DESC, listing_id DESC LIMIT 30 OFFSET 60")
@@ -317,7 +330,7 @@ def _(spark, d):
 
 @query("mart_evidence_packs", *STATE, P.LOG, sql="SELECT listing_id, state_code, days, price_changes, state_transitions FROM snapshot LEFT JOIN (SELECT listing_id, count(*) AS days FROM (SELECT DISTINCT listing_id, day, brand, condition_label, " + _BAND + " FROM sightings) GROUP BY 1) USING (listing_id) LEFT JOIN (SELECT listing_id, count(*) AS price_changes FROM changes WHERE change_kind = 'price_change' GROUP BY 1) USING (listing_id) LEFT JOIN (SELECT listing_id, count(*) AS state_transitions FROM changes WHERE change_kind = 'state_transition' GROUP BY 1) USING (listing_id)")
 def _(spark, d):
-    ch = CH.derive_changes(log(spark, d))
+    ch = materialize(CH.derive_changes(log(spark, d)), "changes")
     packs = CH.evidence_packs(snapshot(spark, d), R.mart_listing_day(D.sightings(spark, d)), CH.mart_price_change(ch), CH.mart_state_transition(ch))
     n = lambda c: F.when(F.col(c).isNotNull(), F.size(c).cast("long")).alias(c)
     return packs.select("listing_id", "state_code", n("days"), n("price_changes"), n("state_transitions"))

@@ -17,6 +17,7 @@ from tracklot.plans.listings import STATE, log, query, scores
 from tracklot.sources import lake as L
 from tracklot.sources import parse as PR
 from tracklot.sources import standin as D
+from tracklot.sources.scratch import folder, materialize
 from tracklot.streaming import streams as ST
 
 DEGRADED = "(coalesce(error_message, '') <> '' OR coalesce(response_status IN (403, 429) OR response_status >= 500, false) OR coalesce(reason IN ('anti_bot_challenge', 'probe_exception') OR starts_with(reason, 'unexpected_http_') OR starts_with(reason, 'http_'), false))"
@@ -24,7 +25,7 @@ DEGRADED = "(coalesce(error_message, '') <> '' OR coalesce(response_status IN (4
 
 @query("src_lake_round_trip", sql="SELECT event_id, listing_id, day AS occurred_on FROM sightings")
 def _(spark, d):
-    root = ST.folder(spark, "lake")
+    root = folder(spark, "lake")
     s = D.sightings(spark, d).select("event_id", "listing_id", "observed_at", F.struct("title", "brand").alias("card"))
     L.write_lake(s.repartition(F.month("observed_at")), root, "sightings", "observed_at")
     return L.read_lake(spark, root, "sightings").select("event_id", "listing_id", "occurred_on")
@@ -277,7 +278,7 @@ def _(spark, d):
 
 def _stream(spark, d):
     """The sightings as a stream over a table that Spark derives from the inputs first."""
-    path = ST.folder(spark, "sightings")
+    path = folder(spark, "sightings")
     D.sightings(spark, d).select("event_id", "listing_id", "run_id", "observed_at", "catalog_id", "price_amount_cents").write.parquet(path)
     return ST.stream_lake(spark, path, 4)
 
@@ -295,14 +296,14 @@ def _(spark, d):
 @query("str_presence", P.OBS, sql="SELECT listing_id, observation_count, total_sightings, first_seen_at, last_seen_at, last_observed_run_id AS last_run_id, 0 AS late_rows FROM summary")
 def _(spark, d):
     # one batch: rows of a listing come in order, so nothing is late and the stream equals the batch fold
-    path = ST.folder(spark, "presence-in")
+    path = folder(spark, "presence-in")
     D.sightings(spark, d).select("event_id", "listing_id", "run_id", "observed_at").write.parquet(path)
     return ST.presence_available(ST.stream_lake(spark, path)).drop("gap_micros")
 
 
 @query("str_changes", P.LOG, sql='SELECT change_kind, count(*) AS n FROM changes GROUP BY 1')
 def _(spark, d):
-    path = ST.folder(spark, "log")
+    path = folder(spark, "log")
     log(spark, d).write.parquet(path)
     return ST.changes_available(ST.stream_lake(spark, path, 3)).groupBy("change_kind").agg(F.count("*").alias("n"))
 
@@ -330,7 +331,7 @@ def _(spark, d):
 
 @query("mart_export", P.LOG, sql="SELECT 'listing_day' AS mart, (SELECT count(*) FROM (SELECT DISTINCT listing_id, day, brand, condition_label, CASE WHEN price_amount_cents IS NULL THEN 'unknown' WHEN price_amount_cents < 2000 THEN 'under' WHEN price_amount_cents < 4000 THEN 'middle' ELSE 'over' END FROM sightings)) AS row_count UNION ALL SELECT 'price_change', count(*) FROM changes WHERE change_kind = 'price_change'")
 def _(spark, d):
-    return M.export_marts({"listing_day": R.mart_listing_day(D.sightings(spark, d)), "price_change": CH.mart_price_change(CH.derive_changes(log(spark, d)))}, ST.folder(spark, "marts"))
+    return M.export_marts({"listing_day": R.mart_listing_day(D.sightings(spark, d)), "price_change": CH.mart_price_change(CH.derive_changes(log(spark, d)))}, folder(spark, "marts"))
 
 
 @query("prj_scan_and_probe_flags", sql=f"SELECT 'scan' AS source, count(*) FILTER (WHERE response_status = 403) AS flagged FROM scans UNION ALL SELECT 'probe', count(*) FILTER (WHERE {DEGRADED}) FROM probes")
@@ -354,9 +355,9 @@ def _(spark, d):
 
 @query("str_facts", sql="SELECT count(*) AS n FROM sightings")
 def _(spark, d):
-    path = ST.folder(spark, "replayed")
+    path = folder(spark, "replayed")
     s = D.sightings(spark, d).select("event_id", "observed_at")
     s.unionAll(s).write.parquet(path)
-    out = ST.folder(spark, "facts")
+    out = folder(spark, "facts")
     ST.run_available(ST.stream_facts(ST.stream_lake(spark, path), delay="4000 days"), lambda batch, k: batch.write.mode("append").parquet(out), "append", "facts")
     return spark.read.parquet(out).agg(F.count("*").alias("n"))

@@ -51,9 +51,9 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.selectExpr("*", "price_amount_cents + (price_amount_cents * tax) div 100 AS total_price_amount_cents", "IF(catalog_id <= 1003, 'first', 'second') AS root_title", "cast(IF(catalog_id <= 1003, 1, 2) AS bigint) AS root_catalog_id", "concat(IF(catalog_id <= 1003, 'first', 'second'), ' > ', lower(p_type)) AS catalog_path", "concat('m-', run_id) AS manifest_id").drop("tax", "p_type")
 
 
-def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scan per catalog and run; those of one catalog failed."""
-    by = sightings(spark, sf_dir).groupBy("catalog_id", "run_id").agg(F.max("observed_at").alias("fetched_at"), F.count("*").alias("listing_count"))
+def scans(spark: SparkSession, sf_dir: str, seen: DataFrame | None = None) -> DataFrame:
+    """One scan per catalog and run; those of one catalog failed. ``seen`` are the sightings, where they are at hand."""
+    by = (sightings(spark, sf_dir) if seen is None else seen).groupBy("catalog_id", "run_id").agg(F.max("observed_at").alias("fetched_at"), F.count("*").alias("listing_count"))
     return by.selectExpr("catalog_id", "run_id", "1 AS page_number", "fetched_at", "catalog_id <> 1003 AS success", "IF(catalog_id <> 1003, 200, 403) AS response_status", "IF(catalog_id <> 1003, NULL, 'blocked by challenge') AS error_message", "listing_count")
 
 

@@ -16,11 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracklot.operators.changes import derive_changes
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tracklot.sources.scratch import folder
 
 
 def stream_lake(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
