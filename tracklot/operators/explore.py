@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklot import constants as C
-from tracklot.functions.columns import filter_listings, is_sold_like, price_band, price_band_label, safe_ratio, search_listings, state_label
-from tracklot.operators.state import state_counts
+from tracklot.functions.columns import filter_listings, is_sold_like, price_band, price_band_label, probe_is_degraded, safe_ratio, search_listings, state_label
+from tracklot.operators.score import with_score_explanation
+from tracklot.operators.state import state_counts, with_state_explanation
 
 LENSES = ("category", "brand", "price_band", "condition", "sold_state")
 
@@ -131,3 +132,33 @@ def detail_notes(df: DataFrame) -> DataFrame:
 def interleave(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
     """Round robin over the groups: every group's first row, then every second."""
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order))).orderBy("turn", group).limit(k)
+
+
+def listing_detail(scores: DataFrame, history: DataFrame, now, listing_id: int | None = None) -> DataFrame:
+    """Score, explanations, history, reading, provenance and events of each listing (or one), a row each.
+
+    ``reading`` says what a reader should know, as codes with values; ``events`` are the listing's story in order.
+    """
+    own = scores if listing_id is None else scores.where(F.col("listing_id") == listing_id)
+    out = with_score_explanation(with_state_explanation(own)).join(history.select("listing_id", "timeline"), "listing_id", "left")
+    code = lambda c, value: F.struct(F.lit(c).alias("code"), value.cast("string").alias("value"))
+    reading = F.array_compact(F.array(
+        code("state", F.col("state_code")), code("basis", F.col("basis_kind")), code("confidence", F.col("confidence_label")), code("freshness", F.col("freshness_bucket")),
+        F.when(F.col("observation_count") == 1, code("single_observation", F.col("first_seen_at"))), F.when(F.col("thin_signal"), code("thin_signal", F.col("signal_completeness"))),
+        F.when(F.col("price_amount_cents").isNull(), code("no_price", F.lit(None))), F.when(F.col("probe_outcome").isNotNull(), code("probe", F.col("probe_outcome"))),
+        F.when(F.col("has_estimated_publication"), code("estimated_publication", F.timestamp_seconds("created_at_ts"))), F.when(F.col("price_percentile").isNotNull(), code("price_standing", F.col("peer_price_label"))),
+    ))
+    degraded = F.col("probe_outcome").isNotNull() & probe_is_degraded("probe_reason", "probe_error", "probe_status")
+    source = F.when(degraded, "history after a degraded probe").when(F.col("probe_outcome").isin("active", "sold", "deleted", "unavailable"), "item page").otherwise("history")
+    provenance = F.struct(
+        F.col("basis_kind").alias("state_kind"), source.alias("state_source"), F.when(F.col("created_at_ts").isNotNull(), "estimated").otherwise("missing").alias("publication_kind"),
+        F.timestamp_seconds("created_at_ts").alias("publication_at"), "first_seen_at", "last_seen_at",
+    )
+    at = F.lit(str(now)).cast("timestamp")
+    event = lambda kind, when, text: F.struct(F.lit(kind).alias("kind"), when.alias("at"), text.cast("string").alias("detail"))
+    events = F.array_compact(F.array(
+        event("first_seen", F.col("first_seen_at"), F.col("catalog_path")), event("last_seen", F.col("last_seen_at"), F.col("freshness_bucket")),
+        F.when(F.col("follow_up_miss_count") > 0, event("misses", at, F.col("follow_up_miss_count"))), F.when(F.col("probe_outcome").isNotNull(), event("probe", F.col("probed_at"), F.when(degraded, "degraded").otherwise(F.col("probe_outcome")))),
+        event("state", at, F.col("state_code")),
+    ))
+    return out.withColumns({"reading": reading, "provenance": provenance, "events": events})

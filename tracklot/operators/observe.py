@@ -125,21 +125,38 @@ def derive_scan_runs(s: DataFrame) -> DataFrame:
     return s.groupBy("catalog_id", "run_id").agg(F.max("observed_at").alias("fetched_at"), F.count_distinct("listing_id").alias("listing_count"))
 
 
-def state_inputs(s: DataFrame, scans: DataFrame, probes: DataFrame, now, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
-    """Everything a listing's classification looks at, one row per listing.
+def inputs_of(obs: DataFrame, cards: DataFrame, scans: DataFrame, probes: DataFrame, now, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """Everything a listing's classification looks at, one row per listing, from folded observations and cards.
 
     ``keep`` may write the tables that are read more than once: observations, scans, histories.
     """
-    obs, scans = keep(fold_observations(s), "observations"), keep(scans, "scans")
-    summary = keep(history_summaries(obs, latest_cards(s), now), "histories")
+    obs, scans = keep(obs, "observations"), keep(scans, "scans")
+    summary = keep(history_summaries(obs, cards, now), "histories")
     misses = follow_up_misses(summary, obs, scans)
     last_scan = scans.where("success").groupBy("catalog_id").agg(F.max_by("run_id", F.struct("fetched_at", "run_id")).alias("latest_primary_scan_run_id"))
-    probe = latest_by(probes, ["listing_id"], [F.desc("probed_at"), F.desc("probe_id")]).select("listing_id", "probe_outcome", "probed_at", F.col("response_status").alias("probe_status"))
+    probe = latest_by(probes, ["listing_id"], [F.desc("probed_at"), F.desc("probe_id")]).select("listing_id", "probe_outcome", "probed_at", F.col("response_status").alias("probe_status"), F.col("reason").alias("probe_reason"), F.col("error_message").alias("probe_error"))
     out = summary.join(misses, "listing_id", "left").join(last_scan, "catalog_id", "left").join(probe, "listing_id", "left")
     seen = F.coalesce(F.col("latest_primary_scan_run_id") == F.col("last_observed_run_id"), F.lit(False))
     return out.withColumn("follow_up_miss_count", F.coalesce("follow_up_miss_count", F.lit(0).cast("long"))).withColumn("seen_in_latest_primary_scan", seen)
 
 
+def state_inputs(s: DataFrame, scans: DataFrame, probes: DataFrame, now, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """``inputs_of`` from sightings."""
+    return inputs_of(fold_observations(s), latest_cards(s), scans, probes, now, keep)
+
+
+def listing_history(obs: DataFrame, cards: DataFrame, now, listing_id: int | None = None, limit: int = 20) -> DataFrame:
+    """Each listing's summary and ``timeline``: its latest observations, newest first, with gaps filled from its card."""
+    own = obs if listing_id is None else obs.where(F.col("listing_id") == listing_id)
+    newest = Window.partitionBy("listing_id").orderBy(F.desc("observed_at"), F.desc("run_id"))
+    fields = ("title", "brand", "condition_label", "price_amount_cents")
+    rows = own.withColumn("turn", F.row_number().over(newest)).where(F.col("turn") <= limit)
+    card = cards.select("listing_id", *[F.col(c).alias(f"card_{c}") for c in fields], "catalog_path", "root_title")
+    entry = F.struct("turn", "run_id", "observed_at", "sighting_count", "page_number", "card_position", *[F.coalesce(c, f"card_{c}").alias(c) for c in fields], "catalog_path", "root_title")
+    timeline = rows.join(card, "listing_id", "left").groupBy("listing_id").agg(F.sort_array(F.collect_list(entry)).alias("timeline"))  # at most ``limit`` entries
+    return history_summaries(own, cards, now).join(timeline, "listing_id")
+
+
 def scan_telemetry(s: DataFrame, accepted: Column) -> DataFrame:
     """Per scanned page: sightings, accepted and filtered out, their ratio, price range of what was seen."""
     out = s.groupBy("run_id", "catalog_id", "page_number").agg(F.count("*").alias("listing_count"), F.count_if(accepted).alias("accepted"), F.min("price_amount_cents").alias("min_price_cents"), F.max("price_amount_cents").alias("max_price_cents"))

@@ -98,6 +98,40 @@ def scorecard(s: DataFrame, scans: DataFrame, probes: DataFrame, key: Column, st
     return out.withColumns({"duplicate_ratio": safe_ratio(F.col("hits") - F.col("listings"), "hits"), "challenge_rate": safe_ratio("challenged", "scans"), "new_per_hour": F.col("listings") / hours})
 
 
+def experiment_scorecard(runs: DataFrame, scans: DataFrame, cycles: DataFrame, storage: DataFrame, resources: DataFrame, hours: DataFrame) -> DataFrame:
+    """Per experiment ``arm``: net new listings and by the hour, duplicates, challenges, degraded requests, bytes per new listing, resources.
+
+    ``runs`` (raw_listing_hits, unique_listing_hits), ``scans`` (response_status, error_message), ``cycles`` (probed, anti_bot,
+    degraded_probes, is_degraded), ``storage`` (captured_at, listing_count, bytes) and ``hours`` (a number per arm). New
+    listings are the growth of the stored ones; without two states of the storage, the unique hits stand in.
+    """
+    hits = runs.groupBy("arm").agg(F.sum("raw_listing_hits").alias("raw_listing_hits"), F.sum("unique_listing_hits").alias("unique_listing_hits"))
+    calls = scans.groupBy("arm").agg(F.count("*").alias("scans"), F.count_if(scan_is_challenge("response_status", "error_message")).alias("blocked"))
+    turns = cycles.groupBy("arm").agg(F.sum("probed").alias("probed"), F.sum("anti_bot").alias("anti_bot"), (F.sum("degraded_probes") + F.count_if("is_degraded")).alias("degraded_count"))
+    grown = storage_growth(storage, "arm").join(storage.groupBy("arm").agg(F.count("*").alias("states")), "arm").where("states > 1").drop("states")
+    out = hours
+    for part in (hits, calls, turns, grown, resource_summary(resources, "arm")):
+        out = out.join(part, "arm", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    new = F.when(F.col("listing_growth").isNull(), zero("unique_listing_hits")).otherwise(F.greatest("listing_growth", F.lit(0)))
+    out = out.withColumns({"net_new_source": F.when(F.col("listing_growth").isNull(), "unique_hits").otherwise("storage"), "net_new": new, "raw_listing_hits": zero("raw_listing_hits")})
+    duplicates = F.greatest(F.col("raw_listing_hits") - F.col("net_new"), F.lit(0))
+    out = out.withColumns({"duplicate_hits": duplicates, "challenge_count": zero("blocked") + zero("anti_bot"), "degraded_count": zero("degraded_count"), "requests": zero("scans") + zero("probed")})
+    four = lambda a, b: F.round(safe_ratio(a, b), 4)
+    return out.select(
+        "arm", "net_new_source", "net_new", four("net_new", "hours").alias("new_per_hour"), "raw_listing_hits", "duplicate_hits", four("duplicate_hits", "raw_listing_hits").alias("duplicate_ratio"),
+        "challenge_count", four("challenge_count", "requests").alias("challenge_rate"), "degraded_count", four("degraded_count", "requests").alias("degraded_rate"),
+        F.when(F.col("net_new") > 0, four("byte_growth", "net_new")).alias("bytes_per_new_listing"), F.round("mean_cpu", 4).alias("mean_cpu"), "peak_cpu", "peak_rss_mb",
+    )
+
+
+def issue_examples(probes: DataFrame, cards: DataFrame, k: int = 5) -> DataFrame:
+    """The listings with most degraded probes, with their cards; ties by id."""
+    counts = probes.where(probe_is_degraded("reason", "error_message", "response_status")).groupBy("listing_id").agg(F.count("*").alias("degraded_probe_count"))
+    top = counts.orderBy(F.desc("degraded_probe_count"), "listing_id").limit(k)
+    return top.join(cards.select("listing_id", "title", "brand", "catalog_path"), "listing_id", "left").orderBy(F.desc("degraded_probe_count"), "listing_id")
+
+
 def leaderboard(cards: DataFrame) -> DataFrame:
     """Arms by new listings an hour, then fewer duplicates, fewer challenges, name; with what the winner won by."""
     order = [F.desc_nulls_last("new_per_hour"), F.asc_nulls_last("duplicate_ratio"), F.asc_nulls_last("challenge_rate"), F.col("arm")]

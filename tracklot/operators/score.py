@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklot import constants as C
 from tracklot.functions.columns import is_sold_like, mapped
+from tracklot.operators.state import state_counts
 
 
 def demand_score(df: DataFrame) -> DataFrame:
@@ -107,6 +108,7 @@ def market_segments(scores: DataFrame, scans: DataFrame, least: int = 3) -> Data
     seg = scores.where("catalog_id IS NOT NULL").groupBy("catalog_id").agg(
         n.alias("tracked_listings"),
         F.min("catalog_path").alias("catalog_path"),
+        F.min("root_title").alias("root_title"),
         F.round(F.avg("demand_score"), 2).alias("avg_demand_score"),
         F.round(F.avg("premium_score"), 2).alias("avg_premium_score"),
         F.sum("price_amount_cents").alias("price_sum"),
@@ -119,6 +121,7 @@ def market_segments(scores: DataFrame, scans: DataFrame, least: int = 3) -> Data
     seg = seg.withColumn("visible_delta", F.coalesce(F.col("latest_scan_count") - F.col("previous_scan_count"), F.lit(0)))
     seg = seg.withColumn("sold_like_rate", F.col("sold_like_count") / F.col("tracked_listings"))
     return seg.withColumns({
+        "avg_price_amount_cents": F.round(F.coalesce("price_sum", F.lit(0)) / F.greatest("priced", F.lit(1)), 2),
         "performance_score": F.round(F.col("avg_demand_score") * 0.68 + F.col("avg_premium_score") * 0.32, 2),
         "rising_score": F.round(F.col("avg_demand_score") * 0.35 + F.col("sold_like_rate") * 40 + F.col("recent_arrivals") * 6 + F.greatest("visible_delta", F.lit(0)) * 4, 2),
     })
@@ -127,3 +130,9 @@ def market_segments(scores: DataFrame, scans: DataFrame, least: int = 3) -> Data
 def top_segments(segments: DataFrame, by: str = "performance", k: int = 8) -> DataFrame:
     second = "tracked_listings" if by == "performance" else "recent_arrivals"
     return segments.orderBy(F.desc(f"{by}_score"), F.desc(second), "catalog_id").limit(k)
+
+
+def market_summary(scores: DataFrame, scans: DataFrame, k: int = 8) -> dict[str, DataFrame]:
+    """Overall state counts, and the ``k`` segments that perform best and that rise fastest, in order."""
+    segments = market_segments(scores, scans)
+    return {"overall": state_counts(scores), "performing": top_segments(segments, "performance", k), "rising": top_segments(segments, "rising", k)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklot import constants as C
@@ -184,6 +184,50 @@ def _(spark, d):
     return SC.market_segments(scores(spark, d), D.scans(spark, d)).select("catalog_id", "tracked_listings", "price_sum", "priced", "sold_like_count", "recent_arrivals", "latest_scan_count", "previous_scan_count", "visible_delta")
 
 
+_TOPS = "list, rank, catalog_id, tracked_listings, avg_demand_score, avg_price_amount_cents, sold_like_count, recent_arrivals, visible_delta"
+
+
+@query("score_market_summary", *STATE, P.SCORES, sql=f"""SELECT {_TOPS} FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY score DESC, second DESC, catalog_id) AS rank FROM (
+  SELECT list, *, CASE list WHEN 'performing' THEN round(avg_demand_score * 0.68 + avg_premium_score * 0.32, 2) ELSE round(avg_demand_score * 0.35 + sold_like_count / tracked_listings::DOUBLE * 40 + recent_arrivals * 6 + greatest(visible_delta, 0) * 4, 2) END AS score,
+    CASE list WHEN 'performing' THEN tracked_listings ELSE recent_arrivals END AS second FROM (VALUES ('performing'), ('rising')) l(list), (
+  SELECT catalog_id, count(*) AS tracked_listings, round(avg(demand_score), 2) AS avg_demand_score, round(avg(premium_score), 2) AS avg_premium_score, round(coalesce(sum(price_amount_cents), 0) / greatest(count(price_amount_cents), 1)::DOUBLE, 2) AS avg_price_amount_cents, count(*) FILTER (WHERE sold_like) AS sold_like_count,
+    count(*) FILTER (WHERE last_seen_age_hours <= 24 AND observation_count = 1) AS recent_arrivals, coalesce(any_value(latest) - any_value(previous), 0) AS visible_delta
+  FROM scores LEFT JOIN (SELECT catalog_id, max(listing_count) FILTER (WHERE rn = 1) AS latest, max(listing_count) FILTER (WHERE rn = 2) AS previous FROM (SELECT *, row_number() OVER (PARTITION BY catalog_id ORDER BY fetched_at DESC, run_id DESC) AS rn FROM scans WHERE success) GROUP BY catalog_id) USING (catalog_id)
+  GROUP BY catalog_id HAVING count(*) >= 3))) WHERE rank <= 4""")
+def _(spark, d):
+    s = materialize(D.sightings(spark, d), "sightings")
+    tops = SC.market_summary(materialize(scores(spark, d), "scores"), D.scans(spark, d, s), 4)
+    ranked = lambda name, by, then: tops[name].select("*", F.lit(name).alias("list"), F.row_number().over(Window.orderBy(F.desc(by), F.desc(then), "catalog_id")).alias("rank"))  # noqa: E731  (four rows)
+    return ranked("performing", "performance_score", "tracked_listings").unionByName(ranked("rising", "rising_score", "recent_arrivals")).select(*_TOPS.split(", "))
+
+
+@query("obs_listing_history", P.OBS, P.CARDS, P.INPUTS, sql="""SELECT listing_id, turn, run_id, observed_at, sighting_count, o.title, coalesce(o.brand, c.brand) AS brand, coalesce(o.price_amount_cents, c.price_amount_cents) AS price_amount_cents, c.catalog_path, h.observation_count, h.freshness_bucket FROM (
+  SELECT listing_id, run_id, min(observed_at) AS observed_at, count(*) AS sighting_count, first(title ORDER BY observed_at, event_id) FILTER (WHERE title IS NOT NULL) AS title, first(brand ORDER BY observed_at, event_id) FILTER (WHERE brand IS NOT NULL) AS brand,
+    first(price_amount_cents ORDER BY observed_at, event_id) FILTER (WHERE price_amount_cents IS NOT NULL) AS price_amount_cents, row_number() OVER (PARTITION BY listing_id ORDER BY min(observed_at) DESC, run_id DESC) AS turn FROM sightings GROUP BY listing_id, run_id) o
+  JOIN cards c USING (listing_id) JOIN history h USING (listing_id) WHERE turn <= 12""")
+def _(spark, d):
+    s = materialize(D.sightings(spark, d), "sightings")
+    rows = O.listing_history(materialize(O.fold_observations(s), "observations"), materialize(O.latest_cards(s), "cards"), D.NOW, limit=12)
+    t = rows.select("listing_id", "observation_count", "freshness_bucket", F.explode("timeline").alias("t"))
+    return t.select("listing_id", *[f"t.{c}" for c in ("turn", "run_id", "observed_at", "sighting_count", "title", "brand", "price_amount_cents", "catalog_path")], "observation_count", "freshness_bucket")
+
+
+_PROBE_BAD = "(p.error_message <> '' OR p.response_status IN (403, 429) OR p.response_status >= 500)"
+
+
+@query("exp_listing_detail", *STATE, P.SCORES, sql=f"""SELECT s.listing_id, demand_score, premium_score, context_name, state_code, least(observation_count, 12) AS timeline, CASE WHEN bad THEN 'history after a degraded probe' WHEN probe_outcome IN ('active', 'sold', 'deleted', 'unavailable') THEN 'item page' ELSE 'history' END AS state_source,
+  CASE WHEN created_at_ts IS NULL THEN 'missing' ELSE 'estimated' END AS publication_kind,
+  concat_ws(';', 'first_seen=' || catalog_path, 'last_seen=' || freshness_bucket, CASE WHEN follow_up_miss_count > 0 THEN 'misses=' || follow_up_miss_count END, CASE WHEN probe_outcome IS NOT NULL THEN 'probe=' || CASE WHEN bad THEN 'degraded' ELSE probe_outcome END END, 'state=' || state_code) AS events,
+  concat_ws(';', 'state', 'basis', 'confidence', 'freshness', CASE WHEN observation_count = 1 THEN 'single_observation' END, CASE WHEN thin_signal THEN 'thin_signal' END, CASE WHEN price_amount_cents IS NULL THEN 'no_price' END, CASE WHEN probe_outcome IS NOT NULL THEN 'probe' END, CASE WHEN has_estimated_publication THEN 'estimated_publication' END, CASE WHEN price_percentile IS NOT NULL THEN 'price_standing' END) AS reading
+  FROM scores s LEFT JOIN (SELECT listing_id, coalesce({_PROBE_BAD}, false) AS bad FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY probed_at DESC, probe_id DESC) AS rn FROM probes) p WHERE rn = 1) USING (listing_id)""")
+def _(spark, d):
+    s = materialize(D.sightings(spark, d), "sightings")
+    history = O.listing_history(O.fold_observations(s), O.latest_cards(s), D.NOW, limit=12)
+    rows = E.listing_detail(scores(spark, d), history, D.NOW)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
+    return rows.select("listing_id", "demand_score", "premium_score", "context_name", "state_code", F.size("timeline").cast("long").alias("timeline"), "provenance.state_source", "provenance.publication_kind", joined("events", lambda e: F.concat(e["kind"], F.lit("="), e["detail"])), joined("reading", lambda r: r["code"]))
+
+
 _LENSES = """SELECT 'category' AS lens, CAST(catalog_id AS VARCHAR) AS value, catalog_path AS label, * FROM snapshot
   UNION ALL SELECT 'brand', coalesce(brand, 'unknown-brand'), coalesce(brand, 'Unknown brand'), * FROM snapshot
   UNION ALL SELECT 'price_band', price_band_code, CASE price_band_code WHEN 'under' THEN '< 1395' WHEN 'middle' THEN '1395-3123' WHEN 'over' THEN '>= 3124' ELSE 'no price' END, * FROM snapshot

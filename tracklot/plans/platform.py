@@ -18,6 +18,7 @@ from tracklot.sources import lake as L
 from tracklot.sources import parse as PR
 from tracklot.sources import standin as D
 from tracklot.sources.scratch import folder, materialize
+from tracklot.streaming import current_state as CS
 from tracklot.streaming import streams as ST
 
 DEGRADED = "(coalesce(error_message, '') <> '' OR coalesce(response_status IN (403, 429) OR response_status >= 500, false) OR coalesce(reason IN ('anti_bot_challenge', 'probe_exception') OR starts_with(reason, 'unexpected_http_') OR starts_with(reason, 'http_'), false))"
@@ -361,3 +362,40 @@ def _(spark, d):
     out = folder(spark, "facts")
     ST.run_available(ST.stream_facts(ST.stream_lake(spark, path), delay="4000 days"), lambda batch, k: batch.write.mode("append").parquet(out), "append", "facts")
     return spark.read.parquet(out).agg(F.count("*").alias("n"))
+
+
+@query("str_current_state", *STATE, sql="SELECT listing_id, state_code, basis_kind, confidence_score, follow_up_miss_count, latest_miss_at, observation_count, freshness_bucket, price_band_code, title FROM snapshot")
+def _(spark, d):
+    """The streams' state over all rows, taken in by several batches; the SQL is the batch snapshot's."""
+    s = materialize(D.sightings(spark, d), "sightings")
+    root, parts = folder(spark, "state"), {}
+    for name, df in (("seen", s), ("scans", D.scans(spark, d, s)), ("probes", D.probes(spark, d).drop("props"))):
+        df.write.parquet(path := f"{root}/in/{name}")
+        parts[name] = ST.stream_lake(spark, path, 2)
+    CS.stream_state(root, **parts)
+    return CS.current_state(spark, root, D.NOW, D.BANDS, materialize).select("listing_id", "state_code", "basis_kind", "confidence_score", "follow_up_miss_count", "latest_miss_at", "observation_count", "freshness_bucket", "price_band_code", "title")
+
+
+_EXPERIMENT = "SELECT CASE WHEN catalog_id % 2 = 0 THEN 'even' ELSE 'odd' END AS arm"
+
+
+@query("ops_experiment_scorecard", sql=f"""SELECT arm, 'storage' AS net_new_source, net_new, round(net_new / 100.0::DOUBLE, 4) AS new_per_hour, raw AS raw_listing_hits, greatest(raw - net_new, 0) AS duplicate_hits, round(greatest(raw - net_new, 0) / raw::DOUBLE, 4) AS duplicate_ratio, blocked + anti_bot AS challenge_count,
+  round((blocked + anti_bot) / (scans + probed)::DOUBLE, 4) AS challenge_rate, degraded AS degraded_count, round(degraded / (scans + probed)::DOUBLE, 4) AS degraded_rate, CASE WHEN net_new > 0 THEN round(growth / net_new::DOUBLE, 4) END AS bytes_per_new_listing, mean_cpu, peak_cpu, peak_rss_mb
+  FROM ({_EXPERIMENT}, sum(listing_count)::BIGINT AS raw, count(*) AS scans, count(*) FILTER (WHERE response_status = 403) AS blocked FROM scans GROUP BY 1)
+  JOIN (SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS arm, count(*) AS probed, count(*) FILTER (WHERE event_type = 'error' AND event_id % 2 = 0) AS anti_bot, count(*) FILTER (WHERE event_type = 'error') + count(*) FILTER (WHERE event_id % 50 = 0) AS degraded, round(avg(event_id % 97), 4) AS mean_cpu, CAST(max(event_id % 97) AS DOUBLE) AS peak_cpu, CAST(max(user_id) AS DOUBLE) AS peak_rss_mb FROM events GROUP BY 1) USING (arm)
+  JOIN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS arm, greatest(last(o_custkey ORDER BY o_orderdate, o_orderkey) - first(o_custkey ORDER BY o_orderdate, o_orderkey), 0) AS net_new, last(o_custkey * 7 ORDER BY o_orderdate, o_orderkey) - first(o_custkey * 7 ORDER BY o_orderdate, o_orderkey) AS growth FROM orders GROUP BY 1) USING (arm)""")
+def _(spark, d):
+    odd = lambda c: F.when(F.col(c) % 2 == 0, "even").otherwise("odd").alias("arm")
+    sc, e, o = materialize(D.scans(spark, d), "scans"), D.read(spark, d, "events"), D.read(spark, d, "orders")
+    runs = sc.select(odd("catalog_id"), F.col("listing_count").alias("raw_listing_hits"), F.lit(0).cast("long").alias("unique_listing_hits"))
+    failed = F.col("event_type") == "error"
+    cycles = e.select(odd("user_id"), F.lit(1).alias("probed"), (failed & (F.col("event_id") % 2 == 0)).cast("int").alias("anti_bot"), failed.cast("int").alias("degraded_probes"), (F.col("event_id") % 50 == 0).alias("is_degraded"))
+    storage = o.select(odd("o_orderkey"), F.struct("o_orderdate", "o_orderkey").alias("captured_at"), F.col("o_custkey").alias("listing_count"), (F.col("o_custkey") * 7).alias("bytes"))
+    resources = e.select(odd("user_id"), (F.col("event_id") % 97).cast("double").alias("cpu_percent"), F.col("user_id").cast("double").alias("rss_mb"))
+    hours = spark.createDataFrame([("even", 100.0), ("odd", 100.0)], "arm string, hours double")
+    return OP.experiment_scorecard(runs, sc.select(odd("catalog_id"), "response_status", "error_message"), cycles, storage, resources, hours)
+
+
+@query("srt_issue_examples", P.CARDS, sql=f"SELECT listing_id, n AS degraded_probe_count, title, brand FROM (SELECT listing_id, count(*) AS n FROM probes WHERE {DEGRADED} GROUP BY 1 ORDER BY n DESC, listing_id LIMIT 25) LEFT JOIN cards USING (listing_id)")
+def _(spark, d):
+    return OP.issue_examples(D.probes(spark, d), O.latest_cards(D.sightings(spark, d)), 25).select("listing_id", "degraded_probe_count", "title", "brand")

@@ -1,0 +1,56 @@
+"""Current state of listings from streams: every micro-batch leaves its partial folds, and a state is what they fold to.
+
+A batch writes to a folder named by its number, so a batch that runs again after a failure replaces its own output; offsets
+and partial folds both live under the caller's ``path``, so a restart goes on where the last run stopped. Folds are minima,
+sums and newest values, so late and reordered rows end in the same state, and nothing is rewritten when a batch arrives.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracklot.operators.observe import CARD, inputs_of
+from tracklot.operators.state import classified_snapshot
+
+_CARD = (*CARD, "catalog_id", "catalog_path", "root_title", "root_catalog_id")
+
+
+def _seen(s: DataFrame) -> DataFrame:
+    """A batch's observations by (run, listing), with the newest non-null value of every card field."""
+    newest = [F.max(F.when(F.col(c).isNotNull(), F.struct("observed_at", "event_id", F.col(c).alias("value")))).alias(c) for c in _CARD]
+    return s.groupBy("run_id", "listing_id").agg(F.min("observed_at").alias("observed_at"), F.count("*").alias("sighting_count"), F.min("card_position").alias("card_position"), *newest)
+
+
+def _scans(s: DataFrame) -> DataFrame:
+    """A batch's finished scans, once per (catalog, run, page)."""
+    return s.groupBy("catalog_id", "run_id", "page_number").agg(F.max("fetched_at").alias("fetched_at"), F.bool_or("success").alias("success"))
+
+
+def _probes(p: DataFrame) -> DataFrame:
+    """A batch's latest probe of each listing."""
+    last = F.max(F.struct("probed_at", "probe_id", "probe_outcome", "response_status", "reason", "error_message"))
+    return p.groupBy("listing_id").agg(last.alias("p")).select("listing_id", "p.*")
+
+
+PARTS: dict[str, Callable[[DataFrame], DataFrame]] = {"seen": _seen, "scans": _scans, "probes": _probes}
+
+
+def stream_state(path: str, **streams: DataFrame) -> None:
+    """Take in all that streams named ``seen``, ``scans`` and ``probes`` hold now; call again, also in another session, for what comes later."""
+    for name, stream in streams.items():
+        def write(batch: DataFrame, number: int, name: str = name) -> None:
+            PARTS[name](batch).write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoints/{name}").trigger(availableNow=True).start().awaitTermination()
+
+
+def current_state(spark: SparkSession, path: str, now, bands: tuple[int, int], keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """The classified snapshot of all that the streams have taken in, equal to the batch one over the same rows."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}").drop("batch")
+    seen = read("seen")
+    obs = seen.groupBy("run_id", "listing_id").agg(F.min("observed_at").alias("observed_at"), F.sum("sighting_count").alias("sighting_count"), F.min("card_position").alias("card_position"))
+    cards = seen.groupBy("listing_id").agg(*[F.max(c).alias(c) for c in _CARD], F.min("observed_at").alias("first_discovered_at")).withColumns({c: F.col(f"{c}.value") for c in _CARD})
+    return classified_snapshot(inputs_of(obs, cards, _scans(read("scans")), _probes(read("probes")), now, keep), now, bands)
