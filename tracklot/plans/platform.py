@@ -302,11 +302,11 @@ def _(spark, d):
     return ST.presence_available(ST.stream_lake(spark, path)).drop("gap_micros")
 
 
-@query("str_changes", P.LOG, sql='SELECT change_kind, count(*) AS n FROM changes GROUP BY 1')
+@query("str_changes", P.LOG, sql='SELECT listing_id, "at", source_id, change_kind, state_code, misses, now_price AS price FROM changes')
 def _(spark, d):
     path = folder(spark, "log")
     log(spark, d).write.parquet(path)
-    return ST.changes_available(ST.stream_lake(spark, path, 3)).groupBy("change_kind").agg(F.count("*").alias("n"))
+    return ST.changes_available(ST.stream_lake(spark, path, 3)).select("listing_id", "at", "source_id", "change_kind", "state_code", "misses", F.col("now_price_amount_cents").alias("price"))
 
 
 @query("agg_hll_sketches")
@@ -354,14 +354,23 @@ def _(spark, d):
     return D.probes(spark, d).join(D.sightings(spark, d).select("listing_id"), "listing_id", "left_semi").select("probe_id")
 
 
-@query("str_facts", sql="SELECT count(*) AS n FROM sightings")
+@query("str_facts", sql="SELECT event_id, observed_at FROM sightings")
 def _(spark, d):
     path = folder(spark, "replayed")
     s = D.sightings(spark, d).select("event_id", "observed_at")
     s.unionAll(s).write.parquet(path)
-    out = folder(spark, "facts")
-    ST.run_available(ST.stream_facts(ST.stream_lake(spark, path), delay="4000 days"), lambda batch, k: batch.write.mode("append").parquet(out), "append", "facts")
-    return spark.read.parquet(out).agg(F.count("*").alias("n"))
+    return ST.take_in(ST.stream_facts(ST.stream_lake(spark, path), delay="4000 days"), folder(spark, "facts")).select("event_id", "observed_at")
+
+
+@query("str_health", sql="SELECT 'lagging' AS status, true AS has_batch, CAST(epoch(max(observed_at)) AS BIGINT) AS newest FROM sightings")
+def _(spark, d):
+    path = folder(spark, "health")
+    D.sightings(spark, d).select("event_id", "observed_at").write.parquet(path)
+    q = ST.run_available(ST.stream_facts(ST.stream_lake(spark, path), delay="10 days"), lambda b, k: b.write.format("noop").mode("overwrite").save(), "append", "health")
+    # the last batch only moves the watermark, so the newest event is looked for in all progress reports
+    seen = [x for x in q.recentProgress if (x.get("eventTime") or {}).get("max")]
+    health = ST.stream_health(spark, [ST.Reported(q, seen[-1])], D.NOW)
+    return health.select("status", F.col("batch_id").isNotNull().alias("has_batch"), F.unix_seconds("newest_event").alias("newest"))
 
 
 @query("str_current_state", *STATE, sql="SELECT listing_id, state_code, basis_kind, confidence_score, follow_up_miss_count, latest_miss_at, observation_count, freshness_bucket, price_band_code, title FROM snapshot")

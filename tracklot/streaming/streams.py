@@ -1,7 +1,9 @@
 """Structured Streaming twins of the folds: rollups, facts, latest rows, presence, changes, consumer health.
 
-Every function takes a streaming DataFrame. Results are tables in a folder that all executors share; ``availableNow``
-catches up with what is there and stops, which is also how the batch-equals-stream tests run.
+Every function takes a streaming DataFrame. A micro-batch writes what it adds or changes to a folder named by its number, so
+a batch that runs again replaces its own output and nothing older is rewritten; a result is what those parts fold to.
+Parts and checkpoints live under ``path``: given the same one, a new session goes on where the last one stopped.
+``availableNow`` catches up with what is there and stops, which is also how the batch-equals-stream tests run.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import json
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,15 +28,23 @@ def stream_lake(spark: SparkSession, path: str, max_files: int | None = None) ->
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str, name: str):
+def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str, name: str, checkpoint: str | None = None):
     """Run a query over all that is available now, giving every micro-batch to ``each``; returns the ended query."""
-    q = df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", folder(df.sparkSession, name)).trigger(availableNow=True).start()
+    q = df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint or folder(df.sparkSession, name)).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
 
 
-def latest_version(spark: SparkSession, root: str, schema, versions: list[int]) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{root}/{versions[-1]}") if versions else spark.createDataFrame([], schema)
+def take_in(df: DataFrame, path: str, mode: str = "append", part: Callable[[DataFrame], DataFrame] = lambda b: b) -> DataFrame:
+    """Run a query over all that is available now; returns the parts of all batches so far, each row with its ``batch``."""
+    run_available(df, lambda b, k: part(b).write.mode("overwrite").parquet(f"{path}/parts/batch={k}"), mode, "", f"{path}/checkpoint")
+    return df.sparkSession.read.parquet(f"{path}/parts").withColumn("batch", F.col("batch").cast("long"))
+
+
+def newest_rows(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each key the row of the latest batch that wrote it."""
+    rest = [c for c in parts.columns if c not in (*keys, "batch")]
+    return parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_x")).select(*keys, "_x.*")
 
 
 def stream_facts(df: DataFrame, ts: str = "observed_at", delay: str = "30 days") -> DataFrame:
@@ -51,34 +62,17 @@ def finish_rollup(per_listing: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     return per_listing.groupBy(F.col("window.start").alias("bucket"), *dims).agg(F.sum("events").alias("events"), F.sum("price_sum").alias("price_sum"), F.sum("price_count").alias("price_count"), F.count("*").alias("listings"))
 
 
-def rollup_available(df: DataFrame, every: str, dims: tuple[str, ...]) -> DataFrame:
-    """The rollup table after all that is available: updated windows are merged into the table batch by batch."""
-    spark, root, done = df.sparkSession, folder(df.sparkSession, "rollup"), []
-    per_listing = stream_rollup(df, every, dims)
-    schema, keys = per_listing.schema, ["window", *dims, "listing_id"]
-
-    def merge(batch: DataFrame, k: int) -> None:
-        old = latest_version(spark, root, schema, done).join(batch.select(*keys), keys, "left_anti")
-        old.unionByName(batch).write.mode("overwrite").parquet(f"{root}/{k}")
-        done.append(k)
-
-    run_available(per_listing, merge, "update", "rollup")
-    return finish_rollup(latest_version(spark, root, schema, done), dims)
+def rollup_available(df: DataFrame, every: str, dims: tuple[str, ...], path: str | None = None) -> DataFrame:
+    """The rollup table after all that is available: a batch writes the windows that it updates."""
+    parts = take_in(stream_rollup(df, every, dims), path or folder(df.sparkSession, "rollup"), "update")
+    return finish_rollup(newest_rows(parts, ["window", *dims, "listing_id"]), dims)
 
 
-def latest_available(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The newest row per key after all that is available; each batch is folded with the table so far."""
-    spark, root, done, schema = df.sparkSession, folder(df.sparkSession, "latest"), [], df.schema
+def latest_available(df: DataFrame, key: list[str], order: list[str], path: str | None = None) -> DataFrame:
+    """The newest row per key after all that is available; a batch writes its own newest rows."""
     rest = [c for c in df.columns if c not in key]
-
-    def fold(batch: DataFrame, k: int) -> None:
-        both = latest_version(spark, root, schema, done).unionByName(batch)
-        best = both.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("x")).select(*key, "x.*")
-        best.select(*df.columns).write.mode("overwrite").parquet(f"{root}/{k}")
-        done.append(k)
-
-    run_available(df, fold, "append", "latest")
-    return latest_version(spark, root, schema, done)
+    best = lambda b: b.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_x")).select(*key, "_x.*")
+    return best(take_in(df, path or folder(df.sparkSession, "latest"), part=best)).select(*df.columns)
 
 
 PRESENCE = "listing_id long, observation_count long, total_sightings long, first_seen_at timestamp, last_seen_at timestamp, last_run_id string, gap_micros long, late_rows long"
@@ -89,15 +83,16 @@ def _presence(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
     """A run's first sighting opens an observation, its others add to it; rows before the last run are late and only counted."""
     n, total, first, last, run, gap, late = state.get if state.exists else (0, 0, 0, 0, "", 0, 0)
     rows = pd.concat(frames).sort_values(["observed_at", "event_id"])
-    for at, r in zip(rows["observed_at"].astype("datetime64[us]").astype("int64"), rows["run_id"], strict=True):
-        if n == 0:
-            n, total, first, last, run = 1, 1, at, at, r
-        elif r == run:
-            total += 1
-        elif at < last:
-            late += 1
-        else:
-            n, total, gap, last, run = n + 1, total + 1, gap + int(at - last), at, r
+    at, runs = rows["observed_at"].astype("datetime64[us]").astype("int64").to_numpy(), rows["run_id"].to_numpy(object)
+    kept = (at >= last) | (runs == run) if n else np.ones(len(at), bool)
+    late, total = late + int((~kept).sum()), total + int(kept.sum())
+    at, runs = at[kept], runs[kept]
+    # in order of time, an observation begins wherever the run changes
+    begun = at[runs != np.append(np.array([run if n else None], object), runs[:-1])] if len(at) else at
+    if len(begun):
+        gap += int(begun[-1] - (last if n else begun[0]))
+        first = first if n else int(begun[0])
+        n, last, run = n + len(begun), int(begun[-1]), runs[-1]
     state.update((int(n), int(total), int(first), int(last), run, int(gap), int(late)))
     yield pd.DataFrame({"listing_id": [key[0]], "observation_count": [n], "total_sightings": [total], "first_seen_at": [pd.Timestamp(int(first), unit="us")], "last_seen_at": [pd.Timestamp(int(last), unit="us")], "last_run_id": [run], "gap_micros": [gap], "late_rows": [late]})
 
@@ -107,34 +102,18 @@ def stream_presence(df: DataFrame) -> DataFrame:
     return df.select("listing_id", "run_id", "observed_at", "event_id").groupBy("listing_id").applyInPandasWithState(_presence, PRESENCE, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def presence_available(df: DataFrame) -> DataFrame:
-    spark, root, done = df.sparkSession, folder(df.sparkSession, "presence"), []
-    out = stream_presence(df)
-    schema = out.schema
-
-    def merge(batch: DataFrame, k: int) -> None:
-        latest_version(spark, root, schema, done).join(batch.select("listing_id"), "listing_id", "left_anti").unionByName(batch).write.mode("overwrite").parquet(f"{root}/{k}")
-        done.append(k)
-
-    run_available(out, merge, "update", "presence")
-    return latest_version(spark, root, schema, done)
+def presence_available(df: DataFrame, path: str | None = None) -> DataFrame:
+    return newest_rows(take_in(stream_presence(df), path or folder(df.sparkSession, "presence"), "update"), ["listing_id"])
 
 
-def changes_available(log: DataFrame) -> DataFrame:
+def changes_available(log: DataFrame, path: str | None = None) -> DataFrame:
     """Change events after all that is available.
 
-    Every batch appends its events to the log kept so far; changes of the listings it touches are derived anew from
-    their whole log, so late and out-of-order events end as in the batch operator.
+    Every batch adds its events; changes are derived from each listing's whole log, so late, repeated and out-of-order
+    events end as in the batch operator.
     """
-    spark, root, done, schema = log.sparkSession, folder(log.sparkSession, "changes"), [], log.schema
-
-    def append(batch: DataFrame, k: int) -> None:
-        new = batch.dropDuplicates(["listing_id", "source_id"])
-        new.join(latest_version(spark, root, schema, done).select("listing_id", "source_id"), ["listing_id", "source_id"], "left_anti").unionByName(latest_version(spark, root, schema, done)).write.mode("overwrite").parquet(f"{root}/{k}")
-        done.append(k)
-
-    run_available(log, append, "append", "changes")
-    return derive_changes(latest_version(spark, root, schema, done))
+    parts = take_in(log, path or folder(log.sparkSession, "changes"), part=lambda b: b.dropDuplicates(["listing_id", "source_id"]))
+    return derive_changes(parts.drop("batch").dropDuplicates(["listing_id", "source_id"]))
 
 
 def stream_probe_join(sightings: DataFrame, probes: DataFrame, within: str = "30 days") -> DataFrame:
@@ -157,14 +136,27 @@ def known_events(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     return df.observe("event_types", F.count_if(known).alias("known"), F.count_if(~known).alias("skipped")).where(known)
 
 
-def stream_health(spark: SparkSession, queries: list, lag_limit_seconds: int = 300) -> DataFrame:
-    """Status, lag and last batch of streaming queries, from their latest progress."""
+class Reported:
+    """A query beside one of its progress reports, for ``stream_health``."""
+
+    def __init__(self, query, progress):
+        self.id, self.isActive, self.exception, self.lastProgress = query.id, query.isActive, query.exception, progress
+
+
+def stream_health(spark: SparkSession, queries: list, now: str | None = None, lag_limit_seconds: int = 300) -> DataFrame:
+    """Status, last batch, rows and lag of streaming queries, from their latest progress: lag is now less the newest event time.
+
+    A query without a watermark tells no event time and has a null lag. The driver holds a row per query.
+    """
     rows = []
     for q in queries:
         p = q.lastProgress or {}
         p = p if isinstance(p, dict) else json.loads(p.json)
-        rows.append((str(q.id), q.exception() is not None, bool(q.isActive), p.get("batchId"), float((p.get("durationMs") or {}).get("triggerExecution", 0)) / 1000))
-    out = spark.createDataFrame(rows, "consumer string, failed boolean, active boolean, batch_id long, lag_seconds double")
+        rows.append((str(q.id), q.exception() is not None, bool(q.isActive), p.get("batchId"), p.get("numInputRows"), (p.get("eventTime") or {}).get("max")))
+    out = spark.createDataFrame(rows, "consumer string, failed boolean, active boolean, batch_id long, last_rows long, newest_event string")
+    out = out.withColumn("newest_event", F.col("newest_event").cast("timestamp"))
+    clock = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+    out = out.withColumn("lag_seconds", F.unix_seconds(clock) - F.unix_seconds("newest_event"))
     return out.withColumn("status", F.when(F.col("failed"), "failed").when(F.col("lag_seconds") > lag_limit_seconds, "lagging").when(F.col("active"), "running").otherwise("idle"))
 
 
