@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklot.functions.columns import in_window, probe_is_degraded, safe_ratio, scan_is_challenge
+from tracklot.functions.columns import in_window, mapped, probe_is_degraded, safe_ratio, scan_is_challenge
 
 
 def count_map(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
@@ -148,11 +148,22 @@ def paired_mode_report(pages: DataFrame) -> DataFrame:
     return both.groupBy("catalog_id").agg(F.count("*").alias("pairs"), F.sum("delta").alias("delta_sum"), F.median("delta").alias("median_delta"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"), F.count_if(F.col("delta") > 0).alias("better"), F.count_if(F.col("delta") < 0).alias("worse"), safe_ratio(F.sum("bounded_accepted"), F.sum("bounded_seen")).alias("bounded_ratio"), safe_ratio(F.sum("unbounded_accepted"), F.sum("unbounded_seen")).alias("unbounded_ratio"))
 
 
+#: What to do about each finding.
+ADVICE = {
+    "narrow_coverage": "widen the catalogs of a run",
+    "many_failed_scans": "slow down or change the route of scans",
+    "degraded_probes": "lower the number of probes",
+    "mostly_stale": "visit known listings more often",
+    "mostly_first_pass": "repeat runs before adding catalogs",
+}
+
+
 def long_run_audit(scans: DataFrame, probes: DataFrame, summary: DataFrame, catalogs: DataFrame) -> DataFrame:
-    """Findings over all parts of the collection with a verdict."""
+    """Findings over all parts of the collection, what to do about each, a verdict and a score of 100 less 15 a finding."""
     stale = summary.agg(F.count("*").alias("listings"), F.count_if(F.col("freshness_bucket") == "stale-followup").alias("stale"), F.count_if(F.col("freshness_bucket") == "first-pass-only").alias("first_pass"))
     facts = coverage_breadth(scans, catalogs).crossJoin(scans.agg(F.count_if(~F.col("success")).alias("failed_scans"))).crossJoin(summarize_probes(probes).select("probed", "degraded")).crossJoin(stale)  # one row each
     findings = F.array_compact(F.array(F.when(F.col("narrow"), "narrow_coverage"), F.when(F.col("failed_scans") * 10 > F.col("scans"), "many_failed_scans"), F.when(F.col("degraded") * 10 > F.col("probed"), "degraded_probes"), F.when(F.col("stale") * 2 > F.col("listings"), "mostly_stale"), F.when(F.col("first_pass") * 2 > F.col("listings"), "mostly_first_pass")))
     out = facts.withColumn("findings", findings)
     n = F.size("findings")
-    return out.withColumns({"verdict": F.when(n == 0, "healthy").when(n <= 2, "watch").otherwise("act"), "findings": F.array_join("findings", ",")})
+    advice = F.transform("findings", lambda f: mapped(f, ADVICE))
+    return out.withColumns({"verdict": F.when(n == 0, "healthy").when(n <= 2, "watch").otherwise("act"), "score": F.lit(100) - n * 15, "recommendations": F.array_join(advice, ";"), "findings": F.array_join("findings", ",")})

@@ -140,9 +140,14 @@ def _(spark, d):
     return ST.freshness_summary(snapshot(spark, d))
 
 
-@query("prj_state_explanation", *STATE, sql="SELECT listing_id, CASE WHEN probe_outcome = 'unknown' THEN 1 ELSE 0 END + 1 + CASE WHEN follow_up_miss_count >= 2 AND observation_count >= 2 THEN 1 ELSE 0 END AS reasons FROM snapshot")
+_REASON = """CASE WHEN probe_outcome = 'deleted' THEN 'probe shows deletion (' || probe_status || ')' WHEN probe_outcome = 'sold' THEN 'probe shows it cannot be bought any more' WHEN probe_outcome = 'active' THEN 'probe shows it can be bought' WHEN probe_outcome = 'unavailable' THEN 'probe shows it unavailable without a clear sign'
+  WHEN seen_in_latest_primary_scan THEN 'seen in its catalog''s latest scan that worked' WHEN follow_up_miss_count > 2 THEN 'missing from ' || follow_up_miss_count || ' later scans' WHEN follow_up_miss_count = 2 THEN 'missing from 2 later scans' WHEN follow_up_miss_count = 1 THEN 'missing from one later scan'
+  WHEN latest_primary_scan_run_id IS NULL AND last_seen_age_hours <= 24 THEN 'seen lately, no newer scan' WHEN last_seen_age_hours > 72 THEN 'last seen too long ago' ELSE 'too little evidence' END"""
+
+
+@query("prj_state_explanation", *STATE, sql=f"SELECT listing_id, concat_ws(';', CASE WHEN probe_outcome = 'unknown' THEN 'the latest probe says nothing' END, {_REASON}, CASE WHEN follow_up_miss_count >= 2 AND observation_count >= 2 THEN 'seen repeatedly before it went missing' END) AS reasons FROM snapshot")
 def _(spark, d):
-    return ST.with_state_explanation(snapshot(spark, d)).select("listing_id", F.size("state_explanation.reasons").alias("reasons"))
+    return ST.with_state_explanation(snapshot(spark, d)).select("listing_id", F.array_join("state_explanation.reasons", ";").alias("reasons"))
 
 
 @query("srt_revisit_plan", *STATE, sql="SELECT listing_id, last_seen_age_hours + CASE observation_count WHEN 1 THEN 18.0 WHEN 2 THEN 8.0 ELSE 0.0 END + CASE WHEN last_seen_age_hours > 72 THEN 12.0 WHEN last_seen_age_hours > 24 THEN 6.0 ELSE 0.0 END + signal_completeness * 1.5 AS priority_score, freshness_bucket || ',' || CASE WHEN observation_count <= 2 THEN 'under-observed' ELSE 'tracked' END || ',' || CASE WHEN signal_completeness >= 5 THEN 'high-signal' ELSE 'thin-signal' END AS priority_reasons FROM history ORDER BY priority_score DESC, signal_completeness DESC, last_seen_at, listing_id LIMIT 50")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklot.functions import columns as X
 from tracklot.functions import identity as I
 from tracklot.operators import changes as CH
+from tracklot.operators import explore as E
 from tracklot.operators import marts as M
 from tracklot.operators import observe as O
 from tracklot.operators import ops as OP
 from tracklot.operators import quality as Q
 from tracklot.operators import rollups as R
 from tracklot.plans import prelude as P
-from tracklot.plans.listings import STATE, log, query, scores
+from tracklot.plans.listings import STATE, log, query, scores, snapshot
 from tracklot.sources import lake as L
 from tracklot.sources import parse as PR
 from tracklot.sources import standin as D
@@ -71,10 +73,11 @@ def _(spark, d):
     return L.existing(s, s.where("run_id < '1997-01'"))
 
 
-@query("src_backfill", sql="SELECT count(*) FILTER (WHERE run_id >= '2000-01') AS to_deliver, count(*) FILTER (WHERE run_id < '2000-01') AS to_skip FROM scans")
+@query("src_backfill", sql="SELECT run_id, catalog_id, (SELECT count(*) FROM scans WHERE run_id >= '2000-01') AS to_deliver, (SELECT count(*) FROM scans WHERE run_id < '2000-01') AS to_skip FROM scans WHERE run_id >= '2000-01'")
 def _(spark, d):
     s = D.scans(spark, d).select("run_id", "catalog_id")
-    return L.backfill(s, s.where("run_id < '2000-01'"), ["run_id", "catalog_id"])[1]
+    todo, counts = L.backfill(s, s.where("run_id < '2000-01'"), ["run_id", "catalog_id"])
+    return todo.crossJoin(F.broadcast(counts))  # one row
 
 
 @query("src_plan_retention", P.OBS, sql="SELECT count(*) AS matched, count(*) FILTER (WHERE listing_id % 5 <> 0) AS archived, count(*) FILTER (WHERE listing_id % 5 = 0) AS protected FROM sightings WHERE observed_at < TIMESTAMP '1998-01-01'")
@@ -88,11 +91,11 @@ def _(spark, d):
     return D.read(spark, d, "events").select("event_id", I.extract_path("props", "k").alias("k"))
 
 
-@query("src_flatten_and_decode", sql="SELECT listing_id, 1 AS same FROM sightings")
+@query("src_flatten_and_decode", sql="SELECT event_id, title, price_amount_cents AS price FROM sightings")
 def _(spark, d):
-    s = D.sightings(spark, d).select("listing_id", F.struct("title", "price_amount_cents").alias("card"))
+    s = D.sightings(spark, d).select("event_id", F.struct("title", "price_amount_cents").alias("card"))
     back = I.decode_json_columns(I.flatten_nested(s), {"card": "struct<title: string, price_amount_cents: bigint>"})
-    return back.select("listing_id", F.when(F.col("card.title").isNotNull(), 1).otherwise(0).alias("same"))
+    return back.select("event_id", "card.title", F.col("card.price_amount_cents").alias("price"))
 
 
 @query("prj_checksum", sql="SELECT event_id, sha256('{\"listing\":' || listing_id || ',\"run\":\"' || run_id || '\"}') AS checksum FROM sightings")
@@ -186,9 +189,9 @@ def _(spark, d):
     return OP.top_failing_catalogs(D.scans(spark, d), 5)
 
 
-@query("agg_coverage_breadth", sql="SELECT count(DISTINCT catalog_id) AS scanned, count(*) AS scans, 6 AS known, count(DISTINCT catalog_id) / 6.0 AS breadth, count(*) / count(DISTINCT catalog_id) AS repeat_factor, false AS narrow FROM scans")
+@query("agg_coverage_breadth", sql="SELECT count(DISTINCT catalog_id) AS scanned, count(*) AS scans, any_value(known) AS known, CAST(count(DISTINCT catalog_id) AS DOUBLE) / any_value(known) AS breadth, CAST(count(*) AS DOUBLE) / count(DISTINCT catalog_id) AS repeat_factor, count(DISTINCT catalog_id) * 2 < any_value(known) AS narrow FROM scans, (SELECT count(DISTINCT p_type) AS known FROM part) WHERE run_id >= '1998-01'")
 def _(spark, d):
-    return OP.coverage_breadth(D.scans(spark, d), D.catalogs(spark, d))
+    return OP.coverage_breadth(D.scans(spark, d).where("run_id >= '1998-01'"), D.catalogs(spark, d))
 
 
 def _cycles(spark, d):
@@ -211,9 +214,13 @@ def _(spark, d):
     return OP.runtime_report(_cycles(spark, d), "2024-02-01 00:00:00").select("lane_name", "cycle_id")
 
 
-@query("ops_acquisition_health", sql="SELECT run_id, count(*) AS scans, count(*) FILTER (WHERE success) AS ok, 'partial' AS health FROM scans GROUP BY 1 ORDER BY max(fetched_at) DESC, run_id DESC LIMIT 1")
+_PROBED = f"(SELECT count(*) AS probed, count(*) FILTER (WHERE {DEGRADED}) AS degraded FROM probes)"
+
+
+@query("ops_acquisition_health", sql=f"""SELECT run_id, scans, ok, challenged, probed, degraded, CASE WHEN scans = 0 THEN 'unknown' WHEN ok = 0 OR degraded * 2 > probed THEN 'degraded' WHEN ok < scans OR degraded > 0 THEN 'partial' ELSE 'healthy' END AS health
+  FROM (SELECT run_id, max(fetched_at) AS at_, count(*) AS scans, count(*) FILTER (WHERE success) AS ok, count(*) FILTER (WHERE response_status = 403) AS challenged FROM scans GROUP BY 1 ORDER BY at_ DESC, run_id DESC LIMIT 1), {_PROBED}""")
 def _(spark, d):
-    return OP.acquisition_health(D.scans(spark, d), D.probes(spark, d)).select("run_id", "scans", "ok", "health")
+    return OP.acquisition_health(D.scans(spark, d), D.probes(spark, d)).select("run_id", "scans", "ok", "challenged", "probed", "degraded", "health")
 
 
 _ARM = "CASE WHEN catalog_id % 2 = 0 THEN 'even' ELSE 'odd' END"
@@ -242,16 +249,18 @@ def _(spark, d):
     return OP.paired_mode_report(pages).drop("bounded_ratio", "unbounded_ratio")
 
 
-@query("ops_storage_growth", sql="SELECT lane, last(o_orderkey ORDER BY o_orderdate, o_orderkey) - first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS listing_growth FROM (SELECT o_orderpriority AS lane, * FROM orders) GROUP BY 1")
+@query("ops_storage_growth", sql="SELECT lane, last(o_orderkey ORDER BY o_orderdate, o_orderkey) - first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS listing_growth, last(o_custkey * 11 ORDER BY o_orderdate, o_orderkey) - first(o_custkey * 11 ORDER BY o_orderdate, o_orderkey) AS byte_growth FROM (SELECT o_orderpriority AS lane, * FROM orders) GROUP BY 1")
 def _(spark, d):
-    o = D.read(spark, d, "orders").select(F.col("o_orderpriority").alias("lane"), F.col("o_orderkey").alias("listing_count"), F.lit(0).cast("long").alias("bytes"), F.struct("o_orderdate", "o_orderkey").alias("captured_at"))
-    return OP.storage_growth(o, "lane").select("lane", "listing_growth")
+    o = D.read(spark, d, "orders").select(F.col("o_orderpriority").alias("lane"), F.col("o_orderkey").alias("listing_count"), (F.col("o_custkey") * 11).alias("bytes"), F.struct("o_orderdate", "o_orderkey").alias("captured_at"))
+    return OP.storage_growth(o, "lane")
 
 
-@query("ops_long_run_audit", P.OBS, P.CARDS, P.INPUTS, sql="SELECT count(*) AS listings, count(*) FILTER (WHERE freshness_bucket = 'stale-followup') AS stale, count(*) FILTER (WHERE freshness_bucket = 'first-pass-only') AS first_pass, 'many_failed_scans,degraded_probes,mostly_stale' AS findings, 'act' AS verdict FROM history")
+@query("ops_long_run_audit", P.OBS, P.CARDS, P.INPUTS, sql=f"""SELECT *, CASE WHEN findings = '' THEN 'healthy' WHEN len(string_split(findings, ',')) <= 2 THEN 'watch' ELSE 'act' END AS verdict, 100 - 15 * CASE WHEN findings = '' THEN 0 ELSE len(string_split(findings, ',')) END AS score, list_reduce(list_transform(string_split(findings, ','), lambda f: CASE f WHEN 'narrow_coverage' THEN 'widen the catalogs of a run' WHEN 'many_failed_scans' THEN 'slow down or change the route of scans' WHEN 'degraded_probes' THEN 'lower the number of probes' WHEN 'mostly_stale' THEN 'visit known listings more often' WHEN 'mostly_first_pass' THEN 'repeat runs before adding catalogs' ELSE '' END), lambda a, b: a || ';' || b) AS recommendations
+  FROM (SELECT listings, stale, first_pass, failed_scans, degraded, concat_ws(',', CASE WHEN scanned * 2 < known THEN 'narrow_coverage' END, CASE WHEN failed_scans * 10 > scans THEN 'many_failed_scans' END, CASE WHEN degraded * 10 > probed THEN 'degraded_probes' END, CASE WHEN stale * 2 > listings THEN 'mostly_stale' END, CASE WHEN first_pass * 2 > listings THEN 'mostly_first_pass' END) AS findings
+  FROM (SELECT count(*) AS listings, count(*) FILTER (WHERE freshness_bucket = 'stale-followup') AS stale, count(*) FILTER (WHERE freshness_bucket = 'first-pass-only') AS first_pass FROM history), (SELECT count(*) AS scans, count(DISTINCT catalog_id) AS scanned, count(*) FILTER (WHERE NOT success) AS failed_scans FROM scans), (SELECT count(DISTINCT p_type) AS known FROM part), {_PROBED})""")
 def _(spark, d):
-    s = D.sightings(spark, d)
-    return OP.long_run_audit(D.scans(spark, d), D.probes(spark, d), O.history_summaries(O.fold_observations(s), O.latest_cards(s), D.NOW), D.catalogs(spark, d)).select("listings", "stale", "first_pass", "findings", "verdict")
+    s = materialize(D.sightings(spark, d), "sightings")
+    return OP.long_run_audit(D.scans(spark, d, s), D.probes(spark, d), O.history_summaries(O.fold_observations(s), O.latest_cards(s), D.NOW), D.catalogs(spark, d)).select("listings", "stale", "first_pass", "failed_scans", "degraded", "findings", "recommendations", "verdict", "score")
 
 
 @query("dq_reconcile", sql="SELECT 'sightings' AS dataset, count(*) AS row_count, count(*) FILTER (WHERE run_id <> '1999-05') AS actual_row_count, 'mismatch' AS status FROM sightings UNION ALL SELECT 'scans', count(*), count(*), 'match' FROM scans")
@@ -261,10 +270,10 @@ def _(spark, d):
     return Q.reconcile(both(s), both(s.where("run_id <> '1999-05'"))).select("dataset", "row_count", "actual_row_count", "status")
 
 
-@query("dq_parity", sql="SELECT count(*) AS odd_rows FROM sightings WHERE run_id = '1999-05'")
+@query("dq_parity", sql="""SELECT sha256('{"event_id":"' || event_id || '","listing_id":' || listing_id || ',"price_amount_cents":' || coalesce(CAST(price_amount_cents AS VARCHAR), 'null') || '}') AS row_hash, CAST(sum(n) AS BIGINT) AS surplus FROM (SELECT *, CASE WHEN run_id = '1999-05' THEN 1 ELSE -1 END AS n FROM sightings WHERE run_id IN ('1999-05', '1999-06')) GROUP BY 1""")
 def _(spark, d):
     s = D.sightings(spark, d).select("event_id", "listing_id", "price_amount_cents", "run_id")
-    return Q.parity(s, s.where("run_id <> '1999-05'")).agg(F.count("*").alias("odd_rows"))
+    return Q.parity(s.where("run_id <> '1999-06'"), s.where("run_id <> '1999-05'"), ("run_id",))
 
 
 @query("dq_constraints", sql="SELECT 'price_positive' AS check_name, count(*) FILTER (WHERE NOT coalesce(price_amount_cents > 0, false)) AS violations FROM sightings UNION ALL SELECT 'brand_known', count(*) FILTER (WHERE brand IS NULL) FROM sightings")
@@ -408,3 +417,70 @@ def _(spark, d):
 @query("srt_issue_examples", P.CARDS, sql=f"SELECT listing_id, n AS degraded_probe_count, title, brand FROM (SELECT listing_id, count(*) AS n FROM probes WHERE {DEGRADED} GROUP BY 1 ORDER BY n DESC, listing_id LIMIT 25) LEFT JOIN cards USING (listing_id)")
 def _(spark, d):
     return OP.issue_examples(D.probes(spark, d), O.latest_cards(D.sightings(spark, d)), 25).select("listing_id", "degraded_probe_count", "title", "brand")
+
+
+@query("dq_orphans", sql="SELECT probe_id FROM probes WHERE listing_id IS NOT NULL AND listing_id NOT IN (SELECT listing_id FROM sightings)")
+def _(spark, d):
+    return Q.orphans(D.probes(spark, d), D.sightings(spark, d).select("listing_id").distinct(), "listing_id").select("probe_id")
+
+
+@query("dq_pipeline_audit", sql="SELECT 'consumer-' || catalog_id AS path, CASE WHEN catalog_id = 1003 THEN 'failed' WHEN count(*) > 60 THEN 'lagging' ELSE 'healthy' END AS status FROM scans GROUP BY catalog_id UNION ALL SELECT 'sightings', 'lagging' UNION ALL SELECT 'scans', 'healthy'")
+def _(spark, d):
+    s = D.sightings(spark, d)
+    c = D.scans(spark, d)
+    health = c.groupBy("catalog_id").agg(F.count("*").alias("n")).select(F.concat(F.lit("consumer-"), "catalog_id").alias("consumer"), F.when(F.col("catalog_id") == 1003, "failed").otherwise("running").alias("status"), (F.col("n") * 5).alias("lag_seconds"))
+    both = lambda s: Q.table_window(s, "observed_at", "sightings").unionByName(Q.table_window(c, "fetched_at", "scans"))
+    return Q.pipeline_audit(health, Q.reconcile(both(s), both(s.where("run_id <> '1999-05'"))))
+
+
+@query("agg_resource_summary", sql="SELECT user_id % 5 AS host, avg(event_id % 97) AS mean_cpu, CAST(max(event_id % 97) AS DOUBLE) AS peak_cpu, max(user_id * 1000) / 1048576.0::DOUBLE AS peak_rss_mb FROM events GROUP BY 1")
+def _(spark, d):
+    e = D.read(spark, d, "events").select((F.col("user_id") % 5).alias("host"), (F.col("event_id") % 97).cast("double").alias("cpu"), (F.col("user_id") * 1000).cast("double").alias("rss_bytes"))
+    return OP.resource_summary(e, "host")
+
+
+@query("agg_collapse_unique", sql="""SELECT user_id % 3 AS arm, '["' || string_agg(DISTINCT event_type, '","' ORDER BY event_type) || '"]' AS kinds, CAST(user_id % 3 AS VARCHAR) AS own, NULL::VARCHAR AS none FROM events GROUP BY 1""")
+def _(spark, d):
+    e = D.read(spark, d, "events").withColumn("arm", F.col("user_id") % 3).withColumn("none", F.lit(None).cast("string"))
+    return e.groupBy("arm").agg(OP.collapse_unique("event_type").alias("kinds"), OP.collapse_unique("arm").alias("own"), OP.collapse_unique("none").alias("none"))
+
+
+@query("mrg_latest_runs", sql="SELECT run_id, last(event_id ORDER BY observed_at, event_id) FILTER (WHERE brand IS NOT NULL) AS event_id, last(brand ORDER BY observed_at, event_id) FILTER (WHERE brand IS NOT NULL) AS brand FROM sightings GROUP BY 1")
+def _(spark, d):
+    s = D.sightings(spark, d).select("run_id", F.when(F.col("brand").isNotNull(), F.col("event_id")).alias("event_id"), "brand", F.struct("observed_at", F.col("event_id").alias("e")).alias("updated_at"))
+    return O.latest_runs(s)
+
+
+@query("mrg_upgrade_scans", sql="SELECT run_id, catalog_id, listing_count AS api_listing_count, NULL::BIGINT AS accepted_listing_count FROM scans")
+def _(spark, d):
+    return O.upgrade_scans(D.scans(spark, d)).select("run_id", "catalog_id", "api_listing_count", "accepted_listing_count")
+
+
+@query("flt_leaf_catalogs", sql="SELECT DISTINCT catalog_id FROM sightings WHERE root_title = 'first' AND catalog_id IN (1001, 1003, 1005)")
+def _(spark, d):
+    return X.select_leaf_catalogs(D.catalogs(spark, d), ["first"], [1001, 1003, 1005]).select("catalog_id")
+
+
+@query("flt_mart", sql="SELECT day, segment, events FROM (SELECT day, brand AS segment, count(*) AS events FROM sightings GROUP BY ALL) WHERE day BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' ORDER BY day DESC, events DESC, segment NULLS LAST LIMIT 500")
+def _(spark, d):
+    m = X.filter_mart(R.mart_segment_day(D.sightings(spark, d)), start="1998-01-01", end="1998-06-30", lens="brand")
+    return m.orderBy(F.desc("day"), F.desc("events"), F.asc_nulls_last("segment")).limit(500).select("day", "segment", "events")
+
+
+@query("prj_caution_notes", *STATE, sql="""SELECT count(*) AS tracked_listings, concat_ws(',', CASE WHEN count(*) = 0 THEN 'empty' END, CASE WHEN count(*) FILTER (WHERE basis_kind = 'inferred') * 2 > count(*) THEN 'mostly_inferred' END, CASE WHEN count(*) FILTER (WHERE basis_kind = 'unknown') * 4 > count(*) THEN 'many_unknown' END, CASE WHEN count(*) FILTER (WHERE confidence_label = 'low') * 2 > count(*) THEN 'mostly_low_confidence' END,
+  CASE WHEN count(*) FILTER (WHERE partial_signal) * 2 > count(*) THEN 'mostly_partial_signal' END, CASE WHEN count(*) FILTER (WHERE freshness_bucket = 'first-pass-only') * 2 > count(*) THEN 'mostly_first_pass' END) AS notes FROM snapshot""")
+def _(spark, d):
+    return E.caution_notes(E.overview(snapshot(spark, d)))
+
+
+_MODES = {m: f"{c} {w.upper()} NULLS LAST" for m, (w, c) in E.SORTS.items()}
+
+
+@query("srt_modes", *STATE, sql=" UNION ALL ".join(f"(SELECT '{m}' AS mode, listing_id, row_number() OVER (ORDER BY {o}, last_seen_at DESC, listing_id DESC) AS place FROM snapshot ORDER BY place LIMIT 20)" for m, o in _MODES.items()))
+def _(spark, d):
+    snap, out = snapshot(spark, d), None
+    for m in _MODES:
+        page = E.sort_listings(snap, m).limit(20).select(F.lit(m).alias("mode"), "listing_id", F.monotonically_increasing_id().alias("n"))
+        page = page.select("mode", "listing_id", F.row_number().over(Window.partitionBy("mode").orderBy("n")).alias("place"))
+        out = page if out is None else out.unionByName(page)
+    return out
