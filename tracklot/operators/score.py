@@ -10,6 +10,10 @@ from tracklot.functions.columns import is_sold_like, mapped
 from tracklot.operators.state import state_counts
 
 
+#: Parts into which the listings of a common context are split.
+SALTS = 16
+
+
 def demand_score(df: DataFrame) -> DataFrame:
     """Sum of six capped components, at most 100."""
     n, misses = F.coalesce("observation_count", F.lit(0)), F.coalesce("follow_up_miss_count", F.lit(0))
@@ -36,22 +40,17 @@ def _key(fields: tuple[str, ...]):
 def peer_context(df: DataFrame) -> DataFrame:
     """The first of six contexts with enough priced peers (the listing itself counts), as context_name, context_key, context_size.
 
-    Six small counts by key are joined back; no list of peers is built and only the chosen context is looked at again.
+    ``listing_id`` names a row. Contexts are looked up in one join of narrow rows, six a listing, salted since all listings
+    of a root share a key; only the chosen context meets the listing itself. No list of peers is built.
     """
-    priced = F.col("price_amount_cents").isNotNull()
-    out = df.withColumns({f"_k_{name}": _key(fields) for name, _, fields in C.PEER_CONTEXTS})
-    long = out.where(priced).select(F.inline(F.array(*[F.struct(F.lit(n).alias("context"), F.col(f"_k_{n}").alias("key")) for n, _, _ in C.PEER_CONTEXTS]))).where("key IS NOT NULL")
-    counts = long.groupBy("context", "key").agg(F.count("*").alias("peers"))
-    for name, _, _ in C.PEER_CONTEXTS:
-        own = counts.where(F.col("context") == name).select(F.col("key").alias(f"_k_{name}"), F.col("peers").alias(f"_n_{name}"))
-        out = out.join(own, f"_k_{name}", "left")
-    chosen = None
-    for name, least, _ in C.PEER_CONTEXTS:
-        value = F.struct(F.lit(name).alias("context_name"), F.col(f"_k_{name}").alias("context_key"), F.col(f"_n_{name}").alias("context_size"))
-        test = priced & (F.col(f"_n_{name}") >= least)
-        chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
-    out = out.withColumn("_c", chosen).select("*", "_c.*")
-    return out.drop("_c", *[f"_{p}_{n}" for p in "kn" for n, _, _ in C.PEER_CONTEXTS])
+    entries = [F.struct(F.lit(i).alias("rank"), F.lit(n).alias("name"), F.lit(least).alias("least"), _key(f).alias("key")) for i, (n, least, f) in enumerate(C.PEER_CONTEXTS)]
+    long = df.where("price_amount_cents IS NOT NULL").select("listing_id", F.inline(F.array(*entries))).where("key IS NOT NULL")
+    counts = long.groupBy("name", "key").agg(F.count("*").alias("peers"))
+    copies = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = long.withColumn("salt", F.pmod(F.xxhash64("listing_id"), F.lit(SALTS)).cast("int"))
+    best = salted.join(copies, ["name", "key", "salt"]).where("peers >= least").groupBy("listing_id").agg(F.min(F.struct("rank", "name", "key", "peers")).alias("c"))
+    best = best.select("listing_id", F.col("c.name").alias("context_name"), F.col("c.key").alias("context_key"), F.col("c.peers").alias("context_size"))
+    return df.join(best, "listing_id", "left")
 
 
 def premium_score(df: DataFrame, listings: DataFrame | None = None) -> DataFrame:
