@@ -56,7 +56,7 @@ def _(spark, d):
     return L.assign_chunks(D.sightings(spark, d), ["run_id", "catalog_id"], [F.col("observed_at"), F.col("event_id")], 100).select("event_id", "chunk_index", "chunk_count", "row_index")
 
 
-@query("src_manifests", sql="SELECT run_id, catalog_id, min(observed_at) AS first_at, max(observed_at) AS last_at, count(*) AS row_count, sha256(string_agg(event_id, ',' ORDER BY event_id)) AS checksum FROM sightings GROUP BY 1, 2")
+@query("src_manifests", sql="SELECT run_id, catalog_id, min(observed_at) AS first_at, max(observed_at) AS last_at, count(*) AS row_count, sum(CAST('0x' || substr(sha256(event_id), 1, 15) AS BIGINT)) || '-' || sum(CAST('0x' || substr(sha256(event_id), 16, 15) AS BIGINT)) AS checksum FROM sightings GROUP BY 1, 2")
 def _(spark, d):
     return L.build_manifests(D.sightings(spark, d), ["run_id", "catalog_id"], "observed_at", "event_id").drop("manifest_id")
 
