@@ -149,7 +149,7 @@ class Mixture:
         before = sums.select("source_id", "bucket", (F.sum("n").over(Window.partitionBy("source_id").orderBy("bucket")) - F.col("n")).alias("before"))
         here = Window.partitionBy("source_id", "bucket").orderBy("doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, 0)
         within = placed.withColumn("within", F.sum("size").over(here) - F.col("size"))
-        started = within.join(before, ["source_id", "bucket"]).select("doc_id", "text_hash", "source_id", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("start"))
+        started = within.hint("merge").join(before.hint("merge"), ["source_id", "bucket"]).select("doc_id", "text_hash", "source_id", "size", "source_size", "target", (F.col("before") + F.col("within")).alias("start"))
         self.docs = materialize(started.withColumn("row", F.monotonically_increasing_id()), "mix-docs")
         discard(sized)
         shards = -(-sum(slots) // SHARD_SLOTS)
@@ -166,12 +166,12 @@ class Mixture:
         low = F.greatest(F.col("start"), F.col("block") * b)
         high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * b)
         each = each.select("row", "doc_id", "text_hash", "source_id", "block", (low - F.col("start")).alias("low"), (high - low).alias("words"))
-        return each.join(taken, ["source_id", "block"])
+        return each.hint("merge").join(taken.hint("merge"), ["source_id", "block"])  # both grow with the documents
 
     def taken(self) -> DataFrame:
         """Per document row: doc_id, size, source_size, target, taken (its words in the mix, repeats counted)."""
         sums = self.overlaps().groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-        return self.docs.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        return self.docs.hint("merge").join(sums.hint("merge"), "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _passes(words: int, spans: list[dict]) -> Iterator[list[list[int]]]:
