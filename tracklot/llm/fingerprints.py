@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracklot.llm.common import order_bounds, table, with_order_bucket
+from tracklot.llm.common import order_bounds, shuffle_width, table, with_order_bucket
 
 K, S = 6, 2
 #: An anchor is one number: 37 bits of hash, one that is set while two fingerprints are merged, 26 of place.
@@ -68,6 +68,7 @@ def with_next(df: DataFrame, rows_per_bucket: int = BUCKET_ROWS) -> tuple[DataFr
     places = F.when(F.col("opens"), F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("extra")), F.struct(F.pmod(F.col("bucket") - 1, F.lit(max(1, len(bounds)))).alias("bucket"), F.lit(1).alias("extra"))))
     places = places.otherwise(F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("extra"))))
     out = dealt.select(*[c for c in keyed.columns], F.explode(places).alias("place")).select(*keyed.columns, "place.bucket", "place.extra")
+    out = out.repartition(shuffle_width(df), "bucket")  # as many partitions as the input asks for
     return out, Window.partitionBy("bucket").orderBy("extra", "doc_id", "text_hash")
 
 
