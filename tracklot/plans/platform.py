@@ -103,7 +103,10 @@ def _(spark, d):
     return D.sightings(spark, d).select("event_id", I.sha256_json(run="run_id", listing="listing_id").alias("checksum"))
 
 
-@query("prj_uuid5")
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INTEGER) & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query("prj_uuid5", sql=f"""SELECT event_id, {_UUID} AS uuid FROM (SELECT event_id, sha1(unhex('{I.NAMESPACE.hex}') || encode('sighting:{{"event":"' || event_id || '"}}')) AS h FROM sightings)""")
 def _(spark, d):
     return D.sightings(spark, d).select("event_id", I.deterministic_uuid("sighting", event="event_id").alias("uuid"))
 
