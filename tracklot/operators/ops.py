@@ -24,14 +24,26 @@ def summarize_probes(p: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("status", F.when(F.col("probed") == 0, "unknown").when(F.col("degraded") * 2 > F.col("probed"), "degraded").when(F.col("degraded") > 0, "partial").otherwise("healthy"))
 
 
+def probe_maps(p: DataFrame, *keys: str) -> DataFrame:
+    """Counts of outcomes and of reasons, as a map each."""
+    reasons = count_map(p.withColumn("reason", F.coalesce("reason", F.lit("none"))), "reason", list(keys), "reason_counts")
+    return count_map(p, "probe_outcome", list(keys), "outcome_counts").join(reasons, list(keys), "full")
+
+
 def top_failing_catalogs(scans: DataFrame, k: int) -> DataFrame:
     failed = scans.where("NOT success").groupBy("catalog_id").agg(F.count("*").alias("failures"), F.max("fetched_at").alias("latest_at"), F.count_if(F.col("response_status") == 403).alias("blocked"), F.min(F.coalesce("error_message", F.lit("n/a"))).alias("sample_message"))
     return failed.orderBy(F.desc("failures"), "catalog_id").limit(k)
 
 
 def summarize_cycles(c: DataFrame) -> DataFrame:
-    n = F.count("*")
-    return c.groupBy("lane_name").agg(n.alias("cycles"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum(F.unix_seconds("finished_at") - F.unix_seconds("started_at")).alias("seconds")).withColumn("success_rate", safe_ratio("completed", "cycles"))
+    """Per lane: cycles by status, success rate and mean duration."""
+    out = c.groupBy("lane_name").agg(F.count("*").alias("cycles"), F.count_if(F.col("status") == "completed").alias("completed"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum(F.unix_seconds("finished_at") - F.unix_seconds("started_at")).alias("seconds"))
+    return out.withColumns({"success_rate": safe_ratio("completed", "cycles"), "mean_seconds": safe_ratio("seconds", "cycles")})
+
+
+def failure_phases(c: DataFrame, k: int) -> DataFrame:
+    """The phases in which most cycles failed; ties by name."""
+    return c.where("status = 'failed'").groupBy("phase").agg(F.count("*").alias("failures"), F.max("started_at").alias("latest_at")).orderBy(F.desc("failures"), "phase").limit(k)
 
 
 def top_counts(df: DataFrame, counts: str, k: int) -> DataFrame:
@@ -63,6 +75,12 @@ def runtime_report(cycles: DataFrame, now, stale_seconds: int = 900) -> DataFram
     return last.withColumns({"heartbeat_age_seconds": age, "stale": age > stale_seconds})
 
 
+def runtime_status(cycles: DataFrame, now, k: int = 8) -> dict[str, DataFrame]:
+    """Each lane's latest cycle, the ``k`` latest cycles and failures of all, and totals by lane."""
+    newest = [F.desc("started_at"), F.desc("cycle_id")]
+    return {"latest": runtime_report(cycles, now), "recent": cycles.orderBy(*newest).limit(k), "failures": cycles.where("status = 'failed'").orderBy(*newest).limit(k), "totals": summarize_cycles(cycles)}
+
+
 def lane_rollup(lanes: DataFrame) -> DataFrame:
     """The lane that decides the overall status (running, failed, scheduled, paused, idle), the soonest first."""
     rank = F.array_position(F.array(*map(F.lit, ("running", "failed", "scheduled", "paused", "idle"))), F.col("status"))
@@ -145,7 +163,7 @@ def paired_mode_report(pages: DataFrame) -> DataFrame:
     """Bounded against unbounded mode on the same catalog and page: mean, median and signs of the difference, weighted ratio."""
     wide = pages.groupBy("catalog_id", "page_number").pivot("mode", ["bounded", "unbounded"]).agg(F.sum("accepted").alias("accepted"), F.sum("seen").alias("seen"))
     both = wide.where("bounded_seen IS NOT NULL AND unbounded_seen IS NOT NULL").withColumn("delta", F.col("bounded_accepted") - F.col("unbounded_accepted"))
-    return both.groupBy("catalog_id").agg(F.count("*").alias("pairs"), F.sum("delta").alias("delta_sum"), F.median("delta").alias("median_delta"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"), F.count_if(F.col("delta") > 0).alias("better"), F.count_if(F.col("delta") < 0).alias("worse"), safe_ratio(F.sum("bounded_accepted"), F.sum("bounded_seen")).alias("bounded_ratio"), safe_ratio(F.sum("unbounded_accepted"), F.sum("unbounded_seen")).alias("unbounded_ratio"))
+    return both.groupBy("catalog_id").agg(F.count("*").alias("pairs"), F.sum("delta").alias("delta_sum"), F.avg("delta").alias("mean_delta"), F.median("delta").alias("median_delta"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"), F.count_if(F.col("delta") > 0).alias("better"), F.count_if(F.col("delta") < 0).alias("worse"), safe_ratio(F.sum("bounded_accepted"), F.sum("bounded_seen")).alias("bounded_ratio"), safe_ratio(F.sum("unbounded_accepted"), F.sum("unbounded_seen")).alias("unbounded_ratio"))
 
 
 #: What to do about each finding.

@@ -182,7 +182,7 @@ def _(spark, d):
     return PR.flatten_catalog_tree(tree).select("id", "parent_id", "root_id", "path", "depth", "is_leaf")
 
 
-@query("agg_probe_summary", sql=f"SELECT count(*) AS probed, count(*) FILTER (WHERE probe_outcome = 'active') AS active, count(*) FILTER (WHERE probe_outcome = 'sold') AS sold, count(*) FILTER (WHERE probe_outcome = 'unavailable') AS unavailable, count(*) FILTER (WHERE probe_outcome = 'deleted') AS deleted, count(*) FILTER (WHERE probe_outcome = 'unknown') AS unknown, count(*) FILTER (WHERE probe_outcome <> 'unknown') AS direct_signals, count(*) FILTER (WHERE {DEGRADED}) AS degraded, count(*) FILTER (WHERE response_status IN (403, 429)) AS anti_bot, count(*) FILTER (WHERE response_status >= 500) AS http_errors, count(error_message) AS transport_errors, 'partial' AS status FROM probes")
+@query("agg_probe_summary", sql=f"SELECT count(*) AS probed, count(*) FILTER (WHERE probe_outcome = 'active') AS active, count(*) FILTER (WHERE probe_outcome = 'sold') AS sold, count(*) FILTER (WHERE probe_outcome = 'unavailable') AS unavailable, count(*) FILTER (WHERE probe_outcome = 'deleted') AS deleted, count(*) FILTER (WHERE probe_outcome = 'unknown') AS unknown, count(*) FILTER (WHERE probe_outcome <> 'unknown') AS direct_signals, count(*) FILTER (WHERE {DEGRADED}) AS degraded, count(*) FILTER (WHERE response_status IN (403, 429)) AS anti_bot, count(*) FILTER (WHERE response_status >= 500) AS http_errors, count(error_message) AS transport_errors, CASE WHEN count(*) = 0 THEN 'unknown' WHEN count(*) FILTER (WHERE {DEGRADED}) * 2 > count(*) THEN 'degraded' WHEN count(*) FILTER (WHERE {DEGRADED}) > 0 THEN 'partial' ELSE 'healthy' END AS status FROM probes")
 def _(spark, d):
     return OP.summarize_probes(D.probes(spark, d))
 
@@ -202,9 +202,30 @@ def _cycles(spark, d):
     return e.selectExpr("event_id AS cycle_id", "concat('lane-', user_id % 4) AS lane_name", "IF(event_type = 'error', 'failed', 'completed') AS status", "ts AS started_at", "timestamp_micros(unix_micros(ts) + (event_id % 50) * 1000000) AS finished_at", "map(event_type, cast(1 AS bigint), 'all', cast(event_id % 3 AS bigint)) AS reason_counts")
 
 
-@query("agg_cycle_summary", sql="SELECT 'lane-' || (user_id % 4) AS lane_name, count(*) AS cycles, count(*) FILTER (WHERE event_type <> 'error') AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed, CAST(count(*) FILTER (WHERE event_type <> 'error') AS DOUBLE) / count(*) AS success_rate FROM events GROUP BY 1")
+@query("agg_cycle_summary", sql="SELECT 'lane-' || (user_id % 4) AS lane_name, count(*) AS cycles, count(*) FILTER (WHERE event_type <> 'error') AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed, CAST(count(*) FILTER (WHERE event_type <> 'error') AS DOUBLE) / count(*) AS success_rate, CAST(sum(event_id % 50) AS BIGINT) AS seconds, avg(event_id % 50) AS mean_seconds FROM events GROUP BY 1")
 def _(spark, d):
-    return OP.summarize_cycles(_cycles(spark, d)).drop("seconds")
+    return OP.summarize_cycles(_cycles(spark, d))
+
+
+@query("agg_probe_maps", sql="SELECT k, kind, name, n FROM (SELECT listing_id % 3 AS k, 'outcome' AS kind, probe_outcome AS name, count(*) AS n FROM probes GROUP BY ALL UNION ALL SELECT listing_id % 3, 'reason', coalesce(reason, 'none'), count(*) FROM probes GROUP BY ALL)")
+def _(spark, d):
+    maps = OP.probe_maps(D.probes(spark, d).withColumn("k", F.col("listing_id") % 3), "k")
+    part = lambda kind: maps.select("k", F.lit(kind).alias("kind"), F.explode(f"{kind}_counts").alias("name", "n"))
+    return part("outcome").unionByName(part("reason"))
+
+
+@query("agg_failure_phases", sql="SELECT 'phase-' || (user_id % 7) AS phase, count(*) AS failures, max(ts) AS latest_at FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY failures DESC, phase LIMIT 5")
+def _(spark, d):
+    phased = D.read(spark, d, "events").select(F.col("event_id").alias("cycle_id"), F.concat(F.lit("phase-"), F.col("user_id") % 7).alias("phase"))
+    return OP.failure_phases(_cycles(spark, d).join(phased, "cycle_id"), 5)
+
+
+@query("ops_runtime_status", sql="SELECT part, cycle_id, n FROM ((SELECT 'recent' AS part, event_id AS cycle_id, 1 AS n FROM events ORDER BY ts DESC, event_id DESC LIMIT 8) UNION ALL (SELECT 'failures', event_id, 1 FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 8) UNION ALL (SELECT 'latest', last(event_id ORDER BY ts, event_id), 1 FROM events GROUP BY user_id % 4) UNION ALL (SELECT 'totals', NULL, count(*) FROM events GROUP BY user_id % 4))")
+def _(spark, d):
+    parts = OP.runtime_status(_cycles(spark, d), "2024-02-01 00:00:00")
+    rows = lambda name: parts[name].select(F.lit(name).alias("part"), "cycle_id", F.lit(1).cast("long").alias("n"))
+    totals = parts["totals"].select(F.lit("totals").alias("part"), F.lit(None).cast("long").alias("cycle_id"), F.col("cycles").alias("n"))
+    return rows("recent").unionByName(rows("failures")).unionByName(rows("latest")).unionByName(totals)
 
 
 @query("agg_top_reasons", sql="SELECT reason, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type AS reason, 1 AS n FROM events UNION ALL SELECT 'all', event_id % 3 FROM events) GROUP BY 1 ORDER BY n DESC, reason LIMIT 4")
@@ -245,11 +266,11 @@ def _(spark, d):
     return OP.leaderboard(_scorecard(spark, d)).select("arm", "rank")
 
 
-@query("ops_paired_mode_report", sql="SELECT catalog_id, count(*) AS pairs, sum(ba - ua)::BIGINT AS delta_sum, min(ba - ua) AS min_delta, max(ba - ua) AS max_delta, median(ba - ua) AS median_delta, count(*) FILTER (WHERE ba > ua) AS better, count(*) FILTER (WHERE ba < ua) AS worse FROM (SELECT catalog_id, page_number, count(*) FILTER (WHERE b AND a) AS ba, count(*) FILTER (WHERE NOT b AND a) AS ua, count(*) FILTER (WHERE b) AS bs, count(*) FILTER (WHERE NOT b) AS us FROM (SELECT catalog_id, page_number, user_id % 2 = 0 AS b, coalesce(price_amount_cents >= 150000, false) AS a FROM sightings) GROUP BY 1, 2) WHERE bs > 0 AND us > 0 GROUP BY 1")
+@query("ops_paired_mode_report", sql="SELECT catalog_id, count(*) AS pairs, sum(ba - ua)::BIGINT AS delta_sum, avg(ba - ua) AS mean_delta, CAST(sum(ba) AS DOUBLE) / sum(bs) AS bounded_ratio, CAST(sum(ua) AS DOUBLE) / sum(us) AS unbounded_ratio, min(ba - ua) AS min_delta, max(ba - ua) AS max_delta, median(ba - ua) AS median_delta, count(*) FILTER (WHERE ba > ua) AS better, count(*) FILTER (WHERE ba < ua) AS worse FROM (SELECT catalog_id, page_number, count(*) FILTER (WHERE b AND a) AS ba, count(*) FILTER (WHERE NOT b AND a) AS ua, count(*) FILTER (WHERE b) AS bs, count(*) FILTER (WHERE NOT b) AS us FROM (SELECT catalog_id, page_number, user_id % 2 = 0 AS b, coalesce(price_amount_cents >= 150000, false) AS a FROM sightings) GROUP BY 1, 2) WHERE bs > 0 AND us > 0 GROUP BY 1")
 def _(spark, d):
     s = D.sightings(spark, d)
     pages = s.groupBy("catalog_id", "page_number", F.when(F.col("user_id") % 2 == 0, "bounded").otherwise("unbounded").alias("mode")).agg(F.count("*").alias("seen"), F.count_if(F.col("price_amount_cents") >= 150_000).alias("accepted"))
-    return OP.paired_mode_report(pages).drop("bounded_ratio", "unbounded_ratio")
+    return OP.paired_mode_report(pages)
 
 
 @query("ops_storage_growth", sql="SELECT lane, last(o_orderkey ORDER BY o_orderdate, o_orderkey) - first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS listing_growth, last(o_custkey * 11 ORDER BY o_orderdate, o_orderkey) - first(o_custkey * 11 ORDER BY o_orderdate, o_orderkey) AS byte_growth FROM (SELECT o_orderpriority AS lane, * FROM orders) GROUP BY 1")
