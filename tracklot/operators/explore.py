@@ -13,7 +13,7 @@ from tracklot.operators.state import state_counts, with_state_explanation
 LENSES = ("category", "brand", "price_band", "condition", "sold_state")
 
 
-def _lens_rows(df: DataFrame, bands: tuple[int, int]) -> DataFrame:
+def _lens_rows(df: DataFrame, bands: tuple[int, int], roots: bool = False) -> DataFrame:
     """Every listing once per lens, as (lens, value, label): one scan and one aggregate serve all lenses.
 
     Codes and labels of price bands come from the same limits, whatever code the rows carry.
@@ -26,6 +26,7 @@ def _lens_rows(df: DataFrame, bands: tuple[int, int]) -> DataFrame:
         entry("price_band", price_band("price_amount_cents", bands), price_band_label("price_amount_cents", bands)),
         entry("condition", F.coalesce("condition_label", F.lit("unknown-condition")), F.coalesce("condition_label", F.lit("Unknown condition"))),
         entry("sold_state", F.col("state_code"), state_label("state_code")),
+        *([entry("root", F.col("root_title"), F.col("root_title"))] if roots else []),
     ))).select("*", "_l.lens", "_l.value", "_l.label").drop("_l")
 
 
@@ -57,9 +58,9 @@ def compare_by(df: DataFrame, lens: str, limit: int = C.COMPARISON_LIMIT, thresh
 
 
 def facet_options(df: DataFrame, limits: dict[str, int] | None = None, bands: tuple[int, int] = C.PRICE_BAND_CENTS) -> DataFrame:
-    """Values of each facet with counts; catalogs are cut at 80 and brands at 40."""
+    """Values of each facet, roots too, with counts; catalogs are cut at 80 and brands at 40."""
     limits = limits or {"category": 80, "brand": 40}
-    counts = _lens_rows(df, bands).groupBy("lens", "value", "label").agg(F.count("*").alias("listings"))
+    counts = _lens_rows(df, bands, roots=True).groupBy("lens", "value", "label").agg(F.count("*").alias("listings"))
     rank = F.row_number().over(Window.partitionBy("lens").orderBy(F.desc("listings"), "label", "value"))
     most = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("lens")), F.lit(2**31 - 1))
     return counts.withColumn("rank", rank).where(F.col("rank") <= most)

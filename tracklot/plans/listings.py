@@ -255,7 +255,7 @@ def _(spark, d):
     return E.compare_by(snapshot(spark, d), "brand", 60, bands=D.BANDS).select("value", "label", "support", "rank")
 
 
-@query("exp_facet_options", *STATE, sql=f"SELECT lens, value, listings FROM (SELECT lens, value, count(*) AS listings, row_number() OVER (PARTITION BY lens ORDER BY count(*) DESC, max(label), value) AS rank FROM ({_LENSES}) GROUP BY lens, value) WHERE rank <= CASE lens WHEN 'brand' THEN 40 WHEN 'category' THEN 80 ELSE 1000 END")
+@query("exp_facet_options", *STATE, sql=f"SELECT lens, value, listings FROM (SELECT lens, value, count(*) AS listings, row_number() OVER (PARTITION BY lens ORDER BY count(*) DESC, max(label), value) AS rank FROM ({_LENSES} UNION ALL SELECT 'root', root_title, root_title, * FROM snapshot) GROUP BY lens, value) WHERE rank <= CASE lens WHEN 'brand' THEN 40 WHEN 'category' THEN 80 ELSE 1000 END")
 def _(spark, d):
     return E.facet_options(snapshot(spark, d), bands=D.BANDS).select("lens", "value", "listings")
 
