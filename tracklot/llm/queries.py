@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracklot.llm.bpe import op11_bpe
 from tracklot.llm.fingerprints import op6_fingerprints
 from tracklot.llm.html_text import op2_html_text
 from tracklot.llm.licenses import op9_licenses
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_licenses": op9_licenses,
         "op10_mixing": op10_mixing,
+        "op11_bpe": op11_bpe,
     }
 
 
