@@ -54,6 +54,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot from a thousandth of all rows on, so there are this many hot keys at most.
+HOT_KEYS = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str) -> DataFrame:
+    """Left join on a key (null meets null) of which ``right`` has one row, with ``weight``, the rows that ``left`` has of it.
+
+    The rows of ``right`` with a thousandth of all rows or more, a thousand at most, are broadcast; all others are merged,
+    so no task gets a hot key's rows. ``left`` and ``right`` are read twice: give tables. ``weight`` is left out.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    rest = [c for c in right.columns if c not in (key, weight)]
+    hot = F.col(weight) * HOT_KEYS >= total
+    few = right.where(hot).select(F.col(key).alias("_key"), *rest, F.lit(True).alias("_hot"))
+    met = left.join(F.broadcast(few), F.col(key).eqNullSafe(F.col("_key")), "left")
+    many = right.where(~hot).select(F.col(key).alias("_key"), *rest)
+    cold = left.join(F.broadcast(few.select("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti").join(many, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return met.where("_hot").drop("_key", "_hot").unionByName(cold.drop("_key"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,6 +17,7 @@ from tracklot.llm.packing import op5_packing
 from tracklot.llm.pii import op7_pii
 from tracklot.llm.quality import op8_quality
 from tracklot.llm.token_ids import op1_token_ids
+from tracklot.llm.vector_codes import ENTRIES, PARTS, ROUNDS, op12_vector_codes
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_licenses": op9_licenses,
         "op10_mixing": op10_mixing,
         "op11_bpe": op11_bpe,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
@@ -52,6 +54,25 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(roo
 """
 
 
+def _vector_codes() -> str:
+    """Every part against every entry, in five assignments and four updates; lists of doubles hold the integers exactly."""
+    ctes = [
+        f"v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS ints FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT vec_id, label, part, ints[part * (len(ints) // {PARTS}) + 1:(part + 1) * (len(ints) // {PARTS})] AS x FROM v, range({PARTS}) t(part))",
+        f"b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS e FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT {ENTRIES}))",
+    ]
+    for r in range(ROUNDS + 1):
+        d = "CAST(list_inner_product(x, x) - 2 * list_inner_product(x, e) + list_inner_product(e, e) AS BIGINT)"
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, part, any_value(x) AS x, min({d} * {ENTRIES} + entry) AS k FROM p JOIN b{r} USING (part) GROUP BY vec_id, part)")
+        if r < ROUNDS:
+            ctes.append(f"m{r} AS (SELECT part, entry, list(c ORDER BY pos) AS e FROM (SELECT part, k % {ENTRIES} AS entry, pos, floor(sum(x[pos]) / count(*)) AS c FROM a{r}, range(1, (SELECT max(len(x)) FROM p) + 1) t(pos) GROUP BY ALL) GROUP BY part, entry)")
+            ctes.append(f"b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.e, b.e) AS e FROM b{r} b LEFT JOIN m{r} m USING (part, entry))")
+    return f"""WITH {", ".join(ctes)},
+c AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', k % {ENTRIES}), '' ORDER BY part) AS code, CAST(sum(k // {ENTRIES}) AS BIGINT) AS error FROM a{ROUNDS} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(CAST(CAST(e[pos] AS BIGINT) AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{ROUNDS}, range(1, (SELECT max(len(x)) FROM p) + 1) t(pos))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, books"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query and runs on whole tables; the tests hold the others against brute force."""
-    return {"op4_near_duplicates": NEAR_DUPLICATES}
+    return {"op4_near_duplicates": NEAR_DUPLICATES, "op12_vector_codes": _vector_codes()}
