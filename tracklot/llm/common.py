@@ -93,8 +93,8 @@ def order_bounds(df: DataFrame, keys: list[str], rows: int) -> list[tuple]:
     A sort of the keys alone; the driver gets one key per bucket.
     """
     every = max(rows, -(-df.count() // MAX_BUCKETS))
-    ordered = df.select(*keys).orderBy(*keys).withColumn("place", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    found = ordered.where(F.col("place") % every == 0).drop("place").collect()
+    ordered = df.select(*keys).orderBy(*keys).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    found = ordered.where(F.col("_at") % every == 0).drop("_at").collect()
     return sorted({tuple(r) for r in found}, key=lambda r: tuple((x is not None, x or 0) for x in r))
 
 

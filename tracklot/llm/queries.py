@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracklot.llm.bpe import op11_bpe
+from tracklot.llm.conversation_trie import op13_conversation_trie
 from tracklot.llm.fingerprints import op6_fingerprints
 from tracklot.llm.html_text import op2_html_text
 from tracklot.llm.licenses import op9_licenses
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_bpe": op11_bpe,
         "op12_vector_codes": op12_vector_codes,
+        "op13_conversation_trie": op13_conversation_trie,
     }
 
 
@@ -73,6 +75,23 @@ books AS (SELECT sha256(string_agg(CAST(CAST(e[pos] AS BIGINT) AS VARCHAR), ','
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, books"""
 
 
+#: crc32 of a decimal number: its characters, and eight shifts (-1) after each.
+_CRC = "xor(list_reduce(flatten(list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: [ascii(conv_id::VARCHAR[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x < 0 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, x) END, 4294967295::BIGINT), 4294967295)"
+#: Prefixes are their turns' digests joined, so a subtree is all keys that start with the node's.
+CONVERSATION_TRIE = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, i AS seq, role, text FROM c JOIN t ON t.conv_id = base AND i <= h UNION ALL SELECT conv_id, 8 + i, role, text FROM t JOIN c USING (conv_id) WHERE i > h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY seq) AS depth, sha256(len(role) || ':' || role || text) AS own, strlen(text) AS bytes FROM r),
+k AS (SELECT conv_id, depth, string_agg(own, '/') OVER (PARTITION BY conv_id ORDER BY depth) AS key, bytes FROM d UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+n AS MATERIALIZED (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved, CASE depth WHEN 0 THEN NULL WHEN 1 THEN '' ELSE left(key, depth * 65 - 66) END AS up FROM k GROUP BY key, depth),
+kids AS (SELECT up AS key, count(*) AS n FROM n WHERE depth > 0 GROUP BY up),
+ends AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS h FROM (SELECT conv_id, max_by(key, depth) AS key FROM k GROUP BY conv_id) GROUP BY key),
+under AS (SELECT s.key, count(*) FILTER (WHERE l.n IS NULL) AS n_leaves, CAST(sum(t.saved) AS BIGINT) AS saved_tokens FROM n s JOIN n t ON starts_with(t.key, s.key) LEFT JOIN kids l ON l.key = t.key GROUP BY s.key)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(kids.n, 0) AS n_children, under.n_leaves, under.saved_tokens, coalesce(ends.h, sha256('')) AS ends_sha256
+FROM n LEFT JOIN n p ON p.key = n.up LEFT JOIN kids ON kids.key = n.key LEFT JOIN ends ON ends.key = n.key JOIN under ON under.key = n.key"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query and runs on whole tables; the tests hold the others against brute force."""
-    return {"op4_near_duplicates": NEAR_DUPLICATES, "op12_vector_codes": _vector_codes()}
+    return {"op4_near_duplicates": NEAR_DUPLICATES, "op12_vector_codes": _vector_codes(), "op13_conversation_trie": CONVERSATION_TRIE}
