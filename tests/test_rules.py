@@ -196,32 +196,6 @@ def test_catalog_trees_of_any_depth(spark):
     assert [(r.id, r.depth, r.is_leaf) for r in rows] == [(i, i - 1, i == 9) for i in range(1, 10)] and rows[8].path.count(" > ") == 8
 
 
-def test_streamed_state_equals_the_batch_one_after_late_rows_and_a_restart(spark, sf):
-    from tracklot.sources import standin as D
-    from tracklot.sources.scratch import folder
-    from tracklot.streaming import current_state as CS
-
-    s = D.sightings(spark, sf).where("listing_id % 5 = 0")
-    tables = {"seen": s, "scans": D.scans(spark, sf, s), "probes": D.probes(spark, sf).drop("props")}
-    times = {"seen": "observed_at", "scans": "fetched_at", "probes": "probed_at"}
-    root = folder(spark, "restart")
-    for late in (False, True):  # rows of even days come first, all others, older ones among them, after a restart
-        streams = {}
-        for name, df in tables.items():
-            df.where(F.dayofmonth(times[name]) % 2 == int(late)).write.mode("append").parquet(f"{root}/in/{name}")
-            streams[name] = streams_of(spark, f"{root}/in/{name}")
-        CS.stream_state(root, **streams)
-        CS.stream_state(root, **streams)  # nothing new: nothing counted twice
-    columns = ["listing_id", "state_code", "follow_up_miss_count", "latest_miss_at", "observation_count", "total_sightings", "mean_revisit_hours", "title", "price_amount_cents", "probe_outcome"]
-    got = CS.current_state(spark, root, D.NOW, D.BANDS).select(*columns)
-    want = ST.classified_snapshot(O.state_inputs(s, tables["scans"], tables["probes"], D.NOW), D.NOW, D.BANDS).select(*columns)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
-
-
-def streams_of(spark, path):
-    return streams.stream_lake(spark, path, 1)
-
-
 def test_experiment_scorecard(spark):
     arms = ["a", "b"]
     runs = spark.createDataFrame([("a", 14, 10), ("a", 12, 10), ("b", 36, 20)], "arm string, raw_listing_hits long, unique_listing_hits long")

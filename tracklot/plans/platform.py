@@ -20,7 +20,8 @@ from tracklot.sources import lake as L
 from tracklot.sources import parse as PR
 from tracklot.sources import standin as D
 from tracklot.sources.scratch import folder, materialize
-from tracklot.streaming import current_state as CS
+from tracklot.streaming import change_state as CG
+from tracklot.streaming import listing_state as LS
 from tracklot.streaming import streams as ST
 
 DEGRADED = "(coalesce(error_message, '') <> '' OR coalesce(response_status IN (403, 429) OR response_status >= 500, false) OR coalesce(reason IN ('anti_bot_challenge', 'probe_exception') OR starts_with(reason, 'unexpected_http_') OR starts_with(reason, 'http_'), false))"
@@ -335,11 +336,14 @@ def _(spark, d):
     return ST.presence_available(ST.stream_lake(spark, path)).drop("gap_micros")
 
 
-@query("str_changes", P.LOG, sql='SELECT listing_id, "at", source_id, change_kind, state_code, misses, now_price AS price FROM changes')
+@query("str_changes", P.LOG, sql='''SELECT listing_id, "at", source_id, change_kind, state_code, basis_kind, misses, now_price AS price, b_price AS price_before, b_state AS state_before, run_id FROM (SELECT *, CASE WHEN last_probe IN ('deleted', 'sold', 'active', 'unavailable') OR misses = 0 THEN 'observed' ELSE 'inferred' END AS basis_kind FROM changes)''')
 def _(spark, d):
-    path = folder(spark, "log")
-    log(spark, d).write.parquet(path)
-    return ST.changes_available(ST.stream_lake(spark, path, 3)).select("listing_id", "at", "source_id", "change_kind", "state_code", "misses", F.col("now_price_amount_cents").alias("price"))
+    """Events arrive a year at a time, some a chunk late; a last event of another listing moves the watermark past them all."""
+    root, events = folder(spark, "changes"), materialize(log(spark, d), "log")
+    end = events.limit(1).select(*[F.lit(-1).cast("long").alias("listing_id") if c == "listing_id" else F.lit("2010-01-01").cast("timestamp").alias("at") if c == "at" else F.lit("end").alias(c) if c in ("event_kind", "source_id") else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    stream = D.arrivals(events.unionByName(end), F.when(F.col("event_kind") == "end", D.YEARS).otherwise(D.year_chunk("at", "source_id")), f"{root}/in", D.YEARS + 1)
+    ch = CG.changes_available(stream, root, "370 days")
+    return ch.select("listing_id", "at", "source_id", "change_kind", "state_code", "basis_kind", F.col("misses").cast("long").alias("misses"), F.col("now_price_amount_cents").alias("price"), F.col("before.now_price_amount_cents").alias("price_before"), F.col("before.state_code").alias("state_before"), "run_id")
 
 
 @query("agg_hll_sketches")
@@ -395,27 +399,74 @@ def _(spark, d):
     return ST.take_in(ST.stream_facts(ST.stream_lake(spark, path), delay="4000 days"), folder(spark, "facts")).select("event_id", "observed_at")
 
 
-@query("str_health", sql="SELECT 'lagging' AS status, true AS has_batch, CAST(epoch(max(observed_at)) AS BIGINT) AS newest FROM sightings")
+_KNOWN = ("view", "click", "purchase", "signup")
+_DAYS = "day(ts) // 8"
+
+
+@query("str_progress", sql=f"SELECT {_DAYS} AS batch_id, count(*) AS input_rows, count(*) FILTER (WHERE event_type <> 'error') AS known, count(*) FILTER (WHERE event_type = 'error') AS skipped, last(event_id ORDER BY ts, event_id) AS last_event_id, max(ts) AS newest_event FROM events GROUP BY 1")
 def _(spark, d):
-    path = folder(spark, "health")
-    D.sightings(spark, d).select("event_id", "observed_at").write.parquet(path)
-    q = ST.run_available(ST.stream_facts(ST.stream_lake(spark, path), delay="10 days"), lambda b, k: b.write.format("noop").mode("overwrite").save(), "append", "health")
-    # the last batch only moves the watermark, so the newest event is looked for in all progress reports
-    seen = [x for x in q.recentProgress if (x.get("eventTime") or {}).get("max")]
-    health = ST.stream_health(spark, [ST.Reported(q, seen[-1])], D.NOW)
-    return health.select("status", F.col("batch_id").isNotNull().alias("has_batch"), F.unix_seconds("newest_event").alias("newest"))
+    """What the listener wrote of each batch: eight days of events arrive at a time."""
+    return _progress(spark, d).where("input_rows > 0").select("batch_id", "input_rows", "known", "skipped", "last_event_id", "newest_event")
+
 
+def _progress(spark, d):
+    root, e = folder(spark, "progress"), D.read(spark, d, "events").select("event_id", "ts", "event_type")
+    stream = D.arrivals(e, F.floor(F.dayofmonth("ts") / 8), f"{root}/in", 4)
+    with ST.ProgressLog(spark) as heard:
+        ST.run_available(ST.known_events(stream, _KNOWN), lambda b, k: b.write.mode("overwrite").parquet(f"{root}/out/batch={k}"), "append", "events", f"{root}/checkpoint", "events")
+    heard.save(f"{root}/progress")
+    return spark.read.parquet(f"{root}/progress")
 
-@query("str_current_state", *STATE, sql="SELECT listing_id, state_code, basis_kind, confidence_score, follow_up_miss_count, latest_miss_at, observation_count, freshness_bucket, price_band_code, title FROM snapshot")
+
+@query("str_health", sql="SELECT 'events' AS consumer, 'lagging' AS status, count(*) AS rows, count(*) FILTER (WHERE event_type <> 'error') AS known, count(*) FILTER (WHERE event_type = 'error') AS skipped, last(event_id ORDER BY ts, event_id) AS last_event_id, CAST(epoch(TIMESTAMP '2024-02-01') - floor(epoch(max(ts))) AS BIGINT) AS lag_seconds FROM events UNION ALL SELECT 'later', 'idle', count(*), count(*) FILTER (WHERE event_type <> 'error'), count(*) FILTER (WHERE event_type = 'error'), last(event_id ORDER BY ts, event_id), CAST(epoch(TIMESTAMP '2024-02-01') - floor(epoch(max(ts))) AS BIGINT) - 86400 FROM events")
 def _(spark, d):
-    """The streams' state over all rows, taken in by several batches; the SQL is the batch snapshot's."""
+    """Two consumers from one progress table, one of events that are a day newer, and a lag limit between them."""
+    rows = _progress(spark, d)
+    later = rows.withColumns({"consumer": F.lit("later"), "newest_event": F.col("newest_event") + F.expr("INTERVAL 1 DAY")})
+    return ST.stream_health(rows.unionByName(later), "2024-02-01 00:00:00", 80_000).select("consumer", "status", "rows", "known", "skipped", "last_event_id", "lag_seconds")
+
+
+@query("str_current_state", *STATE, sql="SELECT listing_id, state_code, basis_kind, confidence_score, follow_up_miss_count, latest_miss_at, observation_count, total_sightings, first_seen_at, last_seen_at, mean_revisit_hours, freshness_bucket, price_band_code, title, price_amount_cents, probe_outcome, seen_in_latest_primary_scan FROM snapshot")
+def _(spark, d):
+    """The stream's state after seven years of arrivals, some late, and a restart; the SQL is the batch snapshot's."""
     s = materialize(D.sightings(spark, d), "sightings")
-    root, parts = folder(spark, "state"), {}
-    for name, df in (("seen", s), ("scans", D.scans(spark, d, s)), ("probes", D.probes(spark, d).drop("props"))):
-        df.write.parquet(path := f"{root}/in/{name}")
-        parts[name] = ST.stream_lake(spark, path, 2)
-    CS.stream_state(root, **parts)
-    return CS.current_state(spark, root, D.NOW, D.BANDS, materialize).select("listing_id", "state_code", "basis_kind", "confidence_score", "follow_up_miss_count", "latest_miss_at", "observation_count", "freshness_bucket", "price_band_code", "title")
+    events = materialize(LS.state_events(s, D.scans(spark, d, s), D.probes(spark, d)), "events")
+    root, chunk = folder(spark, "state"), D.year_chunk("at", "payload")
+    for half in (chunk < 4, chunk >= 4):
+        first = F.when(half, F.when(chunk < 4, chunk).otherwise(chunk - 4))
+        LS.stream_state(D.arrivals(events, first, f"{root}/in", 4), root, "740 days", 780)
+    card = ", ".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in LS.CARD_FIELDS)
+    return LS.current_state(spark, root, D.NOW, D.BANDS, card).select("listing_id", "state_code", "basis_kind", "confidence_score", "follow_up_miss_count", "latest_miss_at", "observation_count", "total_sightings", "first_seen_at", "last_seen_at", "mean_revisit_hours", "freshness_bucket", "price_band_code", "title", "price_amount_cents", "probe_outcome", "seen_in_latest_primary_scan")
+
+
+@query("str_probe_as_of", sql="SELECT p.probe_id, p.listing_id, max(s.observed_at) AS observed_at, last(s.event_id ORDER BY s.observed_at, s.event_id) FILTER (WHERE s.event_id IS NOT NULL) AS event_id FROM probes p LEFT JOIN sightings s ON s.listing_id = p.listing_id AND s.observed_at <= p.probed_at AND s.observed_at >= p.probed_at - INTERVAL 90 DAYS GROUP BY 1, 2")
+def _(spark, d):
+    """Both sides arrive a year at a time; one last row on each moves the watermarks, so that unmatched probes come out too."""
+    root = folder(spark, "as-of")
+    s = D.sightings(spark, d).select("listing_id", "observed_at", "event_id")
+    p = D.probes(spark, d).select("listing_id", "probed_at", "probe_id")
+    streams = []
+    for name, df, at, key in (("s", s, "observed_at", "event_id"), ("p", p, "probed_at", "probe_id")):
+        end = df.limit(1).select(F.lit(-1).cast("long").alias("listing_id"), F.lit("2010-01-01").cast("timestamp").alias(at), F.lit(None).cast(df.schema[key].dataType).alias(key))
+        streams.append(D.arrivals(df.unionByName(end), F.when(F.col("listing_id") < 0, D.YEARS).otherwise(D.year_chunk(at, key)), f"{root}/in/{name}", D.YEARS + 1))
+    return ST.probe_as_of_available(*streams, root, "90 days", "740 days").where("listing_id >= 0").select("probe_id", "listing_id", "observed_at", "event_id")
+
+
+_ENDS = "SELECT run_id, catalog_id, page_number, chunk_index, page_number = max(page_number) OVER (PARTITION BY run_id, catalog_id) AND chunk_index = chunk_count - 1 AS is_terminal FROM (SELECT DISTINCT run_id, catalog_id, page_number, (row_number() OVER w - 1) // 10 AS chunk_index, (count(*) OVER (PARTITION BY run_id, catalog_id, page_number) + 9) // 10 AS chunk_count FROM sightings WINDOW w AS (PARTITION BY run_id, catalog_id, page_number ORDER BY observed_at, event_id))"
+
+
+@query("str_scan_ends", sql=_ENDS)
+def _(spark, d):
+    """Chunks of ten sightings a page; the last chunk of a scan's last page ends the scan."""
+    s = L.assign_chunks(D.sightings(spark, d), ["run_id", "catalog_id", "page_number"], [F.col("observed_at"), F.col("event_id")], 10)
+    pages = s.groupBy("run_id", "catalog_id").agg(F.max("page_number").alias("total_pages"))
+    chunks = s.select("run_id", "catalog_id", "page_number", "chunk_index", "chunk_count").distinct().join(pages, ["run_id", "catalog_id"])
+    return ST.is_terminal(chunks.withColumn("next_page", F.when(F.col("page_number") < F.col("total_pages"), F.col("page_number") + 1))).select("run_id", "catalog_id", "page_number", "chunk_index", "is_terminal")
+
+
+@query("str_late_rows", sql="SELECT event_id, coalesce(epoch(observed_at) < epoch(max(observed_at) OVER (PARTITION BY listing_id ORDER BY card_position, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - 2000 * 3600, false) AS is_late FROM sightings")
+def _(spark, d):
+    return ST.within_late_limit(D.sightings(spark, d), "observed_at", ["card_position", "event_id"], 2000).select("event_id", "is_late")
 
 
 _EXPERIMENT = "SELECT CASE WHEN catalog_id % 2 = 0 THEN 'even' ELSE 'odd' END AS arm"

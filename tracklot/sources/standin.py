@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = "2001-11-05 00:00:00"
@@ -68,3 +68,25 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "IF(event_type = 'error' AND event_id % 5 = 0, 'timeout', NULL) AS error_message",
         "props",
     )
+
+
+#: Files of one arrival, all taken in by one micro-batch.
+ARRIVAL_FILES = 2
+
+
+def arrivals(df: DataFrame, chunk: Column, path: str, chunks: int) -> DataFrame:
+    """A stream over a table's rows as they arrive: those of chunk 0 first, then 1 and so on, one micro-batch each."""
+    numbered = df.withColumn("_chunk", chunk)
+    for i in range(chunks):
+        numbered.where(F.col("_chunk") == i).drop("_chunk").repartition(ARRIVAL_FILES).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", ARRIVAL_FILES).parquet(path)
+
+
+#: Years of the sightings; each arrives as one chunk.
+FIRST_YEAR, YEARS = 1995, 7
+
+
+def year_chunk(at: str, key: str) -> Column:
+    """A row's year, counted from 0; one in eight of December's rows is late by a chunk."""
+    late = (F.month(at) == 12) & (F.pmod(F.xxhash64(key), F.lit(8)) == 0)
+    return F.greatest(F.lit(0), F.least(F.year(at) - FIRST_YEAR + late.cast("int"), F.lit(YEARS - 1)))

@@ -1,4 +1,4 @@
-"""Structured Streaming twins of the folds: rollups, facts, latest rows, presence, changes, consumer health.
+"""Structured Streaming twins of the folds: rollups, facts, latest rows, presence, as-of joins, consumer health.
 
 Every function takes a streaming DataFrame. A micro-batch writes what it adds or changes to a folder named by its number, so
 a batch that runs again replaces its own output and nothing older is rewritten; a result is what those parts fold to.
@@ -8,18 +8,19 @@ Parts and checkpoints live under ``path``: given the same one, a new session goe
 
 from __future__ import annotations
 
-import json
-import uuid
+import threading
 from collections.abc import Callable, Iterator
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracklot.operators.changes import derive_changes
 from tracklot.sources.scratch import folder
+from tracklot.streaming.tables import Appends, run_on_rocksdb
 
 
 def stream_lake(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -28,9 +29,10 @@ def stream_lake(spark: SparkSession, path: str, max_files: int | None = None) ->
     return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).parquet(path)
 
 
-def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str, name: str, checkpoint: str | None = None):
+def run_available(df: DataFrame, each: Callable[[DataFrame, int], None], mode: str, name: str, checkpoint: str | None = None, query_name: str | None = None):
     """Run a query over all that is available now, giving every micro-batch to ``each``; returns the ended query."""
-    q = df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint or folder(df.sparkSession, name)).trigger(availableNow=True).start()
+    writer = df.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", checkpoint or folder(df.sparkSession, name)).trigger(availableNow=True)
+    q = (writer.queryName(query_name) if query_name else writer).start()
     q.awaitTermination()
     return q
 
@@ -106,22 +108,29 @@ def presence_available(df: DataFrame, path: str | None = None) -> DataFrame:
     return newest_rows(take_in(stream_presence(df), path or folder(df.sparkSession, "presence"), "update"), ["listing_id"])
 
 
-def changes_available(log: DataFrame, path: str | None = None) -> DataFrame:
-    """Change events after all that is available.
+def stream_probe_join(sightings: DataFrame, probes: DataFrame, within: str = "30 days", delay: str = "30 days") -> DataFrame:
+    """Probes with the sightings up to ``within`` before them: a stream-stream outer join with a watermark on each side.
 
-    Every batch adds its events; changes are derived from each listing's whole log, so late, repeated and out-of-order
-    events end as in the batch operator.
+    Either side is held in state until the other's watermark has passed what could still meet it; a probe that no sighting met comes
+    out then, with nulls.
     """
-    parts = take_in(log, path or folder(log.sparkSession, "changes"), part=lambda b: b.dropDuplicates(["listing_id", "source_id"]))
-    return derive_changes(parts.drop("batch").dropDuplicates(["listing_id", "source_id"]))
+    s = sightings.withWatermark("observed_at", delay).select(F.col("listing_id").alias("s_listing"), "observed_at", "event_id")
+    p = probes.withWatermark("probed_at", delay)
+    near = F.expr(f"listing_id = s_listing AND observed_at <= probed_at AND observed_at >= probed_at - INTERVAL {within}")
+    return p.join(s, near, "left_outer").drop("s_listing")
 
 
-def stream_probe_join(sightings: DataFrame, probes: DataFrame, within: str = "30 days") -> DataFrame:
-    """Probes with the sightings up to ``within`` before them; unmatched probes come once the watermark has passed."""
-    s = sightings.withWatermark("observed_at", within).select(F.col("listing_id").alias("s_listing"), "observed_at", "event_id")
-    p = probes.withWatermark("probed_at", within)
-    near = F.expr(f"listing_id = s_listing AND observed_at <= probed_at AND observed_at >= probed_at - INTERVAL {within}")
-    return p.join(s, near, "left")
+def probe_as_of_available(sightings: DataFrame, probes: DataFrame, path: str, within: str = "30 days", delay: str = "30 days") -> DataFrame:
+    """Each probe that the watermark has passed with its latest sighting before it (ties by event_id), null where there is none.
+
+    A batch keeps the best of the pairs that it brings; the fold of all batches takes the best of those.
+    """
+    best = F.max(F.struct("observed_at", "event_id")).alias("near")
+    rest = [c for c in probes.columns if c != "probe_id"]
+    part = lambda b: b.groupBy("probe_id", *rest).agg(best)
+    table = Appends(probes.sparkSession, f"{path}/pairs")
+    run_on_rocksdb(stream_probe_join(sightings, probes, within, delay), lambda b, k: table.write(part(b), k), f"{path}/checkpoint")
+    return table.read().groupBy("probe_id", *rest).agg(F.max("near").alias("near")).select("probe_id", *rest, "near.observed_at", "near.event_id")
 
 
 def is_terminal(df: DataFrame) -> DataFrame:
@@ -130,37 +139,73 @@ def is_terminal(df: DataFrame) -> DataFrame:
     return df.withColumn("is_terminal", F.coalesce(last_page, F.lit(False)) & (F.col("chunk_index") >= F.col("chunk_count") - 1))
 
 
-def known_events(df: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Events of known types; the others are counted in the query's metrics."""
+def known_events(df: DataFrame, kinds: tuple[str, ...], event_id: str = "event_id", ts: str = "ts") -> DataFrame:
+    """Events of known types; each batch's numbers of known and skipped ones and its last event go to the query's metrics."""
     known = F.col("event_type").isin(*kinds)
-    return df.observe("event_types", F.count_if(known).alias("known"), F.count_if(~known).alias("skipped")).where(known)
-
+    last = F.max(F.struct(ts, event_id))[event_id]
+    return df.observe("event_types", F.count_if(known).alias("known"), F.count_if(~known).alias("skipped"), last.alias("last_event_id"), F.max(ts).alias("newest_event")).where(known)
 
-class Reported:
-    """A query beside one of its progress reports, for ``stream_health``."""
 
-    def __init__(self, query, progress):
-        self.id, self.isActive, self.exception, self.lastProgress = query.id, query.isActive, query.exception, progress
+PROGRESS = "consumer string, run string, batch_id long, input_rows long, known long, skipped long, last_event_id long, newest_event timestamp, watermark timestamp, ended boolean, error string"
 
 
-def stream_health(spark: SparkSession, queries: list, now: str | None = None, lag_limit_seconds: int = 300) -> DataFrame:
-    """Status, last batch, rows and lag of streaming queries, from their latest progress: lag is now less the newest event time.
+class ProgressLog(StreamingQueryListener):
+    """Hears of every micro-batch of the session's named queries and keeps a row of each: Spark calls it, nothing is polled.
 
-    A query without a watermark tells no event time and has a null lag. The driver holds a row per query.
+    ``with ProgressLog(spark) as log:`` around the queries; ``log.save(path)`` appends what it heard to a table.
     """
-    rows = []
-    for q in queries:
-        p = q.lastProgress or {}
-        p = p if isinstance(p, dict) else json.loads(p.json)
-        rows.append((str(q.id), q.exception() is not None, bool(q.isActive), p.get("batchId"), p.get("numInputRows"), (p.get("eventTime") or {}).get("max")))
-    out = spark.createDataFrame(rows, "consumer string, failed boolean, active boolean, batch_id long, last_rows long, newest_event string")
-    out = out.withColumn("newest_event", F.col("newest_event").cast("timestamp"))
-    clock = F.lit(now).cast("timestamp") if now else F.current_timestamp()
-    out = out.withColumn("lag_seconds", F.unix_seconds(clock) - F.unix_seconds("newest_event"))
-    return out.withColumn("status", F.when(F.col("failed"), "failed").when(F.col("lag_seconds") > lag_limit_seconds, "lagging").when(F.col("active"), "running").otherwise("idle"))
-
-
-def within_late_limit(df: DataFrame, ts: str, hours: int) -> DataFrame:
-    """Marks rows that come later than the limit allows against the newest time of their listing so far."""
-    newest = F.max(ts).over(Window.partitionBy("listing_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("is_late", F.unix_seconds(F.col(ts)) < F.unix_seconds(newest) - hours * 3600)
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows, self.names, self.ended = spark, [], {}, {}
+
+    def __enter__(self) -> ProgressLog:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        for done in self.ended.values():
+            done.wait(60)  # events come a little after the query has ended
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.names[str(event.runId)] = event.name or str(event.id)
+        self.ended[str(event.runId)] = threading.Event()
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        seen = p.observedMetrics.get("event_types")
+        at = lambda x: datetime.fromisoformat(x) if x else None
+        self.rows.append((p.name or str(p.id), str(p.runId), p.batchId, p.numInputRows, *((seen.known, seen.skipped, seen.last_event_id, seen.newest_event) if seen else (None,) * 4), at(p.eventTime.get("watermark")), False, None))
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        run = str(event.runId)
+        self.rows.append((self.names.get(run, run), run, None, None, None, None, None, None, None, True, event.exception))
+        self.ended.setdefault(run, threading.Event()).set()
+
+    def progress(self) -> DataFrame:
+        """A row per micro-batch, and one per query that has ended."""
+        return self.spark.createDataFrame(self.rows, PROGRESS)
+
+    def save(self, path: str) -> None:
+        self.progress().write.mode("append").parquet(path)
+
+
+def stream_health(progress: DataFrame, now: str, lag_limit_seconds: int = 300) -> DataFrame:
+    """Per consumer, from its progress table: status (failed, lagging, running, idle), last batch and event, numbers so far, lag of ``now`` behind its newest event."""
+    last = F.max_by("run", F.struct(F.col("batch_id").isNotNull(), "batch_id"))
+    out = progress.groupBy("consumer").agg(
+        F.max("batch_id").alias("last_batch_id"), F.sum("input_rows").alias("rows"), F.sum("known").alias("known"), F.sum("skipped").alias("skipped"), F.max_by("last_event_id", "newest_event").alias("last_event_id"),
+        F.max("newest_event").alias("newest_event"), last.alias("run"), F.bool_or(F.col("ended") & F.col("error").isNotNull()).alias("failed"), F.collect_set(F.when(F.col("ended"), F.col("run"))).alias("ended"),
+    )
+    out = out.withColumn("lag_seconds", F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds("newest_event"))
+    status = F.when(F.col("failed"), "failed").when(F.col("lag_seconds") > lag_limit_seconds, "lagging").when(~F.array_contains("ended", F.col("run")), "running").otherwise("idle")
+    return out.withColumn("status", status).drop("failed", "ended", "run")
+
+
+def within_late_limit(df: DataFrame, ts: str, arrival: list[str], hours: int) -> DataFrame:
+    """Marks rows that come later than the limit allows against the newest time of their listing among those that arrived before."""
+    before = F.max(ts).over(Window.partitionBy("listing_id").orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1))
+    return df.withColumn("is_late", F.coalesce(F.unix_seconds(F.col(ts)) < F.unix_seconds(before) - hours * 3600, F.lit(False)))
