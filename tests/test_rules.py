@@ -110,11 +110,6 @@ def test_lake_checks(spark):
     assert L.choose_datasets(["probes", "sightings"]) == ["sightings", "probes"]
     with pytest.raises(ValueError):
         L.choose_datasets(["nope"])
-    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id long, v string")
-    assert L.lookup_evidence(df, id=1).first().v == "a"
-    for bad in (2, 3):
-        with pytest.raises(LookupError):
-            L.lookup_evidence(df, id=bad)
     report = {r.name: r.present for r in L.table_health(spark, {"no": "/tmp/does-not-exist-at-all"}).collect()}
     assert report == {"no": False}
 

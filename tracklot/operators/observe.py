@@ -95,14 +95,42 @@ def history_summaries(obs: DataFrame, cards: DataFrame, now) -> DataFrame:
     return h.withColumns({"freshness_bucket": freshness("observation_count", "last_seen_age_hours"), "partial_signal": F.col("signal_completeness") < C.FULL_SIGNAL, "thin_signal": F.col("signal_completeness") < C.HIGH_SIGNAL, "has_estimated_publication": F.col("created_at_ts").isNotNull()})
 
 
+#: Runs of all catalogs up to which they are broadcast, as one array per catalog.
+BROADCAST_RUNS = 100_000
+
+
+def scan_runs(scans: DataFrame) -> DataFrame:
+    """Runs that scanned a catalog successfully, with the time of their last page."""
+    return scans.where("success").groupBy("catalog_id", "run_id").agg(F.max("fetched_at").alias("fetched_at"))
+
+
 def follow_up_misses(summary: DataFrame, obs: DataFrame, scans: DataFrame) -> DataFrame:
     """Successful later scan runs of a listing's own catalog that did not contain it, and the last of them.
 
-    No range join: per catalog and day there is one row with the runs of that day and how many come after it, so a listing
-    meets its last day by an equi join and never a catalog's whole history. Runs that did contain it are taken off. Only
-    where one of those is the catalog's latest run is the latest missed one looked for run by run.
+    A catalog's runs, few against its listings, go to the listings as one array where their number is within bounds; each
+    listing takes those after its last sighting and leaves out its own. Observations are read once more, to see which runs
+    that ended later did contain their listing. More runs than that are counted by day (``misses_by_day``), with the same result.
+    """
+    runs = scan_runs(scans)
+    if runs.count() > BROADCAST_RUNS:
+        return misses_by_day(summary, obs, runs)
+    keyed = summary.select("listing_id", "catalog_id", "last_seen_at")
+    by_catalog = runs.groupBy("catalog_id").agg(F.sort_array(F.collect_list(F.struct("fetched_at", "run_id")), asc=False).alias("runs"))
+    own = obs.select("listing_id", "run_id").join(keyed, "listing_id").join(F.broadcast(runs), ["catalog_id", "run_id"]).where(F.col("fetched_at") > F.col("last_seen_at"))
+    own = own.groupBy("listing_id").agg(F.collect_set("run_id").alias("own"))
+    held = keyed.join(own, "listing_id", "left").join(F.broadcast(by_catalog), "catalog_id", "left")
+    missed = F.filter("runs", lambda r: (r["fetched_at"] > F.col("last_seen_at")) & ~F.coalesce(F.array_contains("own", r["run_id"]), F.lit(False)))
+    held = held.withColumn("missed", F.coalesce(missed, F.array().cast("array<struct<fetched_at: timestamp, run_id: string>>")))
+    return held.select("listing_id", F.size("missed").cast("long").alias("follow_up_miss_count"), F.get("missed", 0)["fetched_at"].alias("latest_miss_at"))
+
+
+def misses_by_day(summary: DataFrame, obs: DataFrame, runs: DataFrame) -> DataFrame:
+    """``follow_up_misses`` for any number of runs, without a range join.
+
+    Per catalog and day there is one row with the runs of that day and how many come after it, so a listing meets its last
+    day by an equi join and never a catalog's whole history. Runs that did contain it are taken off. Only where one of those
+    is the catalog's latest run is the latest missed one looked for run by run.
     """
-    runs = scans.where("success").groupBy("catalog_id", "run_id").agg(F.max("fetched_at").alias("fetched_at"))
     keyed = summary.select("listing_id", "catalog_id", "last_seen_at", F.to_date("last_seen_at").alias("day"))
     by_day = runs.groupBy("catalog_id", F.to_date("fetched_at").alias("day")).agg(F.collect_list("fetched_at").alias("times"), F.count("*").alias("n"))
     days = keyed.select("catalog_id", "day").distinct().join(by_day, ["catalog_id", "day"], "full")

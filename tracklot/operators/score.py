@@ -64,7 +64,11 @@ def premium_score(df: DataFrame, listings: DataFrame | None = None) -> DataFrame
     by_price = long.groupBy("context_name", "context_key", "price_amount_cents").agg(F.count("*").alias("equal"))
     order = Window.partitionBy("context_name", "context_key").orderBy("price_amount_cents").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     below = by_price.withColumn("below", F.sum("equal").over(order) - F.col("equal"))
-    out = df.join(below, ["context_name", "context_key", "price_amount_cents"], "left")
+    return _with_premium(df.join(below, ["context_name", "context_key", "price_amount_cents"], "left"))
+
+
+def _with_premium(out: DataFrame) -> DataFrame:
+    """Percentile, premium score and label from ``below``, ``equal`` and ``context_size``, null without a context."""
     percentile = F.round((F.col("below") * 2 + F.col("equal")) / (F.col("context_size") * 2), 3)
     out = out.withColumn("price_percentile", percentile)
     out = out.withColumn("expensive_signal", F.when(F.col("price_percentile").isNotNull(), F.round(F.greatest(F.lit(0.0), (F.col("price_percentile") - 0.5) / 0.5) * 100, 2)))
@@ -87,8 +91,37 @@ def rank_listings(scores: DataFrame, kind: str = "demand", k: int = 20) -> DataF
     return scores.orderBy(F.desc(first), F.desc(second), F.desc("last_seen_at"), "listing_id").limit(k)
 
 
-def score_detail(scores: DataFrame, listing_id: int) -> DataFrame:
-    return with_score_explanation(scores.where(F.col("listing_id") == listing_id))
+def write_rank_index(snapshot: DataFrame, table: str, path: str, buckets: int = 64) -> None:
+    """Store every context's prices with their running counts as a table, bucketed by context and sorted by price.
+
+    A listing's standing is one row of one context, so a lookup reads the buckets of its six contexts and in them, by the
+    sort's statistics, the row groups with its price.
+    """
+    long = snapshot.where("price_amount_cents IS NOT NULL").select("price_amount_cents", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), _key(f).alias("key")) for n, _, f in C.PEER_CONTEXTS]))).where("key IS NOT NULL")
+    by_price = long.groupBy(F.concat_ws("|", "name", "key").alias("context"), "price_amount_cents").agg(F.count("*").alias("equal"))
+    order = Window.partitionBy("context").orderBy("price_amount_cents")
+    ranked = by_price.withColumns({"below": F.sum("equal").over(order) - F.col("equal"), "peers": F.sum("equal").over(Window.partitionBy("context"))})
+    ranked.repartition(buckets, "context").write.mode("overwrite").option("path", path).bucketBy(buckets, "context").sortBy("context", "price_amount_cents").saveAsTable(table)
+
+
+def rank_rows(spark, table: str, contexts: list[str], price: int) -> DataFrame:
+    """The index's rows of some contexts at one price: a point lookup, at most one row per context."""
+    return spark.table(table).where(F.col("context").isin(contexts) & (F.col("price_amount_cents") == price))
+
+
+def score_detail(snapshot: DataFrame, listing_id: int, table: str) -> DataFrame:
+    """One listing's scores and their explanation, from its own row and the rank index of ``write_rank_index``; no row if it is unknown.
+
+    The driver holds the listing's price and contexts, and at most six rows of the index.
+    """
+    own = demand_score(snapshot.where(F.col("listing_id") == listing_id))
+    row = own.select("price_amount_cents", *[_key(f).alias(n) for n, _, f in C.PEER_CONTEXTS]).first()
+    keys = {f"{n}|{row[n]}": (n, row[n], least) for n, least, _ in C.PEER_CONTEXTS if row and row[n] is not None}
+    found = {r.context: r for r in rank_rows(snapshot.sparkSession, table, list(keys), row.price_amount_cents).collect()} if keys and row.price_amount_cents is not None else {}
+    name, key, r = next(((n, k, found[c]) for c, (n, k, least) in keys.items() if c in found and found[c].peers >= least), (None, None, None))
+    value = lambda x, kind: F.lit(x).cast(kind)
+    stood = own.withColumns({"context_name": value(name, "string"), "context_key": value(key, "string"), **{c: value(r and r[f], "bigint") for c, f in (("context_size", "peers"), ("below", "below"), ("equal", "equal"))}})
+    return with_score_explanation(_with_premium(stood))
 
 
 def latest_two_scans(scans: DataFrame, per: str = "run") -> DataFrame:

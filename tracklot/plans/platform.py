@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -14,10 +16,15 @@ from tracklot.operators import observe as O
 from tracklot.operators import ops as OP
 from tracklot.operators import quality as Q
 from tracklot.operators import rollups as R
+from tracklot.operators import score as SC
 from tracklot.plans import prelude as P
 from tracklot.plans.listings import STATE, log, query, scores, snapshot
+from tracklot.sources import cards as CA
+from tracklot.sources import evidence as EV
 from tracklot.sources import lake as L
 from tracklot.sources import parse as PR
+from tracklot.sources import retention as RE
+from tracklot.sources import sqlite as SQ
 from tracklot.sources import standin as D
 from tracklot.sources.scratch import folder, materialize
 from tracklot.streaming import change_state as CG
@@ -87,6 +94,92 @@ def _(spark, d):
     return L.retention_report(L.plan_retention(s, "observed_at", "1998-01-01", s.where("listing_id % 5 = 0"), "listing_id"))
 
 
+@query("src_evidence_lookup", sql="SELECT event_id, listing_id, price_amount_cents, catalog_id, row_index FROM (SELECT *, row_number() OVER (PARTITION BY run_id, catalog_id ORDER BY observed_at, event_id) - 1 AS row_index, max(run_id) OVER (PARTITION BY catalog_id) AS last_run FROM sightings) WHERE run_id = last_run AND row_index = 0")
+def _(spark, d):
+    """The first row of each catalog's latest batch, found in the lake by its manifest through the index."""
+    root = folder(spark, "lake")
+    s = L.assign_chunks(D.sightings(spark, d).drop("manifest_id"), ["run_id", "catalog_id"], [F.col("observed_at"), F.col("event_id")], 1 << 30)
+    batch = I.deterministic_uuid("manifest", run_id=F.col("run_id"), catalog_id=F.col("catalog_id").cast("string"))
+    s = s.select("event_id", "listing_id", "catalog_id", "run_id", "price_amount_cents", "observed_at", "row_index", batch.alias("manifest_id"))
+    L.write_lake(s.repartition(F.col("run_id")), root, "sightings", "observed_at")
+    EV.index_lake(spark, root, "sightings", ["manifest_id", "listing_id"], "observed_at")
+    wanted, out = s.groupBy("catalog_id").agg(F.max_by("manifest_id", "run_id").alias("m")).collect(), None  # a row per catalog
+    for r in wanted:
+        row = EV.lookup_evidence(spark, root, "sightings", {"manifest_id": r.m}, {"row_index": 0}).select("event_id", "listing_id", "price_amount_cents", "catalog_id", "row_index")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("src_retention_apply", sql="SELECT event_id, run_id, CASE WHEN observed_at < TIMESTAMP '1998-01-01' AND listing_id % 5 <> 0 THEN 'archived' ELSE 'kept' END AS place FROM sightings")
+def _(spark, d):
+    """What the table and the archive hold after two runs, the second of which finds nothing more to do."""
+    root, s = folder(spark, "retention"), D.sightings(spark, d)
+    s.select("event_id", "listing_id", "observed_at", "run_id").repartition("run_id").write.partitionBy("run_id").parquet(f"{root}/table")
+    for run in ("first", "second"):
+        RE.apply_retention(spark, f"{root}/table", f"{root}/archive", "observed_at", "1998-01-01", s.where("listing_id % 5 = 0"), "listing_id", "run_id", run)
+    kept = spark.read.parquet(f"{root}/table").select("event_id", F.col("run_id").cast("string").alias("run_id"), F.lit("kept").alias("place"))
+    return kept.unionByName(spark.read.parquet(f"{root}/archive/rows/run=first").select("event_id", F.col("run_id").cast("string").alias("run_id"), F.lit("archived").alias("place")))
+
+
+@query("src_salvage", sql="SELECT 'sightings' AS name, 'copied' AS action, 4 AS files, count(*) AS rows FROM sightings UNION ALL SELECT 'sightings', 'skipped', 1, 0 UNION ALL SELECT 'scans', 'copied', 1, count(*) FROM scans UNION ALL SELECT 'lost', 'skipped', 1, 0")
+def _(spark, d):
+    """Two tables and a lost one; a file that is no Parquet lies among the first one's."""
+    root = folder(spark, "salvage")
+    D.sightings(spark, d).select("event_id", "listing_id").repartition(4).write.parquet(f"{root}/in/sightings")
+    D.scans(spark, d).coalesce(1).write.parquet(f"{root}/in/scans")
+    for name in ("sightings", "lost"):
+        D.read(spark, d, "region").select(F.col("r_name").alias("value")).coalesce(1).write.option("compression", "none").mode("append").text(f"{root}/bad/{name}")
+        _rename(spark, f"{root}/bad/{name}", f"{root}/in/{name}/part-broken.parquet")
+    report = L.salvage_tables(spark, {n: f"{root}/in/{n}" for n in ("sightings", "scans", "lost")}, f"{root}/out")
+    return report.groupBy("name", "action").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
+
+
+def _rename(spark, source, target):
+    """The only file that a job wrote to a folder, under another name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path(target).getParent())
+    store.rename(next(f.getPath() for f in store.listStatus(path(source)) if f.getPath().getName().startswith("part-")), path(target))
+
+
+@query("src_sqlite", sql="SELECT event_id, listing_id, brand, price_amount_cents, observed_at, coalesce(price_amount_cents > 200000, false) AS is_dear FROM sightings WHERE price_amount_cents >= 150000 AND brand IS NOT NULL")
+def _(spark, d):
+    """Sightings written to SQLite files by tasks, and read back in stretches with the filters left to SQLite."""
+    SQ.register(spark)
+    path = folder(spark, "sqlite")
+    s = D.sightings(spark, d).select("event_id", "listing_id", "brand", "price_amount_cents", "observed_at", F.coalesce(F.col("price_amount_cents") > 200_000, F.lit(False)).alias("is_dear"))
+    s.repartition(4).write.format("sqlite").option("path", path).option("table", "sightings").mode("append").save()
+    back = spark.read.format("sqlite").option("path", path).option("table", "sightings").option("rowsPerSplit", 5_000).load()
+    return back.where("price_amount_cents >= 150000 AND brand IS NOT NULL")
+
+
+@query("prs_card_evidence", sql="""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'api' WHEN 2 THEN 'api' WHEN 4 THEN NULL ELSE 'html' END AS evidence_kind, CASE WHEN p_partkey % 5 <> 4 THEN p_name END AS title, CASE WHEN p_partkey % 3 = 0 THEN 'own' WHEN p_partkey % 5 <> 4 THEN p_brand END AS brand,
+  CASE WHEN p_partkey % 5 <> 4 THEN 'S' || p_size END AS size_label, CASE WHEN p_partkey % 5 <> 4 THEN 'Bon état' END AS condition_label, CASE WHEN p_partkey % 5 <> 4 THEN p_size * 100 + 50 END AS price_amount_cents, CASE WHEN p_partkey % 5 <> 4 THEN '€' END AS price_currency FROM part""")
+def _(spark, d):
+    """Evidence in every shape: envelopes of both sources, both flat shapes, and texts that are none; brands that are known stay."""
+    p = D.read(spark, d, "part").withColumn("cents", F.format_string("%s,50", F.col("p_size").cast("string")))
+    item = F.to_json(F.struct(F.concat(F.lit(" "), "p_name", F.lit("  ")).alias("title"), F.struct(F.col("p_brand").alias("title")).alias("brand"), F.concat(F.lit("S"), "p_size").alias("size_title"), F.lit(4).alias("status_id"), F.struct(F.col("cents").alias("amount"), F.lit("EUR").alias("currency_code")).alias("price"), F.struct(F.lit("x").alias("login")).alias("user")))
+    alt = F.concat("p_name", F.lit(", marque: "), "p_brand", F.lit(", taille: S"), "p_size", F.lit(", État: Bon état"))
+    texts = {"overlay_title": alt, "price_text": F.concat("cents", F.lit("\u00a0€"))}
+    kind = F.col("p_partkey") % 5
+    raw = F.when(kind == 0, CA.api_evidence(item)).when(kind == 1, CA.html_evidence(**texts)).when(kind == 2, item).when(kind == 3, F.to_json(F.struct(*[c.alias(n) for n, c in texts.items()]))).otherwise(F.lit("not json"))
+    stored = p.select("p_partkey", raw.alias("raw_card_json"), F.lit("https://shop.example/items/1-x").alias("source_url"), F.when(F.col("p_partkey") % 3 == 0, "own").alias("brand"))
+    return CA.normalize_cards(stored).select("p_partkey", "evidence_kind", "title", "brand", "size_label", "condition_label", "price_amount_cents", "price_currency")
+
+
+@query("score_detail", *STATE, P.SCORES, sql="SELECT listing_id, demand_score, context_name, context_size, price_percentile, premium_score, context_name IS NOT NULL AS explained FROM scores WHERE listing_id IN (SELECT min(listing_id) FROM scores GROUP BY catalog_id UNION SELECT max(listing_id) FROM scores GROUP BY brand)")
+def _(spark, d):
+    """Some listings' scores, one by one, from the stored rank index; the SQL scores all listings."""
+    snap, name = snapshot(spark, d), f"rank_index_{uuid.uuid4().hex}"
+    SC.write_rank_index(snap, name, folder(spark, "rank-index"))
+    ids = snap.groupBy("catalog_id").agg(F.min("listing_id").alias("id")).select("id").union(snap.groupBy("brand").agg(F.max("listing_id").alias("id")).select("id")).distinct()
+    out = None
+    for r in ids.collect():  # a row per catalog and brand
+        one = SC.score_detail(snap, r.id, name).select("listing_id", "demand_score", "context_name", "context_size", "price_percentile", "premium_score", F.col("score_explanation.context").isNotNull().alias("explained"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("src_extract_path", sql="SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
 def _(spark, d):
     return D.read(spark, d, "events").select("event_id", I.extract_path("props", "k").alias("k"))

@@ -1,4 +1,4 @@
-"""The Parquet lake of evidence batches: layout, chunks, manifests, exports, idempotent appends, lookups, retention, salvage."""
+"""The Parquet lake of evidence batches: layout, chunks, manifests, exports, idempotent appends, retention plans, salvage."""
 
 from __future__ import annotations
 
@@ -71,17 +71,6 @@ def build_manifests(df: DataFrame, keys: list[str], ts: str, id_col: str) -> Dat
     return rows.withColumn("manifest_id", deterministic_uuid("manifest", **{k: F.col(k).cast("string") for k in keys}))
 
 
-def lookup_evidence(rows: DataFrame, **ids) -> DataFrame:
-    """The one row with these ids; an error where none or several have them."""
-    found = rows
-    for c, v in ids.items():
-        found = found.where(F.col(c) == v)
-    n = found.limit(2).count()
-    if n != 1:
-        raise LookupError(f"{'no row' if n == 0 else 'several rows'} for {ids}")
-    return found
-
-
 def append_missing(df: DataFrame, target: DataFrame, key: str = "event_id") -> DataFrame:
     """Rows to append: those whose id the target lacks, each id once."""
     return df.dropDuplicates([key]).join(target.select(key), key, "left_anti")
@@ -123,12 +112,24 @@ def table_health(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
 
 
 def salvage_tables(spark: SparkSession, paths: dict[str, str], target: str) -> DataFrame:
-    """Copy every table that can be read, corrupt files left out, and report the others."""
-    report = table_health(spark, paths)
-    for r in report.collect():
-        if r["present"]:
-            spark.read.option("ignoreCorruptFiles", "true").parquet(paths[r["name"]]).write.mode("overwrite").parquet(f"{target}/{r['name']}")
-    return report.withColumn("action", F.when(F.col("present"), "copied").otherwise("skipped"))
+    """Copy of every table what can be read, and report each file: its rows, and whether it was copied or skipped.
+
+    Files that cannot be read are passed over by the reader and named here, since none of their rows came; a table of which
+    nothing can be read has its files all skipped. The driver loops over table names.
+    """
+    report, same = None, lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    for name, path in paths.items():
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select(same("path").alias("file"), "length")
+        try:
+            rows = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+            rows.write.mode("overwrite").parquet(f"{target}/{name}")
+            counts = rows.select(same("_metadata.file_path").alias("file")).groupBy("file").agg(F.count("*").alias("rows"))
+            files = files.join(counts, "file", "left")
+        except AnalysisException:  # no file has a schema to read
+            files = files.withColumn("rows", F.lit(None).cast("long"))
+        found = files.select(F.lit(name).alias("name"), "file", "length", F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("rows").isNull(), "skipped").otherwise("copied").alias("action"))
+        report = found if report is None else report.unionByName(found)
+    return report
 
 
 def write_report(df: DataFrame, path: str) -> None:

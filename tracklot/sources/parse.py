@@ -138,15 +138,3 @@ def flatten_catalog_tree(trees: DataFrame, body: str = "body") -> DataFrame:
         level = nxt.select("id", "parent_id", "root_id", "title", "code", F.concat_ws(" > ", "up", "title").alias("path"), F.lit(k).alias("depth"), "catalogs")
         out = out.unionByName(level)
     return out.withColumn("is_leaf", F.coalesce(F.size(F.from_json("catalogs", kids)), F.lit(0)) <= 0).drop("catalogs")
-
-
-def card_evidence(**fields) -> Column:
-    """The fragments that explain a card, as JSON without nulls."""
-    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
-
-
-def normalize_cards(df: DataFrame, raw: str = "raw_card_json") -> DataFrame:
-    """Fill null card columns from stored evidence (API or HTML shape)."""
-    e = F.from_json(raw, "struct<title: string, brand: string, brand_title: string, size_title: string, price: struct<amount: string>, price_text: string>")
-    cents = F.coalesce(price_to_cents(e["price"]["amount"]), parse_money(e["price_text"]))
-    return df.withColumns({"title": F.coalesce("title", e["title"]), "brand": F.coalesce("brand", e["brand"], e["brand_title"]), "price_amount_cents": F.coalesce("price_amount_cents", cents), "evidence_kind": F.when(e["price_text"].isNotNull(), "html").otherwise("api")})

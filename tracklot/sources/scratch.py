@@ -28,3 +28,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """A job has finished writing this folder."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklot.sources.scratch import delete, is_whole
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -28,11 +30,7 @@ class Upserts:
         if not store.exists(root):
             return []
         found = [(s.getPath(), re.search(r"batch=(\d+)$", s.getPath().toString())) for s in store.listStatus(root)]
-        return sorted(int(m[1]) for p, m in found if m and store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def _drop(self, kind: str, number: int) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/batch={number}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return sorted(int(m[1]) for p, m in found if m and is_whole(self.spark, p.toString()))
 
     def parts(self) -> tuple[list[int], list[int]]:
         """The base in use (none or one) and the parts after it."""
@@ -59,9 +57,9 @@ class Upserts:
         if len(parts) >= self.fold_after:
             self.read(number).write.mode("overwrite").parquet(f"{self.path}/base/batch={number}")
             for n in parts:
-                self._drop("part", n)
+                delete(self.spark, f"{self.path}/part/batch={n}")
             for n in bases:
-                self._drop("base", n)
+                delete(self.spark, f"{self.path}/base/batch={n}")
 
 
 class Appends(Upserts):
