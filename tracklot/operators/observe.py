@@ -38,9 +38,16 @@ def _newest(c: str, order: Column) -> Column:
 
 
 def latest_cards(s: DataFrame) -> DataFrame:
-    """A listing's card: the newest non-null value of every column; one aggregate, partial before the shuffle."""
-    order = F.struct("observed_at", "event_id")
-    return s.groupBy("listing_id").agg(*[_newest(c, order) for c in (*CARD, "catalog_id", "catalog_path", "root_title", "root_catalog_id")], F.min("observed_at").alias("first_discovered_at"))
+    """A listing's card: the newest non-null value of every column.
+
+    One exchange and one sort by listing and time; running last values need no buffers of texts, as an aggregate of so many
+    columns would. A listing has a sighting per scan page at most, so no task gets a large share of them.
+    """
+    order = Window.partitionBy("listing_id").orderBy("observed_at", "event_id")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fields = (*CARD, "catalog_id", "catalog_path", "root_title", "root_catalog_id")
+    run = s.select("listing_id", *[F.last(c, ignorenulls=True).over(upto).alias(c) for c in fields], F.first("observed_at").over(upto).alias("first_discovered_at"), F.lead(F.lit(True)).over(order).alias("_more"))
+    return run.where("_more IS NULL").drop("_more")
 
 
 def latest_catalogs(c: DataFrame, synced: str = "synced_at") -> DataFrame:
@@ -156,9 +163,9 @@ def derive_scan_runs(s: DataFrame) -> DataFrame:
 def inputs_of(obs: DataFrame, cards: DataFrame, scans: DataFrame, probes: DataFrame, now, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
     """Everything a listing's classification looks at, one row per listing, from folded observations and cards.
 
-    ``keep`` may write the tables that are read more than once: observations, scans, histories.
+    ``keep`` may write the small tables that are read more than once: scans, and histories, one row per listing.
     """
-    obs, scans = keep(obs, "observations"), keep(scans, "scans")
+    obs, scans = obs.select("run_id", "listing_id", "observed_at", "sighting_count"), keep(scans, "scans")
     summary = keep(history_summaries(obs, cards, now), "histories")
     misses = follow_up_misses(summary, obs, scans)
     last_scan = scans.where("success").groupBy("catalog_id").agg(F.max_by("run_id", F.struct("fetched_at", "run_id")).alias("latest_primary_scan_run_id"))

@@ -32,8 +32,8 @@ def query(name: str, *parts: str, sql: str | None = None):
 
 
 def inputs(spark: SparkSession, d: str) -> DataFrame:
-    """State inputs; sightings and their fold are tables, read by each of its parts."""
-    s = materialize(D.sightings(spark, d), "sightings")
+    """State inputs; scans and histories are tables, and each fold reads the columns of the sightings that it needs."""
+    s = D.sightings(spark, d)
     return O.state_inputs(s, D.scans(spark, d, s), D.probes(spark, d), D.NOW, keep=materialize)
 
 
@@ -47,8 +47,8 @@ def scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
-    s = materialize(D.sightings(spark, d), "sightings")
-    return CH.event_log(s, D.scans(spark, d, s), D.probes(spark, d))
+    s = D.sightings(spark, d)
+    return CH.event_log(s, materialize(D.scans(spark, d, s), "scans"), D.probes(spark, d))
 
 
 @query("prj_price_band", sql="SELECT event_id, CASE WHEN price_amount_cents IS NULL THEN 'unknown' WHEN price_amount_cents < 139500 THEN 'under' WHEN price_amount_cents < 312400 THEN 'middle' ELSE 'over' END AS band, CASE WHEN price_amount_cents IS NULL THEN 3 WHEN price_amount_cents < 139500 THEN 0 WHEN price_amount_cents < 312400 THEN 1 ELSE 2 END AS band_order FROM sightings")
@@ -109,9 +109,10 @@ def _(spark, d):
 
 @query("obs_follow_up_misses", P.OBS, P.CARDS, P.INPUTS, sql="SELECT listing_id, follow_up_miss_count, latest_miss_at FROM inputs")
 def _(spark, d):
-    s = materialize(D.sightings(spark, d), "sightings")
-    obs = materialize(O.fold_observations(s), "observations")
-    return O.follow_up_misses(O.history_summaries(obs, O.latest_cards(s), D.NOW), obs, D.scans(spark, d, s))
+    s = D.sightings(spark, d)
+    obs = O.fold_observations(s).select("listing_id", "run_id", "observed_at", "sighting_count")
+    last = O.summarize_observations(obs).select("listing_id", "last_seen_at").join(O.latest_cards(s).select("listing_id", "catalog_id"), "listing_id")
+    return O.follow_up_misses(materialize(last, "last"), obs, materialize(D.scans(spark, d, s), "scans"))
 
 
 @query("obs_state_inputs", P.OBS, P.CARDS, P.INPUTS, sql="SELECT listing_id, follow_up_miss_count, latest_primary_scan_run_id, seen_in_latest_primary_scan, probe_outcome, probed_at, probe_status FROM inputs")
