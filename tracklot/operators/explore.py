@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklot import constants as C
@@ -95,13 +95,19 @@ def paginate(df: DataFrame, page: int = 1, size: int = 50, sort: str = "last_see
 
 
 def slice_summary(df: DataFrame) -> DataFrame:
-    return state_counts(df).crossJoin(df.agg(F.sum("price_amount_cents").alias("price_sum"), F.count("price_amount_cents").alias("priced"), F.count_if("sold_like").alias("sold_like"), F.count_if("thin_signal").alias("thin_signal")))
+    """One row on a slice: how many, sold-like, mean price, counts by state and basis, honesty counts."""
+    counts = state_counts(df).drop("high_confidence", "medium_confidence", "low_confidence")
+    own = df.agg(
+        F.count_if("sold_like").alias("sold_like"), F.sum("price_amount_cents").alias("price_sum"), F.count("price_amount_cents").alias("priced"), F.round(F.avg("price_amount_cents"), 2).alias("average_price"), F.count_if("partial_signal").alias("partial_signal"),
+        F.count_if("thin_signal").alias("thin_signal"), F.count_if("has_estimated_publication").alias("estimated_publication"), F.count_if(~F.col("has_estimated_publication")).alias("missing_publication"),
+    )
+    return counts.crossJoin(own)  # one row each
 
 
-def explore(snapshot: DataFrame, page: int = 1, size: int = 50, sort: str = "last_seen_desc", query: str | None = None, **facets) -> dict[str, DataFrame]:
-    """Summary, comparisons and one page of the slice that the facets and the query leave."""
+def explore(snapshot: DataFrame, page: int = 1, size: int = 50, sort: str = "last_seen_desc", query: str | None = None, limit: int = C.COMPARISON_LIMIT, threshold: int = C.SUPPORT_THRESHOLD, bands: tuple[int, int] = C.PRICE_BAND_CENTS, **facets) -> dict[str, DataFrame]:
+    """Summary, comparisons and one page of the slice that the facets and the query leave; ``bands`` are the snapshot's."""
     part = search_listings(filter_listings(snapshot, **facets), query)
-    return {"summary": slice_summary(part), "comparisons": compare_all(part), "page": paginate(part, page, size, sort)}
+    return {"summary": slice_summary(part), "comparisons": compare_all(part, max(limit, 1), max(threshold, 1), bands), "page": paginate(part, page, size, sort)}
 
 
 def overview(snapshot: DataFrame) -> DataFrame:
@@ -110,14 +116,25 @@ def overview(snapshot: DataFrame) -> DataFrame:
     return state_counts(snapshot).crossJoin(snapshot.agg(*fresh, F.count_if("partial_signal").alias("partial_signal"), F.count_if("sold_like").alias("sold_like")))
 
 
-def caution_notes(summary: DataFrame) -> DataFrame:
-    """Codes of what a reader of the overview should bear in mind."""
+def overview_snapshot(snapshot: DataFrame, scans: DataFrame, limit: int = C.COMPARISON_LIMIT, threshold: int = C.SUPPORT_THRESHOLD, bands: tuple[int, int] = C.PRICE_BAND_CENTS) -> dict[str, DataFrame]:
+    """The whole overview: the summary row with its latest times and caution codes, and the comparisons of all listings."""
+    more = snapshot.agg(F.count_if("thin_signal").alias("thin_signal"), F.count_if("has_estimated_publication").alias("estimated_publication"), F.count_if(~F.col("has_estimated_publication")).alias("missing_publication"), F.max("last_seen_at").alias("latest_seen_at"))
+    last = scans.where("success").agg(F.max("fetched_at").alias("latest_scan_at"))
+    summary = overview(snapshot).crossJoin(more).crossJoin(last)  # one row each
+    return {"summary": summary.withColumn("cautions", _cautions()), "comparisons": compare_all(snapshot, max(limit, 1), max(threshold, 1), bands)}
+
+
+def _cautions() -> Column:
     n = F.col("tracked_listings")
-    notes = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(n == 0, "empty"), F.when(F.col("inferred_basis") * 2 > n, "mostly_inferred"), F.when(F.col("unknown_basis") * 4 > n, "many_unknown"),
         F.when(F.col("low_confidence") * 2 > n, "mostly_low_confidence"), F.when(F.col("partial_signal") * 2 > n, "mostly_partial_signal"), F.when(F.col("first_pass_only") * 2 > n, "mostly_first_pass"),
     ))
-    return summary.select("tracked_listings", F.array_join(notes, ",").alias("notes"))
+
+
+def caution_notes(summary: DataFrame) -> DataFrame:
+    """Codes of what a reader of the overview should bear in mind."""
+    return summary.select("tracked_listings", F.array_join(_cautions(), ",").alias("notes"))
 
 
 def detail_notes(df: DataFrame) -> DataFrame:

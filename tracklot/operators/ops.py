@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracklot.functions.columns import in_window, mapped, probe_is_degraded, safe_ratio, scan_is_challenge
+from tracklot.functions.columns import in_window, probe_is_degraded, safe_ratio, scan_is_challenge
 
 
 def count_map(df: DataFrame, value: str, keys: list[str], name: str) -> DataFrame:
@@ -58,13 +58,42 @@ def coverage_breadth(scans: DataFrame, catalogs: DataFrame) -> DataFrame:
     return out.withColumns({"breadth": safe_ratio("scanned", "known"), "repeat_factor": safe_ratio("scans", "scanned"), "narrow": F.col("scanned") * 2 < F.col("known")})
 
 
-def acquisition_health(scans: DataFrame, probes: DataFrame) -> DataFrame:
-    """Health of the latest run: healthy, partial, degraded or unknown."""
-    last = scans.groupBy("run_id").agg(F.max("fetched_at").alias("at"), F.count("*").alias("scans"), F.count_if("success").alias("ok"), F.count_if(scan_is_challenge("response_status", "error_message")).alias("challenged"))
-    last = last.orderBy(F.desc("at"), F.desc("run_id")).limit(1)
-    out = last.crossJoin(summarize_probes(probes).select("probed", "degraded"))  # one row each
-    status = F.when(F.col("scans") == 0, "unknown").when((F.col("ok") == 0) | (F.col("degraded") * 2 > F.col("probed")), "degraded").when((F.col("ok") < F.col("scans")) | (F.col("degraded") > 0), "partial").otherwise("healthy")
-    return out.withColumn("health", status)
+#: Counts that a cycle's state refresh reports.
+REFRESHED = ("direct_signal_count", "inconclusive_probe_count", "degraded_probe_count", "anti_bot_challenge_count", "http_error_count", "transport_error_count")
+
+
+def _reason(condition: Column, code: str, count: str | None = None) -> Column:
+    """A code, with a count where there is one, if the condition holds."""
+    text = F.concat(F.lit(f"{code}="), F.col(count).cast("string")) if count else F.lit(code)
+    return F.when(condition, text)
+
+
+def acquisition_health(cycles: DataFrame, runs: DataFrame, scans: DataFrame, catalogs: DataFrame, limit: int = 5) -> DataFrame:
+    """One row: status of the latest cycle and of its run (or the latest one), and the reasons for it, as codes with counts.
+
+    Degraded: a failed scan in that run, or degraded probes in that cycle. Partial: inconclusive probes. Unknown: neither run
+    nor cycle. ``cycles`` have ``discovery_run_id`` and ``state_refresh_summary``; at most ``limit`` failed scans are shown and counted.
+    """
+    one = cycles.sparkSession.range(1).drop("id")
+    counts = F.struct(*[F.coalesce(F.col(f"state_refresh_summary.{c}"), F.lit(0)).alias(c) for c in REFRESHED])
+    cycle = cycles.select(F.max_by(F.struct("cycle_id", "discovery_run_id", counts.alias("n")), F.struct("started_at", "cycle_id")).alias("c"))
+    newest = runs.select(F.max_by("run_id", F.struct("started_at", "run_id")).alias("newest"))
+    named = cycle.join(runs.select(F.col("run_id").alias("named")), F.col("c.discovery_run_id") == F.col("named"), "left")
+    head = one.crossJoin(F.broadcast(named.limit(1))).crossJoin(F.broadcast(newest)).select("c", F.coalesce("named", "newest").alias("latest_run_id"))  # one row each
+    failed = scans.where("NOT success").join(F.broadcast(head.select("latest_run_id")), F.col("run_id") == F.col("latest_run_id")).join(F.broadcast(catalogs.select("catalog_id", "catalog_path")), "catalog_id")
+    shown = failed.orderBy(F.desc("fetched_at"), "catalog_path", "page_number").limit(limit)
+    shown = shown.agg(F.collect_list(F.struct("catalog_path", "page_number", "response_status", "error_message")).alias("recent_scan_failures"))
+    out = head.crossJoin(F.broadcast(shown)).withColumns({"latest_cycle_id": F.col("c.cycle_id"), "recent_scan_failure_count": F.size("recent_scan_failures"), **{c: F.coalesce(F.col(f"c.n.{c}"), F.lit(0)) for c in REFRESHED}})
+    none = F.col("latest_run_id").isNull() & F.col("latest_cycle_id").isNull()
+    degraded = (F.col("recent_scan_failure_count") > 0) | (F.col("degraded_probe_count") > 0)
+    partial = F.col("inconclusive_probe_count") > 0
+    out = out.withColumn("status", F.when(none, "unknown").when(degraded, "degraded").when(partial, "partial").otherwise("healthy"))
+    is_so = lambda c: (F.col("status") == "degraded") & (F.col(c) > 0)
+    reasons = F.array_compact(F.array(
+        _reason(none, "nothing_recorded"), *[_reason(is_so(c), code, c) for c, code in (("recent_scan_failure_count", "failed_scans"), ("anti_bot_challenge_count", "anti_bot"), ("transport_error_count", "transport_errors"), ("http_error_count", "http_errors"))],
+        _reason(F.col("status") == "partial", "inconclusive_probes", "inconclusive_probe_count"), _reason(F.col("status") == "healthy", "healthy"),
+    ))
+    return out.select("status", "latest_cycle_id", "latest_run_id", "recent_scan_failure_count", "recent_scan_failures", *REFRESHED, reasons.alias("reasons"))
 
 
 def runtime_report(cycles: DataFrame, now, stale_seconds: int = 900) -> DataFrame:
@@ -166,22 +195,75 @@ def paired_mode_report(pages: DataFrame) -> DataFrame:
     return both.groupBy("catalog_id").agg(F.count("*").alias("pairs"), F.sum("delta").alias("delta_sum"), F.avg("delta").alias("mean_delta"), F.median("delta").alias("median_delta"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"), F.count_if(F.col("delta") > 0).alias("better"), F.count_if(F.col("delta") < 0).alias("worse"), safe_ratio(F.sum("bounded_accepted"), F.sum("bounded_seen")).alias("bounded_ratio"), safe_ratio(F.sum("unbounded_accepted"), F.sum("unbounded_seen")).alias("unbounded_ratio"))
 
 
-#: What to do about each finding.
-ADVICE = {
-    "narrow_coverage": "widen the catalogs of a run",
-    "many_failed_scans": "slow down or change the route of scans",
-    "degraded_probes": "lower the number of probes",
-    "mostly_stale": "visit known listings more often",
-    "mostly_first_pass": "repeat runs before adding catalogs",
-}
-
-
-def long_run_audit(scans: DataFrame, probes: DataFrame, summary: DataFrame, catalogs: DataFrame) -> DataFrame:
-    """Findings over all parts of the collection, what to do about each, a verdict and a score of 100 less 15 a finding."""
-    stale = summary.agg(F.count("*").alias("listings"), F.count_if(F.col("freshness_bucket") == "stale-followup").alias("stale"), F.count_if(F.col("freshness_bucket") == "first-pass-only").alias("first_pass"))
-    facts = coverage_breadth(scans, catalogs).crossJoin(scans.agg(F.count_if(~F.col("success")).alias("failed_scans"))).crossJoin(summarize_probes(probes).select("probed", "degraded")).crossJoin(stale)  # one row each
-    findings = F.array_compact(F.array(F.when(F.col("narrow"), "narrow_coverage"), F.when(F.col("failed_scans") * 10 > F.col("scans"), "many_failed_scans"), F.when(F.col("degraded") * 10 > F.col("probed"), "degraded_probes"), F.when(F.col("stale") * 2 > F.col("listings"), "mostly_stale"), F.when(F.col("first_pass") * 2 > F.col("listings"), "mostly_first_pass")))
-    out = facts.withColumn("findings", findings)
-    n = F.size("findings")
-    advice = F.transform("findings", lambda f: mapped(f, ADVICE))
-    return out.withColumns({"verdict": F.when(n == 0, "healthy").when(n <= 2, "watch").otherwise("act"), "score": F.lit(100) - n * 15, "recommendations": F.array_join(advice, ";"), "findings": F.array_join("findings", ",")})
+def audit_runtime(cycles: DataFrame) -> DataFrame:
+    """Cycles by status, success rate among those that ended, mean seconds."""
+    n = lambda status: F.count_if(F.col("status") == status)
+    out = cycles.agg(F.count("*").alias("cycle_count"), *[n(x).alias(f"{x}_cycles") for x in ("completed", "failed", "interrupted", "running")], F.avg(F.unix_seconds("finished_at") - F.unix_seconds("started_at")).alias("seconds"))
+    return out.withColumns({"success_rate": F.round(safe_ratio("completed_cycles", F.col("completed_cycles") + F.col("failed_cycles") + F.col("interrupted_cycles")), 3), "average_cycle_seconds": F.round("seconds", 2)}).drop("seconds")
+
+
+def audit_discovery(runs: DataFrame, scanned: DataFrame, catalogs: DataFrame) -> DataFrame:
+    """Runs and their sums, leaf coverage, and whether coverage was narrow: every run capped and the same leaves again, or few leaves scanned over and over."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(f"sum_{c}") for c in ("scanned_leaf_catalogs", "successful_scans", "failed_scans", "unique_listing_hits")]
+    out = runs.agg(F.count("*").alias("run_count"), F.count("max_leaf_categories").alias("capped_runs"), F.max("max_leaf_categories").alias("cap"), *sums)
+    known = catalogs.agg(F.count_if("is_leaf").alias("leaf_catalogs_known"))
+    out = out.crossJoin(known).crossJoin(scanned.agg(F.count_distinct("catalog_id").alias("leaf_catalogs_scanned")))  # one row each
+    leaves, all_scans = F.col("leaf_catalogs_scanned"), F.col("sum_scanned_leaf_catalogs")
+    judged = (F.col("run_count") >= 2) & (leaves > 0)
+    same = judged & (F.col("capped_runs") == F.col("run_count")) & (leaves <= F.col("cap")) & (all_scans > leaves)
+    few = judged & (leaves * 4 <= F.col("leaf_catalogs_known")) & (F.col("leaf_catalogs_known") > 0) & (all_scans * 2 >= leaves * 3)
+    return out.withColumns({
+        "coverage_ratio": F.round(safe_ratio(leaves, "leaf_catalogs_known"), 3), "repeated_scan_factor": F.round(safe_ratio(all_scans, leaves), 3), "average_hits_per_run": F.round(safe_ratio("sum_unique_listing_hits", "run_count"), 2),
+        "same_leaves": F.coalesce(same, F.lit(False)), "few_leaves": few,
+    }).drop("cap")
+
+
+def audit_acquisition(cycles: DataFrame) -> DataFrame:
+    """Cycles by the status of their state refresh, and the sums of what it counted."""
+    status = F.coalesce("state_refresh_summary.status", F.lit("unknown"))
+    return cycles.agg(*[F.count_if(status == x).alias(f"{x}_refreshes") for x in ("healthy", "partial", "degraded", "unknown")], *[F.coalesce(F.sum(f"state_refresh_summary.{c}"), F.lit(0)).alias(c) for c in REFRESHED])
+
+
+def long_run_audit(cycles: DataFrame, runs: DataFrame, scans: DataFrame, catalogs: DataFrame, summary: DataFrame, since, healthy: bool = True, k: int = 5) -> DataFrame:
+    """One row on the collection since a time: runtime, discovery, acquisition and freshness, findings, what to do, and a verdict.
+
+    Cycles and runs count if they began or ended since then; leaves count as scanned in runs that began since. Findings and
+    recommendations are codes with counts, in a fixed order. The verdict adds weights: two a failed cycle (at most 4), one an
+    interrupted one (2), two a degraded refresh (4), one a partial one (2), two for any failed scan, two for narrow coverage, one each
+    for many first passes and many stale listings; from 3 on it is ``caution``, from 6 ``degraded``. A database that is not
+    healthy is ``critical``, and without cycles the verdict is ``caution``.
+    """
+    start = F.lit(str(since)).cast("timestamp")
+    inside = (F.col("started_at") >= start) | F.coalesce(F.col("finished_at") >= start, F.lit(False))
+    cycles, own = cycles.where(inside), runs.where(inside)
+    scanned = scans.join(F.broadcast(runs.where(F.col("started_at") >= start).select("run_id")), "run_id", "left_semi") if runs.count() <= 100_000 else scans.join(runs.where(F.col("started_at") >= start).select("run_id"), "run_id", "left_semi")
+    fresh = summary.agg(F.count("*").alias("tracked_listings"), F.count_if(F.col("freshness_bucket") == "first-pass-only").alias("first_pass_only"), F.count_if(F.col("freshness_bucket") == "stale-followup").alias("stale_followup"))
+    phases = cycles.where("status IN ('failed', 'interrupted')").groupBy(F.concat_ws(":", "status", "phase").alias("label")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(k)
+    reasons = top_counts(cycles.select("state_refresh_summary.reason_counts"), "reason_counts", k)
+    listed = lambda df, c, name: df.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col(c).alias("name"), "n"))).alias(name))  # noqa: E731  (k rows)
+    out = audit_runtime(cycles).crossJoin(audit_discovery(own, scanned, catalogs)).crossJoin(audit_acquisition(cycles)).crossJoin(fresh)  # one row each
+    out = out.crossJoin(listed(phases, "label", "failure_phases")).crossJoin(listed(reasons, "reason", "top_reasons"))
+    out = out.withColumns({c: F.transform(c, lambda x: F.struct(x["name"].alias("name"), x["n"].alias("n"))) for c in ("failure_phases", "top_reasons")})
+    more = lambda c: F.col(c) > 0
+    first_pass = more("tracked_listings") & (F.col("first_pass_only") * 10 >= F.col("tracked_listings") * 7)
+    stale = more("tracked_listings") & (F.col("stale_followup") * 5 >= F.col("tracked_listings"))
+    none, narrow = F.col("cycle_count") == 0, F.col("same_leaves") | F.col("few_leaves")
+    findings = F.array_compact(F.array(
+        _reason(none, "no_cycles"), F.when(~none & (more("failed_cycles") | more("interrupted_cycles")), F.concat_ws("=", F.lit("failed_cycles"), F.concat_ws("+", F.col("failed_cycles").cast("string"), F.col("interrupted_cycles").cast("string")))),
+        _reason(F.col("same_leaves"), "same_leaves"), _reason(F.col("few_leaves"), "few_leaves"), _reason(more("sum_failed_scans"), "failed_scans", "sum_failed_scans"),
+        _reason(more("degraded_refreshes"), "degraded_refreshes", "degraded_refreshes"), _reason(~more("degraded_refreshes") & more("partial_refreshes"), "partial_refreshes", "partial_refreshes"),
+        _reason(first_pass, "first_pass_heavy", "first_pass_only"), _reason(stale, "stale_backlog", "stale_followup"),
+    ))
+    advice = F.array_compact(F.array(
+        _reason(none, "check_window"), _reason(more("failed_cycles"), "inspect_failures"), _reason(narrow, "widen_coverage"), _reason(more("sum_failed_scans"), "review_failing_catalogs"),
+        F.when(more("anti_bot_challenge_count"), "relieve_anti_bot").when(more("degraded_probe_count"), "sample_degraded").when(more("inconclusive_probe_count"), "inspect_inconclusive"),
+        _reason(first_pass, "revisit_more"), _reason(stale, "work_off_backlog"),
+    ))
+    upto = lambda c, most: F.least(c, F.lit(most))
+    score = (
+        upto(F.col("failed_cycles") * 2, 4) + upto(F.col("interrupted_cycles"), 2) + upto(F.col("degraded_refreshes") * 2, 4) + upto(F.col("partial_refreshes"), 2)
+        + more("sum_failed_scans").cast("int") * 2 + narrow.cast("int") * 2 + first_pass.cast("int") + stale.cast("int")
+    )
+    verdict = F.when(F.lit(not healthy), "critical").when(none | ((F.col("score") >= 3) & (F.col("score") < 6)), "caution").when(F.col("score") >= 6, "degraded").otherwise("healthy")
+    out = out.withColumns({"findings": findings, "recommendations": F.when(F.size(advice) == 0, F.array(F.lit("keep_validating"))).otherwise(advice), "score": score})
+    return out.withColumns({"verdict": verdict, "summary": F.slice("findings", 1, 2)})

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tracklot import constants as C
 from tracklot.functions import columns as X
 from tracklot.functions import identity as I
 from tracklot.operators import changes as CH
@@ -18,7 +19,7 @@ from tracklot.operators import quality as Q
 from tracklot.operators import rollups as R
 from tracklot.operators import score as SC
 from tracklot.plans import prelude as P
-from tracklot.plans.listings import STATE, log, query, scores, snapshot
+from tracklot.plans.listings import _LENSES, STATE, log, query, scores, snapshot
 from tracklot.sources import cards as CA
 from tracklot.sources import evidence as EV
 from tracklot.sources import lake as L
@@ -332,13 +333,36 @@ def _(spark, d):
     return OP.runtime_report(_cycles(spark, d), "2024-02-01 00:00:00").select("lane_name", "cycle_id")
 
 
-_PROBED = f"(SELECT count(*) AS probed, count(*) FILTER (WHERE {DEGRADED}) AS degraded FROM probes)"
+#: Cycles from events: status, phase, run and what their state refresh counted follow from the event's number.
+_CYCLE = (
+    "event_id AS cycle_id", "CASE WHEN event_type <> 'error' THEN 'completed' WHEN event_id % 2 = 0 THEN 'failed' ELSE 'interrupted' END AS status", "concat('phase-', user_id % 7) AS phase", "ts AS started_at", "CASE WHEN event_id % 11 <> 0 THEN ts END AS ended_at", "event_id % 50 AS seconds",
+    "CASE event_id % 4 WHEN 0 THEN 'healthy' WHEN 1 THEN 'partial' WHEN 2 THEN 'degraded' END AS refresh", "event_id % 3 AS direct_signal_count", "event_id % 5 AS inconclusive_probe_count", "event_id % 2 AS degraded_probe_count", "event_id % 7 AS anti_bot_challenge_count", "event_id % 6 AS http_error_count", "event_id % 8 AS transport_error_count", "event_type",
+)
+_CYCLES = f"(SELECT {', '.join(_CYCLE)} FROM events)"
+_SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in OP.REFRESHED)
+_RUNS = "(SELECT run_id, min(fetched_at) AS started_at, max(fetched_at) AS finished_at, count(DISTINCT catalog_id) AS scanned_leaf_catalogs, count(*) FILTER (WHERE success) AS successful_scans, count(*) FILTER (WHERE NOT success) AS failed_scans, sum(listing_count) AS unique_listing_hits, 6 AS max_leaf_categories FROM scans GROUP BY run_id)"
+
+
+def _long_cycles(spark, d):
+    c = D.read(spark, d, "events").selectExpr(*_CYCLE)
+    refresh = F.struct(F.col("refresh").alias("status"), *OP.REFRESHED, F.create_map(F.col("event_type"), F.lit(1).cast("long")).alias("reason_counts"))
+    run = F.when(F.col("cycle_id") % 2 == 0, "2001-03").otherwise("no-such-run")
+    return c.select("cycle_id", "status", "phase", "started_at", F.timestamp_seconds(F.unix_seconds("ended_at") + F.col("seconds")).alias("finished_at"), run.alias("discovery_run_id"), refresh.alias("state_refresh_summary"))
+
 
+def _runs(scans):
+    return scans.groupBy("run_id").agg(F.min("fetched_at").alias("started_at"), F.max("fetched_at").alias("finished_at"), F.count_distinct("catalog_id").alias("scanned_leaf_catalogs"), F.count_if("success").alias("successful_scans"), F.count_if(~F.col("success")).alias("failed_scans"), F.sum("listing_count").alias("unique_listing_hits"), F.lit(6).alias("max_leaf_categories"))
 
-@query("ops_acquisition_health", sql=f"""SELECT run_id, scans, ok, challenged, probed, degraded, CASE WHEN scans = 0 THEN 'unknown' WHEN ok = 0 OR degraded * 2 > probed THEN 'degraded' WHEN ok < scans OR degraded > 0 THEN 'partial' ELSE 'healthy' END AS health
-  FROM (SELECT run_id, max(fetched_at) AS at_, count(*) AS scans, count(*) FILTER (WHERE success) AS ok, count(*) FILTER (WHERE response_status = 403) AS challenged FROM scans GROUP BY 1 ORDER BY at_ DESC, run_id DESC LIMIT 1), {_PROBED}""")
+
+@query("ops_acquisition_health", sql=f"""SELECT CASE WHEN failures > 0 OR degraded_probe_count > 0 THEN 'degraded' WHEN inconclusive_probe_count > 0 THEN 'partial' ELSE 'healthy' END AS status, cycle_id AS latest_cycle_id, run_id AS latest_run_id, failures AS recent_scan_failure_count,
+  CASE WHEN failures > 0 OR degraded_probe_count > 0 THEN concat_ws(',', CASE WHEN failures > 0 THEN 'failed_scans=' || failures END, CASE WHEN anti_bot_challenge_count > 0 THEN 'anti_bot=' || anti_bot_challenge_count END, CASE WHEN transport_error_count > 0 THEN 'transport_errors=' || transport_error_count END, CASE WHEN http_error_count > 0 THEN 'http_errors=' || http_error_count END)
+    WHEN inconclusive_probe_count > 0 THEN 'inconclusive_probes=' || inconclusive_probe_count ELSE 'healthy' END AS reasons, shown
+  FROM (SELECT *, CASE WHEN cycle_id % 2 = 0 THEN '2001-03' ELSE (SELECT run_id FROM {_RUNS} ORDER BY started_at DESC, run_id DESC LIMIT 1) END AS run_id FROM {_CYCLES} ORDER BY started_at DESC, cycle_id DESC LIMIT 1),
+  LATERAL (SELECT count(*) AS failures, string_agg(catalog_path || '/' || response_status, ',' ORDER BY catalog_path) AS shown FROM (SELECT DISTINCT c.run_id, s.catalog_path, c.response_status FROM scans c JOIN sightings s USING (catalog_id) WHERE NOT c.success) f WHERE f.run_id = run_id)""".replace("f.run_id = run_id", "f.run_id = (CASE WHEN cycle_id % 2 = 0 THEN '2001-03' ELSE (SELECT max(run_id) FROM scans) END)"))
 def _(spark, d):
-    return OP.acquisition_health(D.scans(spark, d), D.probes(spark, d)).select("run_id", "scans", "ok", "challenged", "probed", "degraded", "health")
+    scans = materialize(D.scans(spark, d), "scans")
+    h = OP.acquisition_health(_long_cycles(spark, d), _runs(scans), scans, D.catalogs(spark, d))
+    return h.select("status", "latest_cycle_id", "latest_run_id", F.col("recent_scan_failure_count").cast("long").alias("recent_scan_failure_count"), F.array_join("reasons", ",").alias("reasons"), F.array_join(F.transform("recent_scan_failures", lambda x: F.concat_ws("/", x["catalog_path"], x["response_status"].cast("string"))), ",").alias("shown"))
 
 
 _ARM = "CASE WHEN catalog_id % 2 = 0 THEN 'even' ELSE 'odd' END"
@@ -373,12 +397,31 @@ def _(spark, d):
     return OP.storage_growth(o, "lane")
 
 
-@query("ops_long_run_audit", P.OBS, P.CARDS, P.INPUTS, sql=f"""SELECT *, CASE WHEN findings = '' THEN 'healthy' WHEN len(string_split(findings, ',')) <= 2 THEN 'watch' ELSE 'act' END AS verdict, 100 - 15 * CASE WHEN findings = '' THEN 0 ELSE len(string_split(findings, ',')) END AS score, list_reduce(list_transform(string_split(findings, ','), lambda f: CASE f WHEN 'narrow_coverage' THEN 'widen the catalogs of a run' WHEN 'many_failed_scans' THEN 'slow down or change the route of scans' WHEN 'degraded_probes' THEN 'lower the number of probes' WHEN 'mostly_stale' THEN 'visit known listings more often' WHEN 'mostly_first_pass' THEN 'repeat runs before adding catalogs' ELSE '' END), lambda a, b: a || ';' || b) AS recommendations
-  FROM (SELECT listings, stale, first_pass, failed_scans, degraded, concat_ws(',', CASE WHEN scanned * 2 < known THEN 'narrow_coverage' END, CASE WHEN failed_scans * 10 > scans THEN 'many_failed_scans' END, CASE WHEN degraded * 10 > probed THEN 'degraded_probes' END, CASE WHEN stale * 2 > listings THEN 'mostly_stale' END, CASE WHEN first_pass * 2 > listings THEN 'mostly_first_pass' END) AS findings
-  FROM (SELECT count(*) AS listings, count(*) FILTER (WHERE freshness_bucket = 'stale-followup') AS stale, count(*) FILTER (WHERE freshness_bucket = 'first-pass-only') AS first_pass FROM history), (SELECT count(*) AS scans, count(DISTINCT catalog_id) AS scanned, count(*) FILTER (WHERE NOT success) AS failed_scans FROM scans), (SELECT count(DISTINCT p_type) AS known FROM part), {_PROBED})""")
+_AUDITED = ("cycle_count", "completed_cycles", "failed_cycles", "interrupted_cycles", "success_rate", "average_cycle_seconds", "run_count", "leaf_catalogs_known", "leaf_catalogs_scanned", "coverage_ratio", "repeated_scan_factor", "sum_scanned_leaf_catalogs", "sum_successful_scans", "sum_failed_scans", "sum_unique_listing_hits", "average_hits_per_run", "same_leaves", "few_leaves",
+            "healthy_refreshes", "partial_refreshes", "degraded_refreshes", "unknown_refreshes", *OP.REFRESHED, "tracked_listings", "first_pass_only", "stale_followup", "score", "verdict")
+
+
+@query("ops_long_run_audit", P.OBS, P.CARDS, P.INPUTS, sql=f"""SELECT {", ".join(_AUDITED)}, findings, recommendations, failure_phases, top_reasons FROM (SELECT *, CASE WHEN cycle_count = 0 OR score BETWEEN 3 AND 5 THEN 'caution' WHEN score >= 6 THEN 'degraded' ELSE 'healthy' END AS verdict FROM (SELECT *,
+    least(failed_cycles * 2, 4) + least(interrupted_cycles, 2) + least(degraded_refreshes * 2, 4) + least(partial_refreshes, 2) + CASE WHEN sum_failed_scans > 0 THEN 2 ELSE 0 END + CASE WHEN same_leaves OR few_leaves THEN 2 ELSE 0 END + CASE WHEN first_heavy THEN 1 ELSE 0 END + CASE WHEN stale_heavy THEN 1 ELSE 0 END AS score,
+    concat_ws(',', CASE WHEN cycle_count = 0 THEN 'no_cycles' WHEN failed_cycles > 0 OR interrupted_cycles > 0 THEN 'failed_cycles=' || failed_cycles || '+' || interrupted_cycles END, CASE WHEN same_leaves THEN 'same_leaves' END, CASE WHEN few_leaves THEN 'few_leaves' END, CASE WHEN sum_failed_scans > 0 THEN 'failed_scans=' || sum_failed_scans END,
+      CASE WHEN degraded_refreshes > 0 THEN 'degraded_refreshes=' || degraded_refreshes WHEN partial_refreshes > 0 THEN 'partial_refreshes=' || partial_refreshes END, CASE WHEN first_heavy THEN 'first_pass_heavy=' || first_pass_only END, CASE WHEN stale_heavy THEN 'stale_backlog=' || stale_followup END) AS findings,
+    concat_ws(',', CASE WHEN cycle_count = 0 THEN 'check_window' END, CASE WHEN failed_cycles > 0 THEN 'inspect_failures' END, CASE WHEN same_leaves OR few_leaves THEN 'widen_coverage' END, CASE WHEN sum_failed_scans > 0 THEN 'review_failing_catalogs' END,
+      CASE WHEN anti_bot_challenge_count > 0 THEN 'relieve_anti_bot' WHEN degraded_probe_count > 0 THEN 'sample_degraded' WHEN inconclusive_probe_count > 0 THEN 'inspect_inconclusive' END, CASE WHEN first_heavy THEN 'revisit_more' END, CASE WHEN stale_heavy THEN 'work_off_backlog' END) AS recommendations
+  FROM (SELECT *, round(completed_cycles / (completed_cycles + failed_cycles + interrupted_cycles)::DOUBLE, 3) AS success_rate, round(leaf_catalogs_scanned / leaf_catalogs_known::DOUBLE, 3) AS coverage_ratio, round(sum_scanned_leaf_catalogs / leaf_catalogs_scanned::DOUBLE, 3) AS repeated_scan_factor, round(sum_unique_listing_hits / run_count::DOUBLE, 2) AS average_hits_per_run,
+      run_count >= 2 AND leaf_catalogs_scanned <= 6 AND sum_scanned_leaf_catalogs > leaf_catalogs_scanned AS same_leaves, leaf_catalogs_scanned / leaf_catalogs_known::DOUBLE <= 0.25 AND sum_scanned_leaf_catalogs / leaf_catalogs_scanned::DOUBLE >= 1.5 AS few_leaves, first_pass_only / tracked_listings::DOUBLE >= 0.7 AS first_heavy, stale_followup / tracked_listings::DOUBLE >= 0.2 AS stale_heavy
+    FROM (SELECT count(*) AS cycle_count, count(*) FILTER (WHERE status = 'completed') AS completed_cycles, count(*) FILTER (WHERE status = 'failed') AS failed_cycles, count(*) FILTER (WHERE status = 'interrupted') AS interrupted_cycles, round(avg(seconds) FILTER (WHERE ended_at IS NOT NULL), 2) AS average_cycle_seconds,
+        count(*) FILTER (WHERE refresh = 'healthy') AS healthy_refreshes, count(*) FILTER (WHERE refresh = 'partial') AS partial_refreshes, count(*) FILTER (WHERE refresh = 'degraded') AS degraded_refreshes, count(*) FILTER (WHERE refresh IS NULL) AS unknown_refreshes, {_SUMS} FROM {_CYCLES} WHERE started_at >= TIMESTAMP '1999-05-01'),
+      (SELECT count(*) AS run_count, sum(scanned_leaf_catalogs)::BIGINT AS sum_scanned_leaf_catalogs, sum(successful_scans)::BIGINT AS sum_successful_scans, sum(failed_scans)::BIGINT AS sum_failed_scans, sum(unique_listing_hits)::BIGINT AS sum_unique_listing_hits FROM {_RUNS} WHERE finished_at >= TIMESTAMP '1999-05-01'),
+      (SELECT count(DISTINCT catalog_id) AS leaf_catalogs_scanned FROM scans JOIN {_RUNS} USING (run_id) WHERE started_at >= TIMESTAMP '1999-05-01'), (SELECT count(DISTINCT p_type) AS leaf_catalogs_known FROM part),
+      (SELECT count(*) AS tracked_listings, count(*) FILTER (WHERE freshness_bucket = 'first-pass-only') AS first_pass_only, count(*) FILTER (WHERE freshness_bucket = 'stale-followup') AS stale_followup FROM history)))),
+  (SELECT string_agg(label || '=' || n, ',' ORDER BY n DESC, label) AS failure_phases FROM (SELECT status || ':' || phase AS label, count(*) AS n FROM {_CYCLES} WHERE status <> 'completed' GROUP BY 1 ORDER BY n DESC, label LIMIT 5)),
+  (SELECT string_agg(reason || '=' || n, ',' ORDER BY n DESC, reason) AS top_reasons FROM (SELECT event_type AS reason, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, reason LIMIT 5))""")
 def _(spark, d):
-    s = materialize(D.sightings(spark, d), "sightings")
-    return OP.long_run_audit(D.scans(spark, d, s), D.probes(spark, d), O.history_summaries(O.fold_observations(s), O.latest_cards(s), D.NOW), D.catalogs(spark, d)).select("listings", "stale", "first_pass", "failed_scans", "degraded", "findings", "recommendations", "verdict", "score")
+    s = D.sightings(spark, d)
+    scans = materialize(D.scans(spark, d, s), "scans")
+    audit = OP.long_run_audit(_long_cycles(spark, d), _runs(scans), scans, D.catalogs(spark, d), O.history_summaries(O.fold_observations(s), O.latest_cards(s), D.NOW), "1999-05-01")
+    counts = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x["name"], x["n"].cast("string"))), ",").alias(c)
+    return audit.select(*_AUDITED, *[F.array_join(c, ",").alias(c) for c in ("findings", "recommendations")], counts("failure_phases"), counts("top_reasons"))
 
 
 @query("dq_reconcile", sql="SELECT 'sightings' AS dataset, count(*) AS row_count, count(*) FILTER (WHERE run_id <> '1999-05') AS actual_row_count, 'mismatch' AS status FROM sightings UNION ALL SELECT 'scans', count(*), count(*), 'match' FROM scans")
@@ -635,6 +678,51 @@ def _(spark, d):
     return m.orderBy(F.desc("day"), F.desc("events"), F.asc_nulls_last("segment")).limit(500).select("day", "segment", "events")
 
 
+def _melted(part, row, columns):
+    """A row's numbers as (part, name, value)."""
+    return row.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "name", "value").select(F.lit(part).alias("part"), "name", "value")
+
+
+def _compared(rows):
+    """Every number of the comparisons as (part, name, value)."""
+    numbers = ("support", "share", "mean_price", "sold_like", "sold_like_rate", "inferred", "thin_signal", "estimated_publication", "rank")
+    values = F.array(*[F.struct(F.concat_ws("|", F.lit("lens"), "drilldown", F.lit(c)).alias("name"), F.col(c).cast("double").alias("value")) for c in numbers])
+    return rows.select(F.lit("comparison").alias("part"), F.inline(values))
+
+
+_STATE_COUNTS = {s: f"state_code = '{s}'" for s in C.STATES} | {f"{b}_basis": f"basis_kind = '{b}'" for b in ("observed", "inferred", "unknown")} | {"sold_like": "sold_like", "partial_signal": "partial_signal", "thin_signal": "thin_signal", "estimated_publication": "has_estimated_publication", "missing_publication": "NOT has_estimated_publication"}
+
+
+def _parts(where, extra=""):
+    """SQL of a summary's counts and of all comparisons, as (part, name, value), over a slice of the snapshot."""
+    counts = " UNION ALL ".join([f"SELECT 'summary' AS part, 'tracked_listings' AS name, count(*)::DOUBLE AS value FROM snapshot WHERE {where}", *[f"SELECT 'summary', '{n}', (count(*) FILTER (WHERE {c}))::DOUBLE FROM snapshot WHERE {where}" for n, c in _STATE_COUNTS.items()]])
+    numbers = {"support": "support", "share": "support / total", "mean_price": "price_sum / nullif(priced, 0)", "sold_like": "sold_like", "sold_like_rate": "sold_like / support", "inferred": "inferred", "thin_signal": "thin_signal", "estimated_publication": "estimated_publication", "rank": "rank"}
+    lens = f"SELECT *, sum(support) OVER (PARTITION BY lens)::DOUBLE AS total, row_number() OVER (PARTITION BY lens ORDER BY support DESC, label, value) AS rank FROM (SELECT lens, value, label, count(*)::DOUBLE AS support, (count(*) FILTER (WHERE sold_like))::DOUBLE AS sold_like, sum(price_amount_cents)::DOUBLE AS price_sum, count(price_amount_cents) AS priced, count(*) FILTER (WHERE basis_kind = 'inferred') AS inferred, count(*) FILTER (WHERE thin_signal) AS thin_signal, count(*) FILTER (WHERE has_estimated_publication) AS estimated_publication FROM (SELECT * FROM ({_LENSES}) WHERE {where}) GROUP BY lens, value, label)"
+    compared = " UNION ALL ".join(f"SELECT 'comparison', 'lens|' || lens || '=' || value || '|{n}', ({c})::DOUBLE FROM ranked WHERE rank <= 6" for n, c in numbers.items())
+    return f"SELECT * FROM (WITH ranked AS ({lens}) {counts} UNION ALL {compared}{extra})"
+
+
+_SLICE = "root_title = 'second' AND price_band_code = 'middle' AND contains(lower(title), 'ring')"
+
+
+@query("exp_explorer_snapshot", *STATE, sql=_parts(_SLICE, f" UNION ALL SELECT 'summary', 'average_price', round(avg(price_amount_cents), 2) FROM snapshot WHERE {_SLICE} UNION ALL SELECT 'page', '' || row_number() OVER (ORDER BY favourite_count DESC NULLS LAST, last_seen_at DESC, listing_id DESC), listing_id FROM (SELECT * FROM snapshot WHERE {_SLICE} ORDER BY favourite_count DESC NULLS LAST, last_seen_at DESC, listing_id DESC LIMIT 12 OFFSET 12)"))
+def _(spark, d):
+    """Summary, every comparison and one page of a slice by root, price band (in the snapshot's limits) and text."""
+    parts = E.explore(snapshot(spark, d), 2, 12, "favourite_desc", "ring", bands=D.BANDS, root_title="second", price_band_code="middle")
+    order = Window.orderBy(F.desc_nulls_last("favourite_count"), F.desc("last_seen_at"), F.desc("listing_id"))  # a page's rows
+    page = parts["page"].select(F.lit("page").alias("part"), F.row_number().over(order).cast("string").alias("name"), F.col("listing_id").cast("double").alias("value"))
+    return _melted("summary", parts["summary"], ["tracked_listings", *_STATE_COUNTS, "average_price"]).unionByName(_compared(parts["comparisons"])).unionByName(page)
+
+
+@query("exp_overview_snapshot", *STATE, sql=_parts("true", " UNION ALL SELECT 'summary', 'latest_seen', epoch(max(last_seen_at)) FROM snapshot UNION ALL SELECT 'summary', 'latest_scan', epoch(max(fetched_at)) FROM scans WHERE success UNION ALL SELECT 'caution', 'mostly_inferred', 1 FROM snapshot HAVING count(*) FILTER (WHERE basis_kind = 'inferred') * 2 > count(*) UNION ALL SELECT 'caution', 'many_unknown', 1 FROM snapshot HAVING count(*) FILTER (WHERE basis_kind = 'unknown') * 4 > count(*) UNION ALL SELECT 'caution', 'mostly_low_confidence', 1 FROM snapshot HAVING count(*) FILTER (WHERE confidence_label = 'low') * 2 > count(*) UNION ALL SELECT 'caution', 'mostly_partial_signal', 1 FROM snapshot HAVING count(*) FILTER (WHERE partial_signal) * 2 > count(*) UNION ALL SELECT 'caution', 'mostly_first_pass', 1 FROM snapshot HAVING count(*) FILTER (WHERE freshness_bucket = 'first-pass-only') * 2 > count(*)"))
+def _(spark, d):
+    """The overview with its latest times, cautions and comparisons."""
+    whole = E.overview_snapshot(snapshot(spark, d), D.scans(spark, d), bands=D.BANDS)
+    row = whole["summary"].withColumns({"latest_seen": F.unix_seconds("latest_seen_at"), "latest_scan": F.unix_seconds("latest_scan_at")})
+    cautions = whole["summary"].select(F.lit("caution").alias("part"), F.explode("cautions").alias("name"), F.lit(1.0).alias("value"))
+    return _melted("summary", row, ["tracked_listings", *_STATE_COUNTS, "latest_seen", "latest_scan"]).unionByName(_compared(whole["comparisons"])).unionByName(cautions)
+
+
 @query("prj_caution_notes", *STATE, sql="""SELECT count(*) AS tracked_listings, concat_ws(',', CASE WHEN count(*) = 0 THEN 'empty' END, CASE WHEN count(*) FILTER (WHERE basis_kind = 'inferred') * 2 > count(*) THEN 'mostly_inferred' END, CASE WHEN count(*) FILTER (WHERE basis_kind = 'unknown') * 4 > count(*) THEN 'many_unknown' END, CASE WHEN count(*) FILTER (WHERE confidence_label = 'low') * 2 > count(*) THEN 'mostly_low_confidence' END,
   CASE WHEN count(*) FILTER (WHERE partial_signal) * 2 > count(*) THEN 'mostly_partial_signal' END, CASE WHEN count(*) FILTER (WHERE freshness_bucket = 'first-pass-only') * 2 > count(*) THEN 'mostly_first_pass' END) AS notes FROM snapshot""")
 def _(spark, d):
