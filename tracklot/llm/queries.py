@@ -76,7 +76,7 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 #: crc32 of a decimal number: its characters, and eight shifts (-1) after each.
-_CRC = "xor(list_reduce(flatten(list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: [ascii(conv_id::VARCHAR[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x < 0 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, x) END, 4294967295::BIGINT), 4294967295)"
+_CRC = "xor(list_reduce(flatten(list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: [ascii(substr(conv_id::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x < 0 THEN xor(c >> 1, 3988292384 * (c & 1)) ELSE xor(c, x) END, 4294967295::BIGINT), 4294967295)"
 #: Prefixes are their turns' digests joined, so a subtree is all keys that start with the node's.
 CONVERSATION_TRIE = f"""
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
