@@ -101,8 +101,8 @@ def _(spark, d):
     root = folder(spark, "lake")
     s = L.assign_chunks(D.sightings(spark, d).drop("manifest_id"), ["run_id", "catalog_id"], [F.col("observed_at"), F.col("event_id")], 1 << 30)
     batch = I.deterministic_uuid("manifest", run_id=F.col("run_id"), catalog_id=F.col("catalog_id").cast("string"))
-    s = s.select("event_id", "listing_id", "catalog_id", "run_id", "price_amount_cents", "observed_at", "row_index", batch.alias("manifest_id"))
-    L.write_lake(s.repartition(F.col("run_id")), root, "sightings", "observed_at")
+    s = s.select("event_id", "listing_id", "catalog_id", "run_id", "price_amount_cents", "observed_at", "row_index", batch.alias("manifest_id"), F.trunc("observed_at", "month").alias("month"))
+    L.write_lake(s.repartition(F.col("run_id")), root, "sightings", "month")
     EV.index_lake(spark, root, "sightings", ["manifest_id", "listing_id"], "observed_at")
     wanted, out = s.groupBy("catalog_id").agg(F.max_by("manifest_id", "run_id").alias("m")).collect(), None  # a row per catalog
     for r in wanted:
@@ -474,11 +474,11 @@ def _(spark, d):
 
 @query("str_changes", P.LOG, sql='''SELECT listing_id, "at", source_id, change_kind, state_code, basis_kind, misses, now_price AS price, b_price AS price_before, b_state AS state_before, run_id FROM (SELECT *, CASE WHEN last_probe IN ('deleted', 'sold', 'active', 'unavailable') OR misses = 0 THEN 'observed' ELSE 'inferred' END AS basis_kind FROM changes)''')
 def _(spark, d):
-    """Events arrive a year at a time, some a chunk late; a last event of another listing moves the watermark past them all."""
+    """Events arrive two years at a time, some a chunk late; a last event of another listing moves the watermark past them all."""
     root, events = folder(spark, "changes"), materialize(log(spark, d), "log")
     end = events.limit(1).select(*[F.lit(-1).cast("long").alias("listing_id") if c == "listing_id" else F.lit("2010-01-01").cast("timestamp").alias("at") if c == "at" else F.lit("end").alias(c) if c in ("event_kind", "source_id") else F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns])
-    stream = D.arrivals(events.unionByName(end), F.when(F.col("event_kind") == "end", D.YEARS).otherwise(D.year_chunk("at", "source_id")), f"{root}/in", D.YEARS + 1)
-    ch = CG.changes_available(stream, root, "370 days")
+    stream = D.arrivals(events.unionByName(end), F.when(F.col("event_kind") == "end", 4).otherwise(F.floor(D.year_chunk("at", "source_id") / 2)), f"{root}/in", 5)
+    ch = CG.changes_available(stream, root, "740 days")
     return ch.select("listing_id", "at", "source_id", "change_kind", "state_code", "basis_kind", F.col("misses").cast("long").alias("misses"), F.col("now_price_amount_cents").alias("price"), F.col("before.now_price_amount_cents").alias("price_before"), F.col("before.state_code").alias("state_before"), "run_id")
 
 
