@@ -81,6 +81,15 @@ def test_shards_draw_what_the_sources_have(monkeypatch, drawn):
     assert before.tolist() == slots.tolist()
 
 
+def test_counts_of_any_size_are_drawn():
+    slots = np.array([600_000_000, 400_000_000, 5])
+    draws = np.array([mixing._halved(slots, 500_000_000, (s, 1)) for s in range(400)])
+    assert len({tuple(d) for d in draws}) > 390 and (draws.sum(1) == 500_000_000).all() and (draws >= 0).all() and (draws <= slots).all()
+    assert abs(draws[:, 0].mean() - 300_000_000) < 4 * 7746 / 20 and 0.85 < draws[:, 0].std() / 7746 < 1.15
+    wide = np.array([10**15, 3, 0, 10**14])
+    assert mixing._halved(wide, int(wide.sum()), (1,)).tolist() == wide.tolist()
+
+
 def test_slots_take_every_block_before_any_again(spark):
     docs = spark.createDataFrame([(i, "w " * (50 + i), "abc"[i % 3]) for i in range(60)], "doc_id long, text string, source string")
     times = Counter((r.source_id, r.block) for r in Mixture(docs, block=4).slots.collect())

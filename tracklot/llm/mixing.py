@@ -29,13 +29,8 @@ SHARD_SLOTS = 4096
 SEED = 20_240_601
 #: Documents of a source whose sizes one task sums up.
 BUCKET_ROWS = 2_000
-#: A draw over more slots would be as good as certain: such a run of shards is halved in proportion.
+#: Slots from which counts are drawn one for one; from more, each source's count is drawn by its mean and variance.
 DRAWN_SLOTS = 100_000_000
-WORDS = 128
-SHARD_SLOTS = 4096
-SEED = 20_240_601
-#: More sources than this are joined by a shuffle, not broadcast.
-BROADCAST_SOURCES = 50_000
 #: More sources than this are joined by a shuffle, not broadcast. The driver holds a few numbers per source.
 BROADCAST_SOURCES = 50_000
 WORDS = "[^\\x20\\x09-\\x0D]+"
@@ -80,14 +75,23 @@ def permuted(places: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def _halved(slots: np.ndarray, take: int, key: tuple[int, ...]) -> np.ndarray:
-    """How many of ``take`` slots are of each source, drawn without replacement from ``slots`` of them."""
+    """How many of ``take`` slots are of each source, drawn without replacement from ``slots`` of them.
+
+    Source by source, given the draws before: from more than ``DRAWN_SLOTS`` slots by a normal step of the hypergeometric
+    mean and variance, which at that size is the same to a ten-thousandth of its spread, and exactly from there on.
+    """
+    rng, out = np.random.default_rng(key), np.zeros(len(slots), np.int64)
     total = int(slots.sum())
-    if total <= DRAWN_SLOTS:
-        return np.random.default_rng(key).multivariate_hypergeometric(slots, take, method="marginals")
-    exact = [int(n) * take for n in slots]  # Python integers: a product may pass 64 bits
-    out = np.array([x // total for x in exact], np.int64)
-    most = sorted(range(len(exact)), key=lambda i: (-(exact[i] % total), i))[: take - int(out.sum())]
-    out[most] += 1
+    for i, n in enumerate(map(int, slots)):
+        if total <= DRAWN_SLOTS:
+            out[i:] = rng.multivariate_hypergeometric(slots[i:], take, method="marginals")
+            break
+        share = n / total
+        spread = max(0.0, take * share * (1 - share) * ((total - take) / (total - 1))) ** 0.5
+        mean, odd = divmod(take * n, total)  # in integers: a product may pass 53 bits
+        drawn = mean + round(odd / total + spread * float(rng.standard_normal()))
+        out[i] = min(max(drawn, 0, take - (total - n)), n, take)
+        total, take = total - n, take - int(out[i])
     return out
 
 
