@@ -28,3 +28,9 @@ def test_teaser_cards_do_not_hide_the_body():
     page = f"<div class='body'>{BODY}</div><div class='row'>{cards}</div>"
     assert TEXT in main_text(page, NONE)
     assert main_text(page, lambda path: 0.0 if "article" in path else 1.0) == TEXT
+
+
+@pytest.mark.parametrize("filler", ["x" * 5000, "x y " * 300_000, "a-" * 500_000])
+def test_names_after_a_long_attribute_count(filler):
+    page = f"<div class='body'>{BODY}</div><div data-a='{filler}' class='advert'>BUY NOW</div><p {filler} role='banner'>top</p>"
+    assert main_text(page, NONE) == TEXT

@@ -36,8 +36,8 @@ PRESENTATION_WEIGHT = 0.1
 MOST_TEXT = 2 / 3
 #: So many low nodes (16 bytes each) are broadcast; more are joined by page.
 BROADCAST_NODES = 1_000_000
-#: Characters of a tag in which attributes are looked for.
-MAX_ATTRIBUTES = 4096
+#: Tags up to this length are remembered with their attributes; longer ones are read each time.
+REMEMBERED = 4096
 
 _NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
 _STOP = re.compile(r"[<>\"']")
@@ -52,8 +52,12 @@ _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dial
 _WORD = re.compile("[a-z]+")
 
 
-@lru_cache(4096)
 def _attributes(raw: str) -> tuple[str, int, int]:
+    return _remembered(raw) if len(raw) <= REMEMBERED else _remembered.__wrapped__(raw)
+
+
+@lru_cache(4096)
+def _remembered(raw: str) -> tuple[str, int, int]:
     """An element's label in paths, whether it is boilerplate (1 by name, 2 by role), and main content (1 article, 2 main)."""
     found: dict[str, str] = {}
     for m in _ATTR.finditer(raw):
@@ -112,7 +116,7 @@ def tags(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
                 if stop < 0:
                     return
             name, end = m[0].lower(), stop + 1
-            raw = page[m.end() : min(stop, m.end() + MAX_ATTRIBUTES)]
+            raw = page[m.end() : stop]
             if page[stop - 1] == "/" and not raw.endswith("/"):
                 raw += "/"
             if name in _RAW:
