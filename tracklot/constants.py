@@ -24,6 +24,9 @@ CURRENCY_SYMBOLS = {"EUR": "€", "GBP": "£", "USD": "$"}
 # Signs of a challenge in a page, and in a scan's error message.
 CHALLENGE_MARKERS = ("just a moment", "attention required", "turnstile", "cf-chl", "challenge-platform", "verify you are human", "captcha", "cloudflare")
 SCAN_MARKERS = ("captcha", "challenge", "turnstile", "cloudflare", "attention required", "just a moment", "__cf_chl")
+# From where on scores and percentiles are shown under a name.
+SCORE_BANDS = ((80.0, "very_strong"), (60.0, "solid"), (40.0, "medium"))
+PERCENTILE_BANDS = ((0.85, "high"), (0.65, "above_middle"), (0.35, "middle"))
 FACT_DAYS, ROLLUP_DAYS = 730, 3650
 #: Fields whose presence makes up a listing's signal.
 SIGNAL_FIELDS = ("title", "brand", "size_label", "condition_label", "price_amount_cents", "total_price_amount_cents", "image_url")

@@ -164,13 +164,32 @@ def storage_segment(text: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(col(text))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
-def display_money(cents: Column | str, symbol: str = "€") -> Column:
-    return F.when(col(cents).isNotNull(), F.concat(F.format_number(col(cents) / 100, 2), F.lit(f" {symbol}"))).otherwise("n/a")
+def display_money(cents: Column | str, currency: Column | str) -> Column:
+    """Two decimals and the currency, if any; a text of its own for no price."""
+    return F.when(col(cents).isNotNull(), F.trim(F.concat(F.format_string("%.2f", col(cents) / 100.0), F.lit(" "), F.coalesce(col(currency), F.lit(""))))).otherwise("price n/a")
+
+
+def banded(value: Column | str, limits: tuple[tuple[float, str], ...], least: str) -> Column:
+    """The name of the first limit that the value reaches, else ``least``; null stays null."""
+    v, out = col(value), None
+    for limit, name in limits:
+        out = F.when(v >= limit, name) if out is None else out.when(v >= limit, name)
+    return F.when(v.isNotNull(), out.otherwise(least))
 
 
 def score_band(score: Column | str) -> Column:
-    s = col(score)
-    return F.when(s >= 75, "high").when(s >= 50, "solid").when(s >= 25, "modest").otherwise("low")
+    return banded(score, C.SCORE_BANDS, "modest")
+
+
+def percentile_band(percentile: Column | str) -> Column:
+    return F.coalesce(banded(percentile, C.PERCENTILE_BANDS, "low"), F.lit("none"))
+
+
+def tone(state: Column | str, basis: Column | str, confidence: Column | str) -> Column:
+    """How firmly a state is shown."""
+    s, low = col(state), col(confidence) == "low"
+    lost = s.isin("deleted", "unknown")
+    return F.when(lost & low, "danger").when(lost | (col(basis) == "inferred") | low, "warning").when(s.isin("active", "sold_observed"), "success").otherwise("info")
 
 
 def filter_listings(df: DataFrame, **facets) -> DataFrame:

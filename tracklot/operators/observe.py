@@ -96,6 +96,17 @@ def build_snapshots(obs: DataFrame) -> DataFrame:
     return summarize_observations(obs).select("listing_id", "first_seen_at", "last_seen_at", "first_run_id", F.col("last_observed_run_id").alias("last_run_id"))
 
 
+def identity_snapshots(obs: DataFrame, cards: DataFrame) -> DataFrame:
+    """A listing's identity: what its card says and where it is sold, with its first and last sighting and their runs."""
+    return build_snapshots(obs).join(cards.select("listing_id", "title", "brand", "condition_label", "catalog_id", "catalog_path", "root_title", "user_id", "created_at_ts"), "listing_id")
+
+
+def state_snapshots(obs: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """A listing's current state for a store of snapshots: state, misses, latest probe and price, with the runs of its sightings."""
+    runs = build_snapshots(obs).select("listing_id", "first_run_id", "last_run_id")
+    return snapshot.select("listing_id", "state_code", "basis_kind", "confidence_label", "follow_up_miss_count", "latest_miss_at", "latest_primary_scan_run_id", "probe_outcome", "probed_at", "price_amount_cents", "last_seen_at").join(runs, "listing_id")
+
+
 def history_summaries(obs: DataFrame, cards: DataFrame, now) -> DataFrame:
     h = summarize_observations(obs).join(cards, "listing_id")
     h = h.withColumn("last_seen_age_hours", age_hours("last_seen_at", now)).withColumn("signal_completeness", signal_completeness())

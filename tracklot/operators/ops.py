@@ -58,6 +58,11 @@ def coverage_breadth(scans: DataFrame, catalogs: DataFrame) -> DataFrame:
     return out.withColumns({"breadth": safe_ratio("scanned", "known"), "repeat_factor": safe_ratio("scans", "scanned"), "narrow": F.col("scanned") * 2 < F.col("known")})
 
 
+def mode_statuses(pages: DataFrame, *keys: str) -> DataFrame:
+    """How often each response status came in each mode, as a map per group; no status counts as 0."""
+    return count_map(pages.withColumn("status", F.coalesce("response_status", F.lit(0))), "status", [*keys, "mode"], "status_counts")
+
+
 #: Counts that a cycle's state refresh reports.
 REFRESHED = ("direct_signal_count", "inconclusive_probe_count", "degraded_probe_count", "anti_bot_challenge_count", "http_error_count", "transport_error_count")
 

@@ -19,7 +19,7 @@ from tracklot.operators import quality as Q
 from tracklot.operators import rollups as R
 from tracklot.operators import score as SC
 from tracklot.plans import prelude as P
-from tracklot.plans.listings import _LENSES, STATE, log, query, scores, snapshot
+from tracklot.plans.listings import _BAND, _LENSES, STATE, log, query, scores, snapshot
 from tracklot.sources import cards as CA
 from tracklot.sources import evidence as EV
 from tracklot.sources import lake as L
@@ -222,12 +222,21 @@ def _(spark, d):
     return I.redact(p)
 
 
-@query("prs_parse_api_pages", sql="SELECT l_orderkey AS page, l_partkey AS listing_id, p_name AS title, CAST(round(l_extendedprice * 100) AS BIGINT) AS price_amount_cents, 'https://shop.example/items/' || l_partkey AS canonical_url FROM lineitem JOIN part ON l_partkey = p_partkey")
+_CONDITION_SQL = " ".join(f"WHEN {k} THEN '{v}'" for k, v in C.CONDITIONS.items())
+
+
+@query("prs_parse_api_pages", sql=f"SELECT l_orderkey AS page, l_partkey AS listing_id, p_name AS title, CAST(round(l_extendedprice * 100) AS BIGINT) AS price_amount_cents, 'https://shop.example/items/' || l_partkey AS canonical_url, CASE p_size % 6 + 1 {_CONDITION_SQL} END AS condition_label, 'https://img.example/' || CASE l_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS image_url FROM lineitem JOIN part ON l_partkey = p_partkey")
 def _(spark, d):
     rows = D.read(spark, d, "lineitem").join(D.read(spark, d, "part"), F.expr("l_partkey = p_partkey"))
-    item = F.struct(F.col("l_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("https://shop.example/items/"), "l_partkey", F.lit("?ref=x")).alias("url"), F.struct(F.format_string("%.2f", "l_extendedprice").alias("amount"), F.lit("EUR").alias("currency_code")).alias("price"))
+    image = lambda name: F.lit(f"https://img.example/{name}").alias("url")
+    kind = F.col("l_partkey") % 3  # an image in each of three places
+    photo = F.when(kind == 0, F.struct(image("a"), F.lit(None).cast("string").alias("full_size_url"))).when(kind == 1, F.struct(F.lit(None).cast("string").alias("url"), F.lit("https://img.example/b").alias("full_size_url")))
+    item = F.struct(
+        F.col("l_partkey").cast("string").alias("id"), F.col("p_name").alias("title"), F.concat(F.lit("https://shop.example/items/"), "l_partkey", F.lit("?ref=x")).alias("url"), (F.col("p_size") % 6 + 1).alias("status_id"),
+        F.struct(F.format_string("%.2f", "l_extendedprice").alias("amount"), F.lit("EUR").alias("currency_code")).alias("price"), photo.alias("photo"), F.when(kind == 2, F.array(F.struct(image("c")))).alias("photos"),
+    )
     pages = rows.groupBy(F.col("l_orderkey").alias("page")).agg(F.to_json(F.struct(F.collect_list(item).alias("items"))).alias("body"))
-    return PR.parse_api_pages(pages).select("page", "listing_id", "title", "price_amount_cents", "canonical_url")
+    return PR.parse_api_pages(pages).select("page", "listing_id", "title", "price_amount_cents", "canonical_url", "condition_label", "image_url")
 
 
 @query("prs_parse_pagination", sql="SELECT o_orderkey, CAST(ceil(o_orderkey / 96.0) AS INTEGER) AS total_pages FROM orders")
@@ -498,14 +507,102 @@ def _(spark, d):
     return M.to_probe_facts(D.probes(spark, d)).select("probe_id", "listing_id", "occurred_on")
 
 
-@query("prj_display", *STATE, P.SCORES, sql="SELECT listing_id, CASE WHEN premium_score >= 75 THEN 'high' WHEN premium_score >= 50 THEN 'solid' WHEN premium_score >= 25 THEN 'modest' ELSE 'low' END AS score_band, price_percentile IS NULL AS no_peers FROM scores")
+@query("prj_display", *STATE, P.SCORES, sql="""SELECT listing_id, CASE WHEN premium_score >= 80 THEN 'very_strong' WHEN premium_score >= 60 THEN 'solid' WHEN premium_score >= 40 THEN 'medium' ELSE 'modest' END AS score_band, CASE WHEN price_percentile IS NULL THEN 'none' WHEN price_percentile >= 0.85 THEN 'high' WHEN price_percentile >= 0.65 THEN 'above_middle' WHEN price_percentile >= 0.35 THEN 'middle' ELSE 'low' END AS percentile_band,
+  CASE WHEN state_code IN ('deleted', 'unknown') THEN CASE WHEN confidence_label = 'low' THEN 'danger' ELSE 'warning' END WHEN basis_kind = 'inferred' OR confidence_label = 'low' THEN 'warning' WHEN state_code IN ('active', 'sold_observed') THEN 'success' ELSE 'info' END AS tone,
+  coalesce((price_amount_cents // 100) || '.' || lpad(CAST(price_amount_cents % 100 AS VARCHAR), 2, '0') || ' €', 'price n/a') AS price_text, coalesce(CAST(view_count AS VARCHAR), 'n/a') AS views_text, strftime(to_timestamp(created_at_ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS published_text FROM scores""")
+def _(spark, d):
+    return M.with_display(scores(spark, d)).select("listing_id", "score_band", "percentile_band", "tone", "price_text", "views_text", "published_text")
+
+
+_MARTS = ("listing_day", "segment_day", "price_change", "state_transition", "evidence_packs")
+
+
+def _marts(spark, d):
+    """All five marts; the changes are a table, as three of them read it."""
+    s, ch = D.sightings(spark, d), materialize(CH.derive_changes(log(spark, d)), "changes")
+    day, price, state = R.mart_listing_day(s), CH.mart_price_change(ch), CH.mart_state_transition(ch)
+    return dict(zip(_MARTS, (day, R.mart_segment_day(s), price, state, CH.evidence_packs(snapshot(spark, d), day, price, state)), strict=True))
+
+
+_DAY_ROWS = "SELECT DISTINCT listing_id, day, brand, condition_label, CASE WHEN price_amount_cents IS NULL THEN 'unknown' WHEN price_amount_cents < 2000 THEN 'under' WHEN price_amount_cents < 4000 THEN 'middle' ELSE 'over' END AS band FROM sightings"
+
+
+@query("mart_export", P.LOG, sql=f"SELECT 'listing_day' AS mart, (SELECT count(*) FROM ({_DAY_ROWS})) AS row_count UNION ALL SELECT 'segment_day', (SELECT count(*) FROM (SELECT DISTINCT day, catalog_id FROM sightings)) + (SELECT count(*) FROM (SELECT DISTINCT day, brand FROM sightings)) UNION ALL SELECT 'price_change', count(*) FROM changes WHERE change_kind = 'price_change' UNION ALL SELECT 'state_transition', count(*) FROM changes WHERE change_kind = 'state_transition' UNION ALL SELECT 'evidence_packs', count(DISTINCT listing_id) FROM sightings")
+def _(spark, d):
+    return M.export_marts(_marts(spark, d), folder(spark, "marts"))
+
+
+_PACK = """SELECT listing_id, days, price_changes, state_transitions, manifests FROM {ids} LEFT JOIN (SELECT listing_id, string_agg(strftime(day, '%Y-%m-%d') || ':' || events, ';' ORDER BY day DESC, events DESC) AS days, string_agg(DISTINCT m, ';' ORDER BY m) AS manifests FROM (SELECT listing_id, day, count(*) AS events, any_value(manifest_id) AS m FROM (SELECT *, {band} FROM sightings) GROUP BY listing_id, day, catalog_id, root_title, catalog_path, brand, condition_label, price_band_code) GROUP BY 1) USING (listing_id)
+  LEFT JOIN (SELECT listing_id, string_agg(strftime("at", '%Y-%m-%d') || ':' || coalesce(b_price::VARCHAR, '-') || '>' || coalesce(now_price::VARCHAR, '-'), ';' ORDER BY "at" DESC, source_id DESC) AS price_changes FROM changes WHERE change_kind = 'price_change' GROUP BY 1) USING (listing_id)
+  LEFT JOIN (SELECT listing_id, string_agg(strftime("at", '%Y-%m-%d') || ':' || coalesce(b_state, 'none') || ' → ' || state_code, ';' ORDER BY "at" DESC, source_id DESC) AS state_transitions FROM changes WHERE change_kind = 'state_transition' GROUP BY 1) USING (listing_id)"""
+
+
+def _pack_texts(packs):
+    """Packs with their nested rows and trace as texts, so that every value is compared."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    joined = lambda c, f: F.array_join(F.transform(c, f), ";").alias(c)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    return packs.select(
+        "listing_id", joined("days", lambda x: F.concat(day(x["day"]), F.lit(":"), x["events"])), joined("price_changes", lambda x: F.concat(day(x["at"]), F.lit(":"), text(x["price_before"]), F.lit(">"), text(x["price_after"]))),
+        joined("state_transitions", lambda x: F.concat(day(x["at"]), F.lit(":"), x["transition"])), F.nullif(F.array_join("trace_manifest_ids", ";"), F.lit("")).alias("manifests"),
+    )
+
+
+@query("mart_evidence_pack_ids", P.LOG, sql=_PACK.format(ids="(SELECT max(listing_id) AS listing_id FROM sightings GROUP BY catalog_id UNION SELECT -1)", band=_BAND))
+def _(spark, d):
+    """Packs of named listings, one of which is unknown."""
+    s, ch = D.sightings(spark, d), materialize(CH.derive_changes(log(spark, d)), "changes")
+    ids = [r.id for r in s.groupBy("catalog_id").agg(F.max("listing_id").alias("id")).collect()]  # a row per catalog
+    return _pack_texts(CH.evidence_packs(snapshot(spark, d), R.mart_listing_day(s), CH.mart_price_change(ch), CH.mart_state_transition(ch), [*ids, -1]))
+
+
+@query("mart_evidence_pack_rows", P.LOG, sql=_PACK.format(ids="(SELECT DISTINCT listing_id FROM sightings)", band=_BAND))
+def _(spark, d):
+    return _pack_texts(_marts(spark, d)["evidence_packs"])
+
+
+@query("mart_first_rows", P.LOG, sql="""SELECT * FROM (SELECT 'price_change' AS mart, listing_id, strftime("at", '%Y-%m-%d') AS day, source_id AS name FROM changes WHERE change_kind = 'price_change' ORDER BY "at" DESC, listing_id DESC, source_id DESC LIMIT 20) UNION ALL SELECT * FROM (SELECT 'segment_day', events, strftime(day, '%Y-%m-%d'), segment FROM (SELECT day, CAST(catalog_id AS VARCHAR) AS segment, count(*) AS events FROM sightings GROUP BY ALL UNION ALL SELECT day, brand, count(*) FROM sightings GROUP BY ALL) ORDER BY day DESC, events DESC, segment DESC NULLS LAST LIMIT 20)""")
+def _(spark, d):
+    """The newest twenty rows of two marts."""
+    price = M.first_rows(CH.mart_price_change(CH.derive_changes(log(spark, d))), "price_change", 20)
+    segment = M.first_rows(R.mart_segment_day(D.sightings(spark, d)), "segment_day", 20)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("day")
+    return price.select(F.lit("price_change").alias("mart"), "listing_id", day("at"), F.col("source_id").alias("name")).unionByName(segment.select(F.lit("segment_day").alias("mart"), F.col("events").alias("listing_id"), day("day"), F.col("segment").alias("name")))
+
+
+@query("src_identity_snapshots", P.OBS, P.CARDS, sql="SELECT listing_id, first_seen_at, last_seen_at, first_run_id, last_observed_run_id AS last_run_id, title, brand, catalog_id, root_title, user_id FROM summary JOIN cards USING (listing_id)")
+def _(spark, d):
+    s = D.sightings(spark, d)
+    return O.identity_snapshots(O.fold_observations(s), O.latest_cards(s)).select("listing_id", "first_seen_at", "last_seen_at", "first_run_id", "last_run_id", "title", "brand", "catalog_id", "root_title", "user_id")
+
+
+@query("src_state_snapshots", *STATE, sql="SELECT listing_id, state_code, follow_up_miss_count, latest_miss_at, latest_primary_scan_run_id, probe_outcome, probed_at, price_amount_cents, first_run_id, last_observed_run_id AS last_run_id FROM snapshot")
+def _(spark, d):
+    s = D.sightings(spark, d)
+    return O.state_snapshots(O.fold_observations(s), snapshot(spark, d)).select("listing_id", "state_code", "follow_up_miss_count", "latest_miss_at", "latest_primary_scan_run_id", "probe_outcome", "probed_at", "price_amount_cents", "first_run_id", "last_run_id")
+
+
+@query("src_export_cycles", sql="""SELECT event_id AS cycle_id, 'lane-' || (user_id % 4) AS lane_name, '{"' || event_type || '":1,"all":' || (event_id % 3) || '}' AS reason_counts FROM events""")
+def _(spark, d):
+    return L.export_cycles(_cycles(spark, d)).select("cycle_id", "lane_name", "reason_counts")
+
+
+@query("mrg_latest_catalogs", sql="SELECT CAST(1000 + n_regionkey AS BIGINT) AS catalog_id, last(n_name ORDER BY n_nationkey, n_name) AS title FROM nation GROUP BY 1")
+def _(spark, d):
+    c = D.read(spark, d, "nation").select((F.col("n_regionkey") + 1000).cast("long").alias("catalog_id"), F.col("n_name").alias("title"), F.col("n_nationkey").alias("synced_at"))
+    return O.latest_catalogs(c).select("catalog_id", "title")
+
+
+@query("ops_lane_rollup", sql="SELECT count(*) AS lanes, arg_min(lane_name, k) AS lane_name, arg_min(status, k) AS status FROM (SELECT lane_name, status, (CASE status WHEN 'failed' THEN 1 ELSE 2 END, next_at, lane_name) AS k FROM (SELECT 'lane-' || (user_id % 6) AS lane_name, CASE WHEN last(event_type ORDER BY ts, event_id) = 'error' THEN 'failed' ELSE 'scheduled' END AS status, max(ts) AS next_at FROM events GROUP BY 1))")
 def _(spark, d):
-    return M.with_display(scores(spark, d)).select("listing_id", "score_band", (F.col("percentile_text") == "no peers").alias("no_peers"))
+    lanes = D.read(spark, d, "events").groupBy(F.concat(F.lit("lane-"), F.col("user_id") % 6).alias("lane_name")).agg(F.when(F.max_by("event_type", F.struct("ts", "event_id")) == "error", "failed").otherwise("scheduled").alias("status"), F.max("ts").alias("next_at"))
+    return OP.lane_rollup(lanes)
 
 
-@query("mart_export", P.LOG, sql="SELECT 'listing_day' AS mart, (SELECT count(*) FROM (SELECT DISTINCT listing_id, day, brand, condition_label, CASE WHEN price_amount_cents IS NULL THEN 'unknown' WHEN price_amount_cents < 2000 THEN 'under' WHEN price_amount_cents < 4000 THEN 'middle' ELSE 'over' END FROM sightings)) AS row_count UNION ALL SELECT 'price_change', count(*) FROM changes WHERE change_kind = 'price_change'")
+@query("ops_mode_statuses", sql="SELECT catalog_id, mode, status, count(*) AS n FROM (SELECT catalog_id, CASE WHEN user_id % 2 = 0 THEN 'bounded' ELSE 'unbounded' END AS mode, CASE page_number % 3 WHEN 0 THEN 200 WHEN 1 THEN 403 ELSE 0 END AS status FROM sightings) GROUP BY ALL")
 def _(spark, d):
-    return M.export_marts({"listing_day": R.mart_listing_day(D.sightings(spark, d)), "price_change": CH.mart_price_change(CH.derive_changes(log(spark, d)))}, folder(spark, "marts"))
+    pages = D.sightings(spark, d).select("catalog_id", F.when(F.col("user_id") % 2 == 0, "bounded").otherwise("unbounded").alias("mode"), F.when(F.col("page_number") % 3 == 0, 200).when(F.col("page_number") % 3 == 1, 403).alias("response_status"))
+    return OP.mode_statuses(pages, "catalog_id").select("catalog_id", "mode", F.explode("status_counts").alias("status", "n"))
 
 
 @query("prj_scan_and_probe_flags", sql=f"SELECT 'scan' AS source, count(*) FILTER (WHERE response_status = 403) AS flagged FROM scans UNION ALL SELECT 'probe', count(*) FILTER (WHERE {DEGRADED}) FROM probes")
