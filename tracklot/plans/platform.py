@@ -65,9 +65,12 @@ def _(spark, d):
     return L.assign_chunks(D.sightings(spark, d), ["run_id", "catalog_id"], [F.col("observed_at"), F.col("event_id")], 100).select("event_id", "chunk_index", "chunk_count", "row_index")
 
 
-@query("src_manifests", sql="SELECT run_id, catalog_id, min(observed_at) AS first_at, max(observed_at) AS last_at, count(*) AS row_count, sum(CAST('0x' || substr(sha256(event_id), 1, 15) AS BIGINT)) || '-' || sum(CAST('0x' || substr(sha256(event_id), 16, 15) AS BIGINT)) AS checksum FROM sightings GROUP BY 1, 2")
+_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INTEGER) & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
+
+
+@query("src_manifests", sql=f"""SELECT *, {_UUID.replace("h,", "sha1(unhex('" + I.NAMESPACE.hex + "') || encode('manifest:{" + '"catalog_id":"' + "' || catalog_id || '" + '","run_id":"' + "' || run_id || '" + '"}' + "')),")} AS manifest_id FROM (SELECT run_id, catalog_id, min(observed_at) AS first_at, max(observed_at) AS last_at, count(*) AS row_count, sum(CAST('0x' || substr(sha256(event_id), 1, 15) AS BIGINT)) || '-' || sum(CAST('0x' || substr(sha256(event_id), 16, 15) AS BIGINT)) AS checksum FROM sightings GROUP BY 1, 2)""")
 def _(spark, d):
-    return L.build_manifests(D.sightings(spark, d), ["run_id", "catalog_id"], "observed_at", "event_id").drop("manifest_id")
+    return L.build_manifests(D.sightings(spark, d), ["run_id", "catalog_id"], "observed_at", "event_id")
 
 
 @query("src_append_missing", sql="SELECT event_id FROM sightings WHERE run_id >= '2001-01'")
@@ -186,11 +189,12 @@ def _(spark, d):
     return D.read(spark, d, "events").select("event_id", I.extract_path("props", "k").alias("k"))
 
 
-@query("src_flatten_and_decode", sql="SELECT event_id, title, price_amount_cents AS price FROM sightings")
+@query("src_flatten_and_decode", sql="SELECT event_id, title, price_amount_cents AS price, brand, size_label AS tag, run_id AS noted FROM sightings")
 def _(spark, d):
-    s = D.sightings(spark, d).select("event_id", F.struct("title", "price_amount_cents").alias("card"))
-    back = I.decode_json_columns(I.flatten_nested(s), {"card": "struct<title: string, price_amount_cents: bigint>"})
-    return back.select("event_id", "card.title", F.col("card.price_amount_cents").alias("price"))
+    """A struct in a struct, an array and a map, through JSON text and back."""
+    s = D.sightings(spark, d).select("event_id", F.struct("title", F.struct("price_amount_cents", "brand").alias("offer")).alias("card"), F.array(F.lit(None).cast("string"), "size_label").alias("tags"), F.create_map(F.lit("run"), "run_id").alias("notes"))
+    back = I.decode_json_columns(I.flatten_nested(s), {"card": "struct<title: string, offer: struct<price_amount_cents: bigint, brand: string>>", "tags": "array<string>", "notes": "map<string, string>"})
+    return back.select("event_id", "card.title", F.col("card.offer.price_amount_cents").alias("price"), "card.offer.brand", F.get("tags", 1).alias("tag"), F.col("notes")["run"].alias("noted"))
 
 
 @query("prj_checksum", sql="SELECT event_id, sha256('{\"listing\":' || listing_id || ',\"run\":\"' || run_id || '\"}') AS checksum FROM sightings")
@@ -198,9 +202,6 @@ def _(spark, d):
     return D.sightings(spark, d).select("event_id", I.sha256_json(run="run_id", listing="listing_id").alias("checksum"))
 
 
-_UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INTEGER) & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
-
-
 @query("prj_uuid5", sql=f"""SELECT event_id, {_UUID} AS uuid FROM (SELECT event_id, sha1(unhex('{I.NAMESPACE.hex}') || encode('sighting:{{"event":"' || event_id || '"}}')) AS h FROM sightings)""")
 def _(spark, d):
     return D.sightings(spark, d).select("event_id", I.deterministic_uuid("sighting", event="event_id").alias("uuid"))
@@ -296,9 +297,9 @@ def _(spark, d):
     return OP.top_failing_catalogs(D.scans(spark, d), 5)
 
 
-@query("agg_coverage_breadth", sql="SELECT count(DISTINCT catalog_id) AS scanned, count(*) AS scans, any_value(known) AS known, CAST(count(DISTINCT catalog_id) AS DOUBLE) / any_value(known) AS breadth, CAST(count(*) AS DOUBLE) / count(DISTINCT catalog_id) AS repeat_factor, count(DISTINCT catalog_id) * 2 < any_value(known) AS narrow FROM scans, (SELECT count(DISTINCT p_type) AS known FROM part) WHERE run_id >= '1998-01'")
+@query("agg_coverage_breadth", sql="SELECT count(DISTINCT catalog_id) AS scanned, count(*) AS scans, any_value(known) AS known, CAST(count(DISTINCT catalog_id) AS DOUBLE) / any_value(known) AS breadth, CAST(count(*) AS DOUBLE) / count(DISTINCT catalog_id) AS repeat_factor, count(DISTINCT catalog_id) * 2 < any_value(known) AS narrow FROM scans, (SELECT count(DISTINCT p_type) AS known FROM part)")
 def _(spark, d):
-    return OP.coverage_breadth(D.scans(spark, d).where("run_id >= '1998-01'"), D.catalogs(spark, d))
+    return OP.coverage_breadth(D.scans(spark, d), D.catalogs(spark, d))
 
 
 def _cycles(spark, d):
@@ -626,10 +627,12 @@ def _(spark, d):
 
 @query("str_facts", sql="SELECT event_id, observed_at FROM sightings")
 def _(spark, d):
-    path = folder(spark, "replayed")
-    s = D.sightings(spark, d).select("event_id", "observed_at")
-    s.unionAll(s).write.parquet(path)
-    return ST.take_in(ST.stream_facts(ST.stream_lake(spark, path), delay="4000 days"), folder(spark, "facts")).select("event_id", "observed_at")
+    """A year's events arrive at a time, and each is sent again with the next year's; the state of older ones has gone by then."""
+    root, s = folder(spark, "facts"), D.sightings(spark, d).select("event_id", "observed_at")
+    sent = s.withColumn("_n", F.explode(F.array(F.lit(0), F.lit(1))))
+    year = F.year("observed_at") - D.FIRST_YEAR
+    stream = D.arrivals(sent, F.least(year + F.col("_n"), F.lit(D.YEARS - 1)), f"{root}/in", D.YEARS)
+    return ST.take_in(ST.stream_facts(stream, delay="740 days"), root).select("event_id", "observed_at")
 
 
 _KNOWN = ("view", "click", "purchase", "signup")
@@ -705,9 +708,9 @@ def _(spark, d):
 _EXPERIMENT = "SELECT CASE WHEN catalog_id % 2 = 0 THEN 'even' ELSE 'odd' END AS arm"
 
 
-@query("ops_experiment_scorecard", sql=f"""SELECT arm, 'storage' AS net_new_source, net_new, round(net_new / 100.0::DOUBLE, 4) AS new_per_hour, raw AS raw_listing_hits, greatest(raw - net_new, 0) AS duplicate_hits, round(greatest(raw - net_new, 0) / raw::DOUBLE, 4) AS duplicate_ratio, blocked + anti_bot AS challenge_count,
+@query("ops_experiment_scorecard", sql=f"""SELECT arm, 'storage' AS net_new_source, net_new, round(net_new / hours, 4) AS new_per_hour, raw AS raw_listing_hits, greatest(raw - net_new, 0) AS duplicate_hits, round(greatest(raw - net_new, 0) / raw::DOUBLE, 4) AS duplicate_ratio, blocked + anti_bot AS challenge_count,
   round((blocked + anti_bot) / (scans + probed)::DOUBLE, 4) AS challenge_rate, degraded AS degraded_count, round(degraded / (scans + probed)::DOUBLE, 4) AS degraded_rate, CASE WHEN net_new > 0 THEN round(growth / net_new::DOUBLE, 4) END AS bytes_per_new_listing, mean_cpu, peak_cpu, peak_rss_mb
-  FROM ({_EXPERIMENT}, sum(listing_count)::BIGINT AS raw, count(*) AS scans, count(*) FILTER (WHERE response_status = 403) AS blocked FROM scans GROUP BY 1)
+  FROM ({_EXPERIMENT}, sum(listing_count)::BIGINT AS raw, count(*) AS scans, count(*) FILTER (WHERE response_status = 403) AS blocked, (epoch(max(fetched_at)) - epoch(min(fetched_at))) / 3600 AS hours FROM scans GROUP BY 1)
   JOIN (SELECT CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS arm, count(*) AS probed, count(*) FILTER (WHERE event_type = 'error' AND event_id % 2 = 0) AS anti_bot, count(*) FILTER (WHERE event_type = 'error') + count(*) FILTER (WHERE event_id % 50 = 0) AS degraded, round(avg(event_id % 97), 4) AS mean_cpu, CAST(max(event_id % 97) AS DOUBLE) AS peak_cpu, CAST(max(user_id) AS DOUBLE) AS peak_rss_mb FROM events GROUP BY 1) USING (arm)
   JOIN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS arm, greatest(last(o_custkey ORDER BY o_orderdate, o_orderkey) - first(o_custkey ORDER BY o_orderdate, o_orderkey), 0) AS net_new, last(o_custkey * 7 ORDER BY o_orderdate, o_orderkey) - first(o_custkey * 7 ORDER BY o_orderdate, o_orderkey) AS growth FROM orders GROUP BY 1) USING (arm)""")
 def _(spark, d):
@@ -718,7 +721,7 @@ def _(spark, d):
     cycles = e.select(odd("user_id"), F.lit(1).alias("probed"), (failed & (F.col("event_id") % 2 == 0)).cast("int").alias("anti_bot"), failed.cast("int").alias("degraded_probes"), (F.col("event_id") % 50 == 0).alias("is_degraded"))
     storage = o.select(odd("o_orderkey"), F.struct("o_orderdate", "o_orderkey").alias("captured_at"), F.col("o_custkey").alias("listing_count"), (F.col("o_custkey") * 7).alias("bytes"))
     resources = e.select(odd("user_id"), (F.col("event_id") % 97).cast("double").alias("cpu_percent"), F.col("user_id").cast("double").alias("rss_mb"))
-    hours = spark.createDataFrame([("even", 100.0), ("odd", 100.0)], "arm string, hours double")
+    hours = sc.groupBy(odd("catalog_id")).agg(((F.unix_seconds(F.max("fetched_at")) - F.unix_seconds(F.min("fetched_at"))) / 3600).alias("hours"))
     return OP.experiment_scorecard(runs, sc.select(odd("catalog_id"), "response_status", "error_message"), cycles, storage, resources, hours)
 
 
