@@ -91,6 +91,22 @@ def test_a_changed_archive_stops_the_run(spark):
     assert len(keys(spark, f"{root}/table")) == 41
 
 
+def test_a_backfill_goes_on_where_it_was_cut_off(spark):
+    root, rows, lots = folder(spark, "backfill"), spark.range(30).select("id", (F.col("id") % 10).alias("k")), []
+
+    def deliver(lot):
+        if len(lots) == 2:
+            lots.append(None)
+            raise OSError("lost")
+        lots.append({r.k for r in lot.collect()})
+
+    with pytest.raises(OSError, match="lost"):
+        L.run_backfill(spark, rows, ["k"], f"{root}/ledger", deliver, 3)
+    assert L.run_backfill(spark, rows, ["k"], f"{root}/ledger", deliver, 3) == 2
+    assert lots == [{0, 1, 2}, {3, 4, 5}, None, {6, 7, 8}, {9}]
+    assert L.run_backfill(spark, rows, ["k"], f"{root}/ledger", deliver, 3) == 0
+
+
 def test_salvage_names_the_broken_file(spark):
     root = folder(spark, "salvage")
     spark.range(100).repartition(4).write.parquet(f"{root}/in/t")

@@ -27,7 +27,7 @@ from tracklot.sources import parse as PR
 from tracklot.sources import retention as RE
 from tracklot.sources import sqlite as SQ
 from tracklot.sources import standin as D
-from tracklot.sources.scratch import folder, materialize
+from tracklot.sources.scratch import folder, is_whole, materialize
 from tracklot.streaming import change_state as CG
 from tracklot.streaming import listing_state as LS
 from tracklot.streaming import streams as ST
@@ -92,6 +92,20 @@ def _(spark, d):
     return todo.crossJoin(F.broadcast(counts))  # one row
 
 
+@query("src_run_backfill", sql="SELECT event_id, run_id, CAST(1 AS BIGINT) AS copies FROM sightings")
+def _(spark, d):
+    """Sightings delivered by run, twelve runs a lot: first those before 2000, then all; nothing comes twice."""
+    root, s = folder(spark, "backfill"), materialize(D.sightings(spark, d).select("event_id", "run_id"), "sightings")
+
+    def deliver(lot):
+        new = L.append_missing(lot, spark.read.parquet(f"{root}/rows")) if is_whole(spark, f"{root}/rows") else lot
+        new.write.mode("append").parquet(f"{root}/rows")
+
+    for part in (s.where("run_id < '2000-01'"), s):
+        L.run_backfill(spark, part, ["run_id"], f"{root}/ledger", deliver, 12)
+    return spark.read.parquet(f"{root}/rows").groupBy("event_id", "run_id").agg(F.count("*").alias("copies"))
+
+
 @query("src_plan_retention", P.OBS, sql="SELECT count(*) AS matched, count(*) FILTER (WHERE listing_id % 5 <> 0) AS archived, count(*) FILTER (WHERE listing_id % 5 = 0) AS protected FROM sightings WHERE observed_at < TIMESTAMP '1998-01-01'")
 def _(spark, d):
     s = D.sightings(spark, d)

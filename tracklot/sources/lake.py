@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklot.functions.identity import deterministic_uuid, flatten_nested
+from tracklot.sources.scratch import is_whole, materialize
 
 DATASETS = ("sightings", "observations", "probes", "cycles")
 
@@ -88,6 +91,24 @@ def backfill(batches: DataFrame, ledger: DataFrame, key: list[str]) -> tuple[Dat
     return todo, counts
 
 
+def run_backfill(spark: SparkSession, rows: DataFrame, key: list[str], ledger: str, deliver: Callable[[DataFrame], None], batches: int = 50) -> int:
+    """Deliver the batches (rows with equal ``key``) that the ledger lacks, some at a time, and enter each lot once it is delivered.
+
+    A run that was cut off goes on with the lot that it was at; that lot comes again, so ``deliver`` must pass over rows
+    that are there (``append_missing``). Returns the number of lots. The driver loops over lots, not over rows.
+    """
+    known = rows.select(*key).distinct()
+    todo = known.join(spark.read.parquet(ledger).select(*key), key, "left_anti") if is_whole(spark, ledger) else known
+    lot = F.floor((F.row_number().over(Window.orderBy(*key)) - 1) / batches)  # a row per batch
+    todo = materialize(todo.withColumn("lot", lot), "backfill")
+    lots = todo.agg(F.max("lot")).first()[0]
+    for i in range(0 if lots is None else lots + 1):
+        own = todo.where(F.col("lot") == i).drop("lot")
+        deliver(rows.join(own, key, "left_semi"))
+        own.write.mode("append").parquet(ledger)
+    return 0 if lots is None else lots + 1
+
+
 def plan_retention(df: DataFrame, ts: str, cutoff, protected: DataFrame, key: str) -> DataFrame:
     """Rows older than the cutoff, marked ``archive`` or ``protected``; apply by writing the former elsewhere first."""
     old = df.where(F.col(ts) < F.lit(str(cutoff)).cast("timestamp"))

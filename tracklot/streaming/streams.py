@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tracklot.sources.scratch import folder
-from tracklot.streaming.tables import Appends, run_on_rocksdb
+from tracklot.streaming.tables import Appends, Upserts, run_on_rocksdb
 
 
 def stream_lake(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -43,10 +43,11 @@ def take_in(df: DataFrame, path: str, mode: str = "append", part: Callable[[Data
     return df.sparkSession.read.parquet(f"{path}/parts").withColumn("batch", F.col("batch").cast("long"))
 
 
-def newest_rows(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Of each key the row of the latest batch that wrote it."""
-    rest = [c for c in parts.columns if c not in (*keys, "batch")]
-    return parts.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_x")).select(*keys, "_x.*")
+def upserted(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Run a query in update mode over all that is available now; returns the newest row of each key, from a table that folds its parts."""
+    table = Upserts(df.sparkSession, f"{path}/table", keys)
+    run_available(df, table.write, "update", "", f"{path}/checkpoint")
+    return table.read()
 
 
 def stream_facts(df: DataFrame, ts: str = "observed_at", delay: str = "30 days") -> DataFrame:
@@ -66,8 +67,7 @@ def finish_rollup(per_listing: DataFrame, dims: tuple[str, ...]) -> DataFrame:
 
 def rollup_available(df: DataFrame, every: str, dims: tuple[str, ...], path: str | None = None) -> DataFrame:
     """The rollup table after all that is available: a batch writes the windows that it updates."""
-    parts = take_in(stream_rollup(df, every, dims), path or folder(df.sparkSession, "rollup"), "update")
-    return finish_rollup(newest_rows(parts, ["window", *dims, "listing_id"]), dims)
+    return finish_rollup(upserted(stream_rollup(df, every, dims), path or folder(df.sparkSession, "rollup"), ["window", *dims, "listing_id"]), dims)
 
 
 def latest_available(df: DataFrame, key: list[str], order: list[str], path: str | None = None) -> DataFrame:
@@ -105,7 +105,7 @@ def stream_presence(df: DataFrame) -> DataFrame:
 
 
 def presence_available(df: DataFrame, path: str | None = None) -> DataFrame:
-    return newest_rows(take_in(stream_presence(df), path or folder(df.sparkSession, "presence"), "update"), ["listing_id"])
+    return upserted(stream_presence(df), path or folder(df.sparkSession, "presence"), ["listing_id"])
 
 
 def stream_probe_join(sightings: DataFrame, probes: DataFrame, within: str = "30 days", delay: str = "30 days") -> DataFrame:
