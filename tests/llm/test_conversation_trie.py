@@ -43,8 +43,8 @@ def got(df):
 def test_against_brute_force_with_odd_rows(spark, monkeypatch):
     """Small buckets, so that conversations lie in several; ties, nulls, repeats, unknown bases, clashing columns."""
     rng = random.Random(4)
-    rows = [(c, rng.choice([None, 0, 1, 1, 2, 5, 9]), rng.choice([None, "", "user", "bot"]), rng.choice([None, "", "a", "ab", "é" * 40]), 7, "x") for c in [*range(60), 10**12, 10**12 + 3, 77, 78] for _ in range(rng.choice([1, 2, 4, 9, 14]))]
-    rows += [(500, i, "user", "long " * (i % 3), 7, "x") for i in range(45)] + [(501, i, "user", "x", 7, "x") for i in range(30)]
+    rows = [(c, rng.choice([None, 0, 1, 1, 2, 5, 9]), rng.choice([None, "", "user", "bot"]), rng.choice([None, "", "a", "ab", "é" * 40]), 7, "x") for c in [*range(40), 10**12, 10**12 + 3, 77, 78] for _ in range(rng.choice([1, 2, 4, 9, 14]))]
+    rows += [(500, i, "user", "long " * (i % 3), 7, "x") for i in range(28)] + [(501, i, "user", "x", 7, "x") for i in range(30)]
     rows += [(None, 1, "user", "nobody", 7, "x"), rows[0], rows[0]]
     df = spark.createDataFrame(rows, SCHEMA)
     monkeypatch.setattr(T, "BUCKET_ROWS", 25)
