@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklot.functions.columns import canonical_url, challenge_markers, currency_symbol, named_value, parse_money, price_to_cents, resolve_condition, split_subtitle
+from tracklot.sources.scratch import materialize
 
 _PRICE = "struct<amount: string, currency_code: string>"
 API = f"struct<items: array<struct<id: string, title: string, url: string, brand_title: string, brand_dto: struct<title: string>, size_title: string, status: string, status_id: int, price: {_PRICE}, total_item_price: {_PRICE}, photo: struct<url: string, full_size_url: string>, photos: array<struct<url: string>>, favourite_count: long, view_count: long, user: struct<id: long, login: string>>>, pagination: struct<current_page: int, total_pages: int, per_page: int, total_entries: long>>"
@@ -127,14 +128,19 @@ NODE = "struct<id: long, title: string, code: string, url: string, catalogs: str
 
 
 def flatten_catalog_tree(trees: DataFrame, body: str = "body") -> DataFrame:
-    """Nested catalog JSON as rows with parent, root, path, depth and leaf flag; one explode per level, until a level is empty."""
+    """Nested catalog JSON as rows with parent, root, path, depth and leaf flag; one explode per level, until a level is empty.
+
+    Each level is written before the next one is cut from it, so the work does not grow with the square of the depth.
+    """
     kids = f"array<{NODE}>"
     level = trees.select(F.inline_outer(F.from_json(body, kids))).where("id IS NOT NULL")
     level = level.select("id", F.lit(None).cast("long").alias("parent_id"), F.col("id").alias("root_id"), "title", "code", F.col("title").alias("path"), F.lit(0).alias("depth"), "catalogs")
+    level = materialize(level, "level")
     out, k = level, 0
     while not level.where(F.size(F.from_json("catalogs", kids)) > 0).isEmpty():
         k += 1
         nxt = level.select(F.col("id").alias("parent_id"), "root_id", F.col("path").alias("up"), F.inline_outer(F.from_json("catalogs", kids)).alias("id", "title", "code", "url", "catalogs")).where("id IS NOT NULL")
         level = nxt.select("id", "parent_id", "root_id", "title", "code", F.concat_ws(" > ", "up", "title").alias("path"), F.lit(k).alias("depth"), "catalogs")
+        level = materialize(level, "level")
         out = out.unionByName(level)
     return out.withColumn("is_leaf", F.coalesce(F.size(F.from_json("catalogs", kids)), F.lit(0)) <= 0).drop("catalogs")
