@@ -23,40 +23,47 @@ def contents_of(lines):
     return [re.sub(r"(?<=[.!?]) \Z|\n\Z", "", x) for x in lines]
 
 
-def chunks_of(lines):
-    h = [h64(x.encode()) for x in contents_of(lines)]
+def chunks_of(bare):
+    h = [h64(x.encode()) for x in bare]
     signed = lambda x: x - 2**64 if x >= 2**63 else x
     r = [None, *(signed(longs(p)) for p in zip(h, h[1:]))]
     cuts = [i for i in range(len(h) + 1) if i in (0, len(h)) or 2 <= i <= len(h) - 2 and r[i] < min(r[i - 1], r[i + 1])]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
 
 
-def long(text):
-    return len(text) >= 400 or len(text.split()) >= 50
+def weight(line):
+    return max(8 * len([w for w in re.split("[ \t]+", line) if w]), len(line))
+
+
+def spans_of(bare):
+    """Chunks by their first line and number of lines: between boundaries, or the fewest lines of 400 from each line on and up to it."""
+    out, w = set(), [weight(x) for x in bare]
+    for i in range(len(w)):
+        for step in (1, -1):
+            total, j = w[i], i
+            while total < 400 and 0 <= j + step < len(w):
+                j += step
+                total += w[j]
+            if total >= 400:
+                out.add((min(i, j), abs(i - j) + 1))
+    return out | {(a, m) for a, m in chunks_of(bare) if sum(w[a : a + m]) < 400}
 
 
 def brute(rows):
-    """Later runs of equal pairs of lines go if they are long or hold a chunk, and later equal long lines."""
+    """Chunks that occurred before go, each as it stands, with blank lines between their lines."""
     seen, out = set(), {}
     for d, text in sorted(rows):
         lines = lines_of(text)
-        bare, again = contents_of(lines), set()
-        for i in range(len(lines)):
-            for n in (1, 2):
-                key = tuple(bare[i : i + n])
-                if len(key) == n and (n == 2 or long(lines[i])):
-                    if key in seen:
-                        again.add((i, n))
-                    seen.add(key)
-        gone, i = {i for i, n in again if n == 1}, 0
-        while i < len(lines):
-            j = i
-            while (j, 2) in again:
-                j += 1
-            if j > i and (long(" ".join(lines[i : j + 1])) or any(a >= i and a + n <= j + 1 for a, n in chunks_of(lines))):
-                gone |= set(range(i, j + 1))
-            i = j + 1
-        out[d] = (len(lines), len(gone), "".join(x for i, x in enumerate(lines) if i not in gone))
+        all_bare = contents_of(lines)
+        places = [i for i, x in enumerate(all_bare) if x.strip(" \t\r")]
+        bare, gone = [all_bare[i] for i in places], set()
+        for a, n in sorted(spans_of(bare)):
+            if tuple(bare[a : a + n]) in seen:
+                gone |= set(range(a, a + n))
+            seen.add(tuple(bare[a : a + n]))
+        away = {places[i] for i in gone}
+        away |= {j for i in gone if i + 1 in gone for j in range(places[i], places[i + 1])}
+        out[d] = (len(lines), len(away), "".join(x for i, x in enumerate(lines) if i not in away))
     return out
 
 

@@ -1,14 +1,19 @@
 """Line dedup with content-defined chunks, in DataFrame functions only.
 
 Lines are the text's lines, and sentences inside a longer line; put together they are the text again. A line's content is
-the line without the one line end or blank that closes it. Every pair of neighbouring lines, and every single line of
-``MIN_WORDS`` words, is looked up in the whole corpus; its first occurrence is that of the smallest doc_id, then place.
-Pairs with an earlier occurrence that follow each other make up a run. A run of ``MIN_WORDS`` words is removed whole, so a
-repeated passage of that length goes from its first line to its last, and so is a shorter run that holds a content-defined
-chunk: a boundary falls inside each pair whose rolling hash is less than both its neighbours', so chunks have two lines or
-more, three on average, and move with their lines. The first occurrence of a line always stays. Occurrences meet by hash in
-an aggregate of counts and least document; before anything is removed, all contents under one hash are compared whole, byte
-by byte.
+the line without the one line end or blank that closes it; lines without a word are passed over. Chunks are stretches of
+neighbouring lines that depend on their own contents alone, wherever they stand:
+
+- a boundary falls inside each pair of lines whose rolling hash is less than both its neighbours', so that chunks have two
+  lines or more, three on average;
+- from every line on, and up to every line, the fewest lines that make ``MIN_WORDS`` words. Whatever passage of so many
+  words two documents share as whole lines, these chunks cover it from its first line to its last.
+
+Every chunk is looked up in the whole corpus; its first occurrence is that of the smallest doc_id, then place. Lines of a
+later occurrence are removed. So what goes is a chunk that one earlier place holds as it stands, and never lines that only
+meet piecemeal elsewhere. The first occurrence of a line always stays. Occurrences meet by hash in an aggregate of counts
+and least document; before anything is removed, all contents under one hash are compared whole, byte by byte: the lines
+under each line hash, and the line hashes under each chunk hash.
 """
 
 from __future__ import annotations
@@ -18,9 +23,9 @@ from pyspark.sql import functions as F
 
 from tracklot.llm.common import discard, materialize, table
 
-#: Chunks of fewer lines stay.
+#: Chunks between boundaries have so many lines at least.
 MIN_LINES = 2
-#: A repeated run of so many words always goes; so many characters count as much, for scripts without spaces.
+#: The other chunks have so many words; so many characters count as much, for scripts without spaces.
 MIN_WORDS, MIN_CHARS = 50, 400
 #: Lines with what closes them.
 LINES = r"(?<=[\n ])(?<=\n|[.!?] )"
@@ -41,10 +46,43 @@ def lines(text: str) -> str:
     return f"filter(IF(contains({text}, '{_MARK}'), split({text}, '{look}'), split({marked}, '{_MARK}')), u -> u <> '')"
 
 
-def _long(u: str) -> str:
-    """SQL: whether a text has MIN_WORDS words or MIN_CHARS characters; what is cheap to tell comes first."""
-    blanks = f"length({u}) - length(translate({u}, ' \\n\\t\\r', ''))"
-    return f"(length({u}) >= {2 * MIN_WORDS - 1} AND (length({u}) >= {MIN_CHARS} OR ({blanks} >= {MIN_WORDS - 1} AND size(split(trim(' \\n\\t\\r' FROM {u}), '[ \\n\\t\\r]+')) >= {MIN_WORDS})))"
+#: SQL: whether a line has a word.
+_WORDED = "trim(' \\t\\r' FROM u) <> ''"
+
+
+def _weight(u: str) -> str:
+    """SQL: a line's characters, or ``MIN_CHARS / MIN_WORDS`` for each of its words if that is more. What is cheap to tell comes first."""
+    plain = f"length({u}) - length(replace({u}, ' ', '')) + 1 - int(startswith({u}, ' ')) - int(endswith({u}, ' '))"
+    words = f"IF(contains({u}, '  ') OR contains({u}, '\\t'), size(filter(split(replace({u}, '\\t', ' '), ' '), v -> v <> '')), {plain})"
+    return f"greatest({MIN_CHARS // MIN_WORDS} * {words}, length({u}))"
+
+
+#: Lengths of the stretches whose weights are kept; a chunk of MIN_WORDS words has so many lines at most.
+_LEVELS = [1 << j for j in range(MIN_WORDS.bit_length())]
+
+
+def _sum(n: int, back: bool = False) -> str:
+    """SQL: the weight of the ``n`` lines from place i on, or up to it; lines outside the text weigh nothing."""
+    parts, at = [], 0
+    for size in reversed(_LEVELS):
+        if n & size:
+            place = f"i - {at + size - 1}" if back else f"i + {at}"
+            # a stretch that opens before the text has no place in the table: its chunk would not be whole either
+            parts.append(f"coalesce(get(w{size}, {place}), 0)")
+            at += size
+    return " + ".join(parts)
+
+
+def _fewest(back: bool) -> str:
+    """SQL: how many lines from place i on, or up to it, weigh ``MIN_CHARS``; null if all of them do not."""
+    whole = f"WHEN {_sum(MIN_WORDS)} < {MIN_CHARS} THEN NULL" if not back else ""
+    cases = " ".join(f"WHEN {f'i < {n - 1} THEN NULL WHEN ' if back else ''}{_sum(n, back)} >= {MIN_CHARS} THEN {n}" for n in range(1, MIN_WORDS + 1))
+    return f"CASE {whole} {cases} END"
+
+
+def _with_lines(df: DataFrame, text: str) -> DataFrame:
+    """Add ``c``, the contents of the lines with a word, and ``h``, their hashes."""
+    return df.withColumn("c", F.expr(f"filter({contents(text)}, u -> {_WORDED})")).withColumn("h", F.expr("transform(c, u -> xxhash64(u))"))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,14 +102,27 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _spots(keyed: DataFrame) -> DataFrame:
-    """(k, hash, spot) of all pairs and long single lines: spot is twice the first line's place, and one more for a single."""
-    hashed = keyed.withColumn("c", F.expr(contents("text"))).withColumn("h", F.expr("transform(c, u -> xxhash64(u))"))
-    pairs = "transform(slice(h, 2, greatest(size(h) - 1, 0)), (x, i) -> xxhash64(h[i], x))"
-    singles = f"transform(h, (x, i) -> IF({_long('c[i]')}, xxhash64(x), NULL))"
-    spans = hashed.select("k", F.expr("greatest(size(h) - 1, 0)").alias("pairs"), F.expr(f"IF(exists(c, u -> {_long('u')}), concat({pairs}, {singles}), {pairs})").alias("spans"))
+    """(k, hash, at, n) of all chunks: their first line, among those with a word, and number of lines; a chunk comes once."""
+    df = _with_lines(keyed, "text").withColumn("w1", F.expr(f"transform(c, u -> {_weight('u')})"))
+    for size in _LEVELS[1:]:
+        df = df.withColumn(f"w{size}", F.expr(f"transform(w{size // 2}, (x, i) -> x + coalesce(get(w{size // 2}, i + {size // 2}), 0))"))
+    df = (
+        df.withColumn("on", F.expr(f"transform(w1, (x, i) -> {_fewest(False)})"))
+        .withColumn("upto", F.expr(f"transform(w1, (x, i) -> {_fewest(True)})"))
+        .withColumn("r", F.expr("transform(slice(h, 2, greatest(size(h) - 1, 0)), (x, i) -> xxhash64(h[i], x))"))
+        .withColumn("cuts", F.expr("filter(sequence(0, size(h)), i -> i = 0 OR i = size(h) OR (i >= 2 AND i <= size(h) - 2 AND r[i - 1] < r[i - 2] AND r[i - 1] < r[i]))"))
+    )
+    span = "struct(cast({at} AS int) AS at, cast({n} AS int) AS n)"
+    forward = f"transform(on, (x, i) -> {span.format(at='i', n='x')})"
+    # those that are also the fewest lines from their first on are there already
+    backward = f"transform(upto, (x, i) -> {span.format(at='i - x + 1', n='IF(on[i - x + 1] = x, NULL, x)')})"
+    cut = f"transform(cuts, (x, i) -> {span.format(at='x', n=f'IF(coalesce(get(cuts, i + 1), x) - x >= {MIN_LINES}, get(cuts, i + 1) - x, NULL)')})"
+    # a chunk between boundaries that has the words is covered by the others
+    short = f"filter({cut}, x -> x.n IS NOT NULL AND (x.n <= {MIN_WORDS} AND coalesce(on[x.at], {MIN_WORDS + 1}) > x.n))"
+    spans = f"concat(filter(concat({forward}, {backward}), x -> x.n IS NOT NULL), {short})"
     # the outer form: for the plain one, the optimiser would add a filter on the array's size and with it compute the array twice
-    rows = spans.select("k", "pairs", F.posexplode_outer("spans").alias("at", "hash")).where("hash IS NOT NULL")
-    return rows.select("k", "hash", F.expr("IF(at < pairs, 2 * at, 2 * (at - pairs) + 1)").alias("spot"))
+    rows = df.select("k", F.explode_outer(F.expr(f"transform({spans}, x -> struct(xxhash64(slice(h, x.at + 1, x.n)) AS hash, x.at AS at, x.n AS n))")).alias("x"))
+    return rows.where("x IS NOT NULL").select("k", "x.*")
 
 
 def _heads(spots: DataFrame) -> DataFrame:
@@ -80,32 +131,23 @@ def _heads(spots: DataFrame) -> DataFrame:
 
 
 def _repeated(spots: DataFrame, heads: DataFrame) -> DataFrame:
-    """(k, found): each document's spots with a head, as structs of hash, spot and whether it is a later one.
+    """(k, found): each document's chunks with a head, as structs of hash, place, number of lines and whether it is a later one.
 
-    Both sides are tables, so Spark can split the partition of a very common line (its skew join) as far as it takes.
+    Both sides are tables, so Spark can split the partition of a very common chunk (its skew join) as far as it takes.
     """
-    lists = spots.join(heads, "hash").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("hash", "spot", (F.col("k") > F.col("first")).alias("later")))).alias("found"))
-    # within the first document all but the first spot are later ones
-    return lists.select("k", F.expr("transform(found, (x, i) -> struct(x.hash AS hash, x.spot AS spot, x.later OR (i > 0 AND found[greatest(i - 1, 0)].hash = x.hash) AS later))").alias("found"))
+    lists = spots.join(heads, "hash").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("hash", "at", "n", (F.col("k") > F.col("first")).alias("later")))).alias("found"))
+    # within the first document all but the first place are later ones
+    return lists.select("k", F.expr("transform(found, (x, i) -> struct(x.hash AS hash, x.at AS at, x.n AS n, x.later OR (i > 0 AND found[greatest(i - 1, 0)].hash = x.hash) AS later))").alias("found"))
 
 
 def _marked(cut: DataFrame) -> DataFrame:
     """``cut`` (text, removable) with ``lines`` and ``gone``: structs of first line and number of lines, in order and apart."""
-    whole_run = _long("array_join(slice(lines, r.at + 1, r.n), ' ')")
     return (
         cut.withColumn("lines", F.expr(lines("text")))
-        .withColumn("p", F.expr("sort_array(transform(filter(removable, c -> c.spot % 2 = 0), c -> c.spot div 2))"))
-        .withColumn("runs", F.expr("zip_with(filter(p, (x, i) -> i = 0 OR p[i - 1] < x - 1), filter(p, (x, i) -> i = size(p) - 1 OR p[i + 1] > x + 1), (a, b) -> struct(cast(a AS int) AS at, cast(b - a + 2 AS int) AS n))"))
-        .withColumn("runs", F.expr(f"transform(runs, r -> struct(r.at AS at, r.n AS n, {whole_run} AS long))"))
-        # chunks are looked for only where a run is not long enough by itself
-        .withColumn("h", F.expr(f"IF(exists(runs, r -> NOT r.long), transform({contents('text')}, u -> xxhash64(u)), cast(array() AS array<bigint>))"))
-        .withColumn("r", F.expr("transform(slice(h, 2, greatest(size(h) - 1, 0)), (x, i) -> xxhash64(h[i], x))"))
-        .withColumn("cuts", F.expr("filter(sequence(0, size(h)), i -> i = 0 OR i = size(h) OR (i >= 2 AND i <= size(h) - 2 AND r[i - 1] < r[i - 2] AND r[i - 1] < r[i]))"))
-        .withColumn("chunks", F.expr(f"filter(transform(cuts, (x, i) -> struct(x AS at, coalesce(get(cuts, i + 1), x) - x AS n)), c -> c.n >= {MIN_LINES})"))
-        .withColumn("whole", F.expr("transform(filter(runs, r -> r.long OR exists(chunks, c -> c.at >= r.at AND c.at + c.n <= r.at + r.n)), r -> struct(r.at AS at, r.n AS n))"))
-        .withColumn("alone", F.expr("transform(filter(removable, c -> c.spot % 2 = 1 AND NOT exists(runs, r -> c.spot div 2 >= r.at AND c.spot div 2 < r.at + r.n)), c -> struct(cast(c.spot div 2 AS int) AS at, 1 AS n))"))
-        .withColumn("gone", F.sort_array(F.concat("whole", "alone")))
-        .drop("h", "r", "cuts", "chunks", "p", "runs", "whole", "alone")
+        .withColumn("b", F.expr(f"filter(transform({contents('text')}, (u, i) -> IF({_WORDED}, i, -1)), i -> i >= 0)"))
+        .withColumn("p", F.expr("array_sort(array_distinct(flatten(transform(removable, x -> sequence(x.at, x.at + x.n - 1)))))"))
+        .withColumn("gone", F.expr("zip_with(filter(p, (x, i) -> i = 0 OR p[i - 1] < x - 1), filter(p, (x, i) -> i = size(p) - 1 OR p[i + 1] > x + 1), (x, y) -> struct(b[x] AS at, b[y] - b[x] + 1 AS n))"))
+        .drop("b", "p")
     )
 
 
@@ -127,14 +169,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     joined = materialize(whole.join(lists, "k", "left"), "found")
     discard(lists)
 
-    # the contents are cut out before they are dealt out, so that no row carries a whole document
-    seen = joined.where("found IS NOT NULL").select("found", F.expr(contents("d_text")).alias("c"))
-    texts = seen.select(F.explode_outer(F.expr("transform(found, x -> struct(x.hash AS hash, array_join(slice(c, cast(x.spot div 2 AS int) + 1, IF(x.spot % 2 = 0, 2, 1)), '\\n') AS bytes))")).alias("t")).select("t.*")
-    unequal = materialize(texts.groupBy("hash").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).where("low <> high").select("hash"), "unequal")
+    # each line that lies in a chunk meets its like once, not once a chunk; the contents are cut out before they are dealt out, so that no row carries a whole document
+    seen = _with_lines(joined.where("found IS NOT NULL").select("found", "d_text"), "d_text")
+    seen = seen.withColumn("p", F.expr("array_distinct(flatten(transform(found, x -> sequence(x.at, x.at + x.n - 1))))"))
+    parts = "concat(transform(p, i -> struct(h[i] AS hash, 0 AS lines, c[i] AS bytes)), transform(found, x -> struct(x.hash AS hash, x.n AS lines, array_join(transform(slice(h, x.at + 1, x.n), y -> hex(y)), ' ') AS bytes)))"
+    texts = seen.select(F.explode_outer(F.expr(parts)).alias("t")).select("t.hash", (F.col("t.lines") > 0).alias("chunk"), "t.bytes")
+    unequal = materialize(texts.groupBy("hash", "chunk").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high")).where("low <> high").select("hash"), "unequal")
     removable = F.filter("found", lambda x: x["later"])
-    if not unequal.isEmpty():  # different texts under one hash stay
-        spread = joined.select("k", F.explode_outer("found").alias("x")).select("k", "x.hash")
-        bad = spread.join(unequal, "hash").groupBy("k").agg(F.collect_set("hash").alias("bad"))
+    if not unequal.isEmpty():  # different texts under one hash stay, and so does a chunk with a line of such a hash
+        hashes = _with_lines(joined.where("found IS NOT NULL").select("k", "found", "d_text"), "d_text").select("k", "h", F.explode_outer("found").alias("x"))
+        spread = hashes.select("k", "x.hash", F.explode_outer(F.expr("concat(array(x.hash), slice(h, x.at + 1, x.n))")).alias("part"))
+        bad = spread.join(unequal.withColumnRenamed("hash", "part").distinct(), "part").groupBy("k").agg(F.collect_set("hash").alias("bad"))
         joined = joined.join(bad, "k", "left")
         removable = F.filter("found", lambda x: x["later"] & ~F.array_contains(F.coalesce("bad", F.array().cast("array<bigint>")), x["hash"]))
     # only documents with later occurrences are cut up in full
