@@ -40,7 +40,7 @@ DEGRADED = "(coalesce(error_message, '') <> '' OR coalesce(response_status IN (4
 def _(spark, d):
     root = folder(spark, "lake")
     s = D.sightings(spark, d).select("event_id", "listing_id", "observed_at", F.struct("title", "brand").alias("card"))
-    L.write_lake(s.repartition(F.month("observed_at")), root, "sightings", "observed_at")
+    L.write_lake(s.repartition(F.to_date("observed_at")), root, "sightings", "observed_at")
     return L.read_lake(spark, root, "sightings").select("event_id", "listing_id", "occurred_on")
 
 
