@@ -1,120 +1,40 @@
-"""Change events as a stream: a listing's state holds its last snapshot and the events that wait for their turn.
+"""Change events as a stream: the table of listings' states, and the events that wait for their turn.
 
-Events come in any order within the watermark's delay. They wait in the listing's state until the watermark has passed them, so
-nothing older can follow; then a timer gives them out in order of time, each as the 0 to 4 changes that it makes to the
-snapshot. State is one snapshot and the events of one delay; no event is read twice. The rules are those of
-``operators.changes``; the same event sent again within the delay counts once.
+Events come in any order within the watermark's delay. A micro-batch sets its events aside and gives out all that the
+watermark has now passed, so nothing older can follow, in order of time: they meet their listings' states in one window, with
+the rules of ``operators.changes``, each as the 0 to 4 changes that it makes. What is kept is one state per listing and the
+parts of batches within one delay. An event moves once, when its turn comes; the same event sent again within the delay
+counts once, and one that comes after the watermark has passed it is left out. No Python runs per listing.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from datetime import UTC, datetime, timedelta
-
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-from tracklot import constants as C
-from tracklot.streaming.tables import Appends, run_on_rocksdb
-
-VALUES = ("price_amount_cents", "total_price_amount_cents", "favourite_count", "view_count")
-TRACKED = (*(f"now_{v}" for v in VALUES), "state_code", "basis_kind", "confidence_label", "confidence_score", "misses")
-_TYPES = {"state_code": "string", "basis_kind": "string", "confidence_label": "string", "confidence_score": "double", "misses": "int"}
-_FIELDS = [(c, _TYPES.get(c, "bigint")) for c in TRACKED]
-CHANGE = f"listing_id bigint, at timestamp, event_kind string, source_id string, run_id string, change_kind string, {', '.join(f'{c} {t}' for c, t in _FIELDS)}, before struct<{', '.join(f'{c}: {t}' for c, t in _FIELDS)}>"
-#: Events at one time: sightings, then misses, then probes.
-RANK = {"seen": 0, "miss": 1}
-#: Outcomes of a probe that decide the state, and its confidence; then what misses say.
-PROBED = {"deleted": ("deleted", 0.97), "sold": ("sold_observed", 0.91), "active": ("active", 0.95), "unavailable": ("unavailable_non_conclusive", 0.62)}
-
-
-def _stated(probe: str | None, misses: int) -> tuple[str, str, float]:
-    """State, basis and confidence after the last probe and the misses since the last sighting."""
-    if probe in PROBED:
-        state, score = PROBED[probe]
-        return state, "observed", score
-    if misses == 0:
-        return "active", "observed", 0.90
-    if misses == 1:
-        return "unavailable_non_conclusive", "inferred", 0.46
-    return "sold_probable", "inferred", 0.72 if misses == 2 else 0.82
-
-
-class ListingChanges(StatefulProcessor):
-    """Keyed by listing; ``waiting`` has events by source_id, ``snapshot`` what the released ones came to."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("changes", "snapshot string, waiting string, timer long")
-
-    def _load(self) -> tuple[dict, dict, int | None]:
-        found = self.state.get()
-        return (json.loads(found[0]), json.loads(found[1]), found[2]) if found else ({"probe": None, "misses": 0, "now": None, "before": None}, {}, None)
-
-    def _save(self, snapshot: dict, waiting: dict, timer: int | None) -> None:
-        if waiting:
-            first = -(-min(e[0] for e in waiting.values()) // 1000)
-            if timer is None or first < timer:
-                if timer is not None:
-                    self.handle.deleteTimer(timer)
-                timer = first
-                self.handle.registerTimer(timer)
-        self.state.update((json.dumps(snapshot), json.dumps(waiting), timer))
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        snapshot, waiting, timer = self._load()
-        for r in rows:
-            waiting[r.source_id] = [r.us, RANK.get(r.event_kind, 2), r.source_id, r.event_kind, r.run_id, [r[v] for v in VALUES], r.probe_outcome]
-        self._save(snapshot, waiting, timer)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        snapshot, waiting, _ = self._load()
-        past = timerValues.getCurrentWatermarkInMs() * 1000
-        for event in sorted((e for e in waiting.values() if e[0] <= past), key=lambda e: e[:3]):
-            del waiting[event[2]]
-            yield from self._changes(key[0], snapshot, event)
-        self._save(snapshot, waiting, None)
-
-    @staticmethod
-    def _changes(listing: int, s: dict, event: list) -> Iterator[Row]:
-        us, _, source, kind, run, values, outcome = event
-        if kind == "seen":
-            s["now"], s["misses"] = values, 0
-        elif kind == "miss" and s["now"] is not None:
-            s["misses"] += 1
-        s["probe"] = outcome or s["probe"]
-        if s["now"] is None:
-            return  # not seen yet
-        state, basis, score = _stated(s["probe"], s["misses"])
-        label = "high" if score >= C.HIGH_CONFIDENCE else "medium" if score >= C.MEDIUM_CONFIDENCE else "low"
-        after = dict(zip(TRACKED, [*s["now"], state, basis, label, score, s["misses"]], strict=True))
-        old = s["before"]
-        before = dict(zip(TRACKED, old, strict=True)) if old else None
-        s["before"] = list(after.values())
-        differs = lambda *names: before is not None and any(after[n] != before[n] for n in names)
-        kinds = [
-            ("state_transition", before is None or differs("state_code", "basis_kind", "confidence_label", "confidence_score")),
-            ("price_change", differs(*TRACKED[:2])),
-            ("engagement_shift", differs(*TRACKED[2:4])),
-            ("follow_up_miss_transition", differs("misses")),
-        ]
-        at = datetime(1970, 1, 1, tzinfo=UTC) + timedelta(microseconds=us)
-        for name, is_so in kinds:
-            if is_so:
-                yield Row(listing_id=listing, at=at, event_kind=kind, source_id=source, run_id=run, change_kind=name, **after, before=Row(**before) if before else None)
 
+from tracklot.operators.changes import HELD, LOG, resumed_changes
+from tracklot.streaming.streams import run_available
+from tracklot.streaming.tables import Appends, Clock, Upserts
 
-def stream_changes(log: DataFrame, delay: str) -> DataFrame:
-    """The stream of change events (``CHANGE``) of a stream of log events, as ``operators.changes.derive_changes`` has them."""
-    timed = log.withWatermark("at", delay).withColumn("us", F.unix_micros("at"))
-    return timed.groupBy("listing_id").transformWithState(ListingChanges(), CHANGE, "Append", "EventTime")
+_OTHERS = ("last_probe", "is_known")
 
 
 def changes_available(log: DataFrame, path: str, delay: str) -> DataFrame:
     """Change events that the watermark has released after all that is available now; later calls add those that follow."""
-    table = Appends(log.sparkSession, f"{path}/changes")
-    run_on_rocksdb(stream_changes(log, delay), table, f"{path}/checkpoint")
-    return table.read()
+    spark = log.sparkSession
+    waiting, changes, states, clock = Appends(spark, f"{path}/waiting"), Appends(spark, f"{path}/changes"), Upserts(spark, f"{path}/states", ["listing_id"]), Clock(spark, f"{path}/clock", "at", delay)
+
+    def each(batch: DataFrame, number: int) -> None:
+        bases, parts = states.parts()
+        if bases and bases[0] >= number:
+            return  # a batch that runs again after all of it was written
+        past = clock.before(number)[1]
+        waiting.write(batch.select(*LOG).where(clock.after(past)), number)
+        held, now = clock.tick(waiting.some([number]), number)
+        ready = waiting.some([*held] or [number]).where(clock.after(past) & ~clock.after(now))
+        changes.write(resumed_changes(ready, states.read(number - 1) if bases or any(n < number for n in parts) else None), number)
+        states.write(changes.some([number]).where(F.col("change_kind") == HELD).drop("at", "event_kind", "source_id", "run_id", "change_kind", "before"), number)
+        waiting.keep([number, *held])
+
+    run_available(log, each, "append", "", f"{path}/checkpoint")
+    return changes.read().where(F.col("change_kind") != HELD).drop(*_OTHERS)

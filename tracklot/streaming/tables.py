@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklot.sources.scratch import delete, is_whole
@@ -69,7 +69,56 @@ class Appends(Upserts):
         super().__init__(spark, path, [], 1 << 30)
 
     def read(self, upto: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.path}/part/batch={n}" for n in self._folders("part")])
+        return self.some([n for n in self._folders("part") if upto is None or n <= upto])
+
+    def some(self, numbers: list[int]) -> DataFrame:
+        """The rows of these batches."""
+        return self.spark.read.parquet(*[f"{self.path}/part/batch={n}" for n in numbers])
+
+    def keep(self, numbers: list[int]) -> None:
+        """Delete the parts of all other batches."""
+        for n in self._folders("part"):
+            if n not in numbers:
+                delete(self.spark, f"{self.path}/part/batch={n}")
+
+
+class Versions(Appends):
+    """A small table that every batch writes whole; the version before the newest stays, for a batch that runs again."""
+
+    def before(self, number: int) -> DataFrame | None:
+        found = [n for n in self._folders("part") if n < number]
+        return self.some(found[-1:]) if found else None
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        super().write(batch.coalesce(1), number)
+        self.keep([number, number - 1])
+
+
+class Clock:
+    """How far a stream's batches have come in event time, and the watermark, ``delay`` behind the newest event of all batches so far."""
+
+    def __init__(self, spark: SparkSession, path: str, ts: str, delay: str):
+        self.spark, self.ts, self.delay, self.table = spark, ts, delay, Versions(spark, path)
+
+    def before(self, number: int) -> tuple[dict[int, int], int | None]:
+        """Newest event time of each batch before this one that the watermark had not passed whole, and the watermark after them; in microseconds."""
+        found = self.table.before(number)
+        rows = found.collect() if found is not None else []  # a row per batch within the delay
+        return {r.batch: r.top for r in rows if r.batch is not None}, next((r.top for r in rows if r.batch is None), None)
+
+    def tick(self, batch: DataFrame, number: int) -> tuple[dict[int, int], int | None]:
+        """Enter a batch; returns the batches that still have events after the watermark before this one, and the watermark now."""
+        tops, past = self.before(number)
+        of = F.max(self.ts)
+        top, mark = batch.agg(F.unix_micros(of), F.unix_micros(of - F.expr(f"INTERVAL '{self.delay}'"))).first()
+        tops = {n: t for n, t in tops.items() if t > past} | ({} if top is None else {number: top})
+        now = max((x for x in (past, mark) if x is not None), default=None)
+        self.table.write(self.spark.createDataFrame([*tops.items(), (None, now)], "batch long, top long"), number)
+        return tops, now
+
+    def after(self, us: int | None) -> Column:
+        """Rows that the watermark had not passed."""
+        return F.col(self.ts).isNotNull() if us is None else F.col(self.ts) > F.timestamp_micros(F.lit(us))
 
 
 def run_on_rocksdb(df: DataFrame, table: Upserts | Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", name: str | None = None):
