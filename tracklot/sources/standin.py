@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklot.sources.scratch import folder
+
 NOW = "2001-11-05 00:00:00"
 #: Band limits under which all bands occur in these data.
 BANDS = (139_500, 312_400)
@@ -70,16 +72,25 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Files of one arrival, all taken in by one micro-batch.
-ARRIVAL_FILES = 2
+#: Rows of a file of an arrival; an arrival has two files at least.
+ARRIVAL_ROWS = 500_000
 
 
 def arrivals(df: DataFrame, chunk: Column, path: str, chunks: int) -> DataFrame:
-    """A stream over a table's rows as they arrive: those of chunk 0 first, then 1 and so on, one micro-batch each."""
-    numbered = df.withColumn("_chunk", chunk)
+    """A stream over a table's rows as they arrive: those of chunk 0 first, then 1 and so on, one micro-batch each.
+
+    The rows are derived once and set aside by chunk. All chunks have as many files as the largest asks for, since a
+    micro-batch takes in so many; all but the last must have rows for them.
+    """
+    spark, staged = df.sparkSession, folder(df.sparkSession, "staged")
+    numbered = df.withColumn("_chunk", chunk.cast("int")).where(F.col("_chunk").between(0, chunks - 1))
+    numbered.write.partitionBy("_chunk").parquet(staged)
+    rows = spark.read.schema(numbered.schema).parquet(staged)
+    sizes = {r[0]: r[1] for r in rows.groupBy("_chunk").count().collect()}  # a row per chunk
+    files = max(2, -(-max(sizes.values(), default=0) // ARRIVAL_ROWS))
     for i in range(chunks):
-        numbered.where(F.col("_chunk") == i).drop("_chunk").repartition(ARRIVAL_FILES).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", ARRIVAL_FILES).parquet(path)
+        rows.where(F.col("_chunk") == i).drop("_chunk").repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 #: Years of the sightings; each arrives as one chunk.
