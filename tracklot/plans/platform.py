@@ -99,7 +99,8 @@ def _(spark, d):
     root, s = folder(spark, "backfill"), materialize(D.sightings(spark, d).select("event_id", "run_id"), "sightings")
 
     def deliver(lot):
-        new = L.append_missing(lot, spark.read.parquet(f"{root}/rows")) if is_whole(spark, f"{root}/rows") else lot
+        there = spark.read.parquet(f"{root}/rows") if is_whole(spark, f"{root}/rows") else None
+        new = lot if there is None else L.append_missing(lot, L.of_batches(there, lot, ["run_id"]))
         new.write.mode("append").parquet(f"{root}/rows")
 
     for part in (s.where("run_id < '2000-01'"), s):

@@ -79,6 +79,11 @@ def append_missing(df: DataFrame, target: DataFrame, key: str = "event_id") -> D
     return df.dropDuplicates([key]).join(target.select(key), key, "left_anti")
 
 
+def of_batches(target: DataFrame, lot: DataFrame, key: list[str]) -> DataFrame:
+    """The target's rows of a lot's batches: those that a lot which comes again can meet. The lot's keys, few, go to the target, which does not move."""
+    return target.join(F.broadcast(lot.select(*key).distinct()), key, "left_semi")
+
+
 def existing(df: DataFrame, target: DataFrame, key: str = "event_id") -> DataFrame:
     return df.select(key).intersect(target.select(key))
 
