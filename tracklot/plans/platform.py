@@ -164,12 +164,12 @@ def _rename(spark, source, target):
 
 @query("src_sqlite", sql="SELECT event_id, listing_id, brand, price_amount_cents, observed_at, coalesce(price_amount_cents > 200000, false) AS is_dear FROM sightings WHERE price_amount_cents >= 150000 AND brand IS NOT NULL")
 def _(spark, d):
-    """Sightings written to SQLite files by tasks, and read back in stretches with the filters left to SQLite."""
+    """Sightings written to SQLite files, as many as their size asks for, and read back in stretches with the filters left to SQLite."""
     SQ.register(spark)
     path = folder(spark, "sqlite")
     s = D.sightings(spark, d).select("event_id", "listing_id", "brand", "price_amount_cents", "observed_at", F.coalesce(F.col("price_amount_cents") > 200_000, F.lit(False)).alias("is_dear"))
-    s.repartition(4).write.format("sqlite").option("path", path).option("table", "sightings").mode("append").save()
-    back = spark.read.format("sqlite").option("path", path).option("table", "sightings").option("rowsPerSplit", 5_000).load()
+    s.hint("rebalance").write.format("sqlite").option("path", path).option("table", "sightings").mode("append").save()
+    back = spark.read.format("sqlite").option("path", path).option("table", "sightings").load()
     return back.where("price_amount_cents >= 150000 AND brand IS NOT NULL")
 
 
