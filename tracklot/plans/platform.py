@@ -193,9 +193,10 @@ def _(spark, d):
     snap, name = snapshot(spark, d), f"rank_index_{uuid.uuid4().hex}"
     SC.write_rank_index(snap, name, folder(spark, "rank-index"))
     ids = snap.groupBy("catalog_id").agg(F.min("listing_id").alias("id")).select("id").union(snap.groupBy("brand").agg(F.max("listing_id").alias("id")).select("id")).distinct()
-    out = None
-    for r in ids.collect():  # a row per catalog and brand
-        one = SC.score_detail(snap, r.id, name).select("listing_id", "demand_score", "context_name", "context_size", "price_percentile", "premium_score", F.col("score_explanation.context").isNotNull().alias("explained"))
+    wanted, out = [r.id for r in ids.collect()], None  # a row per catalog and brand
+    snap = materialize(snap.where(F.col("listing_id").isin(wanted)), "wanted")  # else every lookup would read the whole snapshot
+    for i in wanted:
+        one = SC.score_detail(snap, i, name).select("listing_id", "demand_score", "context_name", "context_size", "price_percentile", "premium_score", F.col("score_explanation.context").isNotNull().alias("explained"))
         out = one if out is None else out.unionByName(one)
     return out
 
