@@ -63,7 +63,7 @@ def _(spark, d):
 
 @query("src_assign_chunks", sql="SELECT event_id, (row_number() OVER w - 1) // 100 AS chunk_index, (count(*) OVER (PARTITION BY run_id, catalog_id) + 99) // 100 AS chunk_count, (row_number() OVER w - 1) % 100 AS row_index FROM sightings WINDOW w AS (PARTITION BY run_id, catalog_id ORDER BY observed_at, event_id)")
 def _(spark, d):
-    return L.assign_chunks(D.sightings(spark, d), ["run_id", "catalog_id"], [F.col("observed_at"), F.col("event_id")], 100).select("event_id", "chunk_index", "chunk_count", "row_index")
+    return L.assign_chunks(D.sightings(spark, d).select("event_id", "run_id", "catalog_id", "observed_at"), ["run_id", "catalog_id"], [F.col("observed_at"), F.col("event_id")], 100).select("event_id", "chunk_index", "chunk_count", "row_index")
 
 
 _UUID = "substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (CAST('0x' || substr(h, 17, 1) AS INTEGER) & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"
@@ -118,12 +118,12 @@ def _(spark, d):
 def _(spark, d):
     """The first row of each catalog's latest batch, found in the lake by its manifest through the index."""
     root = folder(spark, "lake")
-    s = L.assign_chunks(D.sightings(spark, d).drop("manifest_id"), ["run_id", "catalog_id"], [F.col("observed_at"), F.col("event_id")], 1 << 30)
+    s = L.assign_chunks(D.sightings(spark, d).select("event_id", "listing_id", "catalog_id", "run_id", "price_amount_cents", "observed_at"), ["run_id", "catalog_id"], [F.col("observed_at"), F.col("event_id")], 1 << 30)
     batch = I.deterministic_uuid("manifest", run_id=F.col("run_id"), catalog_id=F.col("catalog_id").cast("string"))
     s = s.select("event_id", "listing_id", "catalog_id", "run_id", "price_amount_cents", "observed_at", "row_index", batch.alias("manifest_id"), F.trunc("observed_at", "month").alias("month"))
-    L.write_lake(s.repartition(F.col("run_id")), root, "sightings", "month")
+    L.write_lake(s.repartition(L.tasks_for(s, s.count()), "run_id", F.floor(F.col("row_index") / (L.TASK_ROWS // 5))), root, "sightings", "month")
     EV.index_lake(spark, root, "sightings", ["manifest_id", "listing_id"], "observed_at")
-    wanted, out = s.groupBy("catalog_id").agg(F.max_by("manifest_id", "run_id").alias("m")).collect(), None  # a row per catalog
+    wanted, out = s.groupBy("catalog_id").agg(F.max("run_id").alias("run_id")).select(batch.alias("m")).collect(), None  # a row per catalog
     for r in wanted:
         row = EV.lookup_evidence(spark, root, "sightings", {"manifest_id": r.m}, {"row_index": 0}).select("event_id", "listing_id", "price_amount_cents", "catalog_id", "row_index")
         out = row if out is None else out.unionByName(row)
@@ -714,7 +714,7 @@ _ENDS = "SELECT run_id, catalog_id, page_number, chunk_index, page_number = max(
 @query("str_scan_ends", sql=_ENDS)
 def _(spark, d):
     """Chunks of ten sightings a page; the last chunk of a scan's last page ends the scan."""
-    s = L.assign_chunks(D.sightings(spark, d), ["run_id", "catalog_id", "page_number"], [F.col("observed_at"), F.col("event_id")], 10)
+    s = L.assign_chunks(D.sightings(spark, d).select("event_id", "run_id", "catalog_id", "page_number", "observed_at"), ["run_id", "catalog_id", "page_number"], [F.col("observed_at"), F.col("event_id")], 10)
     pages = s.groupBy("run_id", "catalog_id").agg(F.max("page_number").alias("total_pages"))
     chunks = s.select("run_id", "catalog_id", "page_number", "chunk_index", "chunk_count").distinct().join(pages, ["run_id", "catalog_id"])
     return ST.is_terminal(chunks.withColumn("next_page", F.when(F.col("page_number") < F.col("total_pages"), F.col("page_number") + 1))).select("run_id", "catalog_id", "page_number", "chunk_index", "is_terminal")

@@ -57,11 +57,37 @@ def export_cycles(cycles: DataFrame) -> DataFrame:
     return flatten_nested(cycles)
 
 
+#: Rows of a task where rows are sorted.
+TASK_ROWS = 250_000
+#: Stretches of batches up to which their starts are broadcast.
+BROADCAST_STRETCHES = 100_000
+
+
+def tasks_for(df: DataFrame, rows: int) -> int:
+    """As many tasks as a number of rows asks for, so that a task's share does not grow with the table."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+
+
 def assign_chunks(df: DataFrame, keys: list[str], order: list[Column], size: int) -> DataFrame:
-    """Batches of at most ``size`` rows in each group: chunk_index, chunk_count and row_index within the chunk."""
-    w = Window.partitionBy(*keys)
-    out = df.withColumn("_rn", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
-    return out.withColumns({"chunk_index": F.floor(F.col("_rn") / size), "chunk_count": F.ceil(F.col("_n") / size), "row_index": F.col("_rn") % size}).drop("_rn", "_n")
+    """Batches of at most ``size`` rows in each group: chunk_index, chunk_count and row_index within the chunk.
+
+    All rows are sorted by group and order in ranges, set aside and numbered within their range; a group that fills many
+    ranges is in no task as a whole. A row per group and range tells at which number of its group a range begins.
+    """
+    by = [*[F.col(k) for k in keys], *order]
+    ranged = df.repartitionByRange(tasks_for(df, df.count()), *by).sortWithinPartitions(*by)
+    ranged = materialize(ranged.withColumn("_id", F.monotonically_increasing_id()), "ranged").withColumn("_range", F.shiftright("_id", 33))
+    names = [f"_key{i}" for i in range(len(keys))]
+    starts = ranged.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], F.col("_range").alias("_at")).agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
+    group = Window.partitionBy(*names)
+    before = F.coalesce(F.sum("_rows").over(group.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(starts.withColumns({"_start": before, "_n": F.sum("_rows").over(group)}), "starts")
+    on = F.col("_range") == F.col("_at")
+    for k, n in zip(keys, names):
+        on &= F.col(k).eqNullSafe(F.col(n))
+    out = ranged.join(F.broadcast(starts) if starts.count() <= BROADCAST_STRETCHES else starts, on).withColumn("_rn", F.col("_start") + F.col("_id") - F.col("_first"))
+    out = out.withColumns({"chunk_index": F.floor(F.col("_rn") / size), "chunk_count": F.ceil(F.col("_n") / size), "row_index": F.col("_rn") % size})
+    return out.drop("_id", "_range", "_at", "_first", "_rows", "_start", "_n", "_rn", *names)
 
 
 def build_manifests(df: DataFrame, keys: list[str], ts: str, id_col: str) -> DataFrame:
