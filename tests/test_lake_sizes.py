@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_module
 from tracklot.sources import evidence as EV
 from tracklot.sources import lake as L
+from tracklot.sources import standin as D
 from tracklot.sources.scratch import folder
 
 
@@ -34,3 +36,14 @@ def test_the_index_is_built_by_file_and_misses_no_row(spark, monkeypatch):
     for k, file in held.items():
         assert file in {r.file for r in EV.candidate_files(spark, root, "sightings", k=k, m="all").collect()}
     assert EV.candidate_files(spark, root, "sightings", m="other").count() == 0
+
+
+def test_salvage_sends_no_task_whole_ids(spark, sf, monkeypatch):
+    seen, real = [], L.salvage_tables
+    monkeypatch.setattr(L, "salvage_tables", lambda spark, paths, target: seen.append(paths["sightings"]) or real(spark, paths, target))
+    assert {(r.name, r.action): r.files for r in entry_module.queries()["src_salvage"](spark, sf).collect()}[("sightings", "copied")] == 4
+    parts = spark.read.parquet(seen[0].removesuffix("in/sightings") + "parts")
+    assert [c for c in parts.columns if dict(parts.dtypes)[c] == "string"] == [] and parts.select("file").distinct().count() == 4
+    there = spark.read.option("ignoreCorruptFiles", "true").parquet(seen[0])
+    want = D.sightings(spark, sf).select("event_id", "listing_id")
+    assert there.exceptAll(want).count() == want.exceptAll(there).count() == 0

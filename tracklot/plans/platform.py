@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklot import constants as C
@@ -143,9 +144,16 @@ def _(spark, d):
 
 @query("src_salvage", sql="SELECT 'sightings' AS name, 'copied' AS action, 4 AS files, count(*) AS rows FROM sightings UNION ALL SELECT 'sightings', 'skipped', 1, 0 UNION ALL SELECT 'scans', 'copied', 1, count(*) FROM scans UNION ALL SELECT 'lost', 'skipped', 1, 0")
 def _(spark, d):
-    """Two tables and a lost one; a file that is no Parquet lies among the first one's."""
+    """Two tables and a lost one; a file that is no Parquet lies among the first one's.
+
+    Its four files are put together from the parts of the ids, which are set aside by file: the task of a file reads these,
+    and no task is sent a quarter of all ids.
+    """
     root = folder(spark, "salvage")
-    D.sightings(spark, d).select("event_id", "listing_id").repartition(4).write.parquet(f"{root}/in/sightings")
+    D.id_parts(spark, d).withColumn("file", F.pmod(F.xxhash64("order", "line"), F.lit(4))).write.option("compression", "zstd").partitionBy("file").parquet(f"{root}/parts")
+    parts = spark.read.parquet(f"{root}/parts")
+    files = reduce(DataFrame.unionByName, [parts.where(F.col("file") == i) for i in range(4)]).coalesce(4)  # scan by scan, so that there are four
+    D.with_ids(files).select("event_id", "listing_id").write.parquet(f"{root}/in/sightings")
     D.scans(spark, d).coalesce(1).write.parquet(f"{root}/in/scans")
     for name in ("sightings", "lost"):
         D.read(spark, d, "region").select(F.col("r_name").alias("value")).coalesce(1).write.option("compression", "none").mode("append").text(f"{root}/bad/{name}")
