@@ -29,7 +29,7 @@ from tracklot.sources import parse as PR
 from tracklot.sources import retention as RE
 from tracklot.sources import sqlite as SQ
 from tracklot.sources import standin as D
-from tracklot.sources.scratch import folder, is_whole, materialize
+from tracklot.sources.scratch import delete, folder, is_whole, materialize
 from tracklot.streaming import change_state as CG
 from tracklot.streaming import listing_state as LS
 from tracklot.streaming import streams as ST
@@ -693,12 +693,11 @@ def _(spark, d):
 @query("str_current_state", *STATE, sql="SELECT listing_id, state_code, basis_kind, confidence_score, follow_up_miss_count, latest_miss_at, observation_count, total_sightings, first_seen_at, last_seen_at, mean_revisit_hours, freshness_bucket, price_band_code, title, price_amount_cents, probe_outcome, seen_in_latest_primary_scan FROM snapshot")
 def _(spark, d):
     """The stream's state after seven years of arrivals, some late, and a restart; the SQL is the batch snapshot's."""
-    s = materialize(D.sightings(spark, d), "sightings")
-    events = materialize(LS.state_events(s, D.scans(spark, d, s), D.probes(spark, d)), "events")
-    root, chunk = folder(spark, "state"), D.year_chunk("at", "payload")
-    for half in (chunk < 4, chunk >= 4):
-        first = F.when(half, F.when(chunk < 4, chunk).otherwise(chunk - 4))
-        LS.stream_state(D.arrivals(events, first, f"{root}/in", 4), root, "740 days", 780)
+    root, s = folder(spark, "state"), D.sightings(spark, d)
+    events = LS.state_events(s, D.scans(spark, d, s), D.probes(spark, d))
+    for stream in D.arrivals_in_turns(events, D.year_chunk("at", "payload"), f"{root}/in", (4, D.YEARS - 4)):
+        LS.stream_state(stream, root, "740 days", 780)
+    delete(spark, f"{root}/in")
     card = ", ".join(f"{c} {s.schema[c].dataType.simpleString()}" for c in LS.CARD_FIELDS)
     return LS.current_state(spark, root, D.NOW, D.BANDS, card).select("listing_id", "state_code", "basis_kind", "confidence_score", "follow_up_miss_count", "latest_miss_at", "observation_count", "total_sightings", "first_seen_at", "last_seen_at", "mean_revisit_hours", "freshness_bucket", "price_band_code", "title", "price_amount_cents", "probe_outcome", "seen_in_latest_primary_scan")
 

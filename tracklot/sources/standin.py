@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklot.sources.scratch import folder
+from tracklot.sources.scratch import delete, folder
 
 NOW = "2001-11-05 00:00:00"
 #: Band limits under which all bands occur in these data.
@@ -99,20 +102,28 @@ ARRIVAL_ROWS = 500_000
 
 
 def arrivals(df: DataFrame, chunk: Column, path: str, chunks: int) -> DataFrame:
-    """A stream over a table's rows as they arrive: those of chunk 0 first, then 1 and so on, one micro-batch each.
+    """A stream over a table's rows as they arrive: those of chunk 0 first, then 1 and so on, one micro-batch each."""
+    return next(arrivals_in_turns(df, chunk, path, (chunks,)))
+
+
+def arrivals_in_turns(df: DataFrame, chunk: Column, path: str, turns: tuple[int, ...]) -> Iterator[DataFrame]:
+    """``arrivals`` of which so many chunks come at a turn; each turn gives the stream as it is then.
 
-    The rows are derived once and set aside by chunk. All chunks have as many files as the largest asks for, since a
-    micro-batch takes in so many; all but the last must have rows for them.
+    The rows are derived once and set aside by chunk; a chunk that has arrived is set aside no longer. All chunks have as many
+    files as the largest asks for, since a micro-batch takes in so many; all but the last must have rows for them.
     """
-    spark, staged = df.sparkSession, folder(df.sparkSession, "staged")
+    spark, staged, chunks = df.sparkSession, folder(df.sparkSession, "staged"), sum(turns)
     numbered = df.withColumn("_chunk", chunk.cast("int")).where(F.col("_chunk").between(0, chunks - 1))
-    numbered.write.partitionBy("_chunk").parquet(staged)
+    numbered.write.option("compression", "zstd").partitionBy("_chunk").parquet(staged)
     rows = spark.read.schema(numbered.schema).parquet(staged)
     sizes = {r[0]: r[1] for r in rows.groupBy("_chunk").count().collect()}  # a row per chunk
     files = max(2, -(-max(sizes.values(), default=0) // ARRIVAL_ROWS))
-    for i in range(chunks):
-        rows.where(F.col("_chunk") == i).drop("_chunk").repartition(files).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+    for last, turn in zip(accumulate(turns), turns, strict=True):
+        for i in range(last - turn, last):
+            # by hash, which puts nothing in order first
+            rows.where(F.col("_chunk") == i).drop("_chunk").repartition(files, *df.columns).write.mode("append").option("compression", "zstd").parquet(path)
+            delete(spark, f"{staged}/_chunk={i}")
+        yield spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 #: Years of the sightings; each arrives as one chunk.

@@ -37,13 +37,18 @@ class Upserts:
         bases = self._folders("base")[-1:]
         return bases, [n for n in self._folders("part") if not bases or n > bases[0]]
 
-    def read(self, upto: int | None = None) -> DataFrame:
+    def _rows(self, upto: int | None = None) -> DataFrame:
+        """All rows of the base and the parts, each with its ``_batch``."""
         bases, parts = self.parts()
         paths = [f"{self.path}/base/batch={n}" for n in bases] + [f"{self.path}/part/batch={n}" for n in parts if upto is None or n <= upto]
         rows = [self.spark.read.parquet(p).withColumn("_batch", F.lit(int(p.rpartition("=")[2])).cast("long")) for p in paths]
         out = rows[0]
         for r in rows[1:]:
             out = out.unionByName(r)
+        return out
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        out = self._rows(upto)
         rest = [c for c in out.columns if c not in (*self.keys, "_batch")]
         return out.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_x")).select(*self.keys, "_x.*")
 
@@ -62,6 +67,17 @@ class Upserts:
                 delete(self.spark, f"{self.path}/base/batch={n}")
 
 
+class Merged(Upserts):
+    """A table whose parts say what their batch adds, so a batch reads no older rows; ``merge`` makes one row per key of those of several parts."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], merge: Callable[[DataFrame], DataFrame], fold_after: int = 8):
+        super().__init__(spark, path, keys, fold_after)
+        self.merge = merge
+
+    def read(self, upto: int | None = None) -> DataFrame:
+        return self.merge(self._rows(upto).drop("_batch"))
+
+
 class Appends(Upserts):
     """A table of all rows that batches wrote; ``read`` adds nothing and folds nothing."""
 
