@@ -85,7 +85,11 @@ class Appends(Upserts):
         super().__init__(spark, path, [], 1 << 30)
 
     def read(self, upto: int | None = None) -> DataFrame:
-        return self.some([n for n in self._folders("part") if upto is None or n <= upto])
+        return self.some([n for n in self.numbers() if upto is None or n <= upto])
+
+    def numbers(self) -> list[int]:
+        """The batches that have a part."""
+        return self._folders("part")
 
     def some(self, numbers: list[int]) -> DataFrame:
         """The rows of these batches."""
